@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, search
+from . import bpe, chat, packing, quality, search
 from .common import table
 
 
@@ -25,11 +26,25 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", planted), (-1, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.conversation_digests(chat.read_back(chat.format_conversations(rows)))
+
+
 def op4_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return search.tree_search(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op8_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(documents, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(documents, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return search.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
@@ -37,13 +52,29 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_packing": op1_hierarchical_packing,
+    "op3_prefix_tree_chat": op3_prefix_tree_chat,
     "op4_kmeans_tree_search": op4_kmeans_tree_search,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op8_quadratic_quality": op8_quadratic_quality,
     "op9_exact_top_k": op9_exact_top_k,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLE_SQL: dict[str, str] = {
+    "op3_prefix_tree_chat": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        ), e AS (
+            SELECT *, length(regexp_replace(role, '<(\|+)', '<|\1', 'g')) + length(regexp_replace(text, '<(\|+)', '<|\1', 'g')) + 22 AS chars FROM t
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
     "op9_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
