@@ -89,7 +89,7 @@ def id_filter(ids: DataFrame, column: str, bits: int | None = None) -> tuple[np.
         if len(keep):
             yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int64)), pa.array([pieces[k].tobytes() for k in keep], pa.binary())], ["piece", "bits"])
 
-    def merged(key, batches: pa.Table) -> pa.Table:
+    def merged(key, batches):
         out = np.zeros(len(batches["bits"][0].as_py()), np.uint8)
         for x in batches["bits"].to_pylist():
             out |= np.frombuffer(x, np.uint8)

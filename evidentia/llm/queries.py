@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, quality, search
+from . import bpe, chat, ngram_join, packing, quality, search, wrappers
 from .common import table
 
 
@@ -22,10 +22,18 @@ def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", planted), (-1, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
@@ -52,8 +60,10 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_packing": op1_hierarchical_packing,
+    "op2_wrapper_main_text": op2_wrapper_main_text,
     "op3_prefix_tree_chat": op3_prefix_tree_chat,
     "op4_kmeans_tree_search": op4_kmeans_tree_search,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_quadratic_quality": op8_quadratic_quality,
     "op9_exact_top_k": op9_exact_top_k,
