@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +157,48 @@ def size_class(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / math.log(q / p)).astype(np.int64)
 
 
+LISTS = "kind int, key long, docs array<long>, sizes array<long>"
+
+
+def shared_lists(keys_in: np.ndarray, ids_in: np.ndarray, sizes_in: np.ndarray) -> pa.Table:
+    """Rows of LISTS for ids that stand under equal keys; the keys are sorted."""
+    start = np.flatnonzero(np.append(True, keys_in[1:] != keys_in[:-1])) if len(keys_in) else np.zeros(0, np.int64)
+    count = np.diff(np.append(start, len(keys_in)))
+    kinds, keys, lists, lengths = [], [], [], []
+    pairs: set[tuple[int, int]] = set()
+    seen: set[int] = set()
+    for a, c in zip(start[count > 1].tolist(), count[count > 1].tolist()):
+        ids, which = np.unique(ids_in[a : a + c], return_index=True)
+        n = sizes_in[a : a + c][which]
+        if len(ids) < 2:
+            continue
+        if len(ids) == 2:
+            if 4 * n.min() >= 3 * n.max():
+                pairs.add((int(ids[0]), int(ids[1])))
+            continue
+        rank = mix(ids.view(np.uint64))
+        name = int(mix(rank * (2 * np.arange(len(ids), dtype=np.uint64) + np.uint64(1))).sum(dtype=np.uint64)) & ((1 << 63) - 1)
+        if name in seen:
+            continue
+        seen.add(name)
+        level = size_class(n)
+        for own in np.unique(level).tolist():
+            members = np.flatnonzero(level == own)
+            leader = members[np.argmin(rank[members])]
+            for m in np.flatnonzero((level == own) | (level == own + 1)).tolist():
+                if m != leader and 4 * min(n[m], n[leader]) >= 3 * max(n[m], n[leader]):
+                    pairs.add((int(ids[leader]), int(ids[m])))
+        kinds.append(1)
+        keys.append(name)
+        lists.append(ids)
+        lengths.append(n)
+    kinds += [0] * len(pairs)
+    keys += [a for a, _ in pairs]
+    lists += [[b] for _, b in pairs]
+    lengths += [[0]] * len(pairs)
+    return pa.table({"kind": pa.array(kinds, pa.int32()), "key": pa.array(keys, pa.int64()), "docs": pa.array(lists, pa.list_(pa.int64())), "sizes": pa.array(lengths, pa.list_(pa.int64()))})
+
+
 def candidates(documents: DataFrame, keep, classes, bits: int, ranges: int) -> DataFrame:
     """(kind, key, docs, sizes): lists of documents that share an n-gram of their prefixes, and pairs with a leader.
 
@@ -198,49 +240,10 @@ def candidates(documents: DataFrame, keep, classes, bits: int, ranges: int) -> D
         docs, sizes, counts = map(np.concatenate, rows)
         owner = np.repeat(np.arange(len(docs)), counts)
         order = np.argsort(grams, kind="stable")
-        grams = grams[order]
-        new = np.append(True, grams[1:] != grams[:-1])
-        start = np.flatnonzero(new)
-        count = np.diff(np.append(start, len(grams)))
-        kinds, keys, lists, lengths = [], [], [], []
-        pairs: set[tuple[int, int]] = set()
-        seen: set[int] = set()
-        for a, c in zip(start[count > 1].tolist(), count[count > 1].tolist()):
-            own = np.unique(owner[order[a : a + c]])
-            ids, n = docs[own], sizes[own].astype(np.int64)
-            sort = np.argsort(ids)
-            ids, n = ids[sort], n[sort]
-            keep_first = np.append(True, ids[1:] != ids[:-1])
-            ids, n = ids[keep_first], n[keep_first]
-            if len(ids) < 2:
-                continue
-            if len(ids) == 2:
-                if 4 * n.min() >= 3 * n.max():
-                    pairs.add((int(ids[0]), int(ids[1])))
-                continue
-            name = int(mix(mix(ids.view(np.uint64)) * (2 * np.arange(len(ids), dtype=np.uint64) + np.uint64(1))).sum(dtype=np.uint64)) & ((1 << 63) - 1)
-            if name in seen:
-                continue
-            seen.add(name)
-            level, rank = size_class(n), mix(ids.view(np.uint64))
-            for c_level in np.unique(level).tolist():
-                members = np.flatnonzero(level == c_level)
-                leader = members[np.argmin(rank[members])]
-                for m in np.flatnonzero((level == c_level) | (level == c_level + 1)).tolist():
-                    if m != leader and 4 * min(n[m], n[leader]) >= 3 * max(n[m], n[leader]):
-                        pairs.add((int(ids[leader]), int(ids[m])))
-            kinds.append(1)
-            keys.append(name)
-            lists.append(ids)
-            lengths.append(n)
-        kinds += [0] * len(pairs)
-        keys += [a for a, _ in pairs]
-        lists += [[b] for _, b in pairs]
-        lengths += [[0]] * len(pairs)
-        return pa.table({"kind": pa.array(kinds, pa.int32()), "key": pa.array(keys, pa.int64()), "docs": pa.array(lists, pa.list_(pa.int64())), "sizes": pa.array(lengths, pa.list_(pa.int64()))})
+        return shared_lists(grams[order], docs[owner[order]], sizes[owner[order]].astype(np.int64))
 
     parts = mapped(documents, ["doc_id", "text"], "range int, grams binary, docs binary, sizes binary, counts binary", emit)
-    return parts.groupBy("range").applyInArrow(group, "kind int, key long, docs array<long>, sizes array<long>")
+    return parts.groupBy("range").applyInArrow(group, LISTS)
 
 
 class Trie:
@@ -315,8 +318,12 @@ class Trie:
         return out
 
 
-def verified(rows: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
-    """(a, b) links between probes and other members of each list. rows: (list, doc_id, probe)."""
+def stored(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.uint64)
+
+
+def verified(rows: DataFrame, sets: DataFrame, tasks: int, decode: Callable[[bytes], np.ndarray] = stored) -> DataFrame:
+    """(a, b) links between probes and other members of each list. rows: (list, doc_id, probe); decode: a set from ``grams``."""
     met = rows.join(sets, "doc_id").select(F.pmod(F.xxhash64("list"), F.lit(tasks)).alias("task"), "list", "doc_id", "probe", "grams")
 
     def compare(key, batch):
@@ -332,7 +339,7 @@ def verified(rows: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
             at = at[which]
             if len(at) < 2:
                 continue
-            trie = Trie([np.frombuffer(grams[int(i)].as_py(), np.uint64) for i in at])
+            trie = Trie([decode(grams[int(i)].as_py()) for i in at])
             for i in np.flatnonzero(probe[at]).tolist():
                 found = trie.similar(i)
                 a += [int(own[i])] * len(found)
@@ -363,32 +370,41 @@ def similar_components(documents: DataFrame) -> DataFrame:
     ranges = max(32, math.ceil(total / 2_000_000))
     found = written(candidates(documents, keep, level, bits, ranges), "candidates")
 
-    # sets of the documents that are candidates, in one place
+
+    def sets_of(involved: DataFrame) -> DataFrame:
+        asked, asked_width = id_filter(involved, "doc_id")
+        asked_told = spark.sparkContext.broadcast(asked)
+        both = lambda ids: maybe_in(asked_told.value, asked_width, ids) & keep(ids)
+
+        def with_sets(batches):
+            for ids, sets in documents_in(batches, both):
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "grams"])
+
+        return mapped(documents, ["doc_id", "text"], "doc_id long, grams binary", with_sets).dropDuplicates(["doc_id"])
+
+    final = linked(found, sets_of).select(F.col("node").alias("class_id"), "component")
+    return looked_up(placed, final, "class_id").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
+
+
+def linked(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame], decode: Callable[[bytes], np.ndarray] = stored) -> DataFrame:
+    """(node, component) over all links among candidates. found: as ``candidates`` gives them; sets_of: (doc_id, grams) of the ids in a table."""
     pairs = found.where("kind = 0").select(F.col("key").alias("leader"), F.col("docs")[0].alias("doc_id")).distinct()
     lists = found.where("kind = 1").dropDuplicates(["key"]).select(F.col("key").alias("list"), F.arrays_zip("docs", "sizes").alias("members"))
     pairs, lists = written(pairs, "pairs"), written(lists, "lists")
     members = written(lists.select("list", F.explode("members").alias("m")).select("list", F.col("m.docs").alias("doc_id"), F.col("m.sizes").alias("size")), "members")
     involved = pairs.select("doc_id").union(pairs.select("leader")).union(members.select("doc_id")).distinct()
-    asked, asked_width = id_filter(involved, "doc_id")
-    asked_told = spark.sparkContext.broadcast(asked)
-    both = lambda ids: maybe_in(asked_told.value, asked_width, ids) & keep(ids)
-
-    def with_sets(batches):
-        for ids, sets in documents_in(batches, both):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "grams"])
-
-    sets = written(mapped(documents, ["doc_id", "text"], "doc_id long, grams binary", with_sets).dropDuplicates(["doc_id"]), "grams")
+    sets = written(sets_of(involved), "grams")
 
     # leaders first: one list per leader and share of its members
     tasks = max(32, math.ceil((pairs.count() + members.count()) / 2_000))
     share = pairs.withColumn("list", F.xxhash64("leader", F.pmod(F.xxhash64("doc_id"), F.lit(16))))
     first = share.select("list", "doc_id", F.lit(False).alias("probe")).union(share.select("list", F.col("leader").alias("doc_id"), F.lit(True).alias("probe")).distinct())
-    links = written(verified(first, sets, tasks), "links")
+    links = written(verified(first, sets, tasks, decode), "links")
     known = components(links)
 
     # then the lists that still hold several components, whole
     placed_members = looked_up(members, known.withColumnRenamed("node", "doc_id"), "doc_id").withColumn("component", F.coalesce("component", "doc_id"))
-    per = placed_members.groupBy("list", "component").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"))
+    per = placed_members.groupBy("list", "component").agg(F.count("*").alias("n"))
     open_lists = per.groupBy("list").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1").select("list", "largest")
     rest = placed_members.join(open_lists, "list").withColumn("probe", F.col("component") != F.col("largest"))
     rest = written(rest.select("list", "doc_id", "probe"), "rest")
@@ -396,6 +412,5 @@ def similar_components(documents: DataFrame) -> DataFrame:
     blocks = rest.join(probes, "list").select("list", "doc_id", "probe", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")) == F.col("block")
     second = blocks.select(F.xxhash64("list", "block").alias("list"), "doc_id", (F.col("probe") & mine).alias("probe"))
-    more = written(verified(second, sets, tasks), "links")
-    final = components(links.union(more)).select(F.col("node").alias("class_id"), "component")
-    return looked_up(placed, final, "class_id").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
+    more = written(verified(second, sets, tasks, decode), "links")
+    return components(links.union(more))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ngram_join, packing, quality, search, wrappers
+from . import bpe, chat, line_dedup, ngram_join, packing, quality, search, wrappers
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_packing": op1_hierarchical_packing,
     "op2_wrapper_main_text": op2_wrapper_main_text,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_quadratic_quality": op8_quadratic_quality,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_fuzzy_line_dedup": op10_fuzzy_line_dedup,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
