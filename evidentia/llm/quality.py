@@ -178,3 +178,16 @@ def score_documents(documents: DataFrame, model: Discriminant) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.score(statistics(texts[a:b])))], ["doc_id", "score"])
 
     return mapped(documents, ["doc_id", "text"], "doc_id long, score double", over)
+
+
+def keep_good(documents: DataFrame, model: Discriminant, least: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents`` whose score is ``least`` or more, all columns unchanged."""
+    text = documents.columns.index("text")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch.column(text))
+            keep = [model.score(statistics(texts[a:b])) >= least for a, b in chunks(texts, 1_000_000)]
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return documents.mapInArrow(over, documents.schema)

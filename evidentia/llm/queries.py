@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, ngram_join, packing, quality, search, wrappers
+from . import bpe, chat, licenses, line_dedup, ngram_join, packing, quality, search, wrappers
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op4_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.tree_search(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = quality.train(documents, table(spark, sf_dir, "labels"))
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_kmeans_tree_search": op4_kmeans_tree_search,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_license_scan": op7_license_scan,
     "op8_quadratic_quality": op8_quadratic_quality,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_fuzzy_line_dedup": op10_fuzzy_line_dedup,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLE_SQL: dict[str, str] = {
+    "op7_license_scan": licenses.oracle_sql(),
     "op3_prefix_tree_chat": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
