@@ -1,3 +1,634 @@
-"""Queries over the driver's tables."""
+"""Queries over the driver's tables, one or more for each group of operators.
 
-QUERIES = {}
+Roles: a supplier stands for a drug or candidate, a part for a target, an order line for a drug-target edge, words of a
+part's type for substructures, a customer for a compound, return flags R and N for disease and control, the remainder of
+an order's key by five for a training seed, and the event table for a workflow's log.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import stats, text
+from .operators import graph, inference, knowledge, mapping, ranking, signal
+from .plans import workflow
+from .sources.delimited import manifest_check
+from .sources.tables import table
+from .streaming import events as stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+# ---- evidence streams
+
+
+def revenue() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+
+def seed_rankings(spark: SparkSession, d: str) -> DataFrame:
+    """(seed, node_id, rank, score): suppliers by revenue within each fifth of the orders."""
+    scored = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 5).alias("seed"), F.col("l_suppkey").alias("node_id")).agg(F.round(F.sum(revenue()), 2).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "node_id")))
+
+
+def ensemble(spark: SparkSession, d: str) -> DataFrame:
+    rows = knowledge.seed_ensemble(seed_rankings(spark, d), (20, 50))
+    return rows.withColumns({c: r6(F.col(c)) for c in ("rank_mean", "rank_median", "rank_std", "score_mean", "score_std", "top20_freq", "top50_freq")})
+
+
+def proximity(spark: SparkSession, d: str) -> DataFrame:
+    """(compound_id, z): each supplier's mean discount against that of all suppliers."""
+    own = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("compound_id")).agg(F.avg("l_discount").alias("m"))
+    both = own.agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("sd"))
+    return own.crossJoin(F.broadcast(both)).select("compound_id", r6(stats.zscore(F.col("m"), F.col("mean"), F.col("sd"))).alias("z"))  # one row
+
+
+def signature(spark: SparkSession, d: str) -> DataFrame:
+    """(compound_id, gps): change of the log quantity from not returned to returned lines."""
+    logs = table(spark, d, "lineitem").where(F.col("l_returnflag").isin("R", "N")).withColumn("x", F.log2(F.col("l_quantity") + 1))
+    mean = lambda g: F.avg(F.when(F.col("l_returnflag") == g, F.col("x")))
+    return logs.groupBy(F.col("l_suppkey").alias("compound_id")).agg(r6(mean("R") - mean("N")).alias("gps"))
+
+
+def selected(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.selection(ensemble(spark, d), 200).select(F.col("node_id").alias("compound_id"), "position")
+
+
+@query
+def consensus_two_evidence(spark, d):
+    out = ranking.consensus(selected(spark, d), [(proximity(spark, d), "z", "lt", 0.0)])
+    return out.select("final_rank", "compound_id", "position", "z", r6("consensus").alias("consensus"))
+
+
+@query
+def consensus_three_evidence(spark, d):
+    out = ranking.consensus(selected(spark, d), [(proximity(spark, d), "z", "lt", 0.0), (signature(spark, d), "gps", "lt", 0.0)])
+    return out.select("final_rank", "compound_id", "position", "z", "gps", r6("consensus").alias("consensus"))
+
+
+@query
+def stage_counts_funnel(spark, d):
+    z, g, s = proximity(spark, d), signature(spark, d), selected(spark, d)
+    rows = s.join(z, "compound_id", "left").join(g, "compound_id", "left")
+    low = lambda c: F.coalesce(F.col(c) < 0, F.lit(False))
+    count = lambda c: F.sum(c.cast("long"))
+    return rows.agg(F.count("*").alias("n_selected"), count(F.col("z").isNotNull()).alias("n_with_z"), count(low("z")).alias("n_low_z"), count(F.col("gps").isNotNull()).alias("n_with_gps"), count(low("gps")).alias("n_low_gps"), count(low("z") & low("gps")).alias("n_both"))
+
+
+@query
+def min_rank_percentile_desc(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", "p_size")
+    return ranking.percentile(rows, "p_size", "percentile", ascending=False).select("p_partkey", "p_size", r6("percentile").alias("percentile"))
+
+
+@query
+def topn_select_then_expand(spark, d):
+    top = ranking.selection(ensemble(spark, d), 50).select("node_id", "position")
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("node_id"), "l_partkey")
+    rows = lines.join(F.broadcast(top), "node_id").select("l_partkey", "position", "node_id")  # 50 rows
+    return ranking.first_wins(rows, ["l_partkey"], F.col("position"), F.col("node_id"))
+
+
+@query
+def ensemble_seed_aggregate(spark, d):
+    return ensemble(spark, d).drop("top20_freq", "top50_freq")
+
+
+@query
+def ensemble_top_freq(spark, d):
+    return ensemble(spark, d).select("node_id", "top20_freq", "top50_freq")
+
+
+@query
+def ensemble_incomplete_seeds(spark, d):
+    orders = table(spark, d, "orders").select((F.col("o_orderkey") % 5).alias("seed"), F.col("o_custkey").alias("node_id")).distinct()
+    return knowledge.incomplete(orders, 5)
+
+
+# ---- windows and dedup
+
+
+@query
+def first_wins_dedup(spark, d):
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
+    return ranking.first_wins(rows, ["l_suppkey", "l_partkey"], F.col("l_orderkey"), F.col("l_linenumber"))
+
+
+@query
+def last_wins_dedup(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return ranking.first_wins(rows, ["o_custkey"], -F.col("o_orderkey"))
+
+
+@query
+def duplicate_id_count(spark, d):
+    rows = table(spark, d, "part")
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy("p_name"))).where("n > 1").select("p_partkey", "p_name", "n")
+
+
+def target_rows(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("l_quantity >= 40").select("l_suppkey", "l_partkey", "l_returnflag", "l_linenumber", "l_orderkey")
+    known = F.col("l_returnflag") == "A"
+    order = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return lines.select(
+        F.col("l_suppkey").alias("compound_id"), F.col("l_partkey").alias("uniprot_id"), F.when(known, "known").otherwise("predicted").alias("evidence"), F.when(~known, F.col("l_linenumber")).alias("prediction_rank"), order.alias("_ord")
+    )
+
+
+@query
+def known_first_targets(spark, d):
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("uniprot_id"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_name")).alias("gene_symbol"))
+    rows = inference.known_first(target_rows(spark, d).withColumn("uniprot_id", F.col("uniprot_id").cast("string")), names.withColumn("uniprot_id", F.col("uniprot_id").cast("string")), 3)
+    return rows.where("position <= 10").select("compound_id", "position", "gene_symbol", "evidence")
+
+
+# ---- mapping and rejects
+
+
+def dictionaries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    part = table(spark, d, "part")
+    own = part.select(F.lower("p_name").alias("key"), F.col("p_partkey").cast("string").alias("id"))
+    other = part.select(F.explode(text.synonyms(F.regexp_replace(F.lower("p_type"), " ", "|"))).alias("key"), F.col("p_partkey").cast("string").alias("id"))
+    return own, other
+
+
+def symbol_records(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("l_linenumber = 1 AND l_orderkey % 10 = 0").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    symbol = F.when(F.col("l_orderkey") % 3 == 0, F.upper("p_name")).when(F.col("l_orderkey") % 3 == 1, F.col("p_brand")).otherwise(F.lower(F.split("p_type", " ")[0]))
+    given = F.when(F.col("l_orderkey") % 4 == 0, (F.col("p_partkey") + F.col("l_orderkey") % 8).cast("string"))
+    return lines.select(F.col("l_orderkey").alias("_ord"), symbol.alias("symbol"), given.alias("given_id"))
+
+
+@query
+def map_symbol_synonym(spark, d):
+    good, bad = mapping.map_symbols(symbol_records(spark, d), *dictionaries(spark, d))
+    return good.select(F.col("entrez_id").alias("value"), F.lit("mapped").alias("reason"), F.col("_ord").alias("ord")).unionByName(bad.select(F.col("input_value").alias("value"), "reason", F.col("_ord").alias("ord")))
+
+
+@query
+def reason_histogram(spark, d):
+    _, bad = mapping.map_symbols(symbol_records(spark, d), *dictionaries(spark, d))
+    return mapping.reason_histogram(bad)
+
+
+@query
+def unmapped_report(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), "l_suppkey")
+    known = table(spark, d, "part").where("p_size <= 48").select(F.col("p_partkey").alias("key"))
+    return mapping.unmatched(lines, known, "key", "l_suppkey")
+
+
+@query
+def valid_reject_split(spark, d):
+    docs = table(spark, d, "documents")
+    reason = F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty").when(F.length("text") < 100, "short").when(F.col("text").contains("|"), "table")
+    good, bad = mapping.split_valid(docs.select("doc_id", "lang", "text"), reason)
+    return good.groupBy("lang").agg(F.count("*").alias("n")).withColumn("reason", F.lit("valid")).unionByName(bad.groupBy("lang", "reason").agg(F.count("*").alias("n")))
+
+
+@query
+def unique_structure_match(spark, d):
+    part = table(spark, d, "part").select(F.concat_ws("/", "p_type", "p_size").alias("key"), F.col("p_partkey").alias("matched_id"))
+    asked = table(spark, d, "lineitem").where("l_linenumber = 1").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.concat_ws("/", "p_type", "p_size").alias("key"))
+    return mapping.unique_match(asked, part, "key", "matched_id").select("l_orderkey", "key", "matched_id")
+
+
+@query
+def key_set_equality(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    b = table(spark, d, "orders").select(F.col("o_custkey").alias("key"))
+    return mapping.same_keys(a, b, "key")
+
+
+@query
+def source_tag_extract(spark, d):
+    lines = table(spark, d, "lineitem").where("l_linenumber <= 3 AND l_orderkey % 20 = 0")
+    tags = lines.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.when(F.col("l_linenumber") == 2, "Other:").otherwise("UserLibrary:"), F.col("l_suppkey").cast("string")))), ";").alias("source_ids"))
+    return tags.select("l_orderkey", F.array_join(text.tagged(F.col("source_ids"), "UserLibrary"), ",").alias("members"), text.union_of_tags(F.col("source_ids"), F.lit("Other:0; ;Base:1"), F.col("source_ids")).alias("merged"))
+
+
+# ---- graphs
+
+
+def edges_of(spark: SparkSession, d: str) -> DataFrame:
+    """(u, v): suppliers as negative and parts as positive numbers, over large lines."""
+    lines = table(spark, d, "lineitem").where("l_quantity >= 48").select((-F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b"))
+    return graph.simple_edges(lines, "a", "b")
+
+
+@query
+def undirected_simple_graph(spark, d):
+    return edges_of(spark, d)
+
+
+@query
+def node_degree(spark, d):
+    return graph.degrees(edges_of(spark, d))
+
+
+def part_degrees(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "lineitem").select("l_partkey", "l_orderkey").distinct()
+    return pairs.groupBy(F.col("l_partkey").alias("node")).agg(F.count("*").alias("degree"))
+
+
+@query
+def degree_bins(spark, d):
+    return graph.degree_bins(part_degrees(spark, d).groupBy("degree").agg(F.count("*").alias("nodes")), 100)
+
+
+@query
+def degree_bin_membership(spark, d):
+    own = part_degrees(spark, d)
+    bins = graph.degree_bins(own.groupBy("degree").agg(F.count("*").alias("nodes")), 100)
+    return graph.in_bin(own, bins)
+
+
+def sparse_edges(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("l_quantity = 50 AND l_discount < 0.03").select((-F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b"))
+    return graph.simple_edges(lines, "a", "b")
+
+
+@query
+def connected_components(spark, d):
+    return graph.components(sparse_edges(spark, d))
+
+
+@query
+def largest_component(spark, d):
+    return graph.largest_component(graph.components(sparse_edges(spark, d)))
+
+
+def sources_of(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").where("s_suppkey % 50 = 1").select((-F.col("s_suppkey")).alias("node"))
+
+
+@query
+def multi_source_bfs(spark, d):
+    edges = edges_of(spark, d)
+    inside = sources_of(spark, d).join(graph.degrees(edges), "node", "left_semi")
+    return graph.distances(edges, inside, 12)
+
+
+@query
+def mean_set_distance(spark, d):
+    steps = multi_source_bfs(spark, d).withColumnRenamed("node", "key")
+    sets = table(spark, d, "part").where("p_size <= 10").select("p_size", F.col("p_partkey").alias("key"))
+    return sets.join(steps, "key").groupBy("p_size").agg(r6(F.avg("distance")).alias("mean_distance"), F.count("*").alias("n"))
+
+
+@query
+def degree_matched_z(spark, d):
+    edges = edges_of(spark, d)
+    labels = graph.components(edges)
+    inside = graph.largest_component(labels)
+    kept = edges.join(inside.withColumnRenamed("node", "u"), "u", "left_semi")
+    sets = table(spark, d, "part").where("p_size <= 10").select(F.col("p_size").alias("set_id"), F.col("p_partkey").alias("node"))
+    return graph.proximity_z(kept, sources_of(spark, d), sets, 20, 100, 452456)
+
+
+# ---- network inference
+
+
+def drug_sub(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("l_quantity >= 45").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.select(F.concat(F.lit("D"), F.col("l_suppkey")).alias("drug"), F.concat(F.lit("S"), F.col("p_brand")).alias("sub")).distinct()
+
+
+def drug_target(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("l_quantity >= 49")
+    return lines.select(F.concat(F.lit("D"), F.col("l_suppkey")).alias("drug"), F.concat(F.lit("T"), F.col("l_partkey") % 200).alias("target")).distinct()
+
+
+def query_sub(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").where("c_custkey % 100 = 1").join(table(spark, d, "part"), F.col("p_partkey") % 100 == (F.col("c_custkey") / 100).cast("long") % 100)
+    return rows.select(F.concat(F.lit("Q"), F.col("c_custkey")).alias("query"), F.concat(F.lit("S"), F.col("p_brand")).alias("sub")).distinct()
+
+
+def moves(spark: SparkSession, d: str) -> DataFrame:
+    return inference.transition(drug_sub(spark, d), drug_target(spark, d), 0.1, -0.5)
+
+
+def two_step(spark: SparkSession, d: str) -> DataFrame:
+    asked = query_sub(spark, d)
+    none = asked.select("query", F.col("sub").alias("target")).limit(0)
+    mass = inference.propagate(inference.seeds(asked, none, 1.0), moves(spark, d), 2)
+    return mass.where(F.col("node").startswith("T")).select("query", F.col("node").alias("target"), r6(F.col("mass") * 1000).alias("score"))
+
+
+@query
+def nbi_transition(spark, d):
+    return moves(spark, d).select("src", "dst", r6("p").alias("p"))
+
+
+@query
+def nbi_two_step_scores(spark, d):
+    return two_step(spark, d)
+
+
+@query
+def nbi_threshold_normalize(spark, d):
+    return inference.threshold_normalised(two_step(spark, d).withColumn("known", F.lit(0)), 20).select("query", "target", "score", r6("normalised").alias("normalised"))
+
+
+@query
+def tanimoto_pairs(spark, d):
+    rows = inference.tanimoto(query_sub(spark, d).select(F.col("query").alias("a"), F.col("sub").alias("item")), drug_sub(spark, d).select(F.col("drug").alias("b"), F.col("sub").alias("item")))
+    return rows.select("a", "b", "common", r6("similarity").alias("similarity"))
+
+
+def weights(spark: SparkSession, d: str) -> DataFrame:
+    asked = query_sub(spark, d)
+    like = inference.tanimoto(asked.select(F.col("query").alias("a"), F.col("sub").alias("item")), drug_sub(spark, d).select(F.col("drug").alias("b"), F.col("sub").alias("item")))
+    like = like.select(F.col("a").alias("query"), F.col("b").alias("drug"), r6("similarity").alias("similarity"))
+    known = drug_target(spark, d).withColumn("weight", F.length("drug").cast("double"))
+    return inference.neighbour_weight(like, asked, known, 4)
+
+
+@query
+def topk_neighbor_mean_weight(spark, d):
+    return weights(spark, d).select("query", "target", r6("weight").alias("weight"))
+
+
+@query
+def nbi_topn_excluding_known(spark, d):
+    known = query_sub(spark, d).select("query").distinct().select("query", F.concat(F.lit("T"), F.substring("query", 2, 9).cast("long") % 200).alias("target"))
+    scores = two_step(spark, d).join(weights(spark, d), ["query", "target"]).select("query", "target", r6(F.col("score") * F.col("weight")).alias("score"))
+    return inference.predicted(scores, known, 10)
+
+
+# ---- differential signal
+
+
+def part_samples(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").where(F.col("l_returnflag").isin("R", "N"))
+    return rows.select((F.col("l_partkey") % 500).alias("gene"), F.col("l_returnflag").alias("group"), F.col("l_quantity").alias("value"))
+
+
+def welched(spark: SparkSession, d: str) -> DataFrame:
+    logs = part_samples(spark, d).withColumn("x", F.log2(F.col("value") + 1))
+    return stats.welch(stats.group_moments(logs, ["gene"], F.col("group"), F.col("x"), "N", "R"))
+
+
+@query
+def tpm_unpivot(spark, d):
+    wide = table(spark, d, "lineitem").where("l_linenumber = 1 AND l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("gene"), "l_quantity", "l_extendedprice", "l_discount")
+    return signal.long_form(wide, "gene", ["l_quantity", "l_extendedprice", "l_discount"])
+
+
+@query
+def welch_t_df(spark, d):
+    return welched(spark, d).select("gene", "n_control", "n_disease", r6("t").alias("t"), r6("dof").alias("dof"))
+
+
+@query
+def welch_p(spark, d):
+    return stats.with_p(welched(spark, d)).select("gene", r6("t").alias("t"), F.round("p", 9).alias("p"))
+
+
+def surrogate(spark: SparkSession, d: str) -> DataFrame:
+    rows = welched(spark, d).withColumn("p", r6(F.exp(-F.abs(F.coalesce("t", F.lit(0.0))) * 2))).withColumn("log2fc", r6(F.col("mean_disease") - F.col("mean_control")))
+    return stats.bh_adjusted(rows, "p", "gene", "padj")
+
+
+@query
+def bh_adjust(spark, d):
+    return surrogate(spark, d).select("gene", "p", r6("padj").alias("padj"))
+
+
+@query
+def deg_classify(spark, d):
+    kept = part_samples(spark, d).groupBy("gene").agg(signal.expressed(F.col("value"), F.col("group"), 25.0, 0.5, "N", "R").alias("kept"))
+    rows = surrogate(spark, d).join(kept, "gene")
+    return rows.select("gene", "log2fc", "kept", F.when(F.col("kept"), signal.regulation(F.col("log2fc"), F.col("p"), 0.2, 0.05)).otherwise("none").alias("regulation"))
+
+
+@query
+def deg_direction_consistent(spark, d):
+    tables = []
+    for status in ("year1", "year2"):
+        lines = table(spark, d, "lineitem").where(F.col("l_orderkey") % 2 == (0 if status == "year1" else 1)).where(F.col("l_returnflag").isin("R", "N"))
+        rows = lines.select((F.col("l_partkey") % 500).alias("gene"), F.col("l_returnflag").alias("group"), F.log2(F.col("l_quantity") + 1).alias("x"))
+        m = stats.group_moments(rows, ["gene"], F.col("group"), F.col("x"), "N", "R").withColumn("log2fc", r6(F.col("mean_disease") - F.col("mean_control")))
+        m = m.withColumn("padj", F.abs("log2fc") / 10).withColumn("regulation", F.when(F.col("log2fc") > 0.05, "up").when(F.col("log2fc") < -0.05, "down").otherwise("none"))
+        tables.append(m.where("log2fc IS NOT NULL"))
+    out = signal.consistent(tables, "gene")
+    return out.select("gene", "n", "direction", *[r6(c).alias(c) for c in ("log2fc_mean", "abs_log2fc_mean", "padj_max")])
+
+
+@query
+def profile_threshold_class(spark, d):
+    three = F.slice("embedding", 1, 3)
+    return table(spark, d, "embeddings").select("vec_id", signal.effect_class(three, 0.05).alias("effect"))
+
+
+def profile_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(profile, position, gene): genes of each supplier in the order of their quantity."""
+    rows = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("profile"), (F.col("l_partkey") % 500).alias("gene")).agg(F.sum("l_quantity").alias("q"))
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("q"), "gene")))
+
+
+@query
+def gsea_es(spark, d):
+    return signal.enrichment(profile_rows(spark, d), "profile", "position", F.col("gene") % 13 == 0).select("profile", r6("es").alias("es"), "hits", "n")
+
+
+@query
+def reversal_score(spark, d):
+    rows = profile_rows(spark, d)
+    up = signal.enrichment(rows, "profile", "position", F.col("gene") % 13 == 0)
+    down = signal.enrichment(rows, "profile", "position", F.col("gene") % 13 == 1)
+    drawn = rows.crossJoin(spark.range(5).select(F.col("id").alias("draw"))).withColumn("key", F.md5(F.concat_ws(":", "draw", "profile", "gene")))
+    drawn = drawn.withColumn("case", F.concat_ws("-", "profile", "draw")).withColumn("place", F.row_number().over(Window.partitionBy("case").orderBy("key", "gene")))
+    null = signal.enrichment(drawn.select("case", "place", "gene"), "case", "place", F.col("gene") % 13 == 0)
+    nulls = null.agg(F.avg("es").alias("mean"), F.stddev_samp("es").alias("sd"))
+    sizes = up.select("hits").union(down.select("hits")).distinct().crossJoin(nulls)
+    return signal.reversal(up, down, sizes, "profile").select("profile", r6("score").alias("score"))
+
+
+# ---- knowledge graph
+
+
+def kg_sources(spark: SparkSession, d: str) -> list[DataFrame]:
+    lines = table(spark, d, "lineitem")
+    base = lines.where("l_quantity >= 45").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("x_id"), F.lit("supplies").alias("relation"), F.concat(F.lit("p"), F.col("l_partkey")).alias("y_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_ord"))
+    more = lines.where("l_quantity >= 48").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("x_id"), F.when(F.col("l_returnflag") == "R", "returns").otherwise("supplies").alias("relation"), F.concat(F.lit("p"), F.col("l_partkey")).alias("y_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_ord"))
+    return [base, more]
+
+
+def kg_nodes(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("node_id"), F.lit("drug").alias("node_type"), F.col("s_suppkey").alias("_ord"))
+    p = table(spark, d, "part").where("p_size > 5").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("node_id"), F.lit("protein").alias("node_type"), (F.col("p_partkey") + 10_000_000).alias("_ord"))
+    return s.union(p)
+
+
+@query
+def kg_edge_union_first_wins(spark, d):
+    return knowledge.union_edges(kg_sources(spark, d), kg_nodes(spark, d)).select("x_id", "relation", "y_id", "source", F.col("_ord").alias("ord"))
+
+
+@query
+def kg_node_index(spark, d):
+    nodes = kg_nodes(spark, d)
+    base = nodes.where("node_type = 'drug'")
+    new = nodes.where("node_type = 'protein' OR _ord <= 3")
+    return knowledge.node_index(base.select("node_id", "_ord"), new.select("node_id", "_ord"))
+
+
+@query
+def kg_type_local_index(spark, d):
+    nodes = kg_nodes(spark, d).select("node_id", "node_type", F.col("_ord").alias("node_index"))
+    return knowledge.type_index(nodes).select("node_id", "node_type", F.col("type_index").cast("int").alias("type_index"))
+
+
+def typed_edges(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("l_quantity >= 48")
+    across = lines.select(F.lit("drug").alias("x_type"), F.col("l_suppkey").alias("x_index"), F.concat(F.lit("rel"), F.col("l_returnflag")).alias("relation"), F.lit("protein").alias("y_type"), F.col("l_partkey").alias("y_index"))
+    within = lines.select(F.lit("protein").alias("x_type"), F.col("l_partkey").alias("x_index"), F.lit("ppi").alias("relation"), F.lit("protein").alias("y_type"), (F.col("l_partkey") * 7 % 1000).alias("y_index"))
+    return across.union(within)
+
+
+@query
+def kg_canonicalize_undirected(spark, d):
+    return knowledge.canonical(typed_edges(spark, d))
+
+
+@query
+def kg_relation_split(spark, d):
+    edges = knowledge.canonical(typed_edges(spark, d))
+    key = F.concat_ws("|", "x_type", "x_index", "relation", "y_type", "y_index")
+    return knowledge.split(edges, key, F.col("x_index") % 17 == 0, 42, 0.05, 0.1)
+
+
+@query
+def kg_reverse_edges(spark, d):
+    return knowledge.with_reverse(knowledge.canonical(typed_edges(spark, d)))
+
+
+@query
+def negative_samples_fix_dst(spark, d):
+    edges = typed_edges(spark, d).where("x_type = 'drug'").select(F.col("x_index").alias("src"), "relation", F.col("y_index").alias("dst")).distinct()
+    return knowledge.negatives(edges, 7)
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("vec"))
+
+
+@query
+def distmult_score(spark, d):
+    v = vectors(spark, d)
+    relation = v.where("vec_id = 0").select(F.col("vec").alias("w"))
+    other = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec").alias("vec_v"))
+    return v.join(other, "vec_id").crossJoin(F.broadcast(relation)).select("vec_id", F.round(knowledge.distmult(F.col("vec"), F.col("w"), F.col("vec_v")), 9).alias("score"))  # one row
+
+
+@query
+def rgcn_mean_aggregate(spark, d):
+    edges = table(spark, d, "lineitem").where("l_quantity >= 48").select((F.col("l_partkey") % 500).alias("src"), F.concat(F.lit("r"), F.col("l_linenumber") % 3).alias("relation"), F.col("l_suppkey").alias("dst")).distinct()
+    return knowledge.mean_of_neighbours(edges, vectors(spark, d).select(F.col("vec_id").alias("node"), "vec")).select("dst", "relation", F.col("at").cast("int").alias("at"), r6("value").alias("value"))
+
+
+def scored_labels(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", (F.col("n_chars") % 1000).alias("score"))
+    return docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
+@query
+def auroc_by_relation(spark, d):
+    return stats.auroc(scored_labels(spark, d), "score", "label", ["lang"]).select("lang", r6("auroc").alias("auroc"), "n")
+
+
+@query
+def average_precision(spark, d):
+    return stats.average_precision(scored_labels(spark, d), "score", "label", ["lang"]).select("lang", r6("average_precision").alias("average_precision"))
+
+
+# ---- workflow
+
+
+@query
+def event_state_violations(spark, d):
+    allowed = spark.createDataFrame([("signup", "view"), ("view", "click"), ("click", "purchase"), ("view", "view"), ("click", "view"), ("purchase", "view"), ("error", "view"), ("view", "error")], "before string, after string")
+    log = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id")
+    return workflow.violations(log, allowed, "user_id", "event_type", "ts", "event_id").select("event_id", "user_id", "before", "after")
+
+
+@query
+def event_latest_status(spark, d):
+    return workflow.latest(table(spark, d, "events"), "user_id", "event_type", "ts", "event_id")
+
+
+@query
+def event_status_counts(spark, d):
+    rows = stream.status_counts(table(spark, d, "events").select("event_type", "ts"), "1 day", "event_type")
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+def dag(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as nodes; each waits for those of half and of a third of its number."""
+    nodes = table(spark, d, "orders").where("o_orderkey < 4000").select(F.col("o_orderkey").alias("node"), F.when(F.col("o_orderkey") % 5 == 0, "PENDING").when(F.col("o_orderkey") % 31 == 0, "FAILED").otherwise("SUCCEEDED").alias("state"))
+    keys = nodes.select("node")
+    waits = keys.select((F.col("node") / 2).cast("long").alias("before"), F.col("node").alias("after")).union(keys.select((F.col("node") / 3).cast("long").alias("before"), F.col("node").alias("after")))
+    return nodes, waits.where("before > 0").distinct().join(keys.withColumnRenamed("node", "before"), "before", "left_semi")
+
+
+@query
+def dag_ready_nodes(spark, d):
+    return workflow.ready(*dag(spark, d))
+
+
+@query
+def dag_downstream(spark, d):
+    nodes, edges = dag(spark, d)
+    return workflow.downstream(edges, nodes.where("state = 'FAILED'").select("node"))
+
+
+@query
+def eta_interval(spark, d):
+    history = table(spark, d, "events").select(F.col("event_type").alias("task"), F.col("value").alias("seconds"))
+    remaining = spark.createDataFrame([("view",), ("click",), ("purchase",), ("unknown",)], "task string")
+    return workflow.eta(history, remaining).select(*[r6(c).alias(c) for c in ("low", "middle", "high")], "unknown")
+
+
+@query
+def eta_scale(spark, d):
+    pairs = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("actual"), (F.col("l_quantity") * 1500).alias("expected"))
+    return workflow.scale(pairs).select(r6("scale").alias("scale"))
+
+
+@query
+def run_status_rollup(spark, d):
+    return workflow.rollup(table(spark, d, "events"), "user_id", "event_type", {"error": 5, "purchase": 4, "click": 3, "view": 2, "signup": 1})
+
+
+@query
+def timing_summary(spark, d):
+    rows = table(spark, d, "events")
+    seconds = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"), seconds.alias("wall_us"))
+
+
+@query
+def label_sets(spark, d):
+    rows = table(spark, d, "lineitem")
+    return rows.groupBy("l_shipdate").agg(F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("flags"), F.count("*").alias("n"))
+
+
+@query
+def manifest_digest_check(spark, d):
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))
+    listed = table(spark, d, "documents").where("doc_id % 3 <> 1").select(F.col("doc_id").cast("string").alias("name"), F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).otherwise(F.sha2("lang", 256)).alias("sha256"))
+    return manifest_check(files, listed.union(spark.createDataFrame([("none", "0")], "name string, sha256 string")))
