@@ -127,7 +127,8 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
         keys = np.concatenate([np.frombuffer(x, np.uint32) for x in batch["keys"].to_pylist()])
         lines = np.concatenate([np.frombuffer(x, np.int64) for x in batch["lines"].to_pylist()])
         order = np.argsort(keys, kind="stable")
-        return shared_lists(keys[order], lines[order], np.ones(len(keys), np.int64))
+        one = np.ones(len(keys), np.int64)
+        return shared_lists(keys[order], lines[order], one, one)
 
     found = mapped(rows, ["doc_id", "text"], "range int, keys binary, lines binary", banded).groupBy("range").applyInArrow(group, LISTS)
 
