@@ -270,6 +270,8 @@ ORACLE_SQL: dict[str, str] = {
         FROM (VALUES ('view'), ('click'), ('purchase'), ('unknown')) r(task) LEFT JOIN b ON event_type = task""",
     "eta_scale": "SELECT round(greatest(0.25, least(4, exp(avg(ln(l_extendedprice / (l_quantity * 1500)))))), 6) AS scale FROM lineitem WHERE l_extendedprice > 0 AND l_quantity > 0",
     "run_status_rollup": """SELECT user_id, arg_max(event_type, CASE event_type WHEN 'error' THEN 5 WHEN 'purchase' THEN 4 WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 1 END) AS status FROM events GROUP BY user_id""",
+    "run_status_by_user": """WITH s AS (SELECT user_id, bool_or(event_type = 'purchase') AS running, bool_or(event_type = 'error') AS failed, bool_or(event_type = 'click') AS ready FROM events WHERE event_id % 20 = 0 GROUP BY user_id)
+        SELECT user_id, CASE WHEN running THEN 'RUNNING' WHEN failed THEN 'FAILED' WHEN ready THEN 'READY' ELSE 'SUCCEEDED' END AS status FROM s""",
     "timing_summary": "SELECT event_type, count(*) AS n, round(sum(value), 6) AS total, epoch_us(max(ts)) - epoch_us(min(ts)) AS wall_us FROM events GROUP BY event_type",
     "label_sets": "SELECT l_shipdate, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, count(*) AS n FROM lineitem GROUP BY l_shipdate",
     "manifest_digest_check": """SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 3 = 0 THEN 'ok' WHEN sha256(text) = sha256(lang) THEN 'ok' ELSE 'changed' END AS state FROM documents WHERE doc_id % 3 <> 1 UNION ALL SELECT 'none', 'missing'""",

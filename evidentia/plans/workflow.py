@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.text import digest
 from ..sources.tables import written
 
-#: Node states that may follow each state.
+#: Node states that may follow each state; states that end a node are followed by none.
 NODE_TRANSITIONS = {
     "PENDING": ("READY", "BLOCKED", "SKIPPED", "CANCELLED"),
-    "READY": ("QUEUED", "RUNNING", "CACHED", "BLOCKED", "SKIPPED", "CANCELLED"),
-    "QUEUED": ("RUNNING", "READY", "CANCELLED", "FAILED"),
-    "RUNNING": ("SUCCEEDED", "FAILED", "INTERRUPTED", "CANCELLED"),
-    "INTERRUPTED": ("READY", "FAILED", "CANCELLED"),
+    "READY": ("QUEUED", "CACHED", "BLOCKED", "SKIPPED", "CANCELLED"),
+    "QUEUED": ("RUNNING", "FAILED", "CANCELLED"),
+    "RUNNING": ("SUCCEEDED", "FAILED", "CACHED", "SKIPPED", "BLOCKED", "CANCELLED"),
     "FAILED": ("READY", "CANCELLED"),
     "BLOCKED": ("PENDING", "READY", "CANCELLED"),
 }
@@ -141,11 +140,16 @@ def scale(pairs: DataFrame) -> DataFrame:
     return pairs.where("actual > 0 AND expected > 0").agg(F.greatest(F.lit(0.25), F.least(F.lit(4.0), F.exp(F.avg(F.log(F.col("actual") / F.col("expected")))))).alias("scale"))
 
 
-#: A run's status is that of its node state with the highest priority.
-ROLLUP = {"RUNNING": 6, "QUEUED": 5, "READY": 4, "PENDING": 3, "FAILED": 2, "BLOCKED": 1, "SUCCEEDED": 0}
-
-
-def rollup(nodes: DataFrame, run: str, state: str, priority: dict[str, int] = ROLLUP) -> DataFrame:
+def rollup(nodes: DataFrame, run: str, state: str, priority: dict[str, int]) -> DataFrame:
     """(run, status): the state with the highest priority among a run's nodes."""
     order = F.coalesce(*[F.when(F.col(state) == s, F.lit(p)) for s, p in priority.items()], F.lit(-1))
     return nodes.groupBy(run).agg(F.max_by(state, order).alias("status"))
+
+
+def run_status(nodes: DataFrame, run: str = "run", state: str = "state") -> DataFrame:
+    """(run, status) from all its nodes' states: active work first, then a failure, then how a run that is over has ended, else what it waits for."""
+    some = lambda *names: F.bool_or(F.col(state).isin(*names))
+    over = F.bool_and(F.col(state).isin(*DONE, *STOPPED))
+    status = F.when(some("RUNNING"), "RUNNING").when(some("QUEUED"), "QUEUED").when(some("FAILED"), "FAILED")
+    status = status.when(over & ~some("BLOCKED"), "SUCCEEDED").when(~over & some("READY"), "READY").otherwise("BLOCKED")
+    return nodes.groupBy(run).agg(status.alias("status"))

@@ -614,6 +614,13 @@ def run_status_rollup(spark, d):
     return workflow.rollup(table(spark, d, "events"), "user_id", "event_type", {"error": 5, "purchase": 4, "click": 3, "view": 2, "signup": 1})
 
 
+@query
+def run_status_by_user(spark, d):
+    states = F.create_map(*[F.lit(x) for x in ("view", "SUCCEEDED", "signup", "CACHED", "click", "READY", "purchase", "RUNNING", "error", "FAILED")])
+    rows = table(spark, d, "events").where("event_id % 20 = 0").select("user_id", states[F.col("event_type")].alias("state"))
+    return workflow.run_status(rows, "user_id")
+
+
 @query
 def timing_summary(spark, d):
     rows = table(spark, d, "events")
