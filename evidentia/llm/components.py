@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Rows of a lookup table that may be broadcast.
-BROADCAST_ROWS = 300_000
+#: Rows of a lookup table that may be broadcast, and links that one task may join (4 MB).
+BROADCAST_ROWS, TASK_LINKS = 300_000, 250_000
 
 
 def looked_up(rows: DataFrame, found: DataFrame, key: str, how: str = "left") -> DataFrame:
@@ -55,14 +55,24 @@ def contracted(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(over, "a long, b long")
 
 
+def joined_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) over all links of one task."""
+    own = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
+    if own:
+        node, top = union_find(np.concatenate([a for a, _ in own]), np.concatenate([b for _, b in own]))
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(top, pa.int64())], ["node", "component"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b): the smallest node that it is connected with.
 
     Each round takes the smallest label among a node and its neighbours (combined before the shuffle), and then the
     label of that label. Rounds grow with the logarithm of a component's width as a rule. Every round is written to the
-    shared folder.
+    shared folder. Where a count shows that the links left are few, one task's union-find takes their place.
     """
-    stars = written(contracted(links).distinct(), "stars")
+    stars = written(contracted(links), "stars")
+    if stars.count() <= TASK_LINKS:
+        return written(stars.coalesce(1).mapInArrow(joined_whole, "node long, component long"), "labels")
     both = written(stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a", F.col("b").alias("node")), "arcs")
     labels = written(both.groupBy(F.col("node")).agg(F.least(F.min("a"), F.col("node")).alias("component")), "labels")
     total = None

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Usual license statements.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -98,6 +100,7 @@ def scan_licenses(documents: DataFrame, templates: tuple[tuple[str, str], ...] =
         fields.append((n, own, wanted))
     rows = settled(rows, **{f"grams_{n}": own for n, own, _ in fields}).drop("words")
     rows = rows.where(" OR ".join(f"arrays_overlap(grams_{n}, array({', '.join(f'{x}L' for x in sorted({y for r in told if r.n_words == n for y in r.grams}))}))" for n, _, _ in fields))
+    rows = written(rows, "licensed")  # the documents with any n-gram of a template, read once
     bands = known.select("template", "license", "n_words", "wide", "size", F.col("grams").alias("template_grams"), F.posexplode(signatures(F.col("grams"))).alias("band", "least"))
     found = None
     for n, wide in classes:

@@ -32,15 +32,17 @@ from pyspark.sql import functions as F
 
 from .bpe import powers
 from .common import chunks, id_filter, mapped, maybe_in, mix, texts_of, written
-from .components import components, looked_up
+from .components import BROADCAST_ROWS, components, looked_up, union_find
 
 WORDS = 5
 #: The similarity that links, as numerator and denominator.
 SIMILAR = (3, 4)
-#: Counters of the sketch: about a quarter of the n-grams, 2**LARGEST at most (one byte each where it is used).
+#: Counters of the sketch: about an eighth of the n-grams, 2**LARGEST at most (one byte each where it is used).
 SMALLEST, LARGEST, PIECES = 16, 25, 256
 #: Probes that go down one copy of a list's tree.
 PROBES = 256
+#: Parts of a set's sketch, and rounds of other leaders.
+BUCKETS, LEADER_ROUNDS = 256, 2
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, *range(9, 14)]] = True
@@ -126,16 +128,24 @@ def frequency_classes(documents: DataFrame, keep, bits: int) -> np.ndarray:
     piece = width // PIECES
 
     def count(batches):
-        seen = np.zeros(width, np.uint16)
+        seen, n = np.zeros(width, np.uint16), 0
+
+        def told():
+            for k in range(PIECES):
+                own = seen[k * piece : (k + 1) * piece]
+                if own.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["piece", "counts"])
+            seen[:] = 0
+
         for _, sets in documents_in(batches, keep):
+            if n + len(sets) > 30_000:  # a set counts once, so no n-gram overflows its counter
+                yield from told()
+                n = 0
             if sets:
                 slot = (np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64)
-                seen += np.bincount(slot, minlength=width).astype(np.uint16)
-                np.minimum(seen, 30_000, out=seen)
-        for k in range(PIECES):
-            own = seen[k * piece : (k + 1) * piece]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["piece", "counts"])
+                np.add.at(seen, slot, np.uint16(1))
+                n += len(sets)
+        yield from told()
 
     def add(key, batch):
         total = np.zeros(piece)
@@ -160,21 +170,41 @@ def size_class(n: np.ndarray) -> np.ndarray:
 LISTS = "kind int, key long, docs array<long>, sizes array<long>"
 
 
-def shared_lists(keys_in: np.ndarray, ids_in: np.ndarray, sizes_in: np.ndarray) -> pa.Table:
-    """Rows of LISTS for ids that stand under equal keys; the keys are sorted."""
-    start = np.flatnonzero(np.append(True, keys_in[1:] != keys_in[:-1])) if len(keys_in) else np.zeros(0, np.int64)
-    count = np.diff(np.append(start, len(keys_in)))
+def may_link(n: np.ndarray, left: np.ndarray, i: int) -> np.ndarray:
+    """Which sets may link with set i if this is the first n-gram that they share: what is left of both must hold the overlap needed."""
+    p, q = SIMILAR
+    return (p + q) * np.minimum(left, left[i]) >= p * (n + n[i])
+
+
+def shared_lists(keys_in: np.ndarray, ids_in: np.ndarray, sizes_in: np.ndarray, left_in: np.ndarray) -> pa.Table:
+    """Rows of LISTS for ids that stand under equal keys. left: a set's n-grams from this one on.
+
+    The first n-gram that two linking sets share has enough n-grams after it in both; so a list needs only members
+    that have such a partner in it.
+    """
+    p, q = SIMILAR
+    order = np.lexsort((ids_in, keys_in))
+    k, every = keys_in[order], ids_in[order]
+    once = np.append(True, (k[1:] != k[:-1]) | (every[1:] != every[:-1])) if len(k) else np.zeros(0, bool)
+    order, k, every = order[once], k[once], every[once]
+    start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    count = np.diff(np.append(start, len(k)))
+    sizes, lefts = sizes_in[order], left_in[order]
+    a, b = start[count == 2], start[count == 2] + 1
+    fit = (p + q) * np.minimum(lefts[a], lefts[b]) >= p * (sizes[a] + sizes[b])
+    pairs: set[tuple[int, int]] = set(zip(every[a[fit]].tolist(), every[b[fit]].tolist()))
     kinds, keys, lists, lengths = [], [], [], []
-    pairs: set[tuple[int, int]] = set()
     seen: set[int] = set()
-    for a, c in zip(start[count > 1].tolist(), count[count > 1].tolist()):
-        ids, which = np.unique(ids_in[a : a + c], return_index=True)
-        n = sizes_in[a : a + c][which]
+    for x, c in zip(start[count > 2].tolist(), count[count > 2].tolist()):
+        ids, n, left = every[x : x + c], sizes[x : x + c], lefts[x : x + c]
+        if len(ids) <= 2000:
+            both = (p + q) * np.minimum(left[:, None], left) >= p * (n[:, None] + n)
+            kept = both.sum(axis=1) - both.diagonal() > 0
+            ids, n, left = ids[kept], n[kept], left[kept]
         if len(ids) < 2:
             continue
         if len(ids) == 2:
-            if 4 * n.min() >= 3 * n.max():
-                pairs.add((int(ids[0]), int(ids[1])))
+            pairs.add((int(ids[0]), int(ids[1])))
             continue
         rank = mix(ids.view(np.uint64))
         name = int(mix(rank * (2 * np.arange(len(ids), dtype=np.uint64) + np.uint64(1))).sum(dtype=np.uint64)) & ((1 << 63) - 1)
@@ -184,17 +214,17 @@ def shared_lists(keys_in: np.ndarray, ids_in: np.ndarray, sizes_in: np.ndarray)
         level = size_class(n)
         for own in np.unique(level).tolist():
             members = np.flatnonzero(level == own)
-            leader = members[np.argmin(rank[members])]
-            for m in np.flatnonzero((level == own) | (level == own + 1)).tolist():
-                if m != leader and 4 * min(n[m], n[leader]) >= 3 * max(n[m], n[leader]):
+            leader = int(members[np.argmin(rank[members])])
+            for m in np.flatnonzero(may_link(n, left, leader) & ((level == own) | (level == own + 1))).tolist():
+                if m != leader:
                     pairs.add((int(ids[leader]), int(ids[m])))
         kinds.append(1)
         keys.append(name)
         lists.append(ids)
         lengths.append(n)
     kinds += [0] * len(pairs)
-    keys += [a for a, _ in pairs]
-    lists += [[b] for _, b in pairs]
+    keys += [x for x, _ in pairs]
+    lists += [[y] for _, y in pairs]
     lengths += [[0]] * len(pairs)
     return pa.table({"kind": pa.array(kinds, pa.int32()), "key": pa.array(keys, pa.int64()), "docs": pa.array(lists, pa.list_(pa.int64())), "sizes": pa.array(lengths, pa.list_(pa.int64()))})
 
@@ -207,42 +237,45 @@ def candidates(documents: DataFrame, keep, classes, bits: int, ranges: int) -> D
 
     def emit(batches):
         for ids, sets in documents_in(batches, keep, 8_000_000):
-            grams, owners = [], []
+            grams, owners, places = [], [], []
             level = classes.value
             for k, s in enumerate(sets):
                 m = prefix_length(len(s))
                 if m:
                     own = level[s >> np.uint64(64 - bits)]
                     edge = np.partition(own, m - 1)[m - 1]
-                    low, at_edge = s[own < edge], s[own == edge]  # equal levels are in the order of their hashes
-                    own = np.concatenate([low, at_edge[: m - len(low)]])
-                    grams.append(own)
-                    owners.append(np.full(len(own), k, np.int64))
+                    low = np.flatnonzero(own < edge)
+                    low = low[np.argsort(own[low], kind="stable")]
+                    at_edge = np.flatnonzero(own == edge)  # equal levels are in the order of their hashes
+                    grams.append(s[np.concatenate([low, at_edge[: m - len(low)]])])
+                    owners.append(np.full(m, k, np.int64))
+                    places.append(np.arange(m, dtype=np.uint32))
             if not grams:
                 continue
-            grams, owners = np.concatenate(grams), np.concatenate(owners)
+            grams, owners, places = np.concatenate(grams), np.concatenate(owners), np.concatenate(places)
             # another part of the hash than the sketch's slot, so that levels and ranges are independent
-            place = ((grams & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[order], np.arange(ranges + 1))
+            part = ((grams & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            # the range has a hash's lower bits; 32 others leave one chance match in some 10**11 pairs of n-grams
+            short = (mix(grams) >> np.uint64(32)).astype(np.uint32)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(ranges + 1))
             doc, n = np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64)
             for r in range(ranges):
                 at = order[cuts[r] : cuts[r + 1]]
                 if len(at):
                     who, count = np.unique(owners[at], return_counts=True)
                     columns = [pa.array([r], pa.int32())]
-                    columns += [pa.array([x.tobytes()], pa.binary()) for x in (grams[at], doc[who], n[who].astype(np.int32), count.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["range", "grams", "docs", "sizes", "counts"])
+                    columns += [pa.array([x.tobytes()], pa.binary()) for x in (short[at], places[at], doc[who], n[who].astype(np.int32), count.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["range", "grams", "places", "docs", "sizes", "counts"])
 
     def group(key, batch):
-        grams = np.concatenate([np.frombuffer(x, np.uint64) for x in batch["grams"].to_pylist()])
-        rows = [[np.frombuffer(x, t) for x in batch[c].to_pylist()] for c, t in (("docs", np.int64), ("sizes", np.int32), ("counts", np.int32))]
-        docs, sizes, counts = map(np.concatenate, rows)
+        types = (("grams", np.uint32), ("places", np.uint32), ("docs", np.int64), ("sizes", np.int32), ("counts", np.int32))
+        grams, places, docs, sizes, counts = (np.concatenate([np.frombuffer(x, t) for x in batch[c].to_pylist()]) for c, t in types)
         owner = np.repeat(np.arange(len(docs)), counts)
-        order = np.argsort(grams, kind="stable")
-        return shared_lists(grams[order], docs[owner[order]], sizes[owner[order]].astype(np.int64))
+        n = sizes[owner].astype(np.int64)
+        return shared_lists(grams, docs[owner], n, n - places)
 
-    parts = mapped(documents, ["doc_id", "text"], "range int, grams binary, docs binary, sizes binary, counts binary", emit)
+    parts = mapped(documents, ["doc_id", "text"], "range int, grams binary, places binary, docs binary, sizes binary, counts binary", emit)
     return parts.groupBy("range").applyInArrow(group, LISTS)
 
 
@@ -344,7 +377,10 @@ def verified(rows: DataFrame, sets: DataFrame, tasks: int, decode: Callable[[byt
                 found = trie.similar(i)
                 a += [int(own[i])] * len(found)
                 b += own[found].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        # a task's links as stars: their number follows the members, not the pairs
+        node, top = union_find(np.array(a, np.int64), np.array(b, np.int64))
+        own = node != top
+        return pa.table({"a": pa.array(node[own], pa.int64()), "b": pa.array(top[own], pa.int64())})
 
     return met.groupBy("task").applyInArrow(compare, "a long, b long")
 
@@ -365,9 +401,9 @@ def similar_components(documents: DataFrame) -> DataFrame:
     wanted, width = id_filter(alone, "doc_id")
     told = spark.sparkContext.broadcast(wanted)  # 2**FILTER_BITS bits at most
     keep = lambda ids: maybe_in(told.value, width, ids)
-    bits = int(min(LARGEST, max(SMALLEST, math.ceil(math.log2(max(2, total) / 4)))))
+    bits = int(min(LARGEST, max(SMALLEST, math.ceil(math.log2(max(2, total) / 8)))))
     level = spark.sparkContext.broadcast(frequency_classes(documents, keep, bits))  # 2**LARGEST bytes at most
-    ranges = max(32, math.ceil(total / 2_000_000))
+    ranges = max(32, math.ceil(total / 4_000_000))
     found = written(candidates(documents, keep, level, bits, ranges), "candidates")
 
 
@@ -380,7 +416,7 @@ def similar_components(documents: DataFrame) -> DataFrame:
             for ids, sets in documents_in(batches, both):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "grams"])
 
-        return mapped(documents, ["doc_id", "text"], "doc_id long, grams binary", with_sets).dropDuplicates(["doc_id"])
+        return mapped(documents, ["doc_id", "text"], "doc_id long, grams binary", with_sets)
 
     final = linked(found, sets_of).select(F.col("node").alias("class_id"), "component")
     return looked_up(placed, final, "class_id").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
@@ -397,20 +433,94 @@ def linked(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame], decode:
 
     # leaders first: one list per leader and share of its members
     tasks = max(32, math.ceil((pairs.count() + members.count()) / 2_000))
-    share = pairs.withColumn("list", F.xxhash64("leader", F.pmod(F.xxhash64("doc_id"), F.lit(16))))
-    first = share.select("list", "doc_id", F.lit(False).alias("probe")).union(share.select("list", F.col("leader").alias("doc_id"), F.lit(True).alias("probe")).distinct())
-    links = written(verified(first, sets, tasks, decode), "links")
+    sketches = written(sets.mapInArrow(sketched(decode), "doc_id long, sketch binary"), "sketches")
+    links = written(compared(led(pairs), sketches, sets, tasks, decode), "links")
     known = components(links)
+    # other leaders, from each list's largest component, for what is outside it: a few rounds join the groups of near copies
+    for turn in range(LEADER_ROUNDS):
+        now = placed_in(members, known)
+        of = F.max_by("doc_id", F.xxhash64("doc_id", F.lit(turn)))
+        parts = now.groupBy("list", "component").agg(F.count("*").alias("n"), of.alias("leader"))
+        top = parts.groupBy("list").agg(F.count("*").alias("parts"), F.max_by(F.struct("component", "leader"), F.struct("n", "component")).alias("top")).where("parts > 1")
+        more = now.join(top.select("list", "top.component", "top.leader").withColumnRenamed("component", "largest"), "list").where("component <> largest").select("leader", "doc_id").distinct()
+        fresh = written(compared(led(written(more, "pairs")), sketches, sets, tasks, decode), "links")
+        if fresh.isEmpty():
+            break
+        links = links.union(fresh)
+        known = components(links)
 
     # then the lists that still hold several components, whole
-    placed_members = looked_up(members, known.withColumnRenamed("node", "doc_id"), "doc_id").withColumn("component", F.coalesce("component", "doc_id"))
-    per = placed_members.groupBy("list", "component").agg(F.count("*").alias("n"))
+    now = placed_in(members, known)
+    per = now.groupBy("list", "component").agg(F.count("*").alias("n"))
     open_lists = per.groupBy("list").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1").select("list", "largest")
-    rest = placed_members.join(open_lists, "list").withColumn("probe", F.col("component") != F.col("largest"))
-    rest = written(rest.select("list", "doc_id", "probe"), "rest")
+    rest = now.join(open_lists, "list").withColumn("probe", F.col("component") != F.col("largest"))
+    rest = written(rest.select("list", "doc_id", "component", "probe"), "rest")
     probes = rest.where("probe").groupBy("list").count().select("list", F.ceil(F.col("count") / PROBES).cast("int").alias("blocks"))
-    blocks = rest.join(probes, "list").select("list", "doc_id", "probe", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
+    blocks = rest.join(probes, "list").select("list", "doc_id", "component", "probe", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")) == F.col("block")
-    second = blocks.select(F.xxhash64("list", "block").alias("list"), "doc_id", (F.col("probe") & mine).alias("probe"))
-    more = written(verified(second, sets, tasks, decode), "links")
-    return components(links.union(more))
+    whole = blocks.select(F.xxhash64("list", "block").alias("list"), "doc_id", "component", (F.col("probe") & mine).alias("probe"))
+    return components(links.union(written(compared(whole, sketches, sets, tasks, decode), "links")))
+
+
+def placed_in(members: DataFrame, known: DataFrame) -> DataFrame:
+    """(list, doc_id, component) of the lists' members."""
+    return looked_up(members.select("list", "doc_id"), known.withColumnRenamed("node", "doc_id"), "doc_id").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def led(pairs: DataFrame) -> DataFrame:
+    """Lists of a leader, which is the probe, and a share of its members. pairs: (leader, doc_id)."""
+    share = pairs.withColumn("list", F.xxhash64("leader", F.pmod(F.xxhash64("doc_id"), F.lit(16))))
+    heads = share.select("list", F.col("leader").alias("doc_id")).distinct()
+    rows = share.select("list", "doc_id", F.lit(False).alias("probe")).union(heads.withColumn("probe", F.lit(True)))
+    return rows.select("list", "doc_id", F.col("doc_id").alias("component"), "probe")
+
+
+def sketched(decode: Callable[[bytes], np.ndarray]) -> Callable:
+    """How many of a set's n-grams fall in each of BUCKETS parts; all zero where a count is too large for a byte."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for blob in batch.column(1):
+                counts = np.bincount((decode(blob.as_py()) >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+                out.append((counts if counts.max() < 256 else counts * 0).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "sketch"])
+
+    return over
+
+
+def compared(rows: DataFrame, sketches: DataFrame, sets: DataFrame, tasks: int, decode: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """(a, b) links of probes with members of other components of their lists. rows: (list, doc_id, component, probe).
+
+    Two sets overlap in no more n-grams than the lesser counts of their sketches' parts add up to. What cannot reach
+    the overlap needed is left before the sets themselves are brought together.
+    """
+    met = rows.join(sketches, "doc_id").select(F.pmod(F.xxhash64("list"), F.lit(tasks)).alias("task"), "list", "doc_id", "component", "probe", "sketch")
+
+    def sift(key, batch):
+        names, docs, parts, probe = (np.asarray(batch[c]) for c in ("list", "doc_id", "component", "probe"))
+        sketch = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        size = sketch.sum(axis=1, dtype=np.int64)
+        order = np.lexsort((docs, names))
+        cuts = np.flatnonzero(np.diff(names[order], prepend=names[order[0]] - 1))
+        kept = np.zeros(len(names), bool)
+        p, q = SIMILAR
+        for x, y in zip(cuts, [*cuts[1:], len(order)]):
+            at = order[x:y]
+            own, n = sketch[at], size[at]
+            for i in np.flatnonzero(probe[at]).tolist():
+                most = np.minimum(own, own[i]).sum(axis=1, dtype=np.int64)
+                may = ((p + q) * most >= p * (n + n[i])) | (n == 0) | (n[i] == 0)
+                may &= parts[at] != parts[at[i]]
+                if may.any():
+                    kept[at[may]] = True
+                    kept[at[i]] = True
+        return pa.table({"list": pa.array(names[kept]), "doc_id": pa.array(docs[kept]), "probe": pa.array(probe[kept])})
+
+    sifted = written(met.groupBy("task").applyInArrow(sift, "list long, doc_id long, probe boolean"), "sifted")
+    return verified(sifted, sets, tasks, decode)
+
+
+def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not in the written table ``ids``; rows without an id stay."""
+    return documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti")

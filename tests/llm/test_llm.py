@@ -166,7 +166,9 @@ def test_tree_search_recall(spark):
     assert search.tree_search(df.limit(0), df, 20).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_one_task", [0, 10**6])
+def test_components(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(components, "TASK_LINKS", in_one_task)
     rng = random.Random(5)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1060)]
     parent = {x: x for p in links for x in p}
