@@ -39,8 +39,8 @@ def normal_lines(text: str) -> list[str]:
     return [" ".join(x.split()) for x in lines] if "  " in low or any(c in low for c in "\t\r\x0b\x0c\xa0") else [x.strip() for x in lines]
 
 
-def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each whole line, hashes of all shingles in order, the first shingle's place of each line) of non-empty lines."""
+def prefix_sums(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sums of hashed characters up to each place, inverse powers, start and size of each line) of non-empty lines."""
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     start = np.cumsum(size) - size
@@ -49,12 +49,29 @@ def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     prefix[0] = 0
     letters = LETTERS[code & np.uint32(0xFFFF)] + (code >> np.uint32(16)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     np.cumsum(letters * power[: len(code)], out=prefix[1:])
-    whole = mix((prefix[start + size] - prefix[start]) * inverse[start] + size.astype(np.uint64))
+    return prefix, inverse, start, size
+
+
+def whole_hashes(prefix: np.ndarray, inverse: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix((prefix[start + size] - prefix[start]) * inverse[start] + size.astype(np.uint64)).view(np.int64)
+
+
+def line_ids(lines: list[str]) -> np.ndarray:
+    """A hash of each whole line."""
+    return whole_hashes(*prefix_sums(lines))
+
+
+def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each whole line, hashes of all shingles in order, the first shingle's place of each line) of non-empty lines."""
+    prefix, inverse, start, size = prefix_sums(lines)
+    whole = whole_hashes(prefix, inverse, start, size)
     count = np.maximum(size - SHINGLE + 1, 1)
     first = np.cumsum(count) - count
     at = np.arange(int(count.sum())) + np.repeat(start - first, count)
-    end = np.minimum(at + SHINGLE, np.repeat(start + size, count))
-    return whole.view(np.int64), mix((prefix[end] - prefix[at]) * inverse[at]), first
+    end = at + SHINGLE
+    if len(size) and size.min() < SHINGLE:
+        end = np.minimum(end, np.repeat(start + size, count))
+    return whole, mix((prefix[end] - prefix[at]) * inverse[at]), first
 
 
 def band_keys(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -101,7 +118,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     # each line's first place and number of occurrences
     def counted(batches):
         for lines, first, count in lines_in(batches):
-            columns = [pa.array(hashed(lines)[0]), pa.array([d for d, _ in first], pa.int64()), pa.array([n for _, n in first], pa.int32()), pa.array(count, pa.int64())]
+            columns = [pa.array(line_ids(lines)), pa.array([d for d, _ in first], pa.int64()), pa.array([n for _, n in first], pa.int32()), pa.array(count, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["line", "doc", "number", "n"])
 
     places = mapped(rows, ["doc_id", "text"], "line long, doc long, number int, n long", counted)
@@ -126,9 +143,8 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     def group(key, batch):
         keys = np.concatenate([np.frombuffer(x, np.uint32) for x in batch["keys"].to_pylist()])
         lines = np.concatenate([np.frombuffer(x, np.int64) for x in batch["lines"].to_pylist()])
-        order = np.argsort(keys, kind="stable")
         one = np.ones(len(keys), np.int64)
-        return shared_lists(keys[order], lines[order], one, one)
+        return shared_lists(keys, lines, one, one)
 
     found = mapped(rows, ["doc_id", "text"], "range int, keys binary, lines binary", banded).groupBy("range").applyInArrow(group, LISTS)
 
@@ -138,7 +154,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
 
         def kept(batches):
             for lines, _, _ in lines_in(batches):
-                whole = hashed(lines)[0]
+                whole = line_ids(lines)
                 at = np.flatnonzero(maybe_in(told.value, width, whole))
                 yield pa.RecordBatch.from_arrays([pa.array(whole[at]), pa.array([lines[i].encode("utf-8", "surrogatepass") for i in at.tolist()], pa.binary())], ["doc_id", "grams"])
 
@@ -159,7 +175,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
             for a, b in chunks(texts, 2_000_000):
                 own = [(doc, number, line) for doc, text in zip(ids[a:b], texts[a:b]) for number, line in enumerate(normal_lines(text)) if line]
                 if own:
-                    whole = hashed([x[2] for x in own])[0]
+                    whole = line_ids([x[2] for x in own])
                     at = np.flatnonzero(maybe_in(told.value, width, whole))
                     yield pa.RecordBatch.from_arrays([pa.array(whole[at]), pa.array([own[i][0] for i in at.tolist()], pa.int64()), pa.array([own[i][1] for i in at.tolist()], pa.int32())], ["line", "doc", "number"])
 
