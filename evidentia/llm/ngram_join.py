@@ -11,8 +11,8 @@
    subtree as soon as its remaining length cannot bring the overlap needed.
 5. Links become components by distributed union-find.
 
-Similarities are exact for the sets of hashes; no candidate is dropped. Two n-grams of one comparison share a hash with
-a probability below 1e-12.
+Similarities are those of the sets of hashes, of which the comparison keeps 40 bits; no candidate is dropped. Two
+different n-grams of a pair of usual documents share such a hash with a probability of some 1e-7.
 
 Cases: a null or empty text, or one of white space only, has no n-grams and links with nothing; fewer words than n make
 one n-gram; long texts are read whole; repeated rows of an id count as one document with the n-grams of its first set
@@ -351,8 +351,19 @@ class Trie:
         return out
 
 
+#: Bytes of an n-gram's hash that a stored set keeps: two of a pair's 500 n-grams agree by chance once in some millions of pairs.
+KEPT_BYTES = 5
+
+
+def packed_set(grams: np.ndarray) -> bytes:
+    """A set of hashes as KEPT_BYTES upper bytes each."""
+    return (grams >> np.uint64(64 - 8 * KEPT_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes()
+
+
 def stored(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.uint64)
+    out = np.zeros((len(blob) // KEPT_BYTES, 8), np.uint8)
+    out[:, :KEPT_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, KEPT_BYTES)
+    return np.unique(out.view("<u8").ravel())
 
 
 def verified(rows: DataFrame, sets: DataFrame, tasks: int, decode: Callable[[bytes], np.ndarray] = stored) -> DataFrame:
@@ -414,7 +425,7 @@ def similar_components(documents: DataFrame) -> DataFrame:
 
         def with_sets(batches):
             for ids, sets in documents_in(batches, both):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([packed_set(s) for s in sets], pa.binary())], ["doc_id", "grams"])
 
         return mapped(documents, ["doc_id", "text"], "doc_id long, grams binary", with_sets)
 
