@@ -1,7 +1,7 @@
 """Fuzzy line dedup: MinHash over character shingles, bands, exact Jaccard verification and distributed union-find.
 
-A line is lower-cased and its white space made single. Its shingles are all runs of ten characters (a shorter line is
-one shingle). Lines with equal signatures in one band are candidates; with 14 bands of 4 a pair at the threshold is
+A line is lower-cased and its white space made single. Its shingles are all runs of four characters (a shorter line is
+one shingle), so that one changed character leaves lines of 31 characters or more above the threshold. Lines with equal signatures in one band are candidates; with 14 bands of 4 a pair at the threshold is
 found with a probability of 0.995, at a similarity of 0.85 of 0.99998. Candidates are compared by their whole shingle
 sets with the prefix-tree join's leaders and lists, so that a group of similar lines, however large, never becomes all
 its pairs. Of each component the first line stays (by document id and line number); all others go.
@@ -27,7 +27,7 @@ from .common import chunks, id_filter, mapped, maybe_in, mix, texts_of, written
 from .components import looked_up
 from .ngram_join import LISTS, linked, shared_lists
 
-SHINGLE, BANDS, ROWS = 10, 14, 4
+SHINGLE, BANDS, ROWS = 4, 14, 4
 LETTERS = np.random.default_rng(11).integers(1, 2**63, 1 << 16, np.uint64) | np.uint64(1)
 _seeds = np.random.default_rng(13).integers(1, 2**32, (2, BANDS * ROWS), np.uint32)
 FACTORS, OFFSETS = _seeds[0] | np.uint32(1), _seeds[1]

@@ -244,6 +244,26 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_finds_edits_of_short_lines(spark):
+    rng = random.Random(21)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    grams = lambda x: {x[i : i + 4] for i in range(len(x) - 3)}
+    rows, base, edits = [], {}, {}
+    for n in range(20, 111, 3):
+        for kind in ("character", "word"):
+            doc, line = len(rows), " ".join(some(4) for _ in range(n // 5 + 1))[:n].strip()
+            words = line.split()
+            at = len(words) // 2
+            words[at] = words[at][:2] + "0" + words[at][3:] if kind == "character" else "0123"
+            rows += [(doc, line), (doc + 1, " ".join(words))]
+            base[doc + 1], edits[doc + 1] = line, (kind, " ".join(words))
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc, (kind, line) in edits.items():
+        a, b = grams(base[doc]), grams(line)
+        assert got[doc - 1] == 0 and got[doc] == int(4 * len(a & b) >= 3 * len(a | b)), (kind, line)
+        assert got[doc] == 1 or len(line) < (31 if kind == "character" else 52), (kind, line)
+
+
 def test_licenses(spark, documents, empty):
     text = "intro words here\n" + " ".join(["filler"] * 40) + "\nLicensed under the Apache License, Version 2.0.\nall rights RESERVED"
     df = documents.select("doc_id", "text").union(spark.createDataFrame([(50, text), (50, text), (None, text)], "doc_id long, text string")).withColumn("license", F.lit("x"))
