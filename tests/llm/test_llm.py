@@ -92,6 +92,14 @@ def test_wrappers(spark):
     assert wrappers.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_wrapper_without_article_keeps_short_texts(spark):
+    long = "".join(f"<p>{prose(i, 40)}</p>" for i in range(8))
+    page = f'<html><body><ul><li><a href="/">m</a></li></ul><div><h1>Short title</h1>{long}<h2>Next</h2><figure><figcaption>Fig. 1</figcaption></figure>{long}<p>The <b>end</b></p></div></body></html>'
+    pages = spark.createDataFrame([(1, "http://long.example/1", page)], "page_id long, url string, html string")
+    paragraphs = [prose(i, 40) for i in range(8)]
+    assert wrappers.extract_main_text(pages).first().text == "\n\n".join(["Short title", *paragraphs, "Next", "Fig. 1", *paragraphs, "The end"])
+
+
 def test_wrapper_alignment_finds_groups():
     form = wrappers.form_of(("ul", "li", "#", "/li", "li", "#", "/li", "/ul"))[0]
     assert wrappers.read(form) == ("ul", ("+", ("li", "#", "/li")), "/ul")
