@@ -100,6 +100,17 @@ def test_wrapper_without_article_keeps_short_texts(spark):
     assert wrappers.extract_main_text(pages).first().text == "\n\n".join(["Short title", *paragraphs, "Next", "Fig. 1", *paragraphs, "The end"])
 
 
+def test_wrapper_judges_each_form_of_a_host(spark):
+    plain = '<html><body><div class="menu"><a>m</a></div><div><h2>Head {0}</h2><p>text {0} <b>two</b></p><ul><li>item {0}</li></ul></div><div class="footer">f</div></body></html>'
+    rows = [(i, f"http://h0.example/{i}", PAGE.format(i, f"<p>para {i}</p>")) for i in range(6)] + [(22, "http://h0.example/z", "<p>broken <b>text")]
+    rows += [(100 + i, f"http://h0.example/b{i}", plain.format(i)) for i in range(3)]
+    rows += [(200, None, PAGE.format(7, "<p>a</p>")), (201, None, plain.format(9))]
+    got = {r.page_id: r.text for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[22] == "broken text"
+    assert all(got[i] == f"Head & {i}\n\npara {i}" for i in range(6)) and got[200] == "Head & 7\n\na"
+    assert all(got[100 + i] == f"Head {i}\n\ntext {i} two\n\nitem {i}" for i in range(3)) and got[201] == "Head 9\n\ntext 9 two\n\nitem 9"
+
+
 def test_wrapper_alignment_finds_groups():
     form = wrappers.form_of(("ul", "li", "#", "/li", "li", "#", "/li", "/ul"))[0]
     assert wrappers.read(form) == ("ul", ("+", ("li", "#", "/li")), "/ul")
