@@ -27,6 +27,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def query_and_whole(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query over the rows that its SQL names, and as NAME_whole the same over all rows."""
+    QUERIES[f"{f.__name__}_whole"] = lambda spark, d: f(spark, d, True)
+    return query(f)
+
+
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
@@ -34,6 +40,10 @@ def r6(c: Column | str) -> Column:
 # ---- evidence streams
 
 
+def line_id() -> Column:
+    return F.col("l_orderkey") * 10 + F.col("l_linenumber")
+
+
 def revenue() -> Column:
     return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
@@ -165,22 +175,22 @@ def dictionaries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return own, other
 
 
-def symbol_records(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_linenumber = 1 AND l_orderkey % 10 = 0").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+def symbol_records(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("true" if whole else "l_linenumber = 1 AND l_orderkey % 10 = 0").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     symbol = F.when(F.col("l_orderkey") % 3 == 0, F.upper("p_name")).when(F.col("l_orderkey") % 3 == 1, F.col("p_brand")).otherwise(F.lower(F.split("p_type", " ")[0]))
     given = F.when(F.col("l_orderkey") % 4 == 0, (F.col("p_partkey") + F.col("l_orderkey") % 8).cast("string"))
-    return lines.select(F.col("l_orderkey").alias("_ord"), symbol.alias("symbol"), given.alias("given_id"))
+    return lines.select((line_id() if whole else F.col("l_orderkey")).alias("_ord"), symbol.alias("symbol"), given.alias("given_id"))
 
 
-@query
-def map_symbol_synonym(spark, d):
-    good, bad = mapping.map_symbols(symbol_records(spark, d), *dictionaries(spark, d))
+@query_and_whole
+def map_symbol_synonym(spark, d, whole=False):
+    good, bad = mapping.map_symbols(symbol_records(spark, d, whole), *dictionaries(spark, d))
     return good.select(F.col("entrez_id").alias("value"), F.lit("mapped").alias("reason"), F.col("_ord").alias("ord")).unionByName(bad.select(F.col("input_value").alias("value"), "reason", F.col("_ord").alias("ord")))
 
 
-@query
-def reason_histogram(spark, d):
-    _, bad = mapping.map_symbols(symbol_records(spark, d), *dictionaries(spark, d))
+@query_and_whole
+def reason_histogram(spark, d, whole=False):
+    _, bad = mapping.map_symbols(symbol_records(spark, d, whole), *dictionaries(spark, d))
     return mapping.reason_histogram(bad)
 
 
@@ -213,9 +223,9 @@ def key_set_equality(spark, d):
     return mapping.same_keys(a, b, "key")
 
 
-@query
-def source_tag_extract(spark, d):
-    lines = table(spark, d, "lineitem").where("l_linenumber <= 3 AND l_orderkey % 20 = 0")
+@query_and_whole
+def source_tag_extract(spark, d, whole=False):
+    lines = table(spark, d, "lineitem").where("true" if whole else "l_linenumber <= 3 AND l_orderkey % 20 = 0")
     tags = lines.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.when(F.col("l_linenumber") == 2, "Other:").otherwise("UserLibrary:"), F.col("l_suppkey").cast("string")))), ";").alias("source_ids"))
     return tags.select("l_orderkey", F.array_join(text.tagged(F.col("source_ids"), "UserLibrary"), ",").alias("members"), text.union_of_tags(F.col("source_ids"), F.lit("Other:0; ;Base:1"), F.col("source_ids")).alias("merged"))
 
@@ -312,8 +322,8 @@ def drug_target(spark: SparkSession, d: str) -> DataFrame:
     return lines.select(F.concat(F.lit("D"), F.col("l_suppkey")).alias("drug"), F.concat(F.lit("T"), F.col("l_partkey") % 200).alias("target")).distinct()
 
 
-def query_sub(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").where("c_custkey % 100 = 1").join(table(spark, d, "part"), F.col("p_partkey") % 100 == (F.col("c_custkey") / 100).cast("long") % 100)
+def query_sub(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    rows = table(spark, d, "customer").where("true" if whole else "c_custkey % 100 = 1").join(table(spark, d, "part"), F.col("p_partkey") % 100 == (F.col("c_custkey") / 100).cast("long") % 100)
     return rows.select(F.concat(F.lit("Q"), F.col("c_custkey")).alias("query"), F.concat(F.lit("S"), F.col("p_brand")).alias("sub")).distinct()
 
 
@@ -321,8 +331,8 @@ def moves(spark: SparkSession, d: str) -> DataFrame:
     return inference.transition(drug_sub(spark, d), drug_target(spark, d), 0.1, -0.5)
 
 
-def two_step(spark: SparkSession, d: str) -> DataFrame:
-    asked = query_sub(spark, d)
+def two_step(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    asked = query_sub(spark, d, whole)
     none = asked.select("query", F.col("sub").alias("target")).limit(0)
     mass = inference.propagate(inference.seeds(asked, none, 1.0), moves(spark, d), 2)
     return mass.where(F.col("node").startswith("T")).select("query", F.col("node").alias("target"), r6(F.col("mass") * 1000).alias("score"))
@@ -333,39 +343,39 @@ def nbi_transition(spark, d):
     return moves(spark, d).select("src", "dst", r6("p").alias("p"))
 
 
-@query
-def nbi_two_step_scores(spark, d):
-    return two_step(spark, d)
+@query_and_whole
+def nbi_two_step_scores(spark, d, whole=False):
+    return two_step(spark, d, whole)
 
 
-@query
-def nbi_threshold_normalize(spark, d):
-    return inference.threshold_normalised(two_step(spark, d).withColumn("known", F.lit(0)), 20).select("query", "target", "score", r6("normalised").alias("normalised"))
+@query_and_whole
+def nbi_threshold_normalize(spark, d, whole=False):
+    return inference.threshold_normalised(two_step(spark, d, whole).withColumn("known", F.lit(0)), 20).select("query", "target", "score", r6("normalised").alias("normalised"))
 
 
-@query
-def tanimoto_pairs(spark, d):
-    rows = inference.tanimoto(query_sub(spark, d).select(F.col("query").alias("a"), F.col("sub").alias("item")), drug_sub(spark, d).select(F.col("drug").alias("b"), F.col("sub").alias("item")))
+@query_and_whole
+def tanimoto_pairs(spark, d, whole=False):
+    rows = inference.tanimoto(query_sub(spark, d, whole).select(F.col("query").alias("a"), F.col("sub").alias("item")), drug_sub(spark, d).select(F.col("drug").alias("b"), F.col("sub").alias("item")))
     return rows.select("a", "b", "common", r6("similarity").alias("similarity"))
 
 
-def weights(spark: SparkSession, d: str) -> DataFrame:
-    asked = query_sub(spark, d)
+def weights(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    asked = query_sub(spark, d, whole)
     like = inference.tanimoto(asked.select(F.col("query").alias("a"), F.col("sub").alias("item")), drug_sub(spark, d).select(F.col("drug").alias("b"), F.col("sub").alias("item")))
     like = like.select(F.col("a").alias("query"), F.col("b").alias("drug"), r6("similarity").alias("similarity"))
     known = drug_target(spark, d).withColumn("weight", F.length("drug").cast("double"))
     return inference.neighbour_weight(like, asked, known, 4)
 
 
-@query
-def topk_neighbor_mean_weight(spark, d):
-    return weights(spark, d).select("query", "target", r6("weight").alias("weight"))
+@query_and_whole
+def topk_neighbor_mean_weight(spark, d, whole=False):
+    return weights(spark, d, whole).select("query", "target", r6("weight").alias("weight"))
 
 
-@query
-def nbi_topn_excluding_known(spark, d):
-    known = query_sub(spark, d).select("query").distinct().select("query", F.concat(F.lit("T"), F.substring("query", 2, 9).cast("long") % 200).alias("target"))
-    scores = two_step(spark, d).join(weights(spark, d), ["query", "target"]).select("query", "target", r6(F.col("score") * F.col("weight")).alias("score"))
+@query_and_whole
+def nbi_topn_excluding_known(spark, d, whole=False):
+    known = query_sub(spark, d, whole).select("query").distinct().select("query", F.concat(F.lit("T"), F.substring("query", 2, 9).cast("long") % 200).alias("target"))
+    scores = two_step(spark, d, whole).join(weights(spark, d, whole), ["query", "target"]).select("query", "target", r6(F.col("score") * F.col("weight")).alias("score"))
     return inference.predicted(scores, known, 10)
 
 
@@ -382,9 +392,10 @@ def welched(spark: SparkSession, d: str) -> DataFrame:
     return stats.welch(stats.group_moments(logs, ["gene"], F.col("group"), F.col("x"), "N", "R"))
 
 
-@query
-def tpm_unpivot(spark, d):
-    wide = table(spark, d, "lineitem").where("l_linenumber = 1 AND l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("gene"), "l_quantity", "l_extendedprice", "l_discount")
+@query_and_whole
+def tpm_unpivot(spark, d, whole=False):
+    lines = table(spark, d, "lineitem").where("true" if whole else "l_linenumber = 1 AND l_orderkey % 10 = 0")
+    wide = lines.select((line_id() if whole else F.col("l_orderkey")).alias("gene"), "l_quantity", "l_extendedprice", "l_discount")
     return signal.long_form(wide, "gene", ["l_quantity", "l_extendedprice", "l_discount"])
 
 
@@ -577,22 +588,22 @@ def event_status_counts(spark, d):
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-def dag(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def dag(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Orders as nodes; each waits for those of half and of a third of its number."""
-    nodes = table(spark, d, "orders").where("o_orderkey < 4000").select(F.col("o_orderkey").alias("node"), F.when(F.col("o_orderkey") % 5 == 0, "PENDING").when(F.col("o_orderkey") % 31 == 0, "FAILED").otherwise("SUCCEEDED").alias("state"))
+    nodes = table(spark, d, "orders").where("true" if whole else "o_orderkey < 4000").select(F.col("o_orderkey").alias("node"), F.when(F.col("o_orderkey") % 5 == 0, "PENDING").when(F.col("o_orderkey") % 31 == 0, "FAILED").otherwise("SUCCEEDED").alias("state"))
     keys = nodes.select("node")
     waits = keys.select((F.col("node") / 2).cast("long").alias("before"), F.col("node").alias("after")).union(keys.select((F.col("node") / 3).cast("long").alias("before"), F.col("node").alias("after")))
     return nodes, waits.where("before > 0").distinct().join(keys.withColumnRenamed("node", "before"), "before", "left_semi")
 
 
-@query
-def dag_ready_nodes(spark, d):
-    return workflow.ready(*dag(spark, d))
+@query_and_whole
+def dag_ready_nodes(spark, d, whole=False):
+    return workflow.ready(*dag(spark, d, whole))
 
 
-@query
-def dag_downstream(spark, d):
-    nodes, edges = dag(spark, d)
+@query_and_whole
+def dag_downstream(spark, d, whole=False):
+    nodes, edges = dag(spark, d, whole)
     return workflow.downstream(edges, nodes.where("state = 'FAILED'").select("node"))
 
 
@@ -614,10 +625,10 @@ def run_status_rollup(spark, d):
     return workflow.rollup(table(spark, d, "events"), "user_id", "event_type", {"error": 5, "purchase": 4, "click": 3, "view": 2, "signup": 1})
 
 
-@query
-def run_status_by_user(spark, d):
+@query_and_whole
+def run_status_by_user(spark, d, whole=False):
     states = F.create_map(*[F.lit(x) for x in ("view", "SUCCEEDED", "signup", "CACHED", "click", "READY", "purchase", "RUNNING", "error", "FAILED")])
-    rows = table(spark, d, "events").where("event_id % 20 = 0").select("user_id", states[F.col("event_type")].alias("state"))
+    rows = table(spark, d, "events").where("true" if whole else "event_id % 20 = 0").select("user_id", states[F.col("event_type")].alias("state"))
     return workflow.run_status(rows, "user_id")
 
 
