@@ -266,19 +266,19 @@ def degree_bin_membership(spark, d):
     return graph.in_bin(own, bins)
 
 
-def sparse_edges(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_quantity = 50 AND l_discount < 0.03").select((-F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b"))
+def sparse_edges(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("true" if whole else "l_quantity = 50 AND l_discount < 0.03").select((-F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b"))
     return graph.simple_edges(lines, "a", "b")
 
 
-@query
-def connected_components(spark, d):
-    return graph.components(sparse_edges(spark, d))
+@query_and_whole
+def connected_components(spark, d, whole=False):
+    return graph.components(sparse_edges(spark, d, whole))
 
 
-@query
-def largest_component(spark, d):
-    return graph.largest_component(graph.components(sparse_edges(spark, d)))
+@query_and_whole
+def largest_component(spark, d, whole=False):
+    return graph.largest_component(graph.components(sparse_edges(spark, d, whole)))
 
 
 def sources_of(spark: SparkSession, d: str) -> DataFrame:
