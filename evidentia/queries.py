@@ -534,22 +534,23 @@ def negative_samples_fix_dst(spark, d):
     return knowledge.negatives(edges, 7)
 
 
-def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("vec"))
+def vectors(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", (F.col("embedding") if whole else F.slice("embedding", 1, 8)).alias("vec"))
 
 
-@query
-def distmult_score(spark, d):
-    v = vectors(spark, d)
+@query_and_whole
+def distmult_score(spark, d, whole=False):
+    v = vectors(spark, d, whole)
     relation = v.where("vec_id = 0").select(F.col("vec").alias("w"))
     other = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec").alias("vec_v"))
     return v.join(other, "vec_id").crossJoin(F.broadcast(relation)).select("vec_id", F.round(knowledge.distmult(F.col("vec"), F.col("w"), F.col("vec_v")), 9).alias("score"))  # one row
 
 
-@query
-def rgcn_mean_aggregate(spark, d):
-    edges = table(spark, d, "lineitem").where("l_quantity >= 48").select((F.col("l_partkey") % 500).alias("src"), F.concat(F.lit("r"), F.col("l_linenumber") % 3).alias("relation"), F.col("l_suppkey").alias("dst")).distinct()
-    return knowledge.mean_of_neighbours(edges, vectors(spark, d).select(F.col("vec_id").alias("node"), "vec")).select("dst", "relation", F.col("at").cast("int").alias("at"), r6("value").alias("value"))
+@query_and_whole
+def rgcn_mean_aggregate(spark, d, whole=False):
+    part = F.col("l_partkey") if whole else F.col("l_partkey") % 500
+    edges = table(spark, d, "lineitem").where("l_quantity >= 48").select(part.alias("src"), F.concat(F.lit("r"), F.col("l_linenumber") % 3).alias("relation"), F.col("l_suppkey").alias("dst")).distinct()
+    return knowledge.mean_of_neighbours(edges, vectors(spark, d, whole).select(F.col("vec_id").alias("node"), "vec")).select("dst", "relation", F.col("at").cast("int").alias("at"), r6("value").alias("value"))
 
 
 def scored_labels(spark: SparkSession, d: str) -> DataFrame:

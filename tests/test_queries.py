@@ -53,6 +53,10 @@ WHOLE = {
     " WHERE c_custkey % 100 = 1": "",
     " WHERE o_orderkey < 4000": "",
     " WHERE event_id % 20 = 0": "",
+    "embedding[1:8]": "embedding",
+    "range(1, 9)": "range(1, len(a.vec) + 1)",
+    "unnest(range(8))": "unnest(range(len(embedding)))",
+    "l_partkey % 500 AS src": "l_partkey AS src",
 }
 
 
