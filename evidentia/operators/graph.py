@@ -14,6 +14,8 @@ from ..sources.tables import written
 
 #: Edges that a kernel may hold in memory on each worker.
 KERNEL_EDGES = 5_000_000
+#: Rounds whose results are read apart before they are written as one table.
+ROUNDS = 16
 
 
 def simple_edges(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -53,17 +55,20 @@ def largest_component(labels: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(top), "component", "left_semi").select("node")
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
-    """(node, distance) to the nearest source up to ``most`` steps, by frontier joins."""
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, distance) to the nearest source, by frontier joins until no node is new; up to ``most`` steps if given."""
     both = written(arcs(edges), "arcs")
     seen = written(sources.select("node").distinct().withColumn("distance", F.lit(0)), "seen")
-    for step in range(1, most + 1):
-        frontier = seen.where(F.col("distance") == step - 1)
+    frontier, step = seen, 0
+    while most is None or step < most:
+        step += 1
         fresh = both.join(frontier, both.src == frontier.node).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("distance", F.lit(step))
         fresh = written(fresh, "frontier")
         if fresh.isEmpty():
             break
-        seen = seen.unionByName(fresh)
+        seen, frontier = seen.unionByName(fresh), fresh
+        if step % ROUNDS == 0:
+            seen = written(seen, "seen")
     return seen
 
 

@@ -20,6 +20,8 @@ NODE_TRANSITIONS = {
     "BLOCKED": ("PENDING", "READY", "CANCELLED"),
 }
 DONE = ("SUCCEEDED", "CACHED")
+#: Rounds whose results are read apart before they are written as one table.
+ROUNDS = 16
 STOPPED = ("FAILED", "BLOCKED", "CANCELLED", "SKIPPED")
 
 
@@ -115,15 +117,19 @@ def ready(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("node", verdict.alias("verdict"))
 
 
-def downstream(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """All nodes that a path of at most ``most`` edges leads to from the roots. edges: (before, after); roots: (node)."""
+def downstream(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """All nodes that a path leads to from the roots. edges: (before, after); roots: (node)."""
     seen = frontier = roots.select("node").distinct()
-    for _ in range(most):
+    step = 0
+    while True:
+        step += 1
         fresh = edges.join(frontier, edges.before == frontier.node).select(F.col("after").alias("node")).distinct().join(seen, "node", "left_anti")
         fresh = written(fresh, "closure")
         if fresh.isEmpty():
             break
         seen, frontier = seen.union(fresh), fresh
+        if step % ROUNDS == 0:
+            seen = written(seen, "closure")
     return seen.join(roots.select("node"), "node", "left_anti")
 
 

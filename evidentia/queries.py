@@ -289,7 +289,7 @@ def sources_of(spark: SparkSession, d: str) -> DataFrame:
 def multi_source_bfs(spark, d):
     edges = edges_of(spark, d)
     inside = sources_of(spark, d).join(graph.degrees(edges), "node", "left_semi")
-    return graph.distances(edges, inside, 12)
+    return graph.distances(edges, inside)
 
 
 @query

@@ -67,6 +67,17 @@ def test_components_and_distances(spark):
     assert {r.node: r.distance for r in steps.collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
 
 
+def test_long_chains_are_followed_to_the_end(spark, monkeypatch):
+    from evidentia import queries
+
+    chain = spark.range(70).select(F.col("id").alias("before"), (F.col("id") + 1).alias("after")).union(spark.createDataFrame([(70, 0)], "before long, after long"))
+    root = spark.createDataFrame([(0,)], "node long")
+    assert {r.node for r in workflow.downstream(chain, root).collect()} == set(range(1, 71))
+    monkeypatch.setattr(queries, "edges_of", lambda *_: spark.range(20).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")))
+    monkeypatch.setattr(queries, "sources_of", lambda *_: root)
+    assert {r.node: r.distance for r in queries.multi_source_bfs(spark, "").collect()} == {i: i for i in range(21)}
+
+
 def test_first_wins_keeps_the_first(spark):
     rows = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), ("j", 5, "c")], "key string, _ord int, v string")
     assert {(r.key, r.v) for r in ranking.first_wins(rows, ["key"], F.col("_ord")).collect()} == {("k", "a"), ("j", "c")}
