@@ -7,7 +7,7 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
@@ -172,15 +172,76 @@ def matched_samples(network: Network, chosen: list[int], least: int, draws: int,
     return out
 
 
+def drawn_places(chosen: list[tuple[int, int]], sizes: dict[int, int], draws: int, seed: int, redraws: int = 20) -> list[set[tuple[int, int]]]:
+    """The sets of ``matched_samples`` as (bin, position in the bin), from the chosen nodes' own places in the order of the nodes."""
+    if any(sizes[b] < 2 for b, _ in chosen):
+        raise ValueError("a node has no other node in its degree bin")
+    rng, out = random.Random(seed), []
+    for _ in range(draws):
+        taken: set[tuple[int, int]] = set()
+        for b, own in chosen:
+            for k in range(redraws + 1):
+                j = rng.choice(range(sizes[b] - 1))
+                x = (b, j + (j >= own))
+                if x not in taken:
+                    break
+            taken.add(x)
+        out.append(taken)
+    return out
+
+
+def joined_z(edges: DataFrame, module: DataFrame, target_sets: DataFrame, least: int, draws: int, seed: int) -> DataFrame:
+    """``proximity_z`` by joins: no worker holds the graph, and the driver only the modules and the bins' sizes."""
+    spark = edges.sparkSession
+    both = written(arcs(edges), "arcs")
+    own = written(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")), "degrees")
+    bins = written(degree_bins(own.groupBy("degree").agg(F.count("*").alias("nodes")), least), "bins")
+    sizes = {r.bin: r.members for r in bins.collect()}
+    order = Window.partitionBy("bin").orderBy("degree", "node")
+    placed = written(in_bin(own, bins).select("node", "bin", (F.row_number().over(order) - 1).alias("position")), "places")
+
+    chosen = [(r.bin, r.position) for r in placed.join(module.select("node").distinct(), "node").orderBy("node").collect()]
+    rows = [(k, *x) for k, places in enumerate([set(chosen), *drawn_places(chosen, sizes, draws, seed)]) for x in places]
+    sources = spark.createDataFrame(rows, "module long, bin int, position int").join(placed, ["bin", "position"])
+    seen = frontier = written(sources.select("module", "node", F.lit(0).alias("distance")), "seen")
+    step = 0
+    while True:
+        step += 1
+        fresh = frontier.join(both, frontier.node == both.src).select("module", F.col("dst").alias("node")).distinct().join(seen, ["module", "node"], "left_anti").withColumn("distance", F.lit(step))
+        fresh = written(fresh, "frontier")
+        if fresh.isEmpty():
+            break
+        seen, frontier = seen.unionByName(fresh), fresh
+        if step % ROUNDS == 0:
+            seen = written(seen, "seen")
+
+    kind = dict(target_sets.dtypes)["set_id"]
+
+    def draw(batches):
+        for pdf in batches:
+            for name, nodes in zip(pdf["set_id"], pdf["nodes"]):
+                places = [(x["bin"], x["position"]) for x in nodes]
+                out = [(name, k, *x) for k, some in enumerate([set(places), *drawn_places(places, sizes, draws, seed)]) for x in some]
+                yield pd.DataFrame(out, columns=["set_id", "module", "bin", "position"])
+
+    sets = target_sets.join(placed, "node").groupBy("set_id").agg(F.sort_array(F.collect_set(F.struct("node", "bin", "position"))).alias("nodes"))
+    drawn = sets.mapInPandas(draw, f"set_id {kind}, module long, bin int, position int").join(placed, ["bin", "position"]).join(seen, ["module", "node"], "left")
+    means = drawn.groupBy("set_id", "module").agg(F.avg(F.coalesce("distance", F.lit(-1))).alias("m"))
+    null = F.when(F.col("module") > 0, F.col("m"))
+    scored = means.groupBy("set_id").agg(F.max(F.when(F.col("module") == 0, F.col("m"))).alias("mean_distance"), F.avg(null).alias("mean"), F.stddev_pop(null).alias("sd"))
+    z = F.when(F.col("sd") == 0, 0.0).otherwise((F.col("mean_distance") - F.col("mean")) / F.col("sd"))
+    return target_sets.select("set_id").distinct().join(scored, "set_id", "left").select("set_id", "mean_distance", F.when(F.col("mean_distance").isNotNull(), z).alias("z"))
+
+
 def proximity_z(edges: DataFrame, module: DataFrame, target_sets: DataFrame, least: int, draws: int, seed: int) -> DataFrame:
     """(set_id, mean_distance, z) of each set of nodes against degree-matched random modules and sets.
 
     The r-th random set is measured from the r-th random module. Each distinct set is scored once. The graph goes to
-    every worker if it has KERNEL_EDGES edges at most; a larger one is an error here, and ``distances`` is the way.
+    every worker if it has KERNEL_EDGES edges at most; a larger one is walked by joins, with the same draws.
     """
     spark = edges.sparkSession
     if edges.count() > KERNEL_EDGES:
-        raise ValueError("the graph is too large for the kernel; use distances()")
+        return joined_z(edges, module, target_sets, least, draws, seed)
     pairs = edges.toPandas()
     network = Network(pairs.u.to_numpy(), pairs.v.to_numpy())
     place = {n: i for i, n in enumerate(network.nodes.tolist())}

@@ -179,3 +179,17 @@ def test_matched_samples_are_distinct_and_of_one_bin():
     for own in graph.matched_samples(net, [0, 1], 4, 20, 1):
         assert 1 <= len(own) <= 2
     assert net.distances([0]).tolist() == [0, 1, 2, 3, 2, 1]
+
+
+def test_z_of_a_graph_too_large_for_the_kernel(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = {tuple(sorted(rng.sample(range(80), 2))) for _ in range(150)} | {(100, 101), (102, 103)}
+    edges = spark.createDataFrame(sorted(pairs), "u long, v long")
+    module = spark.createDataFrame([(1,), (5,), (9,), (999,)], "node long")
+    sets = spark.createDataFrame([(s, n) for s in range(4) for n in rng.sample(range(80), 5)] + [(4, 100), (4, 3), (5, 999)], "set_id long, node long")
+    rows = lambda: {r.set_id: (r.mean_distance, r.z) for r in graph.proximity_z(edges, module, sets, 10, 12, 3).collect()}
+    small = rows()
+    monkeypatch.setattr(graph, "KERNEL_EDGES", 0)
+    large = rows()
+    assert small.keys() == large.keys() == set(range(6)) and large[5] == (None, None)
+    assert all(large[i] == pytest.approx(small[i]) for i in range(5))
