@@ -236,11 +236,14 @@ class Codec:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+#: The odd number whose powers weigh the places of a rolling hash.
+BASE = 0x9E3779B97F4A7C15
+
+
 @functools.lru_cache(maxsize=1)
 def powers_to(size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15
     both = []
-    for x in (base, pow(base, -1, 1 << 64)):
+    for x in (BASE, pow(BASE, -1, 1 << 64)):
         out = np.full(size, np.uint64(x))
         out[0] = 1
         both.append(np.cumprod(out))

@@ -2,34 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="evidentia-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table written to the shared folder and read again: lineage ends here, and any executor may be lost later."""
-    path = f"{shared_dir(df.sparkSession)}/evidentia/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.tables import shared_dir, steps, table, written  # noqa: F401  for the operators of this package
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -37,7 +17,7 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
-def chunks(texts: list[str], size: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``size`` characters together; a longer text is a range of its own."""
     start = total = 0
     for i, x in enumerate(texts):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import steps, written
 
 #: Rows of a lookup table that may be broadcast, and links that one task may join (4 MB).
 BROADCAST_ROWS, TASK_LINKS = 300_000, 250_000
@@ -70,18 +70,19 @@ def components(links: DataFrame) -> DataFrame:
     label of that label. Rounds grow with the logarithm of a component's width as a rule. Every round is written to the
     shared folder. Where a count shows that the links left are few, one task's union-find takes their place.
     """
-    stars = written(contracted(links), "stars")
-    if stars.count() <= TASK_LINKS:
-        return written(stars.coalesce(1).mapInArrow(joined_whole, "node long, component long"), "labels")
-    both = written(stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a", F.col("b").alias("node")), "arcs")
-    labels = written(both.groupBy(F.col("node")).agg(F.least(F.min("a"), F.col("node")).alias("component")), "labels")
-    total = None
-    while True:
-        near = both.join(labels, "node").select(F.col("a").alias("node"), "component")
-        lower = written(near.union(labels.select("node", "component")).groupBy("node").agg(F.min("component").alias("component")), "lower")
-        above = lower.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        labels = written(lower.join(above, "component").select("node", F.col("top").alias("component")), "labels")
-        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return labels
-        total = now
+    with steps() as keep:
+        stars = written(contracted(links), "stars")
+        if stars.count() <= TASK_LINKS:
+            return keep(written(stars.coalesce(1).mapInArrow(joined_whole, "node long, component long"), "labels"))
+        both = written(stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a", F.col("b").alias("node")), "arcs")
+        labels = written(both.groupBy(F.col("node")).agg(F.least(F.min("a"), F.col("node")).alias("component")), "labels")
+        total = None
+        while True:
+            near = both.join(labels, "node").select(F.col("a").alias("node"), "component")
+            lower = written(near.union(labels.select("node", "component")).groupBy("node").agg(F.min("component").alias("component")), "lower")
+            above = lower.select(F.col("node").alias("component"), F.col("component").alias("top"))
+            labels = written(lower.join(above, "component").select("node", F.col("top").alias("component")), "labels")
+            now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+            if now == total:
+                return keep(labels)
+            total = now

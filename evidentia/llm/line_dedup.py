@@ -1,10 +1,19 @@
 """Fuzzy line dedup: MinHash over character shingles, bands, exact Jaccard verification and distributed union-find.
 
-A line is lower-cased and its white space made single. Its shingles are all runs of four characters (a shorter line is
-one shingle), so that one changed character leaves lines of 31 characters or more above the threshold. Lines with equal signatures in one band are candidates; with 14 bands of 4 a pair at the threshold is
-found with a probability of 0.995, at a similarity of 0.85 of 0.99998. Candidates are compared by their whole shingle
-sets with the prefix-tree join's leaders and lists, so that a group of similar lines, however large, never becomes all
-its pairs. Of each component the first line stays (by document id and line number); all others go.
+A line is lower-cased and its white space made single. Two lines are alike if the shorter one has 3/4 of the longer
+one's characters at least, and their sets of character shingles a Jaccard similarity of 0.75 or more. The shingles are
+runs of 3, 5 or 8 characters by the shorter line's length (CLASSES), so that one changed word leaves a short line alike
+and a long line does not meet every other one by its common syllables; a line with fewer characters is one shingle.
+
+1. One pass over the documents gives each line's id and place and, for the different lines of a batch, its band keys:
+   12 bands of 5 minima each. A line takes part in the classes in which a line alike may be the shorter one. From
+   192 characters on the minima are those of a fourth or a sixteenth of the shingles, chosen by their hashes.
+   A pair at a similarity of 0.75 meets in a band with a probability of 0.96, at 0.85 of 0.998.
+2. Lines with an equal key are candidates; their texts are fetched from the documents and compared by whole shingle
+   sets, in lists of a leader and a block of members first, then block by block what is still apart, so that a group of
+   similar lines, however large, never becomes all its pairs and never lies in one task.
+3. Links become components by distributed union-find. Of each component the first line stays (by document id and line
+   number); all others go.
 
 Cases: a null text stays null; empty lines and lines of white space always stay; a document all of whose lines go has
 the empty text; long lines are read whole; rows that repeat an id are copies of one document and lose the same lines;
@@ -19,172 +28,290 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import powers
-from .common import chunks, id_filter, mapped, maybe_in, mix, texts_of, written
+from .common import chunks, id_filter, mapped, maybe_in, mix, steps, texts_of, written
 from .components import looked_up
-from .ngram_join import LISTS, linked, shared_lists
+from .ngram_join import LISTS, linked
 
-SHINGLE, BANDS, ROWS = 4, 14, 4
-LETTERS = np.random.default_rng(11).integers(1, 2**63, 1 << 16, np.uint64) | np.uint64(1)
+BANDS, ROWS = 12, 5
+#: Least length, characters of a shingle, and of how many shingles the minima take one, by class.
+CLASSES = ((0, 3, 1), (64, 5, 1), (192, 8, 4), (1024, 8, 16))
+#: Numbers of a dropped line that may be broadcast (8 MB).
+BROADCAST_DROPS = 1_000_000
 _seeds = np.random.default_rng(13).integers(1, 2**32, (2, BANDS * ROWS), np.uint32)
 FACTORS, OFFSETS = _seeds[0] | np.uint32(1), _seeds[1]
+STEPS = np.random.default_rng(11).integers(1, 2**63, 3, np.uint64) | np.uint64(1)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+STARTS = np.array([c[0] for c in CLASSES])
 
 
 def normal_lines(text: str) -> list[str]:
-    low = text.lower()
-    lines = low.split("\n")
-    return [" ".join(x.split()) for x in lines] if "  " in low or any(c in low for c in "\t\r\x0b\x0c\xa0") else [x.strip() for x in lines]
-
-
-def prefix_sums(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sums of hashed characters up to each place, inverse powers, start and size of each line) of non-empty lines."""
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    start = np.cumsum(size) - size
-    power, inverse = powers(len(code) + 1)
-    prefix = np.empty(len(code) + 1, np.uint64)
-    prefix[0] = 0
-    letters = LETTERS[code & np.uint32(0xFFFF)] + (code >> np.uint32(16)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    np.cumsum(letters * power[: len(code)], out=prefix[1:])
-    return prefix, inverse, start, size
-
-
-def whole_hashes(prefix: np.ndarray, inverse: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return mix((prefix[start + size] - prefix[start]) * inverse[start] + size.astype(np.uint64)).view(np.int64)
+    """The lines, lower-cased and with single spaces in place of any white space."""
+    return [" ".join(x.split()) for x in text.lower().split("\n")]
 
 
 def line_ids(lines: list[str]) -> np.ndarray:
-    """A hash of each whole line."""
-    return whole_hashes(*prefix_sums(lines))
-
-
-def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each whole line, hashes of all shingles in order, the first shingle's place of each line) of non-empty lines."""
-    prefix, inverse, start, size = prefix_sums(lines)
-    whole = whole_hashes(prefix, inverse, start, size)
-    count = np.maximum(size - SHINGLE + 1, 1)
-    first = np.cumsum(count) - count
-    at = np.arange(int(count.sum())) + np.repeat(start - first, count)
-    end = at + SHINGLE
-    if len(size) and size.min() < SHINGLE:
-        end = np.minimum(end, np.repeat(start + size, count))
-    return whole, mix((prefix[end] - prefix[at]) * inverse[at]), first
-
-
-def band_keys(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A key per line and band from the line's MinHash signature."""
-    low = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.zeros((BANDS, len(first)), np.uint64)
-    for k in range(BANDS * ROWS):
-        least = np.minimum.reduceat(low * FACTORS[k] + OFFSETS[k], first)
-        out[k // ROWS] = mix(out[k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(k // ROWS))
+    """A 64-bit hash of each whole line."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, len(lines)).view(np.int64)
+
+
+def shingles(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all shingles in order, the first one's place of each line and their number) of non-empty lines."""
+    padded = [x if len(x) >= size else x + "\0" * (size - len(x)) for x in lines]
+    code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, padded), np.int64, len(padded))
+    # runs of one, two and four characters, and longer ones put together from two of them
+    runs, span, step = code, 1, 0
+    while span * 2 <= size:
+        runs = runs[:-span] * STEPS[step] + runs[span:]
+        runs ^= runs >> np.uint64(29)
+        span, step = span * 2, step + 1
+    if span < size:
+        runs = runs[: len(code) - size + 1] * GOLDEN + runs[size - span :]
+    runs = mix(runs)
+    end = np.cumsum(length)
+    count = length - size + 1
+    inside = np.ones(len(code), bool)  # where a shingle of one line begins
+    for k in range(1, size):
+        inside[end - k] = False
+    return runs[inside[: len(runs)]], np.append(0, np.cumsum(count))
+
+
+def band_keys(lines: list[str], kind: int) -> np.ndarray:
+    """A key per band and line of one class from the line's MinHash signature."""
+    _, size, share = CLASSES[kind]
+    out = np.zeros((BANDS, len(lines)), np.uint64)
+    cuts = list(chunks(lines, 100_000))
+    for a, b in cuts:
+        every, first = shingles(lines[a:b], size)
+        low = (every >> np.uint64(32)).astype(np.uint32)
+        begin = first[:-1]
+        if share > 1:
+            chosen = (every & np.uint64(share - 1)) == 0
+            chosen[begin] |= ~np.logical_or.reduceat(chosen, begin)  # a line keeps one shingle at least
+            low, begin = low[chosen], np.append(0, np.cumsum(np.add.reduceat(chosen, begin, dtype=np.int64)))[:-1]
+        own = np.full((BANDS, b - a), np.uint64(kind + 1))
+        for k in range(BANDS * ROWS):
+            least = np.minimum.reduceat(low * FACTORS[k] + OFFSETS[k], begin)
+            own[k // ROWS] = mix(own[k // ROWS] * GOLDEN + least + np.uint64(k // ROWS))
+        out[:, a:b] = own
     return out
 
 
-def line_set(text: bytes) -> np.ndarray:
-    """The shingle set of a stored line."""
-    return np.unique(hashed([text.decode("utf-8", "surrogatepass")])[1])
-
-
-def lines_in(batches: Iterator[pa.RecordBatch], size: int = 2_000_000):
-    """(distinct non-empty lines, their first (document, line), how often each occurs) of bounded chunks."""
+def classes_of(length: np.ndarray) -> np.ndarray:
+    return np.searchsorted(STARTS, length, side="right") - 1
+
+
+def keys_and_owners(lines: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, line ids) of different non-empty lines, over all classes that they take part in."""
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    own, below = classes_of(length), classes_of(-(-3 * length // 4))  # the shortest line alike
+    keys, owners = [], []
+    for kind in range(len(CLASSES)):
+        at = np.flatnonzero((below <= kind) & (kind <= own))
+        if len(at):
+            keys.append(band_keys([lines[i] for i in at.tolist()], kind).ravel())
+            owners.append(np.tile(ids[at], BANDS))
+    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def lists_of_lines(keys: np.ndarray, lines: np.ndarray) -> pa.Table:
+    """Rows of LISTS for lines with equal keys: a pair of each line with its list's leader, and lists of the others.
+
+    A leader meets all the others as pairs; so of lists of three or more what is left holds the others only.
+    """
+    order = np.lexsort((mix(lines.view(np.uint64)), keys))
+    keys, lines = keys[order], lines[order]
+    once = np.append(True, (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])) if len(keys) else np.zeros(0, bool)
+    keys, lines = keys[once], lines[once]
+    first = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+    start = np.flatnonzero(first)
+    count = np.diff(np.append(start, len(keys)))
+    pairs = np.unique(np.stack([np.repeat(lines[start], count)[~first], lines[~first]], axis=1), axis=0) if len(start) else np.zeros((0, 2), np.int64)
+    # the lists without their leaders, each membership once
+    start, count = start[count > 2] + 1, count[count > 2] - 1
+    member = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    rank = mix(lines[member].view(np.uint64) + GOLDEN)
+    cuts = np.cumsum(count) - count
+    names = (mix(np.add.reduceat(rank, cuts)) if len(cuts) else np.zeros(0, np.uint64)) & np.uint64((1 << 63) - 1)
+    names, which = np.unique(names, return_index=True)
+    size = count[which]
+    member = np.repeat(start[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    ends = np.concatenate([np.arange(len(pairs)), len(pairs) + np.append(0, np.cumsum(size))]).astype(np.int32)
+    docs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([pairs[:, 1], lines[member]])))
+    kind = np.repeat(np.array([0, 1], np.int32), [len(pairs), len(size)])
+    key = np.concatenate([pairs[:, 0], names.view(np.int64)])
+    return pa.table({"kind": pa.array(kind), "key": pa.array(key), "docs": docs, "sizes": pa.nulls(len(kind), pa.list_(pa.int64()))})
+
+
+class LineJudge:
+    """Compares lines by their whole shingle sets."""
+
+    BITS = np.uint64((1 << 16) - 1)
+    SIZES = np.array([c[1] for c in CLASSES])
+
+    def __init__(self) -> None:
+        self.seen: np.ndarray | None = None
+
+    def prepare(self, texts: list[bytes]) -> list[tuple[int, dict[int, np.ndarray]]]:
+        """(length, shingle set by shingle size) of each stored line."""
+        lines = [x.decode("utf-8", "surrogatepass") for x in texts]
+        length = np.fromiter(map(len, lines), np.int64, len(lines))
+        low, high = self.SIZES[classes_of(-(-3 * length // 4))], self.SIZES[classes_of(length)]
+        sets: list[dict[int, np.ndarray]] = [{} for _ in lines]
+        for size in np.unique(self.SIZES).tolist():  # the sizes rise with the classes
+            at = np.flatnonzero((low <= size) & (size <= high)).tolist()
+            some = [lines[i] for i in at]
+            for a, b in chunks(some, 100_000):
+                every, first = shingles(some[a:b], size)
+                for i, x, y in zip(at[a:b], first[:-1].tolist(), first[1:].tolist()):
+                    own = every[x:y].copy()
+                    own.sort()
+                    once = np.empty(len(own), bool)
+                    once[0] = True
+                    np.not_equal(own[1:], own[:-1], out=once[1:])
+                    sets[i][size] = own[once]
+        return list(zip(length.tolist(), sets))
+
+    @staticmethod
+    def alike(a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether two sets reach the similarity."""
+        if len(a) > len(b):
+            a, b = b, a
+        n = len(a) + len(b)
+        if 7 * len(a) < 3 * n:
+            return False
+        return 7 * int(np.count_nonzero(b.take(b.searchsorted(a), mode="clip") == a)) >= 3 * n
+
+    def links(self, lines: list, probe: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
+        """(probe, member) of lines alike in different parts."""
+        out: list[tuple[int, int]] = []
+        length = [x[0] for x in lines]
+        if len(lines) <= 8:
+            for i in np.flatnonzero(probe).tolist():
+                for j in range(len(lines)):
+                    short, long = (length[i], length[j]) if length[i] < length[j] else (length[j], length[i])
+                    if 4 * short >= 3 * long and part[i] != part[j] and not (probe[j] and j < i):
+                        size = next(c[1] for c in reversed(CLASSES) if short >= c[0])
+                        if self.alike(lines[i][1][size], lines[j][1][size]):
+                            out.append((i, j))
+            return out
+        if self.seen is None:
+            self.seen = np.zeros(int(self.BITS) + 1, bool)
+        n_chars = np.array(length, np.int64)
+        for i in np.flatnonzero(probe).tolist():
+            short = np.minimum(n_chars, n_chars[i])
+            fit = np.flatnonzero((4 * short >= 3 * np.maximum(n_chars, n_chars[i])) & (part != part[i]))
+            sizes = self.SIZES[classes_of(short[fit])]
+            for size in np.unique(sizes).tolist():
+                mine, some = lines[i][1][size], fit[sizes == size].tolist()
+                sets = [lines[j][1][size] for j in some]
+                n = np.fromiter(map(len, sets), np.int64, len(sets))
+                # no more shingles are shared than meet in a table of bits
+                place = mine & self.BITS
+                self.seen[place] = True
+                most = np.add.reduceat(self.seen[np.concatenate(sets) & self.BITS], np.cumsum(n) - n, dtype=np.int64)
+                self.seen[place] = False
+                out += [(i, some[x]) for x in np.flatnonzero(7 * most >= 3 * (n + len(mine))).tolist() if self.alike(mine, sets[x])]
+        return out
+
+
+def lines_of(batches: Iterator[pa.RecordBatch], size: int = 1_000_000):
+    """(ids of documents, line numbers, lines) of the non-empty lines of bounded chunks."""
     for batch in batches:
         texts, ids = texts_of(batch.column(1)), batch.column(0).to_pylist()
         for a, b in chunks(texts, size):
-            place: dict[str, int] = {}
-            first: list[tuple[int, int]] = []
-            count: list[int] = []
-            for doc, text in sorted(zip(ids[a:b], texts[a:b]), key=lambda r: r[0]):
+            docs: list[int] = []
+            numbers: list[int] = []
+            lines: list[str] = []
+            for doc, text in zip(ids[a:b], texts[a:b]):
                 for number, line in enumerate(normal_lines(text)):
                     if line:
-                        at = place.setdefault(line, len(first))
-                        if at == len(first):
-                            first.append((doc, number))
-                            count.append(1)
-                        else:
-                            count[at] += 1
-            if place:
-                yield list(place), first, count
+                        docs.append(doc)
+                        numbers.append(number)
+                        lines.append(line)
+            if lines:
+                yield docs, numbers, lines
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
-    """``documents`` with near-duplicate lines taken out of ``text``, and n_lines and n_dropped of each document."""
+def decisions(documents: DataFrame) -> DataFrame:
+    """(doc, numbers) of the lines that go, by document, as a written table."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
 
-    # each line's first place and number of occurrences
-    def counted(batches):
-        for lines, first, count in lines_in(batches):
-            columns = [pa.array(line_ids(lines)), pa.array([d for d, _ in first], pa.int64()), pa.array([n for _, n in first], pa.int32()), pa.array(count, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["line", "doc", "number", "n"])
-
-    places = mapped(rows, ["doc_id", "text"], "line long, doc long, number int, n long", counted)
-    places = written(places.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("first"), F.sum("n").alias("n")), "lines")
-    ranges = max(32, math.ceil(places.count() * BANDS / 1_000_000))
-
-    def banded(batches):
-        for lines, _, _ in lines_in(batches):
-            whole, shingles, first = hashed(lines)
-            keys = band_keys(shingles, first)
-            place = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64).ravel()
-            order = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[order], np.arange(ranges + 1))
-            # the range has a key's upper bits already; 32 more leave one chance match in some 10**11 pairs
-            low = (mix(keys) & np.uint64(0xFFFFFFFF)).astype(np.uint32).ravel()
-            owner = np.tile(whole, BANDS)
-            for r in range(ranges):
-                at = order[cuts[r] : cuts[r + 1]]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([low[at].tobytes()], pa.binary()), pa.array([owner[at].tobytes()], pa.binary())], ["range", "keys", "lines"])
-
-    def group(key, batch):
-        keys = np.concatenate([np.frombuffer(x, np.uint32) for x in batch["keys"].to_pylist()])
-        lines = np.concatenate([np.frombuffer(x, np.int64) for x in batch["lines"].to_pylist()])
-        one = np.ones(len(keys), np.int64)
-        return shared_lists(keys, lines, one, one)
-
-    found = mapped(rows, ["doc_id", "text"], "range int, keys binary, lines binary", banded).groupBy("range").applyInArrow(group, LISTS)
-
-    def sets_of(involved: DataFrame) -> DataFrame:
-        asked, width = id_filter(involved, "doc_id")
-        told = spark.sparkContext.broadcast(asked)  # 2**FILTER_BITS bits at most
-
-        def kept(batches):
-            for lines, _, _ in lines_in(batches):
-                whole = line_ids(lines)
-                at = np.flatnonzero(maybe_in(told.value, width, whole))
-                yield pa.RecordBatch.from_arrays([pa.array(whole[at]), pa.array([lines[i].encode("utf-8", "surrogatepass") for i in at.tolist()], pa.binary())], ["doc_id", "grams"])
-
-        return mapped(rows, ["doc_id", "text"], "doc_id long, grams binary", kept).dropDuplicates(["doc_id"])
-
-    similar = linked(written(found, "bands"), sets_of, line_set)
-    grouped = looked_up(places, similar.withColumnRenamed("node", "line"), "line").withColumn("component", F.coalesce("component", "line"))
-    keepers = written(grouped.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1").select("component", "keeper"), "keepers")
-    decided = written(looked_up(grouped.select("line", "component"), keepers, "component", "inner").select("line", "keeper"), "decided")
-
-    # the occurrences of the lines decided on, but for the keepers, by document
-    asked, width = id_filter(decided, "line")
-    told = spark.sparkContext.broadcast(asked)
-
-    def occurrences(batches):
-        for batch in batches:
-            texts, ids = texts_of(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in chunks(texts, 2_000_000):
-                own = [(doc, number, line) for doc, text in zip(ids[a:b], texts[a:b]) for number, line in enumerate(normal_lines(text)) if line]
-                if own:
-                    whole = line_ids([x[2] for x in own])
-                    at = np.flatnonzero(maybe_in(told.value, width, whole))
-                    yield pa.RecordBatch.from_arrays([pa.array(whole[at]), pa.array([own[i][0] for i in at.tolist()], pa.int64()), pa.array([own[i][1] for i in at.tolist()], pa.int32())], ["line", "doc", "number"])
-
-    met = looked_up(mapped(rows, ["doc_id", "text"], "line long, doc long, number int", occurrences), decided, "line", "inner")
-    drops = met.where((F.col("doc") != F.col("keeper.doc")) | (F.col("number") != F.col("keeper.number"))).groupBy("doc").agg(F.collect_set("number").alias("_dropped")).withColumnRenamed("doc", "_doc")
-    lines = F.split("text", "\n", -1)
-    gone = F.coalesce(F.col("_dropped"), F.array().cast("array<int>"))
-    left = F.filter(lines, lambda x, i: ~F.array_contains(gone, i))
-    out = documents.join(drops, documents["doc_id"] == F.col("_doc"), "left")
-    out = out.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_dropped": F.size(gone).cast("long")})
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-    return out.withColumn("text", F.array_join(left, "\n")).drop("_doc", "_dropped")
+    def read(batches):
+        for docs, numbers, lines in lines_of(batches):
+            ids = line_ids(lines)
+            n = len(ids)
+            columns = [pa.array(ids), pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["line", "doc", "number", "keys", "owners"])
+            _, first = np.unique(ids, return_index=True)
+            keys, owners = keys_and_owners([lines[i] for i in first.tolist()], ids[first])
+            columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([owners.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["line", "doc", "number", "keys", "owners"])
+
+    with steps() as keep:
+        both = written(mapped(rows, ["doc_id", "text"], "line long, doc long, number int, keys binary, owners binary", read), "lines")
+        places = both.where("line is not null").select("line", "doc", "number")
+        total = both.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0] // 8
+        ranges = max(32, math.ceil(total / 1_000_000))
+
+        def dealt(batches):
+            for batch in batches:
+                for k, o in zip(batch.column(0), batch.column(1)):
+                    keys, owners = np.frombuffer(k.as_py(), np.uint64), np.frombuffer(o.as_py(), np.int64)
+                    place = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                    order = np.argsort(place, kind="stable")
+                    cuts = np.searchsorted(place[order], np.arange(ranges + 1))
+                    # the range has a key's upper bits already; 32 more leave one chance match in some 10**11 pairs
+                    low = (mix(keys) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    for r in np.flatnonzero(np.diff(cuts)).tolist():
+                        at = order[cuts[r] : cuts[r + 1]]
+                        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([low[at].tobytes()], pa.binary()), pa.array([owners[at].tobytes()], pa.binary())], ["range", "keys", "lines"])
+
+        def group(key, batch):
+            keys = np.concatenate([np.frombuffer(x, np.uint32) for x in batch["keys"].to_pylist()])
+            lines = np.concatenate([np.frombuffer(x, np.int64) for x in batch["lines"].to_pylist()])
+            return lists_of_lines(keys, lines)
+
+        keyed = both.where("keys is not null")
+        found = mapped(keyed, ["keys", "owners"], "range int, keys binary, lines binary", dealt).groupBy("range").applyInArrow(group, LISTS)
+
+        def texts_of_ids(involved: DataFrame) -> DataFrame:
+            asked, width = id_filter(involved, "doc_id")
+            told = spark.sparkContext.broadcast(asked)  # 2**FILTER_BITS bits at most
+
+            def kept(batches):
+                for _, _, lines in lines_of(batches):
+                    ids = line_ids(lines)
+                    ids, first = np.unique(ids, return_index=True)
+                    at = np.flatnonzero(maybe_in(told.value, width, ids))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([lines[i].encode("utf-8", "surrogatepass") for i in first[at].tolist()], pa.binary())], ["doc_id", "grams"])
+
+            return mapped(rows, ["doc_id", "text"], "doc_id long, grams binary", kept).dropDuplicates(["doc_id"])
+
+        similar = linked(written(found, "bands"), texts_of_ids, LineJudge(), False)
+        first = written(places.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("first"), F.count("*").alias("n")), "places")
+        grouped = looked_up(first, similar.withColumnRenamed("node", "line"), "line").withColumn("component", F.coalesce("component", "line"))
+        grouped = written(grouped, "grouped")
+        keepers = written(grouped.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1").select("component", "keeper"), "keepers")
+        decided = written(looked_up(grouped.select("line", "component"), keepers, "component", "inner").select("line", "keeper"), "decided")
+        met = looked_up(places, decided, "line", "inner").where((F.col("doc") != F.col("keeper.doc")) | (F.col("number") != F.col("keeper.number")))
+        return keep(written(met.groupBy("doc").agg(F.array_sort(F.collect_set("number")).alias("numbers")), "drops"))
+
+
+def dedup_lines(documents: DataFrame) -> DataFrame:
+    """``documents`` with near-duplicate lines taken out of ``text``, and n_lines and n_dropped of each document."""
+    doc, dropped, lines, edges = (next(x for k in range(len(documents.columns) + 1) if (x := f"_{name}{k}") not in documents.columns) for name in ("doc", "dropped", "lines", "edges"))
+    drops = decisions(documents).select(F.col("doc").alias(doc), F.col("numbers").alias(dropped))
+    total = drops.agg(F.coalesce(F.sum(F.size(dropped) + 2), F.lit(0))).first()[0]
+    out = documents.join(F.broadcast(drops) if total <= BROADCAST_DROPS else drops, documents["doc_id"] == F.col(doc), "left")
+    out = out.withColumn(lines, F.split("text", "\n", -1))
+    out = out.withColumn(edges, F.concat(F.array(F.lit(-1)), F.coalesce(dropped, F.array().cast("array<int>")), F.array(F.size(lines))))
+    # the runs of lines between those that go: steps follow the number of lines
+    runs = F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda i: F.slice(lines, F.get(edges, i) + 2, F.get(edges, i + 1) - F.get(edges, i) - 1))
+    out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"), "n_dropped": (F.size(edges) - 2).cast("long")})
+    return out.withColumn("text", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))).drop(doc, dropped, lines, edges)

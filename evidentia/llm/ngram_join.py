@@ -11,8 +11,10 @@
    subtree as soon as its remaining length cannot bring the overlap needed.
 5. Links become components by distributed union-find.
 
-Similarities are those of the sets of hashes, of which the comparison keeps 40 bits; no candidate is dropped. Two
-different n-grams of a pair of usual documents share such a hash with a probability of some 1e-7.
+Similarities are those of sets of 64-bit hashes, made anew from the whole texts of the candidates wherever two are
+compared; no candidate is dropped. A list larger than a block is compared block by block, so no task holds a whole hot
+list. The sketch that gives the order has 2**LARGEST counters at most: beyond some 2**(LARGEST + 3) n-grams more of them
+share a counter, which makes lists longer and loses no link.
 
 Cases: a null or empty text, or one of white space only, has no n-grams and links with nothing; fewer words than n make
 one n-gram; long texts are read whole; repeated rows of an id count as one document with the n-grams of its first set
@@ -27,11 +29,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import powers
-from .common import chunks, id_filter, mapped, maybe_in, mix, texts_of, written
+from .bpe import BASE, powers
+from .common import chunks, id_filter, mapped, maybe_in, mix, steps, texts_of, written
 from .components import BROADCAST_ROWS, components, looked_up, union_find
 
 WORDS = 5
@@ -39,10 +42,12 @@ WORDS = 5
 SIMILAR = (3, 4)
 #: Counters of the sketch: about an eighth of the n-grams, 2**LARGEST at most (one byte each where it is used).
 SMALLEST, LARGEST, PIECES = 16, 25, 256
-#: Probes that go down one copy of a list's tree.
-PROBES = 256
+#: Members of a list, and probes of it, that one comparison holds.
+BLOCK = 500
 #: Parts of a set's sketch, and rounds of other leaders.
 BUCKETS, LEADER_ROUNDS = 256, 2
+#: Bytes that are hashed at a time, so that memory does not follow the length of a text.
+BYTES = 1 << 19
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, *range(9, 14)]] = True
@@ -50,21 +55,43 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LETTERS = np.random.default_rng(5).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+MASK = (1 << 64) - 1
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, the first word's place of each text and the number of words)."""
+    """(hashes of all words in order, the first word's place of each text and the number of words).
+
+    The texts are one stream of bytes, hashed block by block; a word that a block cuts is carried on.
+    """
     raw = [t.encode("utf-8", "surrogatepass") + b" " for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
-    gap = SEPARATOR[data]
-    edge = np.diff(gap.view(np.int8), prepend=1)
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    power, inverse = powers(len(data) + 1)
-    prefix = np.empty(len(data) + 1, np.uint64)
-    prefix[0] = 0
-    np.cumsum(LETTERS[LOWER[data]] * power[: len(data)], out=prefix[1:])
-    hashes = mix((prefix[end] - prefix[start]) * inverse[start])
-    return hashes, np.searchsorted(start, np.cumsum([0, *map(len, raw)]))
+    power, inverse = powers(BYTES + 1)
+    prefix = np.zeros(BYTES + 1, np.uint64)
+    starts, hashes = [], []
+    carried, begun, length = 0, -1, 0  # the sum of a cut word so far, its first byte and its length
+    for at in range(0, len(data), BYTES):
+        own = data[at : at + BYTES]
+        gap = SEPARATOR[own]
+        edge = np.diff(gap.view(np.int8), prepend=1, append=1)
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        np.cumsum(LETTERS[LOWER[own]] * power[: len(own)], out=prefix[1 : len(own) + 1])
+        sums = (prefix[end] - prefix[start]) * inverse[start]
+        start = start + at
+        if begun >= 0:
+            if len(sums) and start[0] == at:
+                carried = (carried + int(sums[0]) * pow(BASE, length, 1 << 64)) & MASK
+                sums[0], start[0] = np.uint64(carried), begun
+            else:
+                sums, start = np.append(np.uint64(carried), sums), np.append(begun, start)
+            begun = -1
+        if len(sums) and not gap[-1]:
+            carried, begun = int(sums[-1]), int(start[-1])
+            length = at + len(own) - begun
+            sums, start = sums[:-1], start[:-1]
+        starts.append(start)
+        hashes.append(mix(sums))
+    start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.searchsorted(start, np.cumsum([0, *map(len, raw)]))
 
 
 def ngram_sets(texts: list[str], n: int = WORDS) -> list[np.ndarray]:
@@ -99,7 +126,7 @@ def needed(a: int, b: int) -> int:
     return -(-p * (a + b) // (p + q))
 
 
-def documents_in(batches: Iterator[pa.RecordBatch], keep=None, size: int = 2_000_000):
+def documents_in(batches: Iterator[pa.RecordBatch], keep=None, size: int = 1_000_000):
     """(ids, sets) of a stream of (id, text) batches, in bounded chunks; keep: which ids to read, as a mask."""
     for batch in batches:
         if keep is not None:
@@ -109,15 +136,17 @@ def documents_in(batches: Iterator[pa.RecordBatch], keep=None, size: int = 2_000
             yield ids[a:b], ngram_sets(texts[a:b])
 
 
+def set_name(grams: np.ndarray) -> str:
+    """Two sums over mixed hashes, which tell sets apart."""
+    return f"{int(mix(grams).sum(dtype=np.uint64)) ^ len(grams):016x}{int(mix(grams ^ GOLDEN).sum(dtype=np.uint64)):016x}"
+
+
 def class_table(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_id) of each document; equal sets have equal set ids."""
 
     def over(batches):
         for ids, sets in documents_in(batches):
-            # two sums over mixed hashes tell sets apart
-            names = [(int(mix(s).sum(dtype=np.uint64)) ^ len(s)) for s in sets]
-            other = [int(mix(s ^ GOLDEN).sum(dtype=np.uint64)) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([f"{a:016x}{b:016x}" for a, b in zip(names, other)], pa.string())], ["doc_id", "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s) for s in sets], pa.string())], ["doc_id", "n_shingles", "set_id"])
 
     return mapped(documents, ["doc_id", "text"], "doc_id long, n_shingles long, set_id string", over)
 
@@ -176,6 +205,31 @@ def may_link(n: np.ndarray, left: np.ndarray, i: int) -> np.ndarray:
     return (p + q) * np.minimum(left, left[i]) >= p * (n + n[i])
 
 
+def few_with_partner(n: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The same for a short list, pair by pair."""
+    p, q = SIMILAR
+    both = (p + q) * np.minimum(left[:, None], left) >= p * (n[:, None] + n)
+    return both.sum(axis=1) - both.diagonal() > 0
+
+
+def with_partner(n: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which members of a list have another one in it that they may link with, as ``may_link`` says, in n log n steps."""
+    p, q = SIMILAR
+    room = (p + q) * left - p * n  # a partner's n-grams, p times, are no more than this
+    order = np.argsort(n, kind="stable")
+    best = np.maximum.accumulate(room[order])
+    first = np.flatnonzero(np.diff(best, prepend=best[:1] - 1) > 0)
+    who = np.repeat(first, np.diff(np.append(first, len(n))))  # whose room is the largest so far
+    before = np.append(np.iinfo(np.int64).min, best[:-1])
+    second = np.maximum.accumulate(np.minimum(room[order], before))
+    to = np.searchsorted(n[order], room // p, side="right") - 1  # the last that is small enough
+    place = np.empty(len(n), np.int64)
+    place[order] = np.arange(len(n))
+    at = np.maximum(to, 0)
+    most = np.where(who[at] == place, second[at], best[at])
+    return (to >= 0) & (most >= p * n)
+
+
 def shared_lists(keys_in: np.ndarray, ids_in: np.ndarray, sizes_in: np.ndarray, left_in: np.ndarray) -> pa.Table:
     """Rows of LISTS for ids that stand under equal keys. left: a set's n-grams from this one on.
 
@@ -183,6 +237,7 @@ def shared_lists(keys_in: np.ndarray, ids_in: np.ndarray, sizes_in: np.ndarray,
     that have such a partner in it.
     """
     p, q = SIMILAR
+    sizes_in, left_in = np.asarray(sizes_in, np.int64), np.asarray(left_in, np.int64)
     order = np.lexsort((ids_in, keys_in))
     k, every = keys_in[order], ids_in[order]
     once = np.append(True, (k[1:] != k[:-1]) | (every[1:] != every[:-1])) if len(k) else np.zeros(0, bool)
@@ -197,10 +252,8 @@ def shared_lists(keys_in: np.ndarray, ids_in: np.ndarray, sizes_in: np.ndarray,
     seen: set[int] = set()
     for x, c in zip(start[count > 2].tolist(), count[count > 2].tolist()):
         ids, n, left = every[x : x + c], sizes[x : x + c], lefts[x : x + c]
-        if len(ids) <= 2000:
-            both = (p + q) * np.minimum(left[:, None], left) >= p * (n[:, None] + n)
-            kept = both.sum(axis=1) - both.diagonal() > 0
-            ids, n, left = ids[kept], n[kept], left[kept]
+        kept = with_partner(n, left) if len(ids) > 64 else few_with_partner(n, left)
+        ids, n, left = ids[kept], n[kept], left[kept]
         if len(ids) < 2:
             continue
         if len(ids) == 2:
@@ -236,7 +289,7 @@ def candidates(documents: DataFrame, keep, classes, bits: int, ranges: int) -> D
     """
 
     def emit(batches):
-        for ids, sets in documents_in(batches, keep, 8_000_000):
+        for ids, sets in documents_in(batches, keep):
             grams, owners, places = [], [], []
             level = classes.value
             for k, s in enumerate(sets):
@@ -280,12 +333,16 @@ def candidates(documents: DataFrame, keep, classes, bits: int, ranges: int) -> D
 
 
 class Trie:
-    """Sets in a common order, those that are frequent here first, stored with shared beginnings once."""
+    """Sets in one global order, stored with shared beginnings once.
 
-    def __init__(self, sets: list[np.ndarray]):
-        every, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    The prefix index reads the order from its rare end, the trie from its frequent end, where sets share their
+    beginnings. level: how frequent each n-gram of an array is in the corpus (all alike where it is not given).
+    """
+
+    def __init__(self, sets: list[np.ndarray], level: Callable[[np.ndarray], np.ndarray] | None = None):
+        every, at = np.unique(np.concatenate(sets), return_inverse=True)
         rank = np.empty(len(every), np.int64)
-        rank[np.lexsort((every, -count))] = np.arange(len(every))
+        rank[np.lexsort((every, -level(every).astype(np.int64))) if level else np.arange(len(every))] = np.arange(len(every))
         cuts = np.cumsum([len(s) for s in sets])[:-1]
         self.rows = [np.sort(x) for x in np.split(rank[at], cuts)]
         self.width = len(every)
@@ -351,43 +408,60 @@ class Trie:
         return out
 
 
-#: Bytes of an n-gram's hash that a stored set keeps: two of a pair's 500 n-grams agree by chance once in some millions of pairs.
-KEPT_BYTES = 5
+def decoded(texts: list[bytes], size: int = 500_000) -> list[np.ndarray]:
+    """The n-gram sets of stored texts."""
+    own = [x.decode("utf-8", "surrogatepass") for x in texts]
+    return [s for a, b in chunks(own, size) for s in ngram_sets(own[a:b])]
+
 
+class TrieJudge:
+    """Compares n-gram sets in a prefix tree. level: a broadcast of the sketch's levels, in 2**bits slots."""
 
-def packed_set(grams: np.ndarray) -> bytes:
-    """A set of hashes as KEPT_BYTES upper bytes each."""
-    return (grams >> np.uint64(64 - 8 * KEPT_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes()
+    def __init__(self, level=None, bits: int = 0):
+        self.level, self.bits = level, bits
 
+    def prepare(self, texts: list[bytes]) -> list[np.ndarray]:
+        return decoded(texts)
 
-def stored(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // KEPT_BYTES, 8), np.uint8)
-    out[:, :KEPT_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, KEPT_BYTES)
-    return np.unique(out.view("<u8").ravel())
+    def links(self, sets: list[np.ndarray], probe: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
+        """(probe, member) of similar sets in different parts."""
+        of = (lambda g: self.level.value[g >> np.uint64(64 - self.bits)]) if self.level is not None else None
+        trie = Trie(sets, of)
+        return [(i, j) for i in np.flatnonzero(probe).tolist() for j in trie.similar(i) if part[i] != part[j]]
 
 
-def verified(rows: DataFrame, sets: DataFrame, tasks: int, decode: Callable[[bytes], np.ndarray] = stored) -> DataFrame:
-    """(a, b) links between probes and other members of each list. rows: (list, doc_id, probe); decode: a set from ``grams``."""
-    met = rows.join(sets, "doc_id").select(F.pmod(F.xxhash64("list"), F.lit(tasks)).alias("task"), "list", "doc_id", "probe", "grams")
+def verified(rows: DataFrame, store: DataFrame, tasks: int, judge) -> DataFrame:
+    """(a, b) links between probes and members of other components of each list. rows: (list, doc_id, component, probe)."""
+    met = rows.join(store.select("doc_id", "grams"), "doc_id").select(F.pmod(F.xxhash64("list"), F.lit(tasks)).alias("task"), "list", "doc_id", "component", "probe", "grams")
 
     def compare(key, batch):
         a: list[int] = []
         b: list[int] = []
-        names = np.asarray(batch["list"])
-        docs, probe, grams = np.asarray(batch["doc_id"]), np.asarray(batch["probe"]), batch["grams"].combine_chunks()
-        order = np.lexsort((docs, names))
-        cuts = np.flatnonzero(np.diff(names[order], prepend=names[order[0]] - 1 if len(order) else 0)) if len(order) else []
-        for x, y in zip(cuts, [*cuts[1:], len(order)]):
-            at = order[x:y]
-            own, which = np.unique(docs[at], return_index=True)
-            at = at[which]
-            if len(at) < 2:
-                continue
-            trie = Trie([decode(grams[int(i)].as_py()) for i in at])
-            for i in np.flatnonzero(probe[at]).tolist():
-                found = trie.similar(i)
-                a += [int(own[i])] * len(found)
-                b += own[found].tolist()
+        names, docs, probe, part = (np.asarray(batch[c]) for c in ("list", "doc_id", "probe", "component"))
+        grams = batch["grams"].combine_chunks()
+        length = np.asarray(pc.binary_length(grams))
+        order = np.lexsort((~probe, docs, names))
+        once = np.append(True, (np.diff(names[order]) != 0) | (np.diff(docs[order]) != 0))  # as a probe where it is both
+        order = order[once]
+        cuts = [*np.flatnonzero(np.append(True, np.diff(names[order]) != 0)).tolist(), len(order)]
+        done = 0
+        while done < len(cuts) - 1:  # lists are taken together up to some text
+            upto, size = done, 0
+            while upto < len(cuts) - 1 and (upto == done or size < 4_000_000):
+                size += int(length[order[cuts[upto] : cuts[upto + 1]]].sum())
+                upto += 1
+            at = order[cuts[done] : cuts[upto]]
+            who, which = np.unique(docs[at], return_inverse=True)
+            place = np.empty(len(who), np.int64)
+            place[which] = at
+            ready = judge.prepare([grams[int(i)].as_py() for i in place])
+            for x, y in zip(cuts[done:upto], cuts[done + 1 : upto + 1]):
+                if y - x > 1:
+                    own, base = order[x:y], which[x - cuts[done] : y - cuts[done]]
+                    found = judge.links([ready[i] for i in base.tolist()], probe[own], part[own])
+                    a += [int(docs[own[i]]) for i, _ in found]
+                    b += [int(docs[own[j]]) for _, j in found]
+            done = upto
         # a task's links as stars: their number follows the members, not the pairs
         node, top = union_find(np.array(a, np.int64), np.array(b, np.int64))
         own = node != top
@@ -405,6 +479,7 @@ def similar_components(documents: DataFrame) -> DataFrame:
     placed = looked_up(stats, classes, "set_id").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"))
     placed = written(placed, "placed")
     alone = placed.where("doc_id = class_id and n_shingles > 0")
+    unique = placed.select("doc_id").count() == documents.count()
     total, count = alone.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     if not count:
         return placed.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -418,95 +493,105 @@ def similar_components(documents: DataFrame) -> DataFrame:
     found = written(candidates(documents, keep, level, bits, ranges), "candidates")
 
 
-    def sets_of(involved: DataFrame) -> DataFrame:
+    def texts_of_ids(involved: DataFrame) -> DataFrame:
         asked, asked_width = id_filter(involved, "doc_id")
         asked_told = spark.sparkContext.broadcast(asked)
         both = lambda ids: maybe_in(asked_told.value, asked_width, ids) & keep(ids)
 
-        def with_sets(batches):
-            for ids, sets in documents_in(batches, both):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([packed_set(s) for s in sets], pa.binary())], ["doc_id", "grams"])
+        def stored(batches):
+            for batch in batches:
+                batch = batch.filter(pa.array(both(np.asarray(batch.column(0)))))
+                texts = texts_of(batch.column(1))
+                for a, b in chunks(texts, 1_000_000):
+                    own = ngram_sets(texts[a:b])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([set_name(s) for s in own], pa.string()), pa.array([t.encode("utf-8", "surrogatepass") for t in texts[a:b]], pa.binary()), pa.array([sketch_of(s) for s in own], pa.binary())], ["doc_id", "set_id", "grams", "sketch"])
 
-        return mapped(documents, ["doc_id", "text"], "doc_id long, grams binary", with_sets)
+        kept = mapped(documents, ["doc_id", "text"], "doc_id long, set_id string, grams binary, sketch binary", stored)
+        return kept if unique else kept.groupBy("doc_id").agg(F.min_by(F.struct("grams", "sketch"), "set_id").alias("s")).select("doc_id", "s.*")
 
-    final = linked(found, sets_of).select(F.col("node").alias("class_id"), "component")
+    final = linked(found, texts_of_ids, TrieJudge(level, bits), True).select(F.col("node").alias("class_id"), "component")
     return looked_up(placed, final, "class_id").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
 
 
-def linked(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame], decode: Callable[[bytes], np.ndarray] = stored) -> DataFrame:
-    """(node, component) over all links among candidates. found: as ``candidates`` gives them; sets_of: (doc_id, grams) of the ids in a table."""
-    pairs = found.where("kind = 0").select(F.col("key").alias("leader"), F.col("docs")[0].alias("doc_id")).distinct()
-    lists = found.where("kind = 1").dropDuplicates(["key"]).select(F.col("key").alias("list"), F.arrays_zip("docs", "sizes").alias("members"))
-    pairs, lists = written(pairs, "pairs"), written(lists, "lists")
-    members = written(lists.select("list", F.explode("members").alias("m")).select("list", F.col("m.docs").alias("doc_id"), F.col("m.sizes").alias("size")), "members")
-    involved = pairs.select("doc_id").union(pairs.select("leader")).union(members.select("doc_id")).distinct()
-    sets = written(sets_of(involved), "grams")
-
-    # leaders first: one list per leader and share of its members
-    tasks = max(32, math.ceil((pairs.count() + members.count()) / 2_000))
-    sketches = written(sets.mapInArrow(sketched(decode), "doc_id long, sketch binary"), "sketches")
-    links = written(compared(led(pairs), sketches, sets, tasks, decode), "links")
-    known = components(links)
-    # other leaders, from each list's largest component, for what is outside it: a few rounds join the groups of near copies
-    for turn in range(LEADER_ROUNDS):
-        now = placed_in(members, known)
-        of = F.max_by("doc_id", F.xxhash64("doc_id", F.lit(turn)))
-        parts = now.groupBy("list", "component").agg(F.count("*").alias("n"), of.alias("leader"))
-        top = parts.groupBy("list").agg(F.count("*").alias("parts"), F.max_by(F.struct("component", "leader"), F.struct("n", "component")).alias("top")).where("parts > 1")
-        more = now.join(top.select("list", "top.component", "top.leader").withColumnRenamed("component", "largest"), "list").where("component <> largest").select("leader", "doc_id").distinct()
-        fresh = written(compared(led(written(more, "pairs")), sketches, sets, tasks, decode), "links")
-        if fresh.isEmpty():
-            break
-        links = links.union(fresh)
-        known = components(links)
+def heads_of(now: DataFrame, turn: int) -> DataFrame:
+    """(list, largest, leader, parts) of lists with several components: the largest one and a member of it. now: (list, doc_id, component)."""
+    of = F.max_by("doc_id", F.xxhash64("doc_id", F.lit(turn)))
+    parts = now.groupBy("list", "component").agg(F.count("*").alias("n"), of.alias("leader"))
+    top = parts.groupBy("list").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), F.max_by(F.struct("component", "leader", "n"), F.struct("n", "component")).alias("top")).where("parts > 1")
+    return written(top.select("list", "members", F.col("top.component").alias("largest"), "top.leader", (F.col("members") - F.col("top.n")).alias("probes")), "heads")
 
-    # then the lists that still hold several components, whole
-    now = placed_in(members, known)
-    per = now.groupBy("list", "component").agg(F.count("*").alias("n"))
-    open_lists = per.groupBy("list").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1").select("list", "largest")
-    rest = now.join(open_lists, "list").withColumn("probe", F.col("component") != F.col("largest"))
-    rest = written(rest.select("list", "doc_id", "component", "probe"), "rest")
-    probes = rest.where("probe").groupBy("list").count().select("list", F.ceil(F.col("count") / PROBES).cast("int").alias("blocks"))
-    blocks = rest.join(probes, "list").select("list", "doc_id", "component", "probe", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")) == F.col("block")
-    whole = blocks.select(F.xxhash64("list", "block").alias("list"), "doc_id", "component", (F.col("probe") & mine).alias("probe"))
-    return components(links.union(written(compared(whole, sketches, sets, tasks, decode), "links")))
+
+def linked(found: DataFrame, texts_of_ids: Callable[[DataFrame], DataFrame], judge, sifting: bool) -> DataFrame:
+    """(node, component) over all links among candidates.
+
+    found: as ``candidates`` gives them; texts_of_ids: (doc_id, grams[, sketch]) of the ids in a table; judge: prepares
+    stored texts and finds the links of a list; sifting: whether sketches are there to leave what cannot link.
+    """
+    with steps() as keep:
+        pairs = written(found.where("kind = 0").select(F.col("key").alias("leader"), F.col("docs")[0].alias("doc_id")).distinct(), "pairs")
+        lists = found.where("kind = 1").dropDuplicates(["key"]).select(F.col("key").alias("list"), "docs")
+        members = written(lists.select("list", F.explode("docs").alias("doc_id")), "members")
+        involved = written(pairs.select("doc_id").union(pairs.select("leader")).union(members.select("doc_id")).distinct(), "involved")
+        store = written(texts_of_ids(involved), "texts")
+        tasks = max(32, math.ceil((pairs.count() + members.count()) / 2_000))
+        meet = compared if sifting else verified
+
+        # leaders first: lists of a leader and a share of its members
+        links = written(meet(led(pairs), store, tasks, judge), "links")
+        known = components(links)
+        # other leaders, from each list's largest component, for what is outside it: a few rounds join the groups of near copies
+        for turn in range(LEADER_ROUNDS):
+            now = placed_in(members, known)
+            top = heads_of(now, turn).select("list", "largest", "leader")
+            more = written(looked_up(now, top, "list", "inner").where("component <> largest").select("leader", "doc_id").distinct(), "pairs")
+            if more.isEmpty():
+                return keep(known)
+            fresh = written(meet(led(more), store, tasks, judge), "links")
+            if fresh.isEmpty():
+                break
+            links = links.union(fresh)
+            known = components(links)
+
+        # then the lists that still hold several components: what is outside the largest one meets all members, block by block
+        now = placed_in(members, known)
+        top = heads_of(now, LEADER_ROUNDS).select("list", "largest", F.ceil(F.col("members") / BLOCK).cast("int").alias("across"), F.ceil(F.col("probes") / BLOCK).cast("int").alias("down"))
+        rest = looked_up(now, top, "list", "inner").withColumn("mine", F.xxhash64("doc_id"))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        stored = rest.select("list", "doc_id", "component", F.lit(False).alias("probe"), each("down").alias("row"), F.pmod("mine", "across").alias("column"))
+        asking = rest.where("component <> largest").select("list", "doc_id", "component", F.lit(True).alias("probe"), F.pmod("mine", "down").cast("int").alias("row"), each("across").alias("column"))
+        blocks = stored.union(asking.withColumn("column", F.col("column").cast("long"))).select(F.xxhash64("list", "row", "column").alias("list"), "doc_id", "component", "probe")
+        last = written(meet(written(blocks, "blocks"), store, tasks, judge), "links")
+        return keep(known if last.isEmpty() else components(links.union(last)))
 
 
 def placed_in(members: DataFrame, known: DataFrame) -> DataFrame:
-    """(list, doc_id, component) of the lists' members."""
-    return looked_up(members.select("list", "doc_id"), known.withColumnRenamed("node", "doc_id"), "doc_id").withColumn("component", F.coalesce("component", "doc_id"))
+    """(list, doc_id, component) of the lists' members, as a written table."""
+    now = looked_up(members.select("list", "doc_id"), known.withColumnRenamed("node", "doc_id"), "doc_id").withColumn("component", F.coalesce("component", "doc_id"))
+    return written(now.select("list", "doc_id", "component"), "placed")
 
 
 def led(pairs: DataFrame) -> DataFrame:
-    """Lists of a leader, which is the probe, and a share of its members. pairs: (leader, doc_id)."""
-    share = pairs.withColumn("list", F.xxhash64("leader", F.pmod(F.xxhash64("doc_id"), F.lit(16))))
+    """Lists of a leader, which is the probe, and a share of its members, BLOCK or so. pairs: a written table of (leader, doc_id)."""
+    many = written(pairs.groupBy("leader").count().where(F.col("count") > BLOCK).select("leader", F.ceil(F.col("count") / BLOCK).cast("int").alias("shares")), "shares")
+    share = looked_up(pairs, many, "leader").select("doc_id", "leader", F.xxhash64("leader", F.pmod(F.xxhash64("doc_id"), F.coalesce("shares", F.lit(1)))).alias("list"))
     heads = share.select("list", F.col("leader").alias("doc_id")).distinct()
     rows = share.select("list", "doc_id", F.lit(False).alias("probe")).union(heads.withColumn("probe", F.lit(True)))
     return rows.select("list", "doc_id", F.col("doc_id").alias("component"), "probe")
 
 
-def sketched(decode: Callable[[bytes], np.ndarray]) -> Callable:
+def sketch_of(grams: np.ndarray) -> bytes:
     """How many of a set's n-grams fall in each of BUCKETS parts; all zero where a count is too large for a byte."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for blob in batch.column(1):
-                counts = np.bincount((decode(blob.as_py()) >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
-                out.append((counts if counts.max() < 256 else counts * 0).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "sketch"])
-
-    return over
+    counts = np.bincount((grams >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+    return (counts if counts.max() < 256 else counts * 0).astype(np.uint8).tobytes()
 
 
-def compared(rows: DataFrame, sketches: DataFrame, sets: DataFrame, tasks: int, decode: Callable[[bytes], np.ndarray]) -> DataFrame:
+def compared(rows: DataFrame, store: DataFrame, tasks: int, judge) -> DataFrame:
     """(a, b) links of probes with members of other components of their lists. rows: (list, doc_id, component, probe).
 
     Two sets overlap in no more n-grams than the lesser counts of their sketches' parts add up to. What cannot reach
-    the overlap needed is left before the sets themselves are brought together.
+    the overlap needed is left before the texts themselves are brought together.
     """
-    met = rows.join(sketches, "doc_id").select(F.pmod(F.xxhash64("list"), F.lit(tasks)).alias("task"), "list", "doc_id", "component", "probe", "sketch")
+    met = rows.join(store.select("doc_id", "sketch"), "doc_id").select(F.pmod(F.xxhash64("list"), F.lit(tasks)).alias("task"), "list", "doc_id", "component", "probe", "sketch")
 
     def sift(key, batch):
         names, docs, parts, probe = (np.asarray(batch[c]) for c in ("list", "doc_id", "component", "probe"))
@@ -526,10 +611,10 @@ def compared(rows: DataFrame, sketches: DataFrame, sets: DataFrame, tasks: int,
                 if may.any():
                     kept[at[may]] = True
                     kept[at[i]] = True
-        return pa.table({"list": pa.array(names[kept]), "doc_id": pa.array(docs[kept]), "probe": pa.array(probe[kept])})
+        return pa.table({"list": pa.array(names[kept]), "doc_id": pa.array(docs[kept]), "component": pa.array(parts[kept]), "probe": pa.array(probe[kept])})
 
-    sifted = written(met.groupBy("task").applyInArrow(sift, "list long, doc_id long, probe boolean"), "sifted")
-    return verified(sifted, sets, tasks, decode)
+    sifted = written(met.groupBy("task").applyInArrow(sift, "list long, doc_id long, component long, probe boolean"), "sifted")
+    return verified(sifted, store, tasks, judge)
 
 
 def without(documents: DataFrame, ids: DataFrame) -> DataFrame:

@@ -250,6 +250,36 @@ def test_trie_joins_exactly():
         assert set(trie.similar(i)) == expected
 
 
+def test_words_do_not_follow_blocks(monkeypatch):
+    texts = [prose(1, 50), "", "aé" * 300 + " x", "y " * 40, "  lead", "日本 " * 30 + "z" * 500]
+    whole = [s.tolist() for s in ngram_join.ngram_sets(texts)]
+    for size in (16, 37, 64, 1000):
+        monkeypatch.setattr(ngram_join, "BYTES", size)
+        assert [s.tolist() for s in ngram_join.ngram_sets(texts)] == whole
+
+
+def test_lists_keep_members_with_a_partner():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        n = rng.integers(1, 60, rng.integers(2, 30))
+        left = np.array([rng.integers(1, x + 1) for x in n])
+        expected = [any(7 * min(left[i], left[j]) >= 3 * (n[i] + n[j]) for j in range(len(n)) if j != i) for i in range(len(n))]
+        assert ngram_join.with_partner(n, left).tolist() == ngram_join.few_with_partner(n, left).tolist() == expected
+
+
+def test_blocks_and_shares_join_exactly(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    rng = random.Random(4)
+    rows = []
+    for k in range(45):
+        words = prose(100, 60).split()
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(60)] = f"new{rng.randrange(1000)}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
 def test_line_dedup(spark, empty):
     long = prose(1, 30)
     near = long.replace(long.split()[15], "wxyz", 1)
@@ -263,10 +293,17 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def alike(a, b):
+    """The definition of similar lines, by plain sets."""
+    short, long = sorted((len(a), len(b)))
+    k = next(size for least, size, _ in reversed(line_dedup.CLASSES) if short >= least)
+    x, y = ({t[i : i + k] for i in range(max(1, len(t) - k + 1))} for t in (a, b))
+    return 4 * short >= 3 * long and 4 * len(x & y) >= 3 * len(x | y)
+
+
 def test_line_dedup_finds_edits_of_short_lines(spark):
     rng = random.Random(21)
     some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
-    grams = lambda x: {x[i : i + 4] for i in range(len(x) - 3)}
     rows, base, edits = [], {}, {}
     for n in range(20, 111, 3):
         for kind in ("character", "word"):
@@ -278,9 +315,62 @@ def test_line_dedup_finds_edits_of_short_lines(spark):
             base[doc + 1], edits[doc + 1] = line, (kind, " ".join(words))
     got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for doc, (kind, line) in edits.items():
-        a, b = grams(base[doc]), grams(line)
-        assert got[doc - 1] == 0 and got[doc] == int(4 * len(a & b) >= 3 * len(a | b)), (kind, line)
-        assert got[doc] == 1 or len(line) < (31 if kind == "character" else 52), (kind, line)
+        assert got[doc - 1] == 0 and got[doc] == int(alike(base[doc], line)), (kind, line)
+        assert got[doc] == 1 or len(line) < (24 if kind == "character" else 45), (kind, line)
+
+
+def test_line_dedup_equals_brute_force(spark):
+    """Near copies of lines of all classes, with white space of all kinds: nothing unlike goes, and recall is measured."""
+    rng = random.Random(8)
+    lines = []
+    for k in range(40):
+        words = prose(900 + k, rng.choice((3, 8, 14, 25, 40, 90, 200))).split()
+        lines.append(" ".join(words))
+        for _ in range(3):
+            other = list(words)
+            for _ in range(rng.randrange(1, max(2, len(words) // 12))):
+                other[rng.randrange(len(words))] = f"new{rng.randrange(1000)}"
+            lines.append(" ".join(other))
+    lines += ["x y\u2003z " + prose(5, 4), "x y z " + prose(5, 4), "\u3000X  y z\t" + prose(5, 4)]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    parent = list(range(len(lines)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    normal = [" ".join(x.lower().split()) for x in lines]
+    for i in range(len(lines)):
+        for j in range(i):
+            if alike(normal[i], normal[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    expected = {i: int(find(i) != i) for i in range(len(lines))}
+    assert got[len(lines) - 1] == got[len(lines) - 2] == 1
+    assert not [i for i in got if got[i] > expected[i]]
+    assert sum(got.values()) >= 0.95 * sum(expected.values()) > 50
+
+
+def test_band_recall():
+    """Lines at the threshold or a little above it meet in a band as often as stated."""
+    rng = random.Random(3)
+    for kind, (least, size, _) in enumerate(line_dedup.CLASSES):
+        for low, wanted in ((0.75, 0.9), (0.85, 0.97)):
+            hits = total = 0
+            n = max(least, 40) * 13 // 10
+            for _ in range(300):
+                a = [rng.choice("abcdefgh") for _ in range(n)]
+                b = list(a)
+                for at in rng.sample(range(n), max(1, round(n * (0.98 - low) / (size * (1.02 + low))))):
+                    b[at] = rng.choice("ijklmnop")
+                x, y = ({"".join(z[i : i + size]) for i in range(n - size + 1)} for z in (a, b))
+                if low <= len(x & y) / len(x | y) < low + 0.06:
+                    keys = line_dedup.band_keys(["".join(a), "".join(b)], kind)
+                    hits += bool((keys[:, 0] == keys[:, 1]).any())
+                    total += 1
+            assert total >= 20 and hits >= wanted * total, (kind, low, hits, total)
 
 
 def test_licenses(spark, documents, empty):
