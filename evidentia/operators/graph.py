@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import random
-from collections import deque
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..sources.tables import written
 
 #: Edges that a kernel may hold in memory on each worker.
 KERNEL_EDGES = 5_000_000
+#: Distances, two bytes each, that the driver may hold and broadcast: random modules times nodes.
+KERNEL_CELLS = 64_000_000
 #: Rounds whose results are read apart before they are written as one table.
 ROUNDS = 16
 
@@ -23,6 +25,12 @@ def simple_edges(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
 
 
+def interactions(df: DataFrame) -> DataFrame:
+    """(u, v) from the first two columns of a table of texts: blanks, any case of "nan" and self-loops are left out."""
+    a, b = (text.blank_to_empty(F.col(f"`{c}`")) for c in df.columns[:2])
+    return simple_edges(df.select(F.nullif(a, F.lit("")).alias("a"), F.nullif(b, F.lit("")).alias("b")), "a", "b")
+
+
 def arcs(edges: DataFrame) -> DataFrame:
     """Both directions of each edge as (src, dst)."""
     return edges.select(F.col("u").alias("src"), F.col("v").alias("dst")).union(edges.select(F.col("v").alias("src"), F.col("u").alias("dst")))
@@ -121,14 +129,15 @@ class Network:
     def distances(self, sources: list[int]) -> np.ndarray:
         """Steps from the nearest source to every node; -1 where there is no path."""
         out = np.full(len(self.nodes), -1, np.int32)
-        out[sources] = 0
-        queue = deque(sources)
-        while queue:
-            x = queue.popleft()
-            for y in self.dst[self.start[x] : self.start[x + 1]].tolist():
-                if out[y] < 0:
-                    out[y] = out[x] + 1
-                    queue.append(y)
+        frontier, step = np.unique(np.asarray(sources, np.int64)), 0
+        out[frontier] = 0
+        while len(frontier):
+            step += 1
+            n = self.degree[frontier]
+            at = np.repeat(self.start[frontier] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            near = np.unique(self.dst[at])
+            frontier = near[out[near] < 0]
+            out[frontier] = step
         return out
 
     def bins(self, least: int) -> list[list[int]]:
@@ -201,6 +210,8 @@ def joined_z(edges: DataFrame, module: DataFrame, target_sets: DataFrame, least:
     placed = written(in_bin(own, bins).select("node", "bin", (F.row_number().over(order) - 1).alias("position")), "places")
 
     chosen = [(r.bin, r.position) for r in placed.join(module.select("node").distinct(), "node").orderBy("node").collect()]
+    if not chosen:
+        raise ValueError("the module has no node in the graph")
     rows = [(k, *x) for k, places in enumerate([set(chosen), *drawn_places(chosen, sizes, draws, seed)]) for x in places]
     sources = spark.createDataFrame(rows, "module long, bin int, position int").join(placed, ["bin", "position"])
     seen = frontier = written(sources.select("module", "node", F.lit(0).alias("distance")), "seen")
@@ -215,6 +226,8 @@ def joined_z(edges: DataFrame, module: DataFrame, target_sets: DataFrame, least:
         if step % ROUNDS == 0:
             seen = written(seen, "seen")
 
+    if seen.count() != (draws + 1) * own.count():
+        raise ValueError("the graph is not connected")
     kind = dict(target_sets.dtypes)["set_id"]
 
     def draw(batches):
@@ -226,7 +239,7 @@ def joined_z(edges: DataFrame, module: DataFrame, target_sets: DataFrame, least:
 
     sets = target_sets.join(placed, "node").groupBy("set_id").agg(F.sort_array(F.collect_set(F.struct("node", "bin", "position"))).alias("nodes"))
     drawn = sets.mapInPandas(draw, f"set_id {kind}, module long, bin int, position int").join(placed, ["bin", "position"]).join(seen, ["module", "node"], "left")
-    means = drawn.groupBy("set_id", "module").agg(F.avg(F.coalesce("distance", F.lit(-1))).alias("m"))
+    means = drawn.groupBy("set_id", "module").agg(F.avg("distance").alias("m"))
     null = F.when(F.col("module") > 0, F.col("m"))
     scored = means.groupBy("set_id").agg(F.max(F.when(F.col("module") == 0, F.col("m"))).alias("mean_distance"), F.avg(null).alias("mean"), F.stddev_pop(null).alias("sd"))
     z = F.when(F.col("sd") == 0, 0.0).otherwise((F.col("mean_distance") - F.col("mean")) / F.col("sd"))
@@ -237,24 +250,32 @@ def proximity_z(edges: DataFrame, module: DataFrame, target_sets: DataFrame, lea
     """(set_id, mean_distance, z) of each set of nodes against degree-matched random modules and sets.
 
     The r-th random set is measured from the r-th random module. Each distinct set is scored once. The graph goes to
-    every worker if it has KERNEL_EDGES edges at most; a larger one is walked by joins, with the same draws.
+    every worker if it has KERNEL_EDGES edges at most, and its distances from all modules are KERNEL_CELLS at most; a
+    larger one is walked by joins, with the same draws. A graph that is not connected, or a module without a node in
+    it, is an error. Nodes of a set that the graph lacks are left out; a set without any other has neither value.
     """
     spark = edges.sparkSession
     if edges.count() > KERNEL_EDGES:
         return joined_z(edges, module, target_sets, least, draws, seed)
     pairs = edges.toPandas()
     network = Network(pairs.u.to_numpy(), pairs.v.to_numpy())
+    if (draws + 1) * len(network.nodes) > KERNEL_CELLS:
+        return joined_z(edges, module, target_sets, least, draws, seed)
     place = {n: i for i, n in enumerate(network.nodes.tolist())}
     own = sorted(place[r.node] for r in module.select("node").distinct().collect() if r.node in place)
+    if not own:
+        raise ValueError("the module has no node in the graph")
     told = spark.sparkContext.broadcast((network, [own, *matched_samples(network, own, least, draws, seed)]))
 
     def walk(batches):
         net, modules = told.value
         for pdf in batches:
-            yield pd.DataFrame({"module": pdf["id"], "steps": [net.distances(modules[i]).tolist() for i in pdf["id"]]})
+            yield pd.DataFrame({"module": pdf["id"], "steps": [net.distances(modules[i]).astype("<i2").tobytes() for i in pdf["id"]]})
 
-    rows = written(spark.range(draws + 1).repartition(min(32, draws + 1)).mapInPandas(walk, "module long, steps array<int>"), "distances")
-    matrix = np.array([r.steps for r in rows.orderBy("module").collect()], np.int32)  # (draws + 1) x nodes of a graph of checked size
+    rows = written(spark.range(draws + 1).repartition(min(32, draws + 1)).mapInPandas(walk, "module long, steps binary"), "distances")
+    matrix = np.stack([np.frombuffer(r.steps, "<i2") for r in rows.orderBy("module").collect()])  # KERNEL_CELLS at most
+    if (matrix < 0).any():
+        raise ValueError("the graph is not connected")
     distances_told = spark.sparkContext.broadcast(matrix)
     sets = target_sets.groupBy("set_id").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
     distinct = sets.select("nodes").distinct()

@@ -1,29 +1,78 @@
-"""Network-based inference on a drug - target - substructure graph: weighted transition, propagation, similarity and prediction."""
+"""Network-based inference on a drug - target - substructure graph: weighted transition, propagation, similarity and prediction.
+
+Inputs are long tables; a query is a compound with its substructures, and an official drug as a query also has known
+targets. Ties of scores and of similarities are broken by the smaller id.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import significant
+from ..sources.tables import written
+
+#: Rows of a small side that may be broadcast; a larger one is joined by sort and merge.
+BROADCAST_ROWS = 200_000
+#: Decimals of propagated scores: sums that differ by the order of addition only are ties.
+DIGITS = 12
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Shares of a query's substructures and of the graph's substructure edges, exponent of the column sums, length of the normalised head, similar drugs, steps, and predictions kept."""
+
+    # fixed values of the method
+    alpha: float = 0.4
+    beta: float = 0.2
+    gamma: float = -0.5
+    delta: int = 20
+    epsilon: int = 4
+    steps: int = 2
+    most: int = 10
+
+    def __post_init__(self) -> None:
+        if not (0 <= self.alpha <= 1 and 0 <= self.beta <= 1 and self.delta >= 0 and self.epsilon >= 1 and self.steps >= 1 and self.most >= 1):
+            raise ValueError("inference parameters are out of range")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if ``rows``, its counted size, allows it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
 
 def transition(drug_sub: DataFrame, drug_target: DataFrame, beta: float, gamma: float) -> DataFrame:
     """(src, dst, p): adjacency beta on substructures and 1 - beta on targets, both ways; columns scaled by their sum to the power gamma; rows to one.
 
-    Inputs: (drug, sub) and (drug, target), ids unique over kinds.
+    Only drugs that have a target take part, so that no mass goes where no target can be reached. Inputs: (drug, sub)
+    and (drug, target), ids unique over kinds; repeated pairs count once.
     """
-    one_way = drug_sub.select("drug", F.col("sub").alias("other"), F.lit(beta).alias("w")).union(drug_target.select("drug", F.col("target").alias("other"), F.lit(1 - beta).alias("w")))
+    targets = drug_target.select("drug", F.col("target").alias("other")).distinct()
+    subs = drug_sub.select("drug", F.col("sub").alias("other")).distinct().join(targets.select("drug").distinct(), "drug", "left_semi")
+    one_way = subs.withColumn("w", F.lit(float(beta))).union(targets.withColumn("w", F.lit(1.0 - beta))).where("w > 0")
     both = one_way.select(F.col("drug").alias("src"), F.col("other").alias("dst"), "w").union(one_way.select(F.col("other").alias("src"), F.col("drug").alias("dst"), "w"))
     column = both.groupBy("dst").agg(F.sum("w").alias("c"))
-    scaled = both.join(column, "dst").withColumn("w", F.col("w") * F.pow("c", F.lit(gamma)))
+    scaled = both.join(column, "dst").select("src", "dst", (F.col("w") * F.pow("c", F.lit(float(gamma)))).alias("w"))
     return scaled.join(scaled.groupBy("src").agg(F.sum("w").alias("total")), "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p"))
 
 
+def represented(query_sub: DataFrame, drug_sub: DataFrame) -> DataFrame:
+    """(query, sub) of the substructures that the graph has."""
+    return query_sub.select("query", "sub").distinct().join(drug_sub.select("sub").distinct(), "sub", "left_semi").select("query", "sub")
+
+
+def sub_degree(query_sub: DataFrame) -> DataFrame:
+    """(query, degree): a query's distinct substructures, those that the graph lacks too."""
+    return query_sub.groupBy("query").agg(F.countDistinct("sub").alias("degree"))
+
+
 def seeds(query_sub: DataFrame, known: DataFrame, alpha: float) -> DataFrame:
     """(query, node, mass): alpha over a query's substructures, all of them counted, and 1 - alpha over its known targets."""
-    degree = query_sub.groupBy("query").agg(F.countDistinct("sub").alias("n"))
-    subs = query_sub.distinct().join(degree, "query").select("query", F.col("sub").alias("node"), (F.lit(alpha) / F.col("n")).alias("mass"))
+    subs = query_sub.select("query", "sub").distinct().join(sub_degree(query_sub), "query").select("query", F.col("sub").alias("node"), (F.lit(float(alpha)) / F.col("degree")).alias("mass"))
     held = known.groupBy("query").agg(F.countDistinct("target").alias("n"))
-    return subs.union(known.distinct().join(held, "query").select("query", F.col("target").alias("node"), ((1 - F.lit(alpha)) / F.col("n")).alias("mass")))
+    return subs.union(known.select("query", "target").distinct().join(held, "query").select("query", F.col("target").alias("node"), (F.lit(1.0 - alpha) / F.col("n")).alias("mass")))
 
 
 def propagate(mass: DataFrame, moves: DataFrame, steps: int) -> DataFrame:
@@ -33,32 +82,68 @@ def propagate(mass: DataFrame, moves: DataFrame, steps: int) -> DataFrame:
     return mass
 
 
-def threshold_normalised(scores: DataFrame, delta: int) -> DataFrame:
-    """Scores per query as 1 for the best delta + known + 1 and else as shares of the last of these. scores: (query, target, score, known)."""
-    own = Window.partitionBy("query").orderBy(F.desc("score"), "target")
-    place = scores.withColumn("place", F.row_number().over(own)).withColumn("edge", F.lit(delta + 1) + F.col("known"))
-    at = place.withColumn("threshold", F.max(F.when(F.col("place") == F.col("edge"), F.col("score"))).over(Window.partitionBy("query")))
-    share = F.when((F.col("place") <= F.col("edge")) | F.col("threshold").isNull() | (F.col("threshold") == 0), 1.0).otherwise(F.col("score") / F.col("threshold"))
-    return at.select("query", "target", "score", share.alias("normalised"))
+def threshold_normalised(scores: DataFrame, queries: DataFrame, targets: DataFrame, delta: int) -> DataFrame:
+    """(query, target, score, normalised) over all targets in the order of score, descending, and id.
+
+    The first min(delta + known + 1, number of targets) count 1; others are shares of the last of these, 0 if that is 0.
+    Rows are those that are not 0: what propagation reached, and for a query that reached fewer targets than the head
+    holds, the first of the others. scores: (query, target, score) with positive scores; queries: (query, known);
+    targets: (target). No query meets all targets: what fills a head is taken from the first ids.
+    """
+    n = targets.count()
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "target"))
+    edged = queries.select("query", F.least(F.lit(delta + 1) + F.coalesce("known", F.lit(0)), F.lit(n)).cast("long").alias("edge"))
+    rows = scores.join(edged, "query").withColumn("place", place)
+    last = rows.where("place = edge").select("query", F.col("score").alias("last"))
+    rows = rows.join(last, "query", "left")
+    own = rows.select("query", "target", "score", F.when(F.col("place") <= F.col("edge"), 1.0).otherwise(F.col("score") / F.col("last")).alias("normalised"))
+    # heads that are not full
+    reached = scores.groupBy("query").agg(F.count("*").alias("reached"))
+    short = edged.join(reached, "query", "left").withColumn("reached", F.coalesce("reached", F.lit(0))).where("reached < edge")
+    short = written(short.select("query", "reached", "edge"), "short-heads")
+    most = short.agg(F.max(F.col("reached") + F.col("edge"))).first()[0]
+    if most is None:
+        return own
+    first = targets.select("target").orderBy("target").limit(most)  # twice the longest head at most
+    first = first.withColumn("at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("target")))
+    wanted = short.select("query", "reached", "edge", F.explode(F.sequence(F.lit(1), (F.col("reached") + F.col("edge")).cast("int"))).alias("at"))
+    free = wanted.join(small(first, most), "at").join(scores.select("query", "target"), ["query", "target"], "left_anti")
+    free = free.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy("target"))).where("k <= edge - reached")
+    return own.unionByName(free.select("query", "target", F.lit(0.0).alias("score"), F.lit(1.0).alias("normalised")))
+
 
+def tanimoto(left: DataFrame, right: DataFrame, degree: DataFrame | None = None) -> DataFrame:
+    """(a, b, common, similarity) of all pairs that share an item. left: (a, item), right: (b, item); degree: (a, na), where a has items that ``left`` leaves out.
 
-def tanimoto(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, common, similarity) of all pairs that share an item. left: (a, item), right: (b, item)."""
-    left, right = left.distinct(), right.distinct()
-    na, nb = left.groupBy("a").agg(F.count("*").alias("na")), right.groupBy("b").agg(F.count("*").alias("nb"))
+    A hot item's rows are split over tasks by adaptive execution; pairs are combined before they are shuffled.
+    """
+    left, right = left.select("a", "item").distinct(), right.select("b", "item").distinct()
+    na = degree if degree is not None else left.groupBy("a").agg(F.count("*").alias("na"))
+    nb = right.groupBy("b").agg(F.count("*").alias("nb"))
     common = left.join(right, "item").groupBy("a", "b").agg(F.count("*").alias("common"))
     return common.join(na, "a").join(nb, "b").select("a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity"))
 
 
-def neighbour_weight(similar: DataFrame, queries: DataFrame, known: DataFrame, most: int) -> DataFrame:
-    """(query, target, weight): the mean known weight of the ``most`` drugs of each target that are most like the query; drugs without likeness count too.
+def neighbour_weight(similar: DataFrame, wanted: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """(query, target, weight) of the wanted pairs: the mean known weight of the ``most`` drugs of a target that are most like the query.
 
-    similar: (query, drug, similarity); known: (drug, target, weight).
+    Drugs without likeness count too, in the order of their ids. They are taken from the first 2 * most of the target's
+    drugs, which is all that can be needed, so no query meets all known pairs. similar: (query, drug, similarity), the
+    similarities positive; wanted: (query, target); known: (drug, target, weight), each pair once.
     """
-    rows = queries.select("query").distinct().join(known, F.lit(True))  # every target is weighed for every query
-    rows = rows.join(similar, ["query", "drug"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    head = F.slice(F.array_sort(F.collect_list(F.struct("drug", "weight"))), 1, 2 * most)
+    in_order = known.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("drug")))
+    heads = written(in_order.where(F.col("k") <= 2 * most).groupBy("target").agg(head.alias("head")), "heads")
+    near = similar.select("query", "drug", "similarity").join(known, "drug")
     own = Window.partitionBy("query", "target").orderBy(F.desc("similarity"), "drug")
-    return rows.withColumn("place", F.row_number().over(own)).where(F.col("place") <= most).groupBy("query", "target").agg(F.avg("weight").alias("weight"))
+    near = near.withColumn("k", F.row_number().over(own)).where(F.col("k") <= most).groupBy("query", "target").agg(F.collect_list(F.struct("drug", "weight")).alias("near"))
+    rows = wanted.select("query", "target").distinct().join(small(heads, heads.count()), "target").join(near, ["query", "target"], "left")
+    kind = dict(known.dtypes)
+    rows = rows.withColumn("like", F.coalesce("near", F.array().cast(f"array<struct<drug:{kind['drug']},weight:{kind['weight']}>>")))
+    others = F.filter("head", lambda x: ~F.array_contains(F.transform("like", lambda y: y["drug"]), x["drug"]))
+    taken = F.slice(F.concat("like", others), 1, most)
+    total = F.aggregate(taken, F.lit(0.0), lambda s, x: s + x["weight"].cast("double"))
+    return rows.select("query", "target", (total / F.size(taken)).alias("weight"))
 
 
 def predicted(scores: DataFrame, known: DataFrame, most: int) -> DataFrame:
@@ -68,15 +153,106 @@ def predicted(scores: DataFrame, known: DataFrame, most: int) -> DataFrame:
     return fresh.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= most)
 
 
+def predict(query_sub: DataFrame, drug_sub: DataFrame, drug_target: DataFrame, settings: Settings, known: DataFrame | None = None) -> DataFrame:
+    """(query, target, score, rank): the whole prediction, from substructures to ranked targets.
+
+    query_sub: (query, sub); drug_sub: (drug, sub); drug_target: (drug, target, weight), each pair once; known: (query,
+    target) of queries that are official drugs. A query none of whose substructures the graph has gets no prediction.
+    """
+    targets = drug_target.select("target").distinct()
+    held = drug_target.select("drug").distinct()
+    # the similarity looks at drugs with a target; the graph's substructures are those of all drugs
+    own_sub = drug_sub.select("drug", "sub").distinct()
+    shown = written(represented(query_sub, own_sub), "represented")
+    degree = sub_degree(query_sub)
+    none = shown.select("query", F.col("sub").alias("target")).limit(0)
+    known = none if known is None else known.select("query", "target").distinct().join(shown.select("query").distinct(), "query", "left_semi")
+    moves = written(transition(own_sub, drug_target, settings.beta, settings.gamma), "moves")
+    subs = shown.join(degree, "query").select("query", F.col("sub").alias("node"), (F.lit(settings.alpha) / F.col("degree")).alias("mass"))
+    counts = known.groupBy("query").agg(F.count("*").alias("known"))
+    mass = subs.union(known.join(counts, "query").select("query", F.col("target").alias("node"), (F.lit(1.0 - settings.alpha) / F.col("known")).alias("mass")))
+    reached = propagate(mass, moves, settings.steps).join(small(targets.withColumnRenamed("target", "node"), targets.count()), "node", "left_semi")
+    scores = written(reached.where("mass > 0").select("query", F.col("node").alias("target"), F.round("mass", DIGITS).alias("score")).where("score > 0"), "scores")
+    queries = shown.select("query").distinct().join(counts, "query", "left")
+    normal = written(threshold_normalised(scores, queries, targets, settings.delta), "normalised")
+    like = tanimoto(shown.select(F.col("query").alias("a"), F.col("sub").alias("item")), own_sub.join(held, "drug", "left_semi").select(F.col("drug").alias("b"), F.col("sub").alias("item")), degree.select(F.col("query").alias("a"), F.col("degree").alias("na")))
+    weights = neighbour_weight(like.select(F.col("a").alias("query"), F.col("b").alias("drug"), "similarity"), normal, drug_target.select("drug", "target", F.col("weight").cast("double").alias("weight")), settings.epsilon)
+    final = normal.join(weights, ["query", "target"]).select("query", "target", (F.col("normalised") * F.col("weight")).alias("score"))
+    return predicted(final, known, settings.most)
+
+
+def official_queries(drug_sub: DataFrame, drug_target: DataFrame, drugs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_sub, known) of official drugs as queries. drugs: (drug); those that the graph lacks are left out."""
+    inside = drugs.select("drug").distinct().join(drug_target.select("drug").distinct(), "drug", "left_semi")
+    return drug_sub.join(inside, "drug", "left_semi").select(F.col("drug").alias("query"), "sub"), drug_target.join(inside, "drug", "left_semi").select(F.col("drug").alias("query"), "target")
+
+
+def known_rows(drug_target: DataFrame, drugs: DataFrame) -> DataFrame:
+    """(drug, target, weight, place): known targets of the drugs by weight, descending, and id."""
+    own = Window.partitionBy("drug").orderBy(F.desc("weight"), "target")
+    return drug_target.join(drugs.select("drug").distinct(), "drug", "left_semi").withColumn("place", F.row_number().over(own))
+
+
+def raw_rows(predictions: DataFrame, source_type: str, known: DataFrame | None = None) -> DataFrame:
+    """The six raw columns: predictions with their rank, then known targets with the rank "-"; scores to nine digits. predictions: (query, target, score, rank)."""
+    text = lambda c: significant(F.col(c))
+    rows = predictions.select(F.lit(source_type).alias("source_type"), F.col("query").alias("source_id"), F.lit("TARGET").alias("target_type"), F.col("target").alias("uniprot_id"), text("score").alias("score"), F.col("rank").cast("string").alias("rank"), F.lit(0).alias("_kind"), F.col("rank").alias("_place"))
+    if known is not None:
+        rows = rows.unionByName(known.select(F.lit(source_type).alias("source_type"), F.col("drug").alias("source_id"), F.lit("TARGET").alias("target_type"), F.col("target").alias("uniprot_id"), text("weight").alias("score"), F.lit("-").alias("rank"), F.lit(1).alias("_kind"), F.col("place").alias("_place")))
+    return rows
+
+
+def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
+    """Adds ``batch_id``, batch_0001 and on, of ``size`` rows each in the order of a numeric column."""
+    from .ranking import global_position
+
+    placed = global_position(rows, order, [F.col(order)], "_place")
+    return placed.withColumn("batch_id", F.format_string("batch_%04d", (F.floor((F.col("_place") - 1) / size) + 1).cast("long"))).drop("_place")
+
+
+def structure_queries(compounds: DataFrame, official: DataFrame) -> DataFrame:
+    """compounds (_ord, ID, SMILES, match_key) with official_drug_id, input_type and input_id.
+
+    official: (_ord, drug_id, match_key); of drugs with one structure the first stands. A compound without a match key
+    is a COMPOUND that goes into no batch.
+    """
+    first = official.where(F.coalesce("match_key", F.lit("")) != "").groupBy("match_key").agg(F.min_by("drug_id", "_ord").alias("official_drug_id"))
+    rows = compounds.join(first, "match_key", "left").withColumn("official_drug_id", F.coalesce("official_drug_id", F.lit("")))
+    is_drug = F.col("official_drug_id") != ""
+    return rows.withColumns({"netinfer_input_type": F.when(is_drug, "DRUG").otherwise("COMPOUND"), "netinfer_input_id": F.when(is_drug, F.col("official_drug_id")).otherwise(F.col("ID"))})
+
+
 def known_first(rows: DataFrame, names: DataFrame, most: int) -> DataFrame:
-    """Each compound's targets: known ones first in input order, then predictions by rank; a symbol counts once, from its first row.
+    """Each compound's targets: known ones first, by score where they have one, then predictions by rank; a symbol counts once, from its first row.
 
-    rows: (compound_id, uniprot_id, evidence, prediction_rank, _ord); names: (uniprot_id, gene_symbol), blank or missing symbols fall back to the id.
+    rows: (compound_id, uniprot_id, evidence, prediction_rank, _ord[, score]); names: (uniprot_id, gene_symbol), blank or
+    missing symbols fall back to the id.
     """
     named = rows.where((F.col("evidence") == "known") | F.col("prediction_rank").between(1, most)).join(names, "uniprot_id", "left")
     symbol = F.coalesce(F.when(F.trim("gene_symbol") != "", F.col("gene_symbol")), F.col("uniprot_id"))
-    named = named.withColumn("gene_symbol", symbol).withColumn("_kind", (F.col("evidence") != "known").cast("int")).withColumn("_key", F.coalesce("prediction_rank", F.lit(0)))
-    first = Window.partitionBy("compound_id", "gene_symbol").orderBy("_kind", "_key", "_ord")
-    kept = named.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    place = Window.partitionBy("compound_id").orderBy("_kind", "_key", "_ord")
-    return kept.withColumn("position", F.row_number().over(place)).drop("_n", "_kind", "_key")
+    known = F.col("evidence") == "known"
+    score = F.when(known, F.col("score").cast("double")) if "score" in rows.columns else F.lit(None).cast("double")
+    named = named.withColumn("gene_symbol", symbol).withColumn("_kind", (~known).cast("int")).withColumn("_key", F.when(known, 0).otherwise(F.coalesce("prediction_rank", F.lit(0)))).withColumn("_score", score)
+    order = ["_kind", "_key", F.desc_nulls_last("_score"), "_ord"]
+    kept = named.withColumn("_n", F.row_number().over(Window.partitionBy("compound_id", "gene_symbol").orderBy(*order))).where("_n = 1")
+    return kept.withColumn("position", F.row_number().over(Window.partitionBy("compound_id").orderBy(*order))).drop("_n", "_kind", "_key", "_score")
+
+
+def merged_targets(mapping: DataFrame, raw: DataFrame, names: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(targets, missing): every user id that maps to a source gets all of the source's targets.
+
+    mapping: (ID, SMILES, match_key, netinfer_input_type, netinfer_input_id); raw: (source_type, source_id, uniprot_id,
+    score, evidence, prediction_rank, _ord). missing: (ID, reason).
+    """
+    met = mapping.join(raw, (mapping.netinfer_input_type == raw.source_type) & (mapping.netinfer_input_id == raw.source_id)).select(F.col("ID").alias("compound_id"), "SMILES", "uniprot_id", "score", "evidence", "prediction_rank", "_ord")
+    targets = known_first(met, names, most)
+    reason = F.when(F.trim(F.coalesce("match_key", F.lit(""))) == "", "standardization_failed").otherwise("no_prediction_rows")
+    return targets, mapping.join(targets.select(F.col("compound_id").alias("ID")).distinct(), "ID", "left_anti").select("ID", reason.alias("reason"))
+
+
+def consistent_mapping(mapping: DataFrame) -> Column:
+    """Whether a mapping row keeps its rules: a DRUG has a key, its official id as input id and no batch; a COMPOUND has no official id and its own id, and a batch just if it has a key."""
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    drug = filled("match_key") & (F.col("official_drug_id") == F.col("netinfer_input_id")) & ~filled("batch_id") & filled("official_drug_id")
+    compound = ~filled("official_drug_id") & (F.col("netinfer_input_id") == F.col("ID")) & (filled("batch_id") == filled("match_key"))
+    return F.coalesce(F.when(F.col("netinfer_input_type") == "DRUG", drug).when(F.col("netinfer_input_type") == "COMPOUND", compound), F.lit(False))

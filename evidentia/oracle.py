@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .plans.workflow import NODE_TRANSITIONS
+
 ENSEMBLE = """
     seeds AS (
         SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, node_id) AS rank
@@ -24,13 +26,8 @@ STREAMS = """
         FROM lineitem WHERE l_returnflag IN ('R', 'N') GROUP BY ALL
     )"""
 EDGES = """
-    edges AS (SELECT DISTINCT least(-l_suppkey, l_partkey) AS u, greatest(-l_suppkey, l_partkey) AS v FROM lineitem WHERE l_quantity >= 48),
+    edges AS (SELECT DISTINCT least(-l_suppkey, l_partkey) AS u, greatest(-l_suppkey, l_partkey) AS v FROM lineitem),
     arcs AS (SELECT u AS src, v AS dst FROM edges UNION ALL SELECT v, u FROM edges)"""
-SPARSE = """
-    arcs AS (SELECT DISTINCT -l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_quantity = 50 AND l_discount < 0.03
-             UNION SELECT DISTINCT l_partkey, -l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_discount < 0.03),
-    reach AS (SELECT DISTINCT src AS node, src AS top FROM arcs UNION SELECT a.dst, r.top FROM reach r JOIN arcs a ON a.src = r.node),
-    labels AS (SELECT node, min(top) AS component FROM reach GROUP BY node)"""
 BFS = EDGES + """,
     steps AS (SELECT DISTINCT src AS node, 0 AS distance FROM arcs WHERE src IN (SELECT -s_suppkey FROM supplier WHERE s_suppkey % 50 = 1)
               UNION SELECT a.dst, s.distance + 1 FROM steps s JOIN arcs a ON a.src = s.node WHERE s.distance < 12),
@@ -46,61 +43,79 @@ BINS = """
     placed AS (SELECT w.degree, h.nodes, CASE WHEN f.held < 100 AND f.last > 0 AND w.bin = f.last THEN w.bin - 1 ELSE w.bin END AS bin FROM walk w JOIN hist h USING (k), final f),
     bins AS (SELECT CAST(bin AS INTEGER) AS bin, min(degree) AS low, max(degree) AS high, CAST(sum(nodes) AS BIGINT) AS members FROM placed GROUP BY bin)"""
 NBI = """
-    drug_sub AS (SELECT DISTINCT 'D' || l_suppkey AS drug, 'S' || p_brand AS sub FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45),
-    drug_target AS (SELECT DISTINCT 'D' || l_suppkey AS drug, 'T' || (l_partkey % 200) AS target FROM lineitem WHERE l_quantity >= 49),
-    query_sub AS (SELECT DISTINCT 'Q' || c_custkey AS query, 'S' || p_brand AS sub FROM customer JOIN part ON p_partkey % 100 = CAST(floor(c_custkey / 100) AS BIGINT) % 100 WHERE c_custkey % 100 = 1),
-    one_way AS (SELECT drug, sub AS other, CAST(0.1 AS DOUBLE) AS w FROM drug_sub UNION ALL SELECT drug, target, CAST(0.9 AS DOUBLE) FROM drug_target),
+    drug_sub AS (SELECT DISTINCT 'D' || l_suppkey AS drug, 'S' || p_brand || '|' || p_size AS sub FROM lineitem JOIN part ON l_partkey = p_partkey),
+    drug_target AS (
+        SELECT 'D' || l_suppkey AS drug, 'T' || c_nationkey || '|' || o_orderpriority || '|' || l_returnflag AS target, sum(l_quantity) AS weight
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL
+    ),
+    query_sub AS (SELECT DISTINCT 'Q' || p_type AS query, 'S' || p_brand || '|' || p_size AS sub FROM part UNION SELECT DISTINCT 'Q' || p_type, 'none' FROM part),
+    targets AS (SELECT DISTINCT target FROM drug_target),
+    one_way AS (SELECT drug, sub AS other, CAST(0.2 AS DOUBLE) AS w FROM drug_sub WHERE drug IN (SELECT drug FROM drug_target) UNION ALL SELECT drug, target, CAST(0.8 AS DOUBLE) FROM drug_target),
     both_ways AS (SELECT drug AS src, other AS dst, w FROM one_way UNION ALL SELECT other, drug, w FROM one_way),
     scaled AS (SELECT src, dst, w * pow(sum(w) OVER (PARTITION BY dst), -0.5) AS w FROM both_ways),
-    moves AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM scaled),
-    mass0 AS (SELECT query, sub AS node, 1.0::DOUBLE / count(*) OVER (PARTITION BY query) AS mass FROM query_sub),
+    moves AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM scaled)"""
+
+
+def prediction(queries: str, known: str) -> str:
+    """Table expressions of the whole prediction, over all targets of each query. queries: (query, sub); known: (query, target)."""
+    return f"""
+    asked AS ({queries}), held AS ({known}),
+    inside AS (SELECT * FROM asked WHERE sub IN (SELECT sub FROM drug_sub)),
+    degree AS (SELECT query, count(*) AS n FROM asked GROUP BY query),
+    nheld AS (SELECT query, count(*) AS n FROM held GROUP BY query),
+    mass0 AS (SELECT query, sub AS node, 0.4::DOUBLE / n AS mass FROM inside JOIN degree USING (query) UNION ALL SELECT query, target, 0.6::DOUBLE / n FROM held JOIN nheld USING (query)),
     mass1 AS (SELECT query, dst AS node, sum(mass * p) AS mass FROM mass0 JOIN moves ON node = src GROUP BY ALL),
     mass2 AS (SELECT query, dst AS node, sum(mass * p) AS mass FROM mass1 JOIN moves ON node = src GROUP BY ALL),
-    scores AS (SELECT query, node AS target, round(mass * 1000, 6) AS score FROM mass2 WHERE node LIKE 'T%'),
+    scores AS (SELECT q.query, t.target, coalesce(round(m.mass, 12), 0) AS score FROM (SELECT DISTINCT query FROM inside) q CROSS JOIN targets t LEFT JOIN mass2 m ON m.query = q.query AND m.node = t.target),
+    placed AS (SELECT s.*, row_number() OVER (PARTITION BY s.query ORDER BY score DESC, s.target) AS place, least(21 + coalesce(h.n, 0), (SELECT count(*) FROM targets)) AS edge FROM scores s LEFT JOIN nheld h USING (query)),
+    edges_at AS (SELECT *, max(CASE WHEN place = edge THEN score END) OVER (PARTITION BY query) AS last FROM placed),
+    normal AS (SELECT query, target, CASE WHEN place <= edge THEN 1 WHEN last > 0 THEN score / last ELSE 0 END AS normalised FROM edges_at),
     pairs AS (
-        SELECT query AS a, drug AS b, count(*) AS common,
-               round(count(*) / ((SELECT count(*) FROM query_sub x WHERE x.query = q.query) + (SELECT count(*) FROM drug_sub y WHERE y.drug = s.drug) - count(*)), 6) AS similarity
-        FROM query_sub q JOIN drug_sub s USING (sub) GROUP BY query, drug
+        SELECT i.query, s.drug, count(*) / (any_value(d.n) + any_value(z.n) - count(*)) AS similarity, count(*) AS common
+        FROM inside i JOIN drug_sub s USING (sub) JOIN degree d ON d.query = i.query JOIN (SELECT drug, count(*) AS n FROM drug_sub GROUP BY drug) z ON z.drug = s.drug GROUP BY i.query, s.drug
     ),
     near AS (
-        SELECT q.query, t.target, CAST(length(t.drug) AS DOUBLE) AS weight,
-               row_number() OVER (PARTITION BY q.query, t.target ORDER BY coalesce(p.similarity, 0) DESC, t.drug) AS place
-        FROM (SELECT DISTINCT query FROM query_sub) q CROSS JOIN drug_target t LEFT JOIN pairs p ON p.a = q.query AND p.b = t.drug
+        SELECT q.query, t.target, t.weight, row_number() OVER (PARTITION BY q.query, t.target ORDER BY coalesce(p.similarity, 0) DESC, t.drug) AS place
+        FROM (SELECT DISTINCT query FROM inside) q CROSS JOIN drug_target t LEFT JOIN pairs p ON p.query = q.query AND p.drug = t.drug
     ),
-    weights AS (SELECT query, target, avg(weight) AS weight FROM near WHERE place <= 4 GROUP BY ALL)"""
+    weights AS (SELECT query, target, avg(weight) AS weight FROM near WHERE place <= 4 GROUP BY ALL),
+    final AS (SELECT query, target, normalised * weight AS score FROM normal JOIN weights USING (query, target) ANTI JOIN held USING (query, target)),
+    predicted AS (SELECT query, target, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, target) AS INTEGER) AS rank FROM final WHERE score > 0 QUALIFY rank <= 10)"""
+
+
+NOVEL = NBI + "," + prediction("SELECT query, sub FROM query_sub", "SELECT query, sub AS target FROM query_sub WHERE false")
+OFFICIAL = NBI + "," + prediction("SELECT drug AS query, sub FROM drug_sub WHERE drug IN (SELECT drug FROM drug_target)", "SELECT drug AS query, target FROM drug_target")
 WELCH = """
-    samples AS (SELECT l_partkey % 500 AS gene, l_returnflag AS g, l_quantity AS value, log2(l_quantity + 1) AS x FROM lineitem WHERE l_returnflag IN ('R', 'N')),
+    samples AS (SELECT l_partkey AS gene, l_returnflag AS g, l_quantity AS value, log2(l_quantity + 1) AS x FROM lineitem WHERE l_returnflag IN ('R', 'N')),
     moments AS (
         SELECT gene, count(x) FILTER (g = 'N') AS n_control, count(x) FILTER (g = 'R') AS n_disease, avg(x) FILTER (g = 'N') AS mean_control, avg(x) FILTER (g = 'R') AS mean_disease,
                var_samp(x) FILTER (g = 'N') AS var_control, var_samp(x) FILTER (g = 'R') AS var_disease FROM samples GROUP BY gene
     ),
     parts AS (SELECT *, var_disease / n_disease AS a, var_control / n_control AS b FROM moments),
     welch AS (
-        SELECT *, CASE WHEN n_disease > 1 AND n_control > 1 AND a + b > 0 THEN (mean_disease - mean_control) / sqrt(a + b) END AS t,
-               CASE WHEN n_disease > 1 AND n_control > 1 AND a + b > 0 THEN pow(a + b, 2) / (pow(a, 2) / (n_disease - 1) + pow(b, 2) / (n_control - 1)) END AS dof FROM parts
+        SELECT *, CASE WHEN n_disease > 1 AND n_control > 1 THEN CASE WHEN a + b > 0 THEN (mean_disease - mean_control) / sqrt(a + b) WHEN mean_disease <> mean_control THEN sign(mean_disease - mean_control) * CAST('inf' AS DOUBLE) END END AS t,
+               CASE WHEN n_disease > 1 AND n_control > 1 THEN CASE WHEN a + b > 0 THEN pow(a + b, 2) / (pow(a, 2) / (n_disease - 1) + pow(b, 2) / (n_control - 1)) WHEN mean_disease <> mean_control THEN 1 END END AS dof FROM parts
     ),
     surrogate AS (SELECT *, round(exp(-abs(coalesce(t, 0)) * 2), 6) AS p, round(mean_disease - mean_control, 6) AS log2fc FROM welch)"""
 PROFILES = """
-    sums AS (SELECT l_suppkey % 50 AS profile, l_partkey % 500 AS gene, sum(l_quantity) AS q FROM lineitem GROUP BY ALL),
+    sums AS (SELECT l_suppkey AS profile, l_partkey AS gene, sum(l_quantity) AS q FROM lineitem GROUP BY ALL),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY q DESC, gene) AS position FROM sums)"""
 
 
 def es(name: str, rows: str, profile: str, position: str, hit: str) -> str:
-    """Table expression with the enrichment of hits."""
+    """Table expression with the enrichment of hits; every profile has a row."""
     return f"""
-    {name}_w AS (SELECT {profile} AS profile, {position} AS position, ({hit}) AS hit, count(*) OVER (PARTITION BY {profile}) AS n FROM {rows}),
-    {name}_h AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY position) AS k, count(*) OVER (PARTITION BY profile) AS h FROM {name}_w WHERE hit),
-    {name}_m AS (
-        SELECT profile, max(k / h - CASE WHEN n > h THEN (position - k) / (n - h) ELSE 0 END) AS top,
-               min((k - 1) / h - CASE WHEN n > h THEN (position - k) / (n - h) ELSE 0 END) AS lowest, max(h) AS hits, max(n) AS n FROM {name}_h GROUP BY profile
-    ),
-    {name} AS (SELECT profile, CASE WHEN top >= -lowest THEN top ELSE lowest END AS es, hits, n FROM {name}_m)"""
+    {name}_w AS (SELECT {profile} AS profile, {position} AS position, coalesce({hit}, false) AS hit FROM {rows}),
+    {name}_c AS (SELECT profile, CAST(count(*) FILTER (hit) AS BIGINT) AS hits, count(*) AS n FROM {name}_w GROUP BY profile),
+    {name}_h AS (SELECT w.profile, w.position, c.hits AS h, c.n, row_number() OVER (PARTITION BY w.profile ORDER BY w.position) AS k FROM {name}_w w JOIN {name}_c c USING (profile) WHERE w.hit AND c.hits < c.n),
+    {name}_m AS (SELECT profile, greatest(0, max(k / h - (position - k) / (n - h))) AS top, least(0, min((k - 1) / h - (position - k) / (n - h))) AS lowest FROM {name}_h GROUP BY profile),
+    {name} AS (SELECT c.profile, coalesce(CASE WHEN top >= -lowest THEN top ELSE lowest END, 0) AS es, hits, n FROM {name}_c c LEFT JOIN {name}_m m USING (profile))"""
 
 
 TYPED = """
     typed AS (
-        SELECT 'drug' AS x_type, l_suppkey AS x_index, 'rel' || l_returnflag AS relation, 'protein' AS y_type, l_partkey AS y_index FROM lineitem WHERE l_quantity >= 48
-        UNION ALL SELECT 'protein', l_partkey, 'ppi', 'protein', l_partkey * 7 % 1000 FROM lineitem WHERE l_quantity >= 48
+        SELECT 'drug' AS x_type, l_suppkey AS x_index, 'rel' || l_returnflag AS relation, 'protein' AS y_type, l_partkey AS y_index FROM lineitem
+        UNION ALL SELECT 'protein', l_partkey, 'ppi', 'protein', l_partkey * 7 % 1000 FROM lineitem
     ),
     canonical AS (
         SELECT DISTINCT x_type, CASE WHEN x_type = y_type AND x_index > y_index THEN y_index ELSE x_index END AS x_index, relation, y_type,
@@ -110,29 +125,42 @@ NODES = """
     nodes AS (SELECT 's' || s_suppkey AS node_id, 'drug' AS node_type, s_suppkey AS ord FROM supplier WHERE s_acctbal > 0
               UNION ALL SELECT 'p' || p_partkey, 'protein', p_partkey + 10000000 FROM part WHERE p_size > 5)"""
 SYMBOLS = """
-    official AS (SELECT lower(p_name) AS key, CAST(p_partkey AS VARCHAR) AS id FROM part),
-    synonym AS (SELECT DISTINCT unnest(string_split(lower(p_type), ' ')) AS key, CAST(p_partkey AS VARCHAR) AS id FROM part),
+    official AS (SELECT upper(p_name) AS key, p_name AS symbol, CAST(p_partkey AS VARCHAR) AS id FROM part),
+    synonym AS (SELECT DISTINCT upper(unnest(string_split(p_type, ' '))) AS key, CAST(p_partkey AS VARCHAR) AS id FROM part),
     records AS (
-        SELECT l_orderkey AS ord, CASE l_orderkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_brand ELSE lower(string_split(p_type, ' ')[1]) END AS symbol,
-               CASE WHEN l_orderkey % 4 = 0 THEN CAST(p_partkey + l_orderkey % 8 AS VARCHAR) END AS given
-        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 AND l_orderkey % 10 = 0
+        SELECT l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_linenumber = 7 THEN '' ELSE CASE l_orderkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_brand ELSE lower(string_split(p_type, ' ')[1]) END END AS symbol,
+               CASE WHEN l_orderkey % 4 = 0 THEN CAST(p_partkey + l_orderkey % 8 AS VARCHAR) ELSE '' END AS given
+        FROM lineitem JOIN part ON l_partkey = p_partkey
     ),
     o AS (SELECT key, count(DISTINCT id) AS n, min(id) AS id FROM official GROUP BY key),
     s AS (SELECT key, count(DISTINCT id) AS n, min(id) AS id FROM synonym WHERE key NOT IN ('', '-') GROUP BY key),
     tried AS (
-        SELECT r.*, coalesce(o.n, 0) AS no, coalesce(s.n, 0) AS ns, CASE WHEN o.n = 1 THEN o.id WHEN o.n IS NULL AND s.n = 1 THEN s.id END AS found,
-               r.given IN (SELECT id FROM official) AS known
-        FROM records r LEFT JOIN o ON o.key = lower(r.symbol) LEFT JOIN s ON s.key = lower(r.symbol)
+        SELECT r.*, coalesce(o.n, 0) AS no, coalesce(s.n, 0) AS ns, CASE WHEN o.n = 1 THEN o.id WHEN o.n IS NULL AND s.n = 1 THEN s.id END AS found, g.symbol AS given_symbol
+        FROM records r LEFT JOIN o ON o.key = upper(r.symbol) LEFT JOIN s ON s.key = upper(r.symbol) LEFT JOIN official g ON g.id = r.given
     ),
     judged AS (
-        SELECT *, CASE WHEN given IS NOT NULL AND NOT regexp_full_match(given, '[0-9]+') THEN 'invalid_entrez_id' WHEN given IS NOT NULL AND NOT known THEN 'unknown_entrez_id'
+        SELECT *, CASE WHEN given <> '' AND NOT regexp_full_match(given, '[0-9]+') THEN 'invalid_entrez_id' WHEN given <> '' AND given_symbol IS NULL THEN 'unknown_entrez_id'
+                       WHEN given = '' AND symbol = '' THEN 'empty_input_value' WHEN symbol = '' THEN NULL
                        WHEN no > 1 THEN 'ambiguous_symbol' WHEN no = 0 AND ns > 1 THEN 'ambiguous_synonym' WHEN no + ns = 0 THEN 'unknown_symbol'
-                       WHEN given IS NOT NULL AND found <> given THEN 'symbol_entrez_mismatch' END AS reason FROM tried
+                       WHEN given <> '' AND found <> given THEN 'symbol_entrez_mismatch' END AS reason,
+               CASE WHEN symbol = '' THEN 'entrez' WHEN no = 1 THEN 'symbol' ELSE 'synonym' END AS source,
+               CASE WHEN symbol <> '' AND given <> '' THEN 'symbol=' || symbol || ';entrez_id=' || given WHEN symbol <> '' THEN symbol ELSE given END AS input_value,
+               coalesce(found, given) AS entrez FROM tried
     )"""
 DAG = """
-    nodes AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey % 5 = 0 THEN 'PENDING' WHEN o_orderkey % 31 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS state FROM orders WHERE o_orderkey < 4000),
-    edges AS (SELECT DISTINCT before, after FROM (SELECT CAST(floor(node / 2) AS BIGINT) AS before, node AS after FROM nodes UNION ALL SELECT CAST(floor(node / 3) AS BIGINT), node FROM nodes)
-              WHERE before > 0 AND before IN (SELECT node FROM nodes))"""
+    nodes AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey % 5 = 0 THEN 'PENDING' WHEN o_orderkey % 31 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS state FROM orders),
+    edges AS (SELECT DISTINCT before, after FROM (SELECT CAST(floor(node / 2) AS BIGINT) AS before, node AS after FROM nodes UNION ALL SELECT CAST(floor(node / 3) AS BIGINT), node FROM nodes) WHERE before > 0)"""
+SPLIT = """
+    k AS (SELECT *, concat_ws('|', x_type, x_index, relation, y_type, y_index) AS key, x_index % 17 = 0 AS pinned FROM canonical),
+    p AS (SELECT *, count(*) OVER (PARTITION BY relation, pinned) AS n, row_number() OVER (PARTITION BY relation, pinned ORDER BY substr(md5('42:' || key), 1, 13), key) AS place FROM k),
+    q AS (SELECT *, least(greatest(CAST(round_even(n * 0.05, 0) AS BIGINT), CASE WHEN n >= 3 THEN 1 ELSE 0 END), n - 1) AS n_test, greatest(CAST(round_even(n * 0.1, 0) AS BIGINT), CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS want FROM p),
+    r AS (SELECT *, greatest(0, least(want, n - 1 - n_test)) AS n_valid FROM q),
+    parted AS (SELECT x_type, x_index, relation, y_type, y_index, CASE WHEN pinned THEN 'train' WHEN place <= n_test THEN 'test' WHEN place <= n_test + n_valid THEN 'valid' ELSE 'train' END AS split FROM r)"""
+NAMED = """
+    named AS (SELECT e.*, s_name AS node_name, unnest(CASE WHEN node_id % 3 = 0 THEN [CAST(node_id AS VARCHAR), CAST(node_id - 1 AS VARCHAR)] ELSE [CAST(node_id AS VARCHAR)] END) AS cid FROM ensemble e JOIN supplier ON s_suppkey = node_id),
+    occurrences AS (SELECT n.*, position FROM named n JOIN selected ON selected.compound_id = n.node_id),
+    library AS (SELECT cid AS compound_id, node_name AS compound_name, position, rank_mean AS kg_rank_mean, score_mean AS kg_score_mean FROM occurrences QUALIFY row_number() OVER (PARTITION BY cid ORDER BY position, node_id) = 1),
+    met AS (SELECT l.*, z, gps FROM library l JOIN proximity p ON CAST(p.compound_id AS VARCHAR) = l.compound_id JOIN signature g ON CAST(g.compound_id AS VARCHAR) = l.compound_id WHERE z < 0 AND gps < 0)"""
 
 
 def consensus(values: list[str]) -> str:
@@ -150,9 +178,15 @@ def consensus(values: list[str]) -> str:
 ORACLE_SQL: dict[str, str] = {
     "consensus_two_evidence": consensus(["z"]),
     "consensus_three_evidence": consensus(["z", "gps"]),
-    "stage_counts_funnel": f"""WITH {ENSEMBLE}, {STREAMS}
-        SELECT count(*) AS n_selected, count(z) AS n_with_z, count(*) FILTER (z < 0) AS n_low_z, count(gps) AS n_with_gps, count(*) FILTER (gps < 0) AS n_low_gps, count(*) FILTER (z < 0 AND gps < 0) AS n_both
-        FROM selected LEFT JOIN proximity USING (compound_id) LEFT JOIN signature USING (compound_id)""",
+    "stage_counts_funnel": f"""WITH {ENSEMBLE}, {STREAMS}, {NAMED}
+        SELECT (SELECT count(*) FROM ensemble) AS kg_input_nodes, CAST(200 AS BIGINT) AS kg_top_n_requested, (SELECT count(*) FROM selected) AS kg_top_n_nodes, (SELECT count(*) FROM occurrences) AS kg_expanded_rows,
+               (SELECT count(*) FROM library) AS kg_top_n_unique_compounds, (SELECT count(*) FROM occurrences) - (SELECT count(*) FROM library) AS kg_duplicate_compound_mappings_resolved,
+               (SELECT count(*) FROM proximity) AS proximity_input_compounds, (SELECT count(*) FROM proximity WHERE z < 0) AS proximity_threshold_pass, (SELECT count(*) FROM signature) AS gps_input_compounds,
+               (SELECT count(*) FROM signature WHERE gps < 0) AS gps_threshold_pass, (SELECT count(*) FROM met) AS intersection_candidates, (SELECT count(*) FROM met) AS final_candidates""",
+    "final_candidates": f"""WITH {ENSEMBLE}, {STREAMS}, {NAMED},
+        r AS (SELECT *, rank() OVER (ORDER BY position) / count(*) OVER () AS a, rank() OVER (ORDER BY z) / count(*) OVER () AS b, rank() OVER (ORDER BY gps) / count(*) OVER () AS c FROM met)
+        SELECT CAST(row_number() OVER (ORDER BY (0 + a + b + c) / 3, a, b, c, kg_rank_mean, z, gps, compound_id) AS INTEGER) AS final_rank, compound_id, compound_name, 'kg_proximity_gps' AS evidence_mode, 3 AS evidence_count,
+               round((0 + a + b + c) / 3, 6) AS consensus_rank_percentile_mean, round(kg_rank_mean, 6) AS kg_rank_mean, round(kg_score_mean, 6) AS kg_score_mean, round(z, 6) AS proximity_z, round(gps, 6) AS gps_score FROM r""",
     "min_rank_percentile_desc": "SELECT p_partkey, p_size, round(rank() OVER (ORDER BY p_size DESC) / count(*) OVER (), 6) AS percentile FROM part",
     "topn_select_then_expand": f"""WITH {ENSEMBLE} SELECT l_partkey, position, compound_id AS node_id FROM lineitem JOIN selected ON compound_id = l_suppkey WHERE position <= 50
         QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY position, compound_id) = 1""",
@@ -166,23 +200,22 @@ ORACLE_SQL: dict[str, str] = {
     "known_first_targets": """WITH rows AS (
             SELECT l_suppkey AS compound_id, l_returnflag <> 'A' AS kind, CASE WHEN l_returnflag = 'A' THEN 0 ELSE l_linenumber END AS key, l_orderkey * 10 + l_linenumber AS ord,
                    coalesce(CASE WHEN p_partkey % 7 <> 0 THEN p_name END, CAST(l_partkey AS VARCHAR)) AS gene_symbol
-            FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 40 AND (l_returnflag = 'A' OR l_linenumber <= 3)),
+            FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE (l_returnflag = 'A' OR l_linenumber <= 3)),
         firsts AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY compound_id, gene_symbol ORDER BY kind, key, ord) = 1)
-        SELECT compound_id, CAST(row_number() OVER (PARTITION BY compound_id ORDER BY kind, key, ord) AS INTEGER) AS position, gene_symbol, CASE WHEN kind THEN 'predicted' ELSE 'known' END AS evidence
-        FROM firsts QUALIFY position <= 10""",
+        SELECT compound_id, CAST(row_number() OVER (PARTITION BY compound_id ORDER BY kind, key, ord) AS INTEGER) AS position, gene_symbol, CASE WHEN kind THEN 'predicted' ELSE 'known' END AS evidence FROM firsts""",
     "map_symbol_synonym": f"""WITH {SYMBOLS}
-        SELECT coalesce(found, given) AS value, 'mapped' AS reason, min(ord) AS ord FROM judged WHERE reason IS NULL GROUP BY ALL
-        UNION ALL SELECT symbol, reason, ord FROM judged WHERE reason IS NOT NULL""",
+        SELECT entrez AS value, 'mapped' AS reason, min(ord) AS ord, any_value(g.symbol) AS symbol, arg_min(source, ord) AS source FROM judged JOIN official g ON g.id = entrez WHERE reason IS NULL GROUP BY entrez
+        UNION ALL SELECT input_value, reason, ord, NULL, NULL FROM judged WHERE reason IS NOT NULL""",
     "reason_histogram": f"WITH {SYMBOLS} SELECT reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY reason",
     "unmapped_report": """SELECT l_partkey AS key, count(*) AS occurrences, list_aggregate(list_sort(list(DISTINCT CAST(l_suppkey AS VARCHAR))), 'string_agg', ';') AS members
         FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 48) GROUP BY l_partkey""",
     "valid_reject_split": """SELECT lang, count(*) AS n, reason FROM (
             SELECT lang, CASE WHEN coalesce(trim(text), '') = '' THEN 'empty' WHEN length(text) < 100 THEN 'short' WHEN contains(text, '|') THEN 'table' ELSE 'valid' END AS reason FROM documents) GROUP BY ALL""",
     "unique_structure_match": """WITH m AS (SELECT p_type || '/' || p_size AS key, min(p_partkey) AS matched_id FROM part GROUP BY key HAVING count(DISTINCT p_partkey) = 1)
-        SELECT l_orderkey, p_type || '/' || p_size AS key, matched_id FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN m ON m.key = p_type || '/' || p_size WHERE l_linenumber = 1""",
-    "key_set_equality": """SELECT c_custkey AS key, 'left' AS only_in FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-        UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
-    "source_tag_extract": """WITH t AS (SELECT l_orderkey, list_sort(list(CASE WHEN l_linenumber = 2 THEN 'Other:' ELSE 'UserLibrary:' END || l_suppkey)) AS tags FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 20 = 0 GROUP BY l_orderkey),
+        SELECT l_orderkey * 10 + l_linenumber AS line, p_type || '/' || p_size AS key, matched_id FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN m ON m.key = p_type || '/' || p_size""",
+    "key_set_equality": """SELECT DISTINCT doc_id AS key, 'left' AS only_in FROM labels WHERE doc_id NOT IN (SELECT c_custkey FROM customer)
+        UNION ALL SELECT c_custkey, 'right' FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM labels)""",
+    "source_tag_extract": """WITH t AS (SELECT l_orderkey, list_sort(list(CASE WHEN l_linenumber = 2 THEN 'Other:' ELSE 'UserLibrary:' END || l_suppkey)) AS tags FROM lineitem GROUP BY l_orderkey),
         e AS (SELECT l_orderkey, unnest(tags) AS tag, unnest(range(len(tags))) AS pos FROM t),
         f AS (SELECT l_orderkey, tag, min(pos) AS pos FROM (SELECT * FROM e UNION ALL SELECT l_orderkey, 'Other:0', 100 FROM t UNION ALL SELECT l_orderkey, 'Base:1', 101 FROM t) GROUP BY ALL)
         SELECT l_orderkey, coalesce(string_agg(substr(tag, 13), ',' ORDER BY pos) FILTER (tag LIKE 'UserLibrary:%'), '') AS members, string_agg(tag, ';' ORDER BY pos) AS merged FROM f GROUP BY l_orderkey""",
@@ -190,62 +223,69 @@ ORACLE_SQL: dict[str, str] = {
     "node_degree": f"WITH {EDGES} SELECT src AS node, count(*) AS degree FROM arcs GROUP BY src",
     "degree_bins": f"WITH RECURSIVE {BINS} SELECT * FROM bins",
     "degree_bin_membership": f"WITH RECURSIVE {BINS} SELECT node, degree, bin FROM own JOIN bins ON degree BETWEEN low AND high",
-    "connected_components": f"WITH RECURSIVE {SPARSE} SELECT node, component FROM labels",
-    "largest_component": f"WITH RECURSIVE {SPARSE} SELECT node FROM labels WHERE component = (SELECT component FROM labels GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)",
     "multi_source_bfs": f"WITH RECURSIVE {BFS} SELECT node, CAST(distance AS INTEGER) AS distance FROM nearest",
-    "mean_set_distance": f"WITH RECURSIVE {BFS} SELECT p_size, round(avg(distance), 6) AS mean_distance, count(*) AS n FROM part JOIN nearest ON node = p_partkey WHERE p_size <= 10 GROUP BY p_size",
-    "nbi_transition": f"WITH {NBI} SELECT src, dst, round(p, 6) AS p FROM moves",
-    "nbi_two_step_scores": f"WITH {NBI} SELECT query, target, score FROM scores",
-    "nbi_threshold_normalize": f"""WITH {NBI}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, target) AS place FROM scores),
-        e AS (SELECT *, max(CASE WHEN place = 21 THEN score END) OVER (PARTITION BY query) AS edge FROM r)
-        SELECT query, target, score, round(CASE WHEN place <= 21 OR edge IS NULL OR edge = 0 THEN 1 ELSE score / edge END, 6) AS normalised FROM e""",
-    "tanimoto_pairs": f"WITH {NBI} SELECT a, b, common, similarity FROM pairs",
-    "topk_neighbor_mean_weight": f"WITH {NBI} SELECT query, target, round(weight, 6) AS weight FROM weights",
-    "nbi_topn_excluding_known": f"""WITH {NBI}, s AS (SELECT query, target, round(score * weight, 6) AS score FROM scores JOIN weights USING (query, target))
-        SELECT query, target, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, target) AS INTEGER) AS rank
-        FROM s WHERE score > 0 AND target <> 'T' || (CAST(substr(query, 2) AS BIGINT) % 200) QUALIFY rank <= 10""",
-    "tpm_unpivot": """WITH w AS (SELECT l_orderkey AS gene, l_quantity, l_extendedprice, l_discount FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 = 0)
+    "mean_set_distance": f"WITH RECURSIVE {BFS} SELECT p_size, round(avg(distance), 6) AS mean_distance, count(*) AS n FROM part JOIN nearest ON node = p_partkey GROUP BY p_size",
+    "nbi_transition": f"WITH {NBI} SELECT src, dst, round(p, 9) AS p FROM moves",
+    "nbi_two_step_scores": f"WITH {NOVEL} SELECT query, target, round(score, 9) AS score FROM scores WHERE (query, target) IN (SELECT query, node FROM mass2)",
+    "nbi_threshold_normalize": f"WITH {NOVEL} SELECT query, target, round(normalised, 6) AS normalised FROM normal WHERE normalised > 0",
+    "tanimoto_pairs": f"WITH {NOVEL} SELECT query AS a, drug AS b, common, round(similarity, 6) AS similarity FROM pairs",
+    "topk_neighbor_mean_weight": f"WITH {NOVEL} SELECT query, target, round(weight, 6) AS weight FROM weights",
+    "nbi_predict_novel": f"WITH {NOVEL} SELECT query, target, round(score, 6) AS score, rank FROM predicted",
+    "nbi_topn_excluding_known": f"WITH {OFFICIAL} SELECT query, target, round(score, 6) AS score, rank FROM predicted",
+    "nbi_known_rows": f"""WITH {NBI} SELECT drug AS source_id, target AS uniprot_id, printf('%.9g', weight / 7) AS score, '-' AS rank, CAST(row_number() OVER (PARTITION BY drug ORDER BY weight DESC, target) AS INTEGER) AS place FROM drug_target""",
+    "tpm_unpivot": """WITH w AS (SELECT l_orderkey * 10 + l_linenumber AS gene, l_quantity, l_extendedprice, l_discount FROM lineitem)
         SELECT gene, 'l_quantity' AS sample, l_quantity AS value FROM w UNION ALL SELECT gene, 'l_extendedprice', l_extendedprice FROM w UNION ALL SELECT gene, 'l_discount', l_discount FROM w""",
     "welch_t_df": f"WITH {WELCH} SELECT gene, n_control, n_disease, round(t, 6) AS t, round(dof, 6) AS dof FROM welch",
     "bh_adjust": f"""WITH {WELCH}, r AS (SELECT gene, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, gene) AS raw FROM surrogate)
         SELECT gene, p, round(least(1, min(raw) OVER (ORDER BY p, gene ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS padj FROM r""",
-    "deg_classify": f"""WITH {WELCH}, k AS (SELECT gene, coalesce(avg(CAST(value >= 25 AS DOUBLE)) FILTER (g = 'N'), 0) >= 0.5 OR coalesce(avg(CAST(value >= 25 AS DOUBLE)) FILTER (g = 'R'), 0) >= 0.5 AS kept FROM samples GROUP BY gene)
-        SELECT gene, log2fc, kept, CASE WHEN kept AND p <= 0.2 AND log2fc >= 0.05 THEN 'up' WHEN kept AND p <= 0.2 AND log2fc <= -0.05 THEN 'down' ELSE 'none' END AS regulation FROM surrogate JOIN k USING (gene)""",
+    "deg_classify": f"""WITH {WELCH}, k AS (SELECT gene, coalesce(avg(CAST(value >= 25 AS DOUBLE)) FILTER (g = 'N'), 0) >= 0.5 OR coalesce(avg(CAST(value >= 25 AS DOUBLE)) FILTER (g = 'R'), 0) >= 0.5 AS kept FROM samples GROUP BY gene),
+        r AS (SELECT gene, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, gene) AS raw FROM surrogate JOIN k USING (gene) WHERE kept),
+        a AS (SELECT gene, round(least(1, min(raw) OVER (ORDER BY p, gene ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS padj FROM r)
+        SELECT gene, log2fc, kept, padj, CASE WHEN padj <= 0.9 AND log2fc >= 0.05 THEN 'up' WHEN padj <= 0.9 AND log2fc <= -0.05 THEN 'down' ELSE 'not_sig' END AS regulation FROM surrogate JOIN k USING (gene) LEFT JOIN a USING (gene)""",
     "deg_direction_consistent": """WITH m AS (
-            SELECT l_orderkey % 2 AS half, l_partkey % 500 AS gene, round(avg(log2(l_quantity + 1)) FILTER (l_returnflag = 'R') - avg(log2(l_quantity + 1)) FILTER (l_returnflag = 'N'), 6) AS fc
+            SELECT l_orderkey % 2 AS half, l_partkey AS gene, round(avg(log2(l_quantity + 1)) FILTER (l_returnflag = 'R') - avg(log2(l_quantity + 1)) FILTER (l_returnflag = 'N'), 6) AS fc
             FROM lineitem WHERE l_returnflag IN ('R', 'N') GROUP BY ALL),
         s AS (SELECT *, abs(fc) / 10 AS padj, CASE WHEN fc > 0.05 THEN 'up' ELSE 'down' END AS way FROM m WHERE abs(fc) > 0.05)
         SELECT gene, count(*) AS n, min(way) AS direction, round(avg(fc), 6) AS log2fc_mean, round(avg(abs(fc)), 6) AS abs_log2fc_mean, round(max(padj), 6) AS padj_max
         FROM s GROUP BY gene HAVING count(*) = 2 AND count(DISTINCT way) = 1""",
-    "profile_threshold_class": """SELECT vec_id, CAST(CASE WHEN list_max(e) < 0.05 THEN 0 ELSE list_position(e, list_max(e)) - 2 END AS INTEGER) AS effect FROM (SELECT vec_id, embedding[1:3] AS e FROM embeddings)""",
+    "profile_threshold_class": """WITH s AS (SELECT vec_id, list_transform(range(3), lambda k: round(list_sum(list_transform(list_filter(range(len(embedding)), lambda i: i % 3 = k), lambda i: CAST(embedding[i + 1] AS DOUBLE))), 6)) AS e FROM embeddings)
+        SELECT vec_id, CAST(CASE WHEN list_max(e) < 0.05 THEN 0 ELSE list_position(e, list_max(e)) - 2 END AS INTEGER) AS effect FROM s""",
     "gsea_es": f"WITH {PROFILES}, {es('g', 'ranked', 'profile', 'position', 'gene % 13 = 0')} SELECT profile, round(es, 6) AS es, hits, n FROM g",
     "reversal_score": f"""WITH {PROFILES}, {es('u', 'ranked', 'profile', 'position', 'gene % 13 = 0')}, {es('w', 'ranked', 'profile', 'position', 'gene % 13 = 1')},
-        drawn AS (SELECT profile || '-' || draw AS kase, gene, row_number() OVER (PARTITION BY profile, draw ORDER BY md5(draw || ':' || profile || ':' || gene), gene) AS place FROM ranked, range(5) t(draw)),
-        {es('nul', 'drawn', 'kase', 'place', 'gene % 13 = 0')}, m AS (SELECT avg(es) AS mean, stddev_samp(es) AS sd FROM nul)
-        SELECT profile, round(-(coalesce((u.es - mean) / sd, 0) - coalesce((w.es - mean) / sd, 0)), 6) AS score FROM u FULL JOIN w USING (profile), m""",
+        sizes AS (SELECT n, hits FROM u UNION SELECT n, hits FROM w),
+        cases AS (SELECT n, hits, draw || ':' || n || ':' || hits AS kase, CAST(unnest(range(1, n + 1)) AS BIGINT) AS place FROM sizes, range(20) t(draw)),
+        drawn AS (SELECT n, hits, kase, place, row_number() OVER (PARTITION BY kase ORDER BY md5(kase || ':' || place), place) <= hits AS chosen FROM cases),
+        {es('nul', 'drawn', 'kase', 'place', 'chosen')}, m AS (SELECT n, hits, avg(es) AS mean, stddev_samp(es) AS sd FROM nul GROUP BY n, hits)
+        SELECT u.profile, round(-(CASE WHEN a.sd IS NULL OR a.sd = 0 THEN 0 ELSE (u.es - a.mean) / a.sd END - CASE WHEN b.sd IS NULL OR b.sd = 0 THEN 0 ELSE (w.es - b.mean) / b.sd END), 6) AS score
+        FROM u JOIN w USING (profile) JOIN m a ON a.n = u.n AND a.hits = u.hits JOIN m b ON b.n = w.n AND b.hits = w.hits""",
     "kg_edge_union_first_wins": f"""WITH {NODES}, e AS (
-            SELECT 's' || l_suppkey AS x_id, 'supplies' AS relation, 'p' || l_partkey AS y_id, 0 AS source, l_orderkey * 10 + l_linenumber AS ord FROM lineitem WHERE l_quantity >= 45
-            UNION ALL SELECT 's' || l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'returns' ELSE 'supplies' END, 'p' || l_partkey, 1, l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_quantity >= 48)
+            SELECT 's' || l_suppkey AS x_id, 'supplies' AS relation, 'p' || l_partkey AS y_id, 0 AS source, l_orderkey * 10 + l_linenumber AS ord FROM lineitem
+            UNION ALL SELECT 's' || l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'returns' ELSE 'supplies' END, 'p' || l_partkey, 1, l_orderkey * 10 + l_linenumber FROM lineitem)
         SELECT x_id, relation, y_id, source, ord FROM e WHERE x_id IN (SELECT node_id FROM nodes) AND y_id IN (SELECT node_id FROM nodes)
         QUALIFY row_number() OVER (PARTITION BY x_id, relation, y_id ORDER BY source, ord) = 1""",
     "kg_node_index": f"""WITH {NODES} SELECT node_id, row_number() OVER (ORDER BY node_type, ord) - 1 AS node_index FROM nodes""",
     "kg_type_local_index": f"WITH {NODES} SELECT node_id, node_type, CAST(row_number() OVER (PARTITION BY node_type ORDER BY ord) - 1 AS INTEGER) AS type_index FROM nodes",
     "kg_canonicalize_undirected": f"WITH {TYPED} SELECT * FROM canonical",
-    "kg_relation_split": f"""WITH {TYPED}, k AS (SELECT *, concat_ws('|', x_type, x_index, relation, y_type, y_index) AS key, x_index % 17 = 0 AS pinned FROM canonical),
-        p AS (SELECT *, count(*) OVER (PARTITION BY relation, pinned) AS n, row_number() OVER (PARTITION BY relation, pinned ORDER BY md5('42:' || key), key) AS place FROM k),
-        q AS (SELECT *, greatest(0, least(greatest(CAST(round_even(n * 0.05, 0) AS BIGINT), 1), n - 1)) AS n_test FROM p),
-        r AS (SELECT *, greatest(0, least(greatest(0, least(greatest(CAST(round_even(n * 0.1, 0) AS BIGINT), 1), n - 1)), n - n_test - 1)) AS n_valid FROM q)
-        SELECT x_type, x_index, relation, y_type, y_index, CASE WHEN pinned THEN 'train' WHEN place <= n_test THEN 'test' WHEN place <= n_test + n_valid THEN 'valid' ELSE 'train' END AS split FROM r""",
-    "kg_reverse_edges": f"""WITH {TYPED} SELECT x_type, x_index, relation, y_type, y_index FROM canonical
-        UNION SELECT y_type, y_index, CASE WHEN x_type = y_type THEN relation ELSE 'rev_' || relation END, x_type, x_index FROM canonical""",
+    "kg_relation_split": f"WITH {TYPED}, {SPLIT} SELECT * FROM parted",
+    "kg_reverse_edges": f"""WITH {TYPED}, {SPLIT} SELECT x_type, x_index, relation, y_type, y_index, split FROM parted
+        UNION SELECT y_type, y_index, CASE WHEN x_type = y_type THEN relation ELSE 'rev_' || relation END, x_type, x_index, split FROM parted""",
+    "kg_training_frames": f"""WITH {NODES}, n AS (SELECT *, row_number() OVER (PARTITION BY node_type ORDER BY ord) - 1 AS idx FROM nodes),
+        raw AS (SELECT 's' || l_suppkey AS x, 'rel' || l_returnflag AS relation, 'p' || l_partkey AS y FROM lineitem UNION ALL SELECT 'p' || l_partkey, 'ppi', 'p' || (l_partkey * 7 % 1000 + 1) FROM lineitem),
+        met AS (SELECT DISTINCT a.node_type AS x_type, b.node_type AS y_type, relation, CASE WHEN a.node_type = b.node_type AND a.ord > b.ord THEN y ELSE x END AS x_id, CASE WHEN a.node_type = b.node_type AND a.ord > b.ord THEN x ELSE y END AS y_id
+                FROM raw JOIN n a ON a.node_id = x JOIN n b ON b.node_id = y),
+        p AS (SELECT *, count(*) OVER (PARTITION BY relation) AS n, row_number() OVER (PARTITION BY relation ORDER BY substr(md5('42:' || x_id || '|' || relation || '|' || y_id), 1, 13), x_id || '|' || relation || '|' || y_id) AS place FROM met),
+        q AS (SELECT *, least(greatest(CAST(round_even(n * 0.05, 0) AS BIGINT), CASE WHEN n >= 3 THEN 1 ELSE 0 END), n - 1) AS n_test, greatest(CAST(round_even(n * 0.1, 0) AS BIGINT), CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS want FROM p),
+        s AS (SELECT *, CASE WHEN place <= n_test THEN 'test' WHEN place <= n_test + greatest(0, least(want, n - 1 - n_test)) THEN 'valid' ELSE 'train' END AS split FROM q),
+        d AS (SELECT x_id, relation, y_id, split FROM s UNION SELECT y_id, CASE WHEN x_type = y_type THEN relation ELSE 'rev_' || relation END, x_id, split FROM s)
+        SELECT x_id, a.idx AS x_idx, relation, y_id, b.idx AS y_idx, split FROM d JOIN n a ON a.node_id = x_id JOIN n b ON b.node_id = y_id""",
     "negative_samples_fix_dst": f"""WITH {TYPED}, e AS (SELECT DISTINCT x_index AS src, relation, y_index AS dst FROM typed WHERE x_type = 'drug'),
         d AS (SELECT relation, dst AS negative, row_number() OVER (PARTITION BY relation ORDER BY dst) - 1 AS k, count(*) OVER (PARTITION BY relation) AS n FROM (SELECT DISTINCT relation, dst FROM e)),
-        s AS (SELECT *, CAST('0x' || substr(md5('7:' || src || ':' || relation || ':' || dst), 1, 8) AS BIGINT) AS draw FROM e)
+        s AS (SELECT *, CAST('0x' || substr(md5('7:1:' || src || ':' || relation || ':' || dst), 1, 14) AS BIGINT) AS draw FROM e)
         SELECT s.src, s.relation, s.dst, d.negative FROM s JOIN d ON s.relation = d.relation AND s.draw % d.n = d.k""",
-    "distmult_score": """WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings)
-        SELECT a.vec_id, round(list_sum(list_transform(range(1, 9), lambda i: a.vec[i] * r.vec[i] * b.vec[i])), 9) AS score FROM v a JOIN v b ON b.vec_id = a.vec_id + 1, (SELECT vec FROM v WHERE vec_id = 0) r""",
-    "rgcn_mean_aggregate": """WITH e AS (SELECT DISTINCT l_partkey % 500 AS src, 'r' || (l_linenumber % 3) AS relation, l_suppkey AS dst FROM lineitem WHERE l_quantity >= 48),
-        x AS (SELECT e.dst, e.relation, CAST(unnest(range(8)) AS INTEGER) AS at_, unnest(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE))) AS v FROM e JOIN embeddings ON vec_id = src)
+    "distmult_score": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings)
+        SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.vec) + 1), lambda i: a.vec[i] * r.vec[i] * b.vec[i])), 9) AS score FROM v a JOIN v b ON b.vec_id = a.vec_id + 1, (SELECT vec FROM v WHERE vec_id = 0) r""",
+    "rgcn_mean_aggregate": """WITH e AS (SELECT DISTINCT l_partkey AS src, 'r' || (l_linenumber % 3) AS relation, l_suppkey AS dst FROM lineitem),
+        x AS (SELECT e.dst, e.relation, CAST(unnest(range(len(embedding))) AS INTEGER) AS at_, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS v FROM e JOIN embeddings ON vec_id = src)
         SELECT dst, relation, at_ AS at, round(avg(v), 6) AS value FROM x GROUP BY ALL""",
     "auroc_by_relation": """WITH s AS (SELECT lang, n_chars % 1000 AS score, quality AS label FROM documents JOIN labels USING (doc_id)),
         r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2 AS k FROM s),
@@ -255,23 +295,28 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT lang, score, sum(label) AS hits, count(*) AS rows_ FROM s GROUP BY ALL),
         c AS (SELECT lang, hits, sum(hits) OVER w AS h, sum(rows_) OVER w AS r, sum(hits) OVER (PARTITION BY lang) AS every FROM g WINDOW w AS (PARTITION BY lang ORDER BY score DESC))
         SELECT lang, round(sum(h / r * hits / every), 6) AS average_precision FROM c GROUP BY lang""",
-    "event_state_violations": """WITH s AS (SELECT event_id, user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS after FROM events)
-        SELECT event_id, user_id, before, after FROM s WHERE before IS NOT NULL AND (before, after) NOT IN
-        (('signup', 'view'), ('view', 'click'), ('click', 'purchase'), ('view', 'view'), ('click', 'view'), ('purchase', 'view'), ('error', 'view'), ('view', 'error'))""",
+    "event_state_violations": f"""WITH e AS (SELECT *, CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'view' THEN 'READY' WHEN 'click' THEN 'QUEUED' WHEN 'purchase' THEN 'RUNNING' WHEN 'error' THEN 'FAILED' END AS state FROM events),
+        s AS (SELECT event_id, user_id, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, state AS after FROM e)
+        SELECT event_id, user_id, before, after FROM s WHERE before IS NOT NULL AND (before, after) NOT IN ({', '.join(f"('{a}', '{b}')" for a, bs in NODE_TRANSITIONS.items() for b in bs)})""",
     "event_latest_status": "SELECT user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "event_status_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "dag_ready_nodes": f"""WITH {DAG}, w AS (SELECT after AS node, max(CASE WHEN state IN ('FAILED', 'BLOCKED', 'CANCELLED', 'SKIPPED') THEN 1 ELSE 0 END) AS stopped, min(CASE WHEN state IN ('SUCCEEDED', 'CACHED') THEN 1 ELSE 0 END) AS done
-            FROM edges JOIN nodes ON node = before GROUP BY after)
-        SELECT n.node, CASE WHEN coalesce(stopped, 0) = 1 THEN 'BLOCKED' WHEN coalesce(done, 1) = 1 THEN 'READY' ELSE 'PENDING' END AS verdict FROM nodes n LEFT JOIN w ON w.node = n.node WHERE n.state = 'PENDING'""",
+    "dag_ready_nodes": f"""WITH RECURSIVE {DAG}, blocked AS (
+            SELECT DISTINCT after AS node FROM edges JOIN nodes b ON b.node = before JOIN nodes a ON a.node = after WHERE b.state = 'FAILED' AND a.state = 'PENDING'
+            UNION SELECT e.after FROM blocked JOIN edges e ON e.before = blocked.node JOIN nodes a ON a.node = e.after WHERE a.state = 'PENDING'),
+        w AS (SELECT after AS node, bool_and(coalesce(state = 'SUCCEEDED', false)) AS done FROM edges LEFT JOIN nodes ON node = before GROUP BY after)
+        SELECT n.node, CASE WHEN n.node IN (SELECT node FROM blocked) THEN 'BLOCKED' WHEN coalesce(done, true) THEN 'READY' ELSE 'PENDING' END AS verdict FROM nodes n LEFT JOIN w ON w.node = n.node WHERE n.state = 'PENDING'""",
     "dag_downstream": f"""WITH RECURSIVE {DAG}, d AS (SELECT node FROM nodes WHERE state = 'FAILED' UNION SELECT after FROM d JOIN edges ON before = node)
         SELECT node FROM d WHERE node NOT IN (SELECT node FROM nodes WHERE state = 'FAILED')""",
     "eta_interval": """WITH b AS (SELECT event_type, count(*) AS n, quantile_cont(value, 0.2) AS p20, median(value) AS m, quantile_cont(value, 0.8) AS p80 FROM events GROUP BY event_type)
-        SELECT round(sum(CASE WHEN n >= 4 THEN p20 ELSE m * 0.7 END), 6) AS low, round(sum(m), 6) AS middle, round(sum(CASE WHEN n >= 4 THEN p80 ELSE m * 1.5 END), 6) AS high, count(*) FILTER (m IS NULL) AS unknown
-        FROM (VALUES ('view'), ('click'), ('purchase'), ('unknown')) r(task) LEFT JOIN b ON event_type = task""",
+        SELECT 'estimated' AS status, round(sum(coalesce(CASE WHEN n >= 4 THEN p20 ELSE m * 0.7 END, 10)), 6) AS low, round(sum(coalesce(m, 15)), 6) AS middle, round(sum(coalesce(CASE WHEN n >= 4 THEN p80 ELSE m * 1.5 END, 20)), 6) AS high, CAST(0 AS BIGINT) AS unknown
+        FROM (VALUES ('view'), ('click'), ('purchase'), ('archive')) r(task) LEFT JOIN b ON event_type = task""",
     "eta_scale": "SELECT round(greatest(0.25, least(4, exp(avg(ln(l_extendedprice / (l_quantity * 1500)))))), 6) AS scale FROM lineitem WHERE l_extendedprice > 0 AND l_quantity > 0",
     "run_status_rollup": """SELECT user_id, arg_max(event_type, CASE event_type WHEN 'error' THEN 5 WHEN 'purchase' THEN 4 WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 1 END) AS status FROM events GROUP BY user_id""",
-    "run_status_by_user": """WITH s AS (SELECT user_id, bool_or(event_type = 'purchase') AS running, bool_or(event_type = 'error') AS failed, bool_or(event_type = 'click') AS ready FROM events WHERE event_id % 20 = 0 GROUP BY user_id)
-        SELECT user_id, CASE WHEN running THEN 'RUNNING' WHEN failed THEN 'FAILED' WHEN ready THEN 'READY' ELSE 'SUCCEEDED' END AS status FROM s""",
+    "run_status_by_user": """WITH o AS (SELECT o_custkey, CASE WHEN o_orderkey % 97 = 0 THEN 'FAILED' WHEN o_orderkey % 89 = 0 THEN 'BLOCKED' WHEN o_orderstatus = 'F' THEN 'SUCCEEDED' WHEN o_orderstatus = 'O' THEN 'READY' WHEN o_orderstatus = 'P' THEN 'RUNNING' END AS state FROM orders),
+        s AS (SELECT o_custkey, bool_or(state = 'RUNNING') AS running, bool_or(state = 'FAILED') AS failed, bool_or(state = 'BLOCKED') AS blocked, bool_or(state = 'READY') AS ready FROM o GROUP BY o_custkey)
+        SELECT o_custkey, CASE WHEN running THEN 'RUNNING' WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 'CANCELLED' WHEN failed THEN 'FAILED' WHEN ready THEN 'READY' WHEN blocked THEN 'BLOCKED' ELSE 'SUCCEEDED' END AS status FROM s""",
+    "run_progress": """SELECT o_custkey AS run, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS complete, count(*) FILTER (o_orderstatus <> 'F' AND o_orderkey % 4 = 0) AS uncertain,
+        CAST(floor(sum(CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderkey % 4 = 0 THEN 0 ELSE (o_orderkey % 3) / 2 END) / count(*) * 100 + 0.5) AS INTEGER) AS percent FROM orders GROUP BY o_custkey""",
     "timing_summary": "SELECT event_type, count(*) AS n, round(sum(value), 6) AS total, epoch_us(max(ts)) - epoch_us(min(ts)) AS wall_us FROM events GROUP BY event_type",
     "label_sets": "SELECT l_shipdate, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, count(*) AS n FROM lineitem GROUP BY l_shipdate",
     "manifest_digest_check": """SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 3 = 0 THEN 'ok' WHEN sha256(text) = sha256(lang) THEN 'ok' ELSE 'changed' END AS state FROM documents WHERE doc_id % 3 <> 1 UNION ALL SELECT 'none', 'missing'""",

@@ -2,7 +2,9 @@
 
 Roles: a supplier stands for a drug or candidate, a part for a target, an order line for a drug-target edge, words of a
 part's type for substructures, a customer for a compound, return flags R and N for disease and control, the remainder of
-an order's key by five for a training seed, and the event table for a workflow's log.
+an order's key by five for a training seed, and the event table for a workflow's log. In the inference the targets are
+nation, priority and return flag of who bought from the supplier, the substructures brand and size of the parts that it
+supplies, and the queries the types of parts. Every query reads its tables whole.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from .functions import stats, text
 from .operators import graph, inference, knowledge, mapping, ranking, signal
 from .plans import workflow
 from .sources.delimited import manifest_check
-from .sources.tables import table
+from .sources.tables import table, written
 from .streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,12 +29,6 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def query_and_whole(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A query over the rows that its SQL names, and as NAME_whole the same over all rows."""
-    QUERIES[f"{f.__name__}_whole"] = lambda spark, d: f(spark, d, True)
-    return query(f)
-
-
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
@@ -89,13 +85,27 @@ def consensus_three_evidence(spark, d):
     return out.select("final_rank", "compound_id", "position", "z", "gps", r6("consensus").alias("consensus"))
 
 
+def named_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    """The ensemble with names and the compounds of each node: every supplier's own, and that of the supplier before it."""
+    rows = ensemble(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_name").alias("node_name")), "node_id")
+    ids = F.filter(F.array(F.col("node_id").cast("string"), F.when(F.col("node_id") % 3 == 0, (F.col("node_id") - 1).cast("string"))), lambda x: x.isNotNull())
+    return rows.withColumn("compound_ids", F.to_json(ids))
+
+
+def evidence(spark: SparkSession, d: str) -> list[ranking.Evidence]:
+    text_id = lambda df: df.withColumn("compound_id", F.col("compound_id").cast("string"))
+    return [ranking.Evidence(text_id(proximity(spark, d)), "z"), ranking.Evidence(text_id(signature(spark, d)), "gps")]
+
+
 @query
 def stage_counts_funnel(spark, d):
-    z, g, s = proximity(spark, d), signature(spark, d), selected(spark, d)
-    rows = s.join(z, "compound_id", "left").join(g, "compound_id", "left")
-    low = lambda c: F.coalesce(F.col(c) < 0, F.lit(False))
-    count = lambda c: F.sum(c.cast("long"))
-    return rows.agg(F.count("*").alias("n_selected"), count(F.col("z").isNotNull()).alias("n_with_z"), count(low("z")).alias("n_low_z"), count(F.col("gps").isNotNull()).alias("n_with_gps"), count(low("gps")).alias("n_low_gps"), count(low("z") & low("gps")).alias("n_both"))
+    return ranking.funnel(named_ensemble(spark, d), *evidence(spark, d))
+
+
+@query
+def final_candidates(spark, d):
+    rows = ranking.candidates(named_ensemble(spark, d), *evidence(spark, d))
+    return rows.withColumns({c: r6(c) for c in ("consensus_rank_percentile_mean", "kg_rank_mean", "kg_score_mean", "proximity_z", "gps_score")})
 
 
 @query
@@ -150,7 +160,7 @@ def duplicate_id_count(spark, d):
 
 
 def target_rows(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_quantity >= 40").select("l_suppkey", "l_partkey", "l_returnflag", "l_linenumber", "l_orderkey")
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag", "l_linenumber", "l_orderkey")
     known = F.col("l_returnflag") == "A"
     order = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     return lines.select(
@@ -162,35 +172,35 @@ def target_rows(spark: SparkSession, d: str) -> DataFrame:
 def known_first_targets(spark, d):
     names = table(spark, d, "part").select(F.col("p_partkey").alias("uniprot_id"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_name")).alias("gene_symbol"))
     rows = inference.known_first(target_rows(spark, d).withColumn("uniprot_id", F.col("uniprot_id").cast("string")), names.withColumn("uniprot_id", F.col("uniprot_id").cast("string")), 3)
-    return rows.where("position <= 10").select("compound_id", "position", "gene_symbol", "evidence")
+    return rows.select("compound_id", "position", "gene_symbol", "evidence")
 
 
 # ---- mapping and rejects
 
 
 def dictionaries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    part = table(spark, d, "part")
-    own = part.select(F.lower("p_name").alias("key"), F.col("p_partkey").cast("string").alias("id"))
-    other = part.select(F.explode(text.synonyms(F.regexp_replace(F.lower("p_type"), " ", "|"))).alias("key"), F.col("p_partkey").cast("string").alias("id"))
-    return own, other
+    """Parts as a dictionary: the name is the symbol, the words of the type are synonyms."""
+    info = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("GeneID"), F.col("p_name").alias("Symbol"), F.regexp_replace("p_type", " ", "|").alias("Synonyms"), F.col("p_partkey").alias("_ord"))
+    return mapping.gene_dictionary(info)
 
 
-def symbol_records(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("true" if whole else "l_linenumber = 1 AND l_orderkey % 10 = 0").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+def symbol_records(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     symbol = F.when(F.col("l_orderkey") % 3 == 0, F.upper("p_name")).when(F.col("l_orderkey") % 3 == 1, F.col("p_brand")).otherwise(F.lower(F.split("p_type", " ")[0]))
     given = F.when(F.col("l_orderkey") % 4 == 0, (F.col("p_partkey") + F.col("l_orderkey") % 8).cast("string"))
-    return lines.select((line_id() if whole else F.col("l_orderkey")).alias("_ord"), symbol.alias("symbol"), given.alias("given_id"))
+    return lines.select(line_id().alias("_ord"), F.when(F.col("l_linenumber") != 7, symbol).alias("symbol"), given.alias("given_id"))
 
 
-@query_and_whole
-def map_symbol_synonym(spark, d, whole=False):
-    good, bad = mapping.map_symbols(symbol_records(spark, d, whole), *dictionaries(spark, d))
-    return good.select(F.col("entrez_id").alias("value"), F.lit("mapped").alias("reason"), F.col("_ord").alias("ord")).unionByName(bad.select(F.col("input_value").alias("value"), "reason", F.col("_ord").alias("ord")))
+@query
+def map_symbol_synonym(spark, d):
+    good, bad = mapping.map_symbols(symbol_records(spark, d), *dictionaries(spark, d))
+    own = good.select(F.col("entrez_id").alias("value"), F.lit("mapped").alias("reason"), F.col("_ord").alias("ord"), "symbol", "source")
+    return own.unionByName(bad.select(F.col("input_value").alias("value"), "reason", F.col("_ord").alias("ord")), allowMissingColumns=True)
 
 
-@query_and_whole
-def reason_histogram(spark, d, whole=False):
-    _, bad = mapping.map_symbols(symbol_records(spark, d, whole), *dictionaries(spark, d))
+@query
+def reason_histogram(spark, d):
+    _, bad = mapping.map_symbols(symbol_records(spark, d), *dictionaries(spark, d))
     return mapping.reason_histogram(bad)
 
 
@@ -212,21 +222,20 @@ def valid_reject_split(spark, d):
 @query
 def unique_structure_match(spark, d):
     part = table(spark, d, "part").select(F.concat_ws("/", "p_type", "p_size").alias("key"), F.col("p_partkey").alias("matched_id"))
-    asked = table(spark, d, "lineitem").where("l_linenumber = 1").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.concat_ws("/", "p_type", "p_size").alias("key"))
-    return mapping.unique_match(asked, part, "key", "matched_id").select("l_orderkey", "key", "matched_id")
+    asked = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(line_id().alias("line"), F.concat_ws("/", "p_type", "p_size").alias("key"))
+    return mapping.unique_match(asked, part, "key", "matched_id").select("line", "key", "matched_id")
 
 
 @query
 def key_set_equality(spark, d):
-    a = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
-    b = table(spark, d, "orders").select(F.col("o_custkey").alias("key"))
+    a = table(spark, d, "labels").select(F.col("doc_id").alias("key"))
+    b = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
     return mapping.same_keys(a, b, "key")
 
 
-@query_and_whole
-def source_tag_extract(spark, d, whole=False):
-    lines = table(spark, d, "lineitem").where("true" if whole else "l_linenumber <= 3 AND l_orderkey % 20 = 0")
-    tags = lines.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.when(F.col("l_linenumber") == 2, "Other:").otherwise("UserLibrary:"), F.col("l_suppkey").cast("string")))), ";").alias("source_ids"))
+@query
+def source_tag_extract(spark, d):
+    tags = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.when(F.col("l_linenumber") == 2, "Other:").otherwise("UserLibrary:"), F.col("l_suppkey").cast("string")))), ";").alias("source_ids"))
     return tags.select("l_orderkey", F.array_join(text.tagged(F.col("source_ids"), "UserLibrary"), ",").alias("members"), text.union_of_tags(F.col("source_ids"), F.lit("Other:0; ;Base:1"), F.col("source_ids")).alias("merged"))
 
 
@@ -234,8 +243,8 @@ def source_tag_extract(spark, d, whole=False):
 
 
 def edges_of(spark: SparkSession, d: str) -> DataFrame:
-    """(u, v): suppliers as negative and parts as positive numbers, over large lines."""
-    lines = table(spark, d, "lineitem").where("l_quantity >= 48").select((-F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b"))
+    """(u, v): suppliers as negative and parts as positive numbers."""
+    lines = table(spark, d, "lineitem").select((-F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b"))
     return graph.simple_edges(lines, "a", "b")
 
 
@@ -266,19 +275,14 @@ def degree_bin_membership(spark, d):
     return graph.in_bin(own, bins)
 
 
-def sparse_edges(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("true" if whole else "l_quantity = 50 AND l_discount < 0.03").select((-F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b"))
-    return graph.simple_edges(lines, "a", "b")
-
-
-@query_and_whole
-def connected_components(spark, d, whole=False):
-    return graph.components(sparse_edges(spark, d, whole))
+@query
+def connected_components(spark, d):
+    return graph.components(edges_of(spark, d))
 
 
-@query_and_whole
-def largest_component(spark, d, whole=False):
-    return graph.largest_component(graph.components(sparse_edges(spark, d, whole)))
+@query
+def largest_component(spark, d):
+    return graph.largest_component(graph.components(edges_of(spark, d)))
 
 
 def sources_of(spark: SparkSession, d: str) -> DataFrame:
@@ -295,7 +299,7 @@ def multi_source_bfs(spark, d):
 @query
 def mean_set_distance(spark, d):
     steps = multi_source_bfs(spark, d).withColumnRenamed("node", "key")
-    sets = table(spark, d, "part").where("p_size <= 10").select("p_size", F.col("p_partkey").alias("key"))
+    sets = table(spark, d, "part").select("p_size", F.col("p_partkey").alias("key"))
     return sets.join(steps, "key").groupBy("p_size").agg(r6(F.avg("distance")).alias("mean_distance"), F.count("*").alias("n"))
 
 
@@ -305,78 +309,100 @@ def degree_matched_z(spark, d):
     labels = graph.components(edges)
     inside = graph.largest_component(labels)
     kept = edges.join(inside.withColumnRenamed("node", "u"), "u", "left_semi")
-    sets = table(spark, d, "part").where("p_size <= 10").select(F.col("p_size").alias("set_id"), F.col("p_partkey").alias("node"))
-    return graph.proximity_z(kept, sources_of(spark, d), sets, 20, 100, 452456)
+    sets = table(spark, d, "part").select(F.col("p_size").alias("set_id"), F.col("p_partkey").alias("node"))
+    return graph.proximity_z(kept, sources_of(spark, d), sets, 100, 1000, 452456)
 
 
 # ---- network inference
 
 
 def drug_sub(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_quantity >= 45").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return lines.select(F.concat(F.lit("D"), F.col("l_suppkey")).alias("drug"), F.concat(F.lit("S"), F.col("p_brand")).alias("sub")).distinct()
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.select(F.concat(F.lit("D"), F.col("l_suppkey")).alias("drug"), F.concat(F.lit("S"), F.col("p_brand"), F.lit("|"), F.col("p_size")).alias("sub")).distinct()
 
 
 def drug_target(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_quantity >= 49")
-    return lines.select(F.concat(F.lit("D"), F.col("l_suppkey")).alias("drug"), F.concat(F.lit("T"), F.col("l_partkey") % 200).alias("target")).distinct()
+    """(drug, target, weight): the quantity that a group of buyers has from a supplier."""
+    buyers = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey", "o_orderpriority")
+    lines = table(spark, d, "lineitem").join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
+    target = F.concat(F.lit("T"), F.col("c_nationkey"), F.lit("|"), F.col("o_orderpriority"), F.lit("|"), F.col("l_returnflag"))
+    return lines.groupBy(F.concat(F.lit("D"), F.col("l_suppkey")).alias("drug"), target.alias("target")).agg(F.sum("l_quantity").alias("weight"))
+
 
+def query_sub(spark: SparkSession, d: str) -> DataFrame:
+    """Types of parts with the brand and size of their parts, and one substructure that no drug has."""
+    part = table(spark, d, "part")
+    own = part.select(F.concat(F.lit("Q"), F.col("p_type")).alias("query"), F.concat(F.lit("S"), F.col("p_brand"), F.lit("|"), F.col("p_size")).alias("sub"))
+    return own.union(part.select(F.concat(F.lit("Q"), F.col("p_type")), F.lit("none"))).distinct()
 
-def query_sub(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    rows = table(spark, d, "customer").where("true" if whole else "c_custkey % 100 = 1").join(table(spark, d, "part"), F.col("p_partkey") % 100 == (F.col("c_custkey") / 100).cast("long") % 100)
-    return rows.select(F.concat(F.lit("Q"), F.col("c_custkey")).alias("query"), F.concat(F.lit("S"), F.col("p_brand")).alias("sub")).distinct()
+
+SETTINGS = inference.Settings()
 
 
 def moves(spark: SparkSession, d: str) -> DataFrame:
-    return inference.transition(drug_sub(spark, d), drug_target(spark, d), 0.1, -0.5)
+    return inference.transition(drug_sub(spark, d), drug_target(spark, d), SETTINGS.beta, SETTINGS.gamma)
 
 
-def two_step(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    asked = query_sub(spark, d, whole)
+def two_step(spark: SparkSession, d: str) -> DataFrame:
+    asked = query_sub(spark, d)
     none = asked.select("query", F.col("sub").alias("target")).limit(0)
-    mass = inference.propagate(inference.seeds(asked, none, 1.0), moves(spark, d), 2)
-    return mass.where(F.col("node").startswith("T")).select("query", F.col("node").alias("target"), r6(F.col("mass") * 1000).alias("score"))
+    mass = inference.propagate(inference.seeds(asked, none, SETTINGS.alpha), written(moves(spark, d), "moves"), SETTINGS.steps)
+    return mass.where(F.col("node").startswith("T")).select("query", F.col("node").alias("target"), F.round("mass", inference.DIGITS).alias("score"))
 
 
 @query
 def nbi_transition(spark, d):
-    return moves(spark, d).select("src", "dst", r6("p").alias("p"))
+    return moves(spark, d).select("src", "dst", F.round("p", 9).alias("p"))
 
 
-@query_and_whole
-def nbi_two_step_scores(spark, d, whole=False):
-    return two_step(spark, d, whole)
+@query
+def nbi_two_step_scores(spark, d):
+    return two_step(spark, d).withColumn("score", F.round("score", 9))
 
 
-@query_and_whole
-def nbi_threshold_normalize(spark, d, whole=False):
-    return inference.threshold_normalised(two_step(spark, d, whole).withColumn("known", F.lit(0)), 20).select("query", "target", "score", r6("normalised").alias("normalised"))
+@query
+def nbi_threshold_normalize(spark, d):
+    targets = drug_target(spark, d).select("target").distinct()
+    queries = query_sub(spark, d).select("query").distinct().withColumn("known", F.lit(0))
+    rows = inference.threshold_normalised(written(two_step(spark, d), "scores"), queries, targets, SETTINGS.delta)
+    return rows.select("query", "target", r6("normalised").alias("normalised"))
 
 
-@query_and_whole
-def tanimoto_pairs(spark, d, whole=False):
-    rows = inference.tanimoto(query_sub(spark, d, whole).select(F.col("query").alias("a"), F.col("sub").alias("item")), drug_sub(spark, d).select(F.col("drug").alias("b"), F.col("sub").alias("item")))
-    return rows.select("a", "b", "common", r6("similarity").alias("similarity"))
+def similar(spark: SparkSession, d: str) -> DataFrame:
+    return inference.tanimoto(query_sub(spark, d).select(F.col("query").alias("a"), F.col("sub").alias("item")), drug_sub(spark, d).select(F.col("drug").alias("b"), F.col("sub").alias("item")))
 
 
-def weights(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    asked = query_sub(spark, d, whole)
-    like = inference.tanimoto(asked.select(F.col("query").alias("a"), F.col("sub").alias("item")), drug_sub(spark, d).select(F.col("drug").alias("b"), F.col("sub").alias("item")))
-    like = like.select(F.col("a").alias("query"), F.col("b").alias("drug"), r6("similarity").alias("similarity"))
-    known = drug_target(spark, d).withColumn("weight", F.length("drug").cast("double"))
-    return inference.neighbour_weight(like, asked, known, 4)
+@query
+def tanimoto_pairs(spark, d):
+    return similar(spark, d).select("a", "b", "common", r6("similarity").alias("similarity"))
 
 
-@query_and_whole
-def topk_neighbor_mean_weight(spark, d, whole=False):
-    return weights(spark, d, whole).select("query", "target", r6("weight").alias("weight"))
+@query
+def topk_neighbor_mean_weight(spark, d):
+    targets = drug_target(spark, d)
+    wanted = query_sub(spark, d).select("query").distinct().crossJoin(F.broadcast(targets.select("target").distinct()))  # groups of buyers are few at any size
+    rows = inference.neighbour_weight(similar(spark, d).select(F.col("a").alias("query"), F.col("b").alias("drug"), "similarity"), wanted, targets, SETTINGS.epsilon)
+    return rows.select("query", "target", r6("weight").alias("weight"))
 
 
-@query_and_whole
-def nbi_topn_excluding_known(spark, d, whole=False):
-    known = query_sub(spark, d, whole).select("query").distinct().select("query", F.concat(F.lit("T"), F.substring("query", 2, 9).cast("long") % 200).alias("target"))
-    scores = two_step(spark, d, whole).join(weights(spark, d, whole), ["query", "target"]).select("query", "target", r6(F.col("score") * F.col("weight")).alias("score"))
-    return inference.predicted(scores, known, 10)
+@query
+def nbi_predict_novel(spark, d):
+    return inference.predict(query_sub(spark, d), drug_sub(spark, d), drug_target(spark, d), SETTINGS).withColumn("score", r6("score"))
+
+
+@query
+def nbi_topn_excluding_known(spark, d):
+    """Official drugs as queries: their known targets hold mass and are left out of the predictions."""
+    subs, targets = drug_sub(spark, d), drug_target(spark, d)
+    asked, known = inference.official_queries(subs, targets, subs.select("drug"))
+    return inference.predict(asked, subs, targets, SETTINGS, known).withColumn("score", r6("score"))
+
+
+@query
+def nbi_known_rows(spark, d):
+    targets = drug_target(spark, d)
+    rows = inference.raw_rows(targets.limit(0).select(F.col("drug").alias("query"), "target", F.col("weight").alias("score"), F.lit(1).alias("rank")), "DRUG", inference.known_rows(targets, targets.select("drug")).withColumn("weight", F.col("weight") / 7))
+    return rows.select("source_id", "uniprot_id", "score", "rank", F.col("_place").alias("place"))
 
 
 # ---- differential signal
@@ -384,7 +410,7 @@ def nbi_topn_excluding_known(spark, d, whole=False):
 
 def part_samples(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").where(F.col("l_returnflag").isin("R", "N"))
-    return rows.select((F.col("l_partkey") % 500).alias("gene"), F.col("l_returnflag").alias("group"), F.col("l_quantity").alias("value"))
+    return rows.select(F.col("l_partkey").alias("gene"), F.col("l_returnflag").alias("group"), F.col("l_quantity").alias("value"))
 
 
 def welched(spark: SparkSession, d: str) -> DataFrame:
@@ -392,10 +418,9 @@ def welched(spark: SparkSession, d: str) -> DataFrame:
     return stats.welch(stats.group_moments(logs, ["gene"], F.col("group"), F.col("x"), "N", "R"))
 
 
-@query_and_whole
-def tpm_unpivot(spark, d, whole=False):
-    lines = table(spark, d, "lineitem").where("true" if whole else "l_linenumber = 1 AND l_orderkey % 10 = 0")
-    wide = lines.select((line_id() if whole else F.col("l_orderkey")).alias("gene"), "l_quantity", "l_extendedprice", "l_discount")
+@query
+def tpm_unpivot(spark, d):
+    wide = table(spark, d, "lineitem").select(line_id().alias("gene"), "l_quantity", "l_extendedprice", "l_discount")
     return signal.long_form(wide, "gene", ["l_quantity", "l_extendedprice", "l_discount"])
 
 
@@ -422,8 +447,16 @@ def bh_adjust(spark, d):
 @query
 def deg_classify(spark, d):
     kept = part_samples(spark, d).groupBy("gene").agg(signal.expressed(F.col("value"), F.col("group"), 25.0, 0.5, "N", "R").alias("kept"))
-    rows = surrogate(spark, d).join(kept, "gene")
-    return rows.select("gene", "log2fc", "kept", F.when(F.col("kept"), signal.regulation(F.col("log2fc"), F.col("p"), 0.2, 0.05)).otherwise("none").alias("regulation"))
+    rows = written(surrogate(spark, d).drop("padj").join(kept, "gene"), "kept")
+    adjusted = stats.bh_adjusted(rows.where("kept").select("gene", "p"), "p", "gene", "padj").select("gene", r6("padj").alias("padj"))
+    rows = rows.join(adjusted, "gene", "left")
+    return rows.select("gene", "log2fc", "kept", "padj", signal.regulation(F.col("log2fc"), F.col("padj"), 0.9, 0.05).alias("regulation"))
+
+
+@query
+def differential_table(spark, d):
+    rows = signal.differential(part_samples(spark, d).withColumnRenamed("gene", "GeneID"), "GeneID", "N", "R", 25.0, 0.5, 0.05, 0.05)
+    return rows.select("GeneID", r6("log2fc").alias("log2fc"), F.round("p", 9).alias("p"), F.round("padj", 9).alias("padj"), "pass_filter", "regulation")
 
 
 @query
@@ -431,9 +464,9 @@ def deg_direction_consistent(spark, d):
     tables = []
     for status in ("year1", "year2"):
         lines = table(spark, d, "lineitem").where(F.col("l_orderkey") % 2 == (0 if status == "year1" else 1)).where(F.col("l_returnflag").isin("R", "N"))
-        rows = lines.select((F.col("l_partkey") % 500).alias("gene"), F.col("l_returnflag").alias("group"), F.log2(F.col("l_quantity") + 1).alias("x"))
+        rows = lines.select(F.col("l_partkey").alias("gene"), F.col("l_returnflag").alias("group"), F.log2(F.col("l_quantity") + 1).alias("x"))
         m = stats.group_moments(rows, ["gene"], F.col("group"), F.col("x"), "N", "R").withColumn("log2fc", r6(F.col("mean_disease") - F.col("mean_control")))
-        m = m.withColumn("padj", F.abs("log2fc") / 10).withColumn("regulation", F.when(F.col("log2fc") > 0.05, "up").when(F.col("log2fc") < -0.05, "down").otherwise("none"))
+        m = m.withColumn("padj", F.abs("log2fc") / 10).withColumn("regulation", F.when(F.col("log2fc") > 0.05, "up").when(F.col("log2fc") < -0.05, "down").otherwise("not_sig"))
         tables.append(m.where("log2fc IS NOT NULL"))
     out = signal.consistent(tables, "gene")
     return out.select("gene", "n", "direction", *[r6(c).alias(c) for c in ("log2fc_mean", "abs_log2fc_mean", "padj_max")])
@@ -441,13 +474,13 @@ def deg_direction_consistent(spark, d):
 
 @query
 def profile_threshold_class(spark, d):
-    three = F.slice("embedding", 1, 3)
-    return table(spark, d, "embeddings").select("vec_id", signal.effect_class(three, 0.05).alias("effect"))
+    share = lambda k: F.round(F.aggregate(F.filter("embedding", lambda x, i: i % 3 == k), F.lit(0.0), lambda s, x: s + x.cast("double")), 6)
+    return table(spark, d, "embeddings").select("vec_id", signal.effect_class(F.array(share(0), share(1), share(2)), 0.05).alias("effect"))
 
 
 def profile_rows(spark: SparkSession, d: str) -> DataFrame:
     """(profile, position, gene): genes of each supplier in the order of their quantity."""
-    rows = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("profile"), (F.col("l_partkey") % 500).alias("gene")).agg(F.sum("l_quantity").alias("q"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("profile"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("q"))
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("q"), "gene")))
 
 
@@ -458,15 +491,14 @@ def gsea_es(spark, d):
 
 @query
 def reversal_score(spark, d):
-    rows = profile_rows(spark, d)
-    up = signal.enrichment(rows, "profile", "position", F.col("gene") % 13 == 0)
-    down = signal.enrichment(rows, "profile", "position", F.col("gene") % 13 == 1)
-    drawn = rows.crossJoin(spark.range(5).select(F.col("id").alias("draw"))).withColumn("key", F.md5(F.concat_ws(":", "draw", "profile", "gene")))
-    drawn = drawn.withColumn("case", F.concat_ws("-", "profile", "draw")).withColumn("place", F.row_number().over(Window.partitionBy("case").orderBy("key", "gene")))
-    null = signal.enrichment(drawn.select("case", "place", "gene"), "case", "place", F.col("gene") % 13 == 0)
-    nulls = null.agg(F.avg("es").alias("mean"), F.stddev_samp("es").alias("sd"))
-    sizes = up.select("hits").union(down.select("hits")).distinct().crossJoin(nulls)
-    return signal.reversal(up, down, sizes, "profile").select("profile", r6("score").alias("score"))
+    """Each set size has its own null: sets of twenty draws, made by a digest so that SQL draws the same."""
+    rows = written(profile_rows(spark, d), "profiles")
+    up, down = (written(signal.enrichment(rows, "profile", "position", F.col("gene") % 13 == k), "enrichment") for k in (0, 1))
+    sizes = up.select("n", "hits").union(down.select("n", "hits")).distinct()
+    drawn = sizes.select("n", "hits", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("draw")).select("n", "hits", F.concat_ws(":", "draw", "n", "hits").alias("case"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("place"))
+    drawn = drawn.withColumn("chosen", F.row_number().over(Window.partitionBy("case").orderBy(F.md5(F.concat_ws(":", "case", "place")), "place")) <= F.col("hits"))
+    null = signal.enrichment(drawn, "case", "place", F.col("chosen")).groupBy("n", "hits").agg(F.avg("es").alias("mean"), F.stddev_samp("es").alias("sd"))
+    return signal.reversal(up, down, written(null, "nulls"), "profile").select("profile", r6("score").alias("score"))
 
 
 # ---- knowledge graph
@@ -474,8 +506,8 @@ def reversal_score(spark, d):
 
 def kg_sources(spark: SparkSession, d: str) -> list[DataFrame]:
     lines = table(spark, d, "lineitem")
-    base = lines.where("l_quantity >= 45").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("x_id"), F.lit("supplies").alias("relation"), F.concat(F.lit("p"), F.col("l_partkey")).alias("y_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_ord"))
-    more = lines.where("l_quantity >= 48").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("x_id"), F.when(F.col("l_returnflag") == "R", "returns").otherwise("supplies").alias("relation"), F.concat(F.lit("p"), F.col("l_partkey")).alias("y_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_ord"))
+    base = lines.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("x_id"), F.lit("supplies").alias("relation"), F.concat(F.lit("p"), F.col("l_partkey")).alias("y_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_ord"))
+    more = lines.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("x_id"), F.when(F.col("l_returnflag") == "R", "returns").otherwise("supplies").alias("relation"), F.concat(F.lit("p"), F.col("l_partkey")).alias("y_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_ord"))
     return [base, more]
 
 
@@ -505,7 +537,7 @@ def kg_type_local_index(spark, d):
 
 
 def typed_edges(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_quantity >= 48")
+    lines = table(spark, d, "lineitem")
     across = lines.select(F.lit("drug").alias("x_type"), F.col("l_suppkey").alias("x_index"), F.concat(F.lit("rel"), F.col("l_returnflag")).alias("relation"), F.lit("protein").alias("y_type"), F.col("l_partkey").alias("y_index"))
     within = lines.select(F.lit("protein").alias("x_type"), F.col("l_partkey").alias("x_index"), F.lit("ppi").alias("relation"), F.lit("protein").alias("y_type"), (F.col("l_partkey") * 7 % 1000).alias("y_index"))
     return across.union(within)
@@ -525,32 +557,46 @@ def kg_relation_split(spark, d):
 
 @query
 def kg_reverse_edges(spark, d):
-    return knowledge.with_reverse(knowledge.canonical(typed_edges(spark, d)))
+    edges = knowledge.canonical(typed_edges(spark, d))
+    key = F.concat_ws("|", "x_type", "x_index", "relation", "y_type", "y_index")
+    return knowledge.with_reverse(knowledge.split(edges, key, F.col("x_index") % 17 == 0, 42, 0.05, 0.1))
+
+
+@query
+def kg_training_frames(spark, d):
+    """From a graph with ids to directed edges with their split."""
+    nodes = kg_nodes(spark, d).select("node_id", "node_type", F.col("_ord").alias("node_index"))
+    kind = nodes.select(F.col("node_id").alias("id"), F.col("node_type").alias("type"), F.col("node_index").alias("index"))
+    side = lambda e: kind.select(*[F.col(c).alias(f"{e}_{c}") for c in ("id", "type", "index")])
+    lines = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("x_id"), F.concat(F.lit("rel"), F.col("l_returnflag")).alias("relation"), F.concat(F.lit("p"), F.col("l_partkey")).alias("y_id"))
+    within = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("x_id"), F.lit("ppi").alias("relation"), F.concat(F.lit("p"), F.col("l_partkey") * 7 % 1000 + 1).alias("y_id"))
+    graph_rows = lines.union(within).join(side("x"), "x_id").join(side("y"), "y_id")
+    _, _, directed = knowledge.training_frames(nodes, graph_rows, "none", 42, 0.05, 0.1)
+    return directed.select("x_id", "x_idx", "relation", "y_id", "y_idx", "split")
 
 
 @query
 def negative_samples_fix_dst(spark, d):
     edges = typed_edges(spark, d).where("x_type = 'drug'").select(F.col("x_index").alias("src"), "relation", F.col("y_index").alias("dst")).distinct()
-    return knowledge.negatives(edges, 7)
+    return knowledge.negatives(edges, 7).drop("draw")
 
 
-def vectors(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", (F.col("embedding") if whole else F.slice("embedding", 1, 8)).alias("vec"))
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
 
 
-@query_and_whole
-def distmult_score(spark, d, whole=False):
-    v = vectors(spark, d, whole)
+@query
+def distmult_score(spark, d):
+    v = vectors(spark, d)
     relation = v.where("vec_id = 0").select(F.col("vec").alias("w"))
     other = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec").alias("vec_v"))
     return v.join(other, "vec_id").crossJoin(F.broadcast(relation)).select("vec_id", F.round(knowledge.distmult(F.col("vec"), F.col("w"), F.col("vec_v")), 9).alias("score"))  # one row
 
 
-@query_and_whole
-def rgcn_mean_aggregate(spark, d, whole=False):
-    part = F.col("l_partkey") if whole else F.col("l_partkey") % 500
-    edges = table(spark, d, "lineitem").where("l_quantity >= 48").select(part.alias("src"), F.concat(F.lit("r"), F.col("l_linenumber") % 3).alias("relation"), F.col("l_suppkey").alias("dst")).distinct()
-    return knowledge.mean_of_neighbours(edges, vectors(spark, d, whole).select(F.col("vec_id").alias("node"), "vec")).select("dst", "relation", F.col("at").cast("int").alias("at"), r6("value").alias("value"))
+@query
+def rgcn_mean_aggregate(spark, d):
+    edges = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.concat(F.lit("r"), F.col("l_linenumber") % 3).alias("relation"), F.col("l_suppkey").alias("dst")).distinct()
+    return knowledge.mean_of_neighbours(edges, vectors(spark, d).select(F.col("vec_id").alias("node"), "vec")).select("dst", "relation", F.col("at").cast("int").alias("at"), r6("value").alias("value"))
 
 
 def scored_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -573,9 +619,10 @@ def average_precision(spark, d):
 
 @query
 def event_state_violations(spark, d):
-    allowed = spark.createDataFrame([("signup", "view"), ("view", "click"), ("click", "purchase"), ("view", "view"), ("click", "view"), ("purchase", "view"), ("error", "view"), ("view", "error")], "before string, after string")
-    log = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id")
-    return workflow.violations(log, allowed, "user_id", "event_type", "ts", "event_id").select("event_id", "user_id", "before", "after")
+    """Types of events as states of a node, held against the transitions that are allowed."""
+    states = F.create_map(*[F.lit(x) for x in ("signup", "PENDING", "view", "READY", "click", "QUEUED", "purchase", "RUNNING", "error", "FAILED")])
+    log = table(spark, d, "events").select("user_id", states[F.col("event_type")].alias("state"), "ts", "event_id")
+    return workflow.violations(log, workflow.transitions_table(spark), "user_id", "state", "ts", "event_id").select("event_id", "user_id", "before", "after")
 
 
 @query
@@ -589,30 +636,31 @@ def event_status_counts(spark, d):
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-def dag(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Orders as nodes; each waits for those of half and of a third of its number."""
-    nodes = table(spark, d, "orders").where("true" if whole else "o_orderkey < 4000").select(F.col("o_orderkey").alias("node"), F.when(F.col("o_orderkey") % 5 == 0, "PENDING").when(F.col("o_orderkey") % 31 == 0, "FAILED").otherwise("SUCCEEDED").alias("state"))
+def dag(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as nodes; each waits for those of half and of a third of its number, some of which are not there."""
+    nodes = table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.when(F.col("o_orderkey") % 5 == 0, "PENDING").when(F.col("o_orderkey") % 31 == 0, "FAILED").otherwise("SUCCEEDED").alias("state"))
     keys = nodes.select("node")
     waits = keys.select((F.col("node") / 2).cast("long").alias("before"), F.col("node").alias("after")).union(keys.select((F.col("node") / 3).cast("long").alias("before"), F.col("node").alias("after")))
-    return nodes, waits.where("before > 0").distinct().join(keys.withColumnRenamed("node", "before"), "before", "left_semi")
+    return nodes, waits.where("before > 0").distinct()
 
 
-@query_and_whole
-def dag_ready_nodes(spark, d, whole=False):
-    return workflow.ready(*dag(spark, d, whole))
+@query
+def dag_ready_nodes(spark, d):
+    return workflow.ready(*dag(spark, d))
 
 
-@query_and_whole
-def dag_downstream(spark, d, whole=False):
-    nodes, edges = dag(spark, d, whole)
+@query
+def dag_downstream(spark, d):
+    nodes, edges = dag(spark, d)
     return workflow.downstream(edges, nodes.where("state = 'FAILED'").select("node"))
 
 
 @query
 def eta_interval(spark, d):
     history = table(spark, d, "events").select(F.col("event_type").alias("task"), F.col("value").alias("seconds"))
-    remaining = spark.createDataFrame([("view",), ("click",), ("purchase",), ("unknown",)], "task string")
-    return workflow.eta(history, remaining).select(*[r6(c).alias(c) for c in ("low", "middle", "high")], "unknown")
+    remaining = spark.createDataFrame([("view",), ("click",), ("purchase",), ("archive",)], "task string")
+    reference = spark.createDataFrame([("archive", 10.0, 20.0)], "task string, low double, high double")
+    return workflow.eta(history, remaining, reference=reference).select("status", *[r6(c).alias(c) for c in ("low", "middle", "high")], "unknown")
 
 
 @query
@@ -626,11 +674,20 @@ def run_status_rollup(spark, d):
     return workflow.rollup(table(spark, d, "events"), "user_id", "event_type", {"error": 5, "purchase": 4, "click": 3, "view": 2, "signup": 1})
 
 
-@query_and_whole
-def run_status_by_user(spark, d, whole=False):
-    states = F.create_map(*[F.lit(x) for x in ("view", "SUCCEEDED", "signup", "CACHED", "click", "READY", "purchase", "RUNNING", "error", "FAILED")])
-    rows = table(spark, d, "events").where("true" if whole else "event_id % 20 = 0").select("user_id", states[F.col("event_type")].alias("state"))
-    return workflow.run_status(rows, "user_id")
+@query
+def run_status_by_user(spark, d):
+    """Customers with their orders as nodes; those without money have asked to cancel."""
+    states = F.create_map(*[F.lit(x) for x in ("F", "SUCCEEDED", "O", "READY", "P", "RUNNING")])
+    orders = table(spark, d, "orders")
+    state = F.when(F.col("o_orderkey") % 97 == 0, "FAILED").when(F.col("o_orderkey") % 89 == 0, "BLOCKED").otherwise(states[F.col("o_orderstatus")])
+    asked = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return workflow.run_status(orders.select("o_custkey", state.alias("state")), "o_custkey", cancelled=asked)
+
+
+@query
+def run_progress(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.when(F.col("o_orderstatus") == "F", "SUCCEEDED").otherwise("RUNNING").alias("state"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 3 / 2).alias("progress"), F.col("o_orderdate").alias("started_at"), F.col("o_orderdate").alias("finished_at"))
+    return workflow.progress(rows).select("run", "total", "complete", "uncertain", "percent")
 
 
 @query

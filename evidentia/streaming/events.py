@@ -1,9 +1,13 @@
-"""The workflow event log as a stream."""
+"""The workflow event log as a stream, and leases that run out."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_log(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -21,3 +25,37 @@ def status_counts(events: DataFrame, width: str, status: str = "status", at: str
     """Events per tumbling window and status, closed by the watermark in append mode."""
     rows = events.withWatermark(at, late) if events.isStreaming else events
     return rows.groupBy(F.window(at, width), status).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), status, "n")
+
+
+def expired_leases(beats: DataFrame, lease: float, now: str) -> DataFrame:
+    """(node, attempt, last) of tasks without a beat for ``lease`` seconds before ``now``, whose last event does not end them. beats: (node, attempt, kind, ts); kinds beat and end."""
+    last = beats.groupBy("node", "attempt").agg(F.max("ts").alias("last"), F.bool_or(F.col("kind") == "end").alias("_ended"))
+    limit = F.unix_micros(F.to_timestamp(F.lit(now))) - int(lease * 1_000_000)
+    return last.where(~F.col("_ended") & (F.unix_micros(F.col("last").cast("timestamp")) < limit)).drop("_ended")
+
+
+def interrupted(beats: DataFrame, lease: float, late: str = "0 seconds") -> DataFrame:
+    """The same of a stream: a row (node, attempt, last) when a task's lease runs out in event time, once, unless it has ended. The state of a task goes with it."""
+    step = int(lease * 1000)
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        empty = pd.DataFrame({"node": pd.Series(dtype="str"), "attempt": pd.Series(dtype="int64"), "last": pd.Series(dtype="datetime64[us]")})
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"node": [key[0]], "attempt": [key[1]], "last": [pd.Timestamp(last, unit="us")]})
+            return
+        last, ended = state.get[0] if state.exists else -1, False
+        for pdf in batches:
+            last = max(last, int(pdf["ts"].astype("datetime64[us]").astype("int64").max()))
+            ended |= bool((pdf["kind"] == "end").any())
+        if ended:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last,))
+            state.setTimeoutTimestamp(max(last // 1000 + step, state.getCurrentWatermarkMs() + 1))
+        yield empty
+
+    rows = beats.withWatermark("ts", late).groupBy("node", "attempt")
+    return rows.applyInPandasWithState(watch, "node string, attempt long, last timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
