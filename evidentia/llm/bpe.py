@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import chunks, mapped, mix, texts_of
+from .common import LET_GO, chunks, mapped, mix, pieces, texts_of
 
 #: Fixed values of the vocabulary file: its splitting pattern, and the marker at a word's end.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -256,16 +256,36 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+def _codec(path: str) -> Codec:
     return Codec(path)
 
 
+_used: dict[str, Codec] = {}
+
+
+def codec(path: str) -> Codec:
+    _used[path] = _codec(path)
+    return _used[path]
+
+
+def _let_go() -> None:
+    """Words that a partition has met, and long tables of powers, go; the vocabulary stays."""
+    for c in _used.values():
+        if len(c.hashes) > REMEMBERED // 20:
+            c.forget()
+        c.known.clear()
+    powers_to.cache_clear()
+
+
+LET_GO.append(_let_go)
+
+
 def encode_documents(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) of each row of ``df``."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = texts_of(batch.column(1))
             for a, b in chunks(texts):
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coder.encode(texts[a:b])]
@@ -292,7 +312,7 @@ def round_trip_digests(df: DataFrame, vocabulary: str) -> DataFrame:
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary)
         decimal = [str(i) for i in range(len(coder.tokens))].__getitem__
-        for batch in batches:
+        for batch in pieces(batches):
             texts = texts_of(batch.column(1))
             for a, b in chunks(texts):
                 sizes, first, second = [], [], []

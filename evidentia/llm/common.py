@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,54 @@ def chunks(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
+#: What a worker may let go of between partitions: each operator with a cache adds how.
+LET_GO: list[Callable[[], None]] = []
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def released() -> None:
+    """Gives a worker's free memory back: workers stay for the next stages, and an executor holds all of them."""
+    for f in LET_GO:
+        f()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidied(f: Callable) -> Callable:
+    """A function of a group that gives memory back when it is done."""
+
+    def call(key, batch):
+        try:
+            return f(key, batch)
+        finally:
+            released()
+
+    return call
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices with about ``size`` bytes of a text column together, one row at least, so that few texts are held as Python objects at a time."""
+    for batch in batches:
+        total = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(total[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(total, before + size, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def mapped(df: DataFrame, columns: list[str], schema: str, over: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """``mapInArrow`` over just ``columns``."""
-    return df.select(*columns).mapInArrow(over, schema)
+    """``mapInArrow`` over just ``columns``; a worker gives memory back at the end of each partition."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from over(batches)
+        released()
+
+    return df.select(*columns).mapInArrow(tidy, schema)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

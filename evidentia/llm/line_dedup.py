@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_filter, mapped, maybe_in, mix, steps, texts_of, written
+from .common import chunks, id_filter, mapped, maybe_in, mix, pieces, steps, texts_of, tidied, written
 from .components import looked_up
 from .ngram_join import LISTS, linked
 
@@ -221,7 +221,7 @@ class LineJudge:
 
 def lines_of(batches: Iterator[pa.RecordBatch], size: int = 1_000_000):
     """(ids of documents, line numbers, lines) of the non-empty lines of bounded chunks."""
-    for batch in batches:
+    for batch in pieces(batches):
         texts, ids = texts_of(batch.column(1)), batch.column(0).to_pylist()
         for a, b in chunks(texts, size):
             docs: list[int] = []
@@ -272,6 +272,7 @@ def decisions(documents: DataFrame) -> DataFrame:
                         at = order[cuts[r] : cuts[r + 1]]
                         yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([low[at].tobytes()], pa.binary()), pa.array([owners[at].tobytes()], pa.binary())], ["range", "keys", "lines"])
 
+        @tidied
         def group(key, batch):
             keys = np.concatenate([np.frombuffer(x, np.uint32) for x in batch["keys"].to_pylist()])
             lines = np.concatenate([np.frombuffer(x, np.int64) for x in batch["lines"].to_pylist()])

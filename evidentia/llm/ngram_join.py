@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BASE, powers
-from .common import chunks, id_filter, mapped, maybe_in, mix, steps, texts_of, written
+from .common import chunks, id_filter, mapped, maybe_in, mix, pieces, steps, texts_of, tidied, written
 from .components import BROADCAST_ROWS, components, looked_up, union_find
 
 WORDS = 5
@@ -128,7 +128,7 @@ def needed(a: int, b: int) -> int:
 
 def documents_in(batches: Iterator[pa.RecordBatch], keep=None, size: int = 1_000_000):
     """(ids, sets) of a stream of (id, text) batches, in bounded chunks; keep: which ids to read, as a mask."""
-    for batch in batches:
+    for batch in pieces(batches):
         if keep is not None:
             batch = batch.filter(pa.array(keep(np.asarray(batch.column(0)))))
         texts, ids = texts_of(batch.column(1)), batch.column(0).to_pylist()
@@ -176,6 +176,7 @@ def frequency_classes(documents: DataFrame, keep, bits: int) -> np.ndarray:
                 n += len(sets)
         yield from told()
 
+    @tidied
     def add(key, batch):
         total = np.zeros(piece)
         for x in batch["counts"].to_pylist():
@@ -321,6 +322,7 @@ def candidates(documents: DataFrame, keep, classes, bits: int, ranges: int) -> D
                     columns += [pa.array([x.tobytes()], pa.binary()) for x in (short[at], places[at], doc[who], n[who].astype(np.int32), count.astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, ["range", "grams", "places", "docs", "sizes", "counts"])
 
+    @tidied
     def group(key, batch):
         types = (("grams", np.uint32), ("places", np.uint32), ("docs", np.int64), ("sizes", np.int32), ("counts", np.int32))
         grams, places, docs, sizes, counts = (np.concatenate([np.frombuffer(x, t) for x in batch[c].to_pylist()]) for c, t in types)
@@ -434,6 +436,7 @@ def verified(rows: DataFrame, store: DataFrame, tasks: int, judge) -> DataFrame:
     """(a, b) links between probes and members of other components of each list. rows: (list, doc_id, component, probe)."""
     met = rows.join(store.select("doc_id", "grams"), "doc_id").select(F.pmod(F.xxhash64("list"), F.lit(tasks)).alias("task"), "list", "doc_id", "component", "probe", "grams")
 
+    @tidied
     def compare(key, batch):
         a: list[int] = []
         b: list[int] = []
@@ -499,7 +502,7 @@ def similar_components(documents: DataFrame) -> DataFrame:
         both = lambda ids: maybe_in(asked_told.value, asked_width, ids) & keep(ids)
 
         def stored(batches):
-            for batch in batches:
+            for batch in pieces(batches):
                 batch = batch.filter(pa.array(both(np.asarray(batch.column(0)))))
                 texts = texts_of(batch.column(1))
                 for a, b in chunks(texts, 1_000_000):
@@ -593,6 +596,7 @@ def compared(rows: DataFrame, store: DataFrame, tasks: int, judge) -> DataFrame:
     """
     met = rows.join(store.select("doc_id", "sketch"), "doc_id").select(F.pmod(F.xxhash64("list"), F.lit(tasks)).alias("task"), "list", "doc_id", "component", "probe", "sketch")
 
+    @tidied
     def sift(key, batch):
         names, docs, parts, probe = (np.asarray(batch[c]) for c in ("list", "doc_id", "component", "probe"))
         sketch = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint8).reshape(-1, BUCKETS)

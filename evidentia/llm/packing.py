@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import chunks, mapped, texts_of
+from .common import chunks, mapped, pieces as slices, texts_of
 
 #: Context sizes, shortest first.
 TIERS = (256, 512, 1024, 2048)
@@ -139,7 +139,7 @@ def pack_documents(df: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIER
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-        for batch in batches:
+        for batch in slices(batches):
             texts, docs = texts_of(batch.column(1)), batch.column(0).to_pylist()
             for a, b in chunks(texts):
                 for doc, own in zip(docs[a:b], coder.encode(texts[a:b])):

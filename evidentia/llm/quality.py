@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mapped, texts_of
+from .common import chunks, mapped, pieces, released, texts_of
 
 #: Labelled rows that a fit reads at most.
 FIT_ROWS = 40_000
@@ -156,7 +156,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Disc
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``most`` pairs of integers at most
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 0):
             texts = texts_of(batch.column(0))
             for a, b in chunks(texts, 1_000_000):
                 yield pa.RecordBatch.from_arrays([pa.array(list(statistics(texts[a:b])), pa.list_(pa.float64())), batch.column(1).slice(a, b - a)], ["x", "y"])
@@ -172,7 +172,7 @@ def score_documents(documents: DataFrame, model: Discriminant) -> DataFrame:
     """(doc_id, score) of every row."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = texts_of(batch.column(1))
             for a, b in chunks(texts, 1_000_000):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.score(statistics(texts[a:b])))], ["doc_id", "score"])
@@ -185,9 +185,10 @@ def keep_good(documents: DataFrame, model: Discriminant, least: float = THRESHOL
     text = documents.columns.index("text")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text):
             texts = texts_of(batch.column(text))
             keep = [model.score(statistics(texts[a:b])) >= least for a, b in chunks(texts, 1_000_000)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+        released()
 
     return documents.mapInArrow(over, documents.schema)
