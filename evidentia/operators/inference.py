@@ -233,7 +233,7 @@ def known_first(rows: DataFrame, names: DataFrame, most: int) -> DataFrame:
     known = F.col("evidence") == "known"
     score = F.when(known, F.col("score").cast("double")) if "score" in rows.columns else F.lit(None).cast("double")
     named = named.withColumn("gene_symbol", symbol).withColumn("_kind", (~known).cast("int")).withColumn("_key", F.when(known, 0).otherwise(F.coalesce("prediction_rank", F.lit(0)))).withColumn("_score", score)
-    order = ["_kind", "_key", F.desc_nulls_last("_score"), "_ord"]
+    order = ["_kind", "_key", F.desc_nulls_last("_score"), "_ord", "uniprot_id"]
     kept = named.withColumn("_n", F.row_number().over(Window.partitionBy("compound_id", "gene_symbol").orderBy(*order))).where("_n = 1")
     return kept.withColumn("position", F.row_number().over(Window.partitionBy("compound_id").orderBy(*order))).drop("_n", "_kind", "_key", "_score")
 

@@ -47,7 +47,7 @@ def map_symbols(records: DataFrame, official: DataFrame, synonyms: DataFrame) ->
     source = F.when(~has_symbol, "entrez").when(n_own == 1, "symbol").otherwise("synonym")
     value = F.when(given & has_symbol, F.concat(F.lit("symbol="), F.col("symbol"), F.lit(";entrez_id="), F.col("given"))).when(has_symbol, F.col("symbol")).otherwise(F.col("given"))
     rows = rows.select("_ord", value.alias("input_value"), reason.alias("reason"), F.coalesce(found, F.when(given, F.col("given"))).alias("entrez_id"), source.alias("source"))
-    good = rows.where("reason IS NULL").groupBy("entrez_id").agg(F.min_by("source", "_ord").alias("source"), F.min("_ord").alias("_ord"))
+    good = rows.where("reason IS NULL").groupBy("entrez_id").agg(F.min_by("source", F.struct("_ord", "source")).alias("source"), F.min("_ord").alias("_ord"))
     good = good.join(names.withColumnRenamed("id", "entrez_id"), "entrez_id").select("entrez_id", F.col("official").alias("symbol"), "source", "_ord")
     return good, rows.where("reason IS NOT NULL").select("_ord", "input_value", "reason")
 

@@ -26,10 +26,10 @@ STREAMS = """
         FROM lineitem WHERE l_returnflag IN ('R', 'N') GROUP BY ALL
     )"""
 EDGES = """
-    edges AS (SELECT DISTINCT least(-l_suppkey, l_partkey) AS u, greatest(-l_suppkey, l_partkey) AS v FROM lineitem),
+    edges AS (SELECT DISTINCT least(-1 - l_suppkey, l_partkey) AS u, greatest(-1 - l_suppkey, l_partkey) AS v FROM lineitem),
     arcs AS (SELECT u AS src, v AS dst FROM edges UNION ALL SELECT v, u FROM edges)"""
 BFS = EDGES + """,
-    steps AS (SELECT DISTINCT src AS node, 0 AS distance FROM arcs WHERE src IN (SELECT -s_suppkey FROM supplier WHERE s_suppkey % 50 = 1)
+    steps AS (SELECT DISTINCT src AS node, 0 AS distance FROM arcs WHERE src IN (SELECT -1 - s_suppkey FROM supplier WHERE s_suppkey % 50 = 1)
               UNION SELECT a.dst, s.distance + 1 FROM steps s JOIN arcs a ON a.src = s.node WHERE s.distance < 12),
     nearest AS (SELECT node, min(distance) AS distance FROM steps GROUP BY node)"""
 BINS = """
@@ -198,13 +198,13 @@ ORACLE_SQL: dict[str, str] = {
     "last_wins_dedup": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1",
     "duplicate_id_count": "SELECT p_partkey, p_name, count(*) OVER (PARTITION BY p_name) AS n FROM part QUALIFY n > 1",
     "known_first_targets": """WITH rows AS (
-            SELECT l_suppkey AS compound_id, l_returnflag <> 'A' AS kind, CASE WHEN l_returnflag = 'A' THEN 0 ELSE l_linenumber END AS key, l_orderkey * 10 + l_linenumber AS ord,
+            SELECT l_suppkey AS compound_id, l_returnflag <> 'A' AS kind, CASE WHEN l_returnflag = 'A' THEN 0 ELSE l_linenumber END AS key, l_orderkey * 10 + l_linenumber AS ord, CAST(l_partkey AS VARCHAR) AS part,
                    coalesce(CASE WHEN p_partkey % 7 <> 0 THEN p_name END, CAST(l_partkey AS VARCHAR)) AS gene_symbol
             FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE (l_returnflag = 'A' OR l_linenumber <= 3)),
-        firsts AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY compound_id, gene_symbol ORDER BY kind, key, ord) = 1)
-        SELECT compound_id, CAST(row_number() OVER (PARTITION BY compound_id ORDER BY kind, key, ord) AS INTEGER) AS position, gene_symbol, CASE WHEN kind THEN 'predicted' ELSE 'known' END AS evidence FROM firsts""",
+        firsts AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY compound_id, gene_symbol ORDER BY kind, key, ord, part) = 1)
+        SELECT compound_id, CAST(row_number() OVER (PARTITION BY compound_id ORDER BY kind, key, ord, part) AS INTEGER) AS position, gene_symbol, CASE WHEN kind THEN 'predicted' ELSE 'known' END AS evidence FROM firsts""",
     "map_symbol_synonym": f"""WITH {SYMBOLS}
-        SELECT entrez AS value, 'mapped' AS reason, min(ord) AS ord, any_value(g.symbol) AS symbol, arg_min(source, ord) AS source FROM judged JOIN official g ON g.id = entrez WHERE reason IS NULL GROUP BY entrez
+        SELECT entrez AS value, 'mapped' AS reason, min(ord) AS ord, any_value(g.symbol) AS symbol, first(source ORDER BY ord, source) AS source FROM judged JOIN official g ON g.id = entrez WHERE reason IS NULL GROUP BY entrez
         UNION ALL SELECT input_value, reason, ord, NULL, NULL FROM judged WHERE reason IS NOT NULL""",
     "reason_histogram": f"WITH {SYMBOLS} SELECT reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY reason",
     "unmapped_report": """SELECT l_partkey AS key, count(*) AS occurrences, list_aggregate(list_sort(list(DISTINCT CAST(l_suppkey AS VARCHAR))), 'string_agg', ';') AS members
@@ -246,7 +246,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT l_orderkey % 2 AS half, l_partkey AS gene, round(avg(log2(l_quantity + 1)) FILTER (l_returnflag = 'R') - avg(log2(l_quantity + 1)) FILTER (l_returnflag = 'N'), 6) AS fc
             FROM lineitem WHERE l_returnflag IN ('R', 'N') GROUP BY ALL),
         s AS (SELECT *, abs(fc) / 10 AS padj, CASE WHEN fc > 0.05 THEN 'up' ELSE 'down' END AS way FROM m WHERE abs(fc) > 0.05)
-        SELECT gene, count(*) AS n, min(way) AS direction, round(avg(fc), 6) AS log2fc_mean, round(avg(abs(fc)), 6) AS abs_log2fc_mean, round(max(padj), 6) AS padj_max
+        SELECT gene, count(*) AS n, min(way) AS direction, avg(fc) AS log2fc_mean, avg(abs(fc)) AS abs_log2fc_mean, max(padj) AS padj_max
         FROM s GROUP BY gene HAVING count(*) = 2 AND count(DISTINCT way) = 1""",
     "profile_threshold_class": """WITH s AS (SELECT vec_id, list_transform(range(3), lambda k: round(list_sum(list_transform(list_filter(range(len(embedding)), lambda i: i % 3 = k), lambda i: CAST(embedding[i + 1] AS DOUBLE))), 6)) AS e FROM embeddings)
         SELECT vec_id, CAST(CASE WHEN list_max(e) < 0.05 THEN 0 ELSE list_position(e, list_max(e)) - 2 END AS INTEGER) AS effect FROM s""",

@@ -244,7 +244,7 @@ def source_tag_extract(spark, d):
 
 def edges_of(spark: SparkSession, d: str) -> DataFrame:
     """(u, v): suppliers as negative and parts as positive numbers."""
-    lines = table(spark, d, "lineitem").select((-F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b"))
+    lines = table(spark, d, "lineitem").select((-1 - F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b"))
     return graph.simple_edges(lines, "a", "b")
 
 
@@ -286,7 +286,7 @@ def largest_component(spark, d):
 
 
 def sources_of(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").where("s_suppkey % 50 = 1").select((-F.col("s_suppkey")).alias("node"))
+    return table(spark, d, "supplier").where("s_suppkey % 50 = 1").select((-1 - F.col("s_suppkey")).alias("node"))
 
 
 @query
@@ -469,7 +469,7 @@ def deg_direction_consistent(spark, d):
         m = m.withColumn("padj", F.abs("log2fc") / 10).withColumn("regulation", F.when(F.col("log2fc") > 0.05, "up").when(F.col("log2fc") < -0.05, "down").otherwise("not_sig"))
         tables.append(m.where("log2fc IS NOT NULL"))
     out = signal.consistent(tables, "gene")
-    return out.select("gene", "n", "direction", *[r6(c).alias(c) for c in ("log2fc_mean", "abs_log2fc_mean", "padj_max")])
+    return out.select("gene", "n", "direction", "log2fc_mean", "abs_log2fc_mean", "padj_max")
 
 
 @query

@@ -45,7 +45,7 @@ def test_queries_without_sql():
 
 
 def test_components_equal_a_union_find(spark, duck):
-    edges = duck.execute("SELECT DISTINCT -l_suppkey, l_partkey FROM lineitem").fetchall()
+    edges = duck.execute("SELECT DISTINCT -1 - l_suppkey, l_partkey FROM lineitem").fetchall()
     parent = {x: x for e in edges for x in e}
 
     def find(x):
