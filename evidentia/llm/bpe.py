@@ -32,6 +32,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NOT_PLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")
 #: Words that a worker remembers; then it starts afresh, so memory is bounded.
 REMEMBERED = 2_000_000
+#: Characters that are encoded at a time.
+CHUNK = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -287,7 +289,7 @@ def encode_documents(df: DataFrame, vocabulary: str, key: str = "doc_id", text:
         coder = codec(vocabulary)
         for batch in pieces(batches):
             texts = texts_of(batch.column(1))
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHUNK):
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coder.encode(texts[a:b])]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], [key, "ids"])
@@ -314,7 +316,7 @@ def round_trip_digests(df: DataFrame, vocabulary: str) -> DataFrame:
         decimal = [str(i) for i in range(len(coder.tokens))].__getitem__
         for batch in pieces(batches):
             texts = texts_of(batch.column(1))
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHUNK):
                 sizes, first, second = [], [], []
                 for x in coder.encode(texts[a:b]):
                     ids = np.frombuffer(x, "<u4").tolist()

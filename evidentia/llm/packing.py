@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec
+from .bpe import CHUNK, codec
 from .common import chunks, mapped, pieces as slices, texts_of
 
 #: Context sizes, shortest first.
@@ -109,7 +109,7 @@ def packed(pool: Pool, last: bool) -> Iterator[tuple[int, list[Piece]]]:
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window int, step_group long"
 
 
-def pack_documents(df: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, pool_tokens: int = 4_000_000) -> DataFrame:
+def pack_documents(df: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, pool_tokens: int = 2_000_000) -> DataFrame:
     """A row per piece: its document, place and ids (little-endian unsigned 32-bit), and its sequence and offset in it.
 
     ``sequence_id`` is unique over the whole table; ``window`` is the sequence's size; ``step_group`` is the group of
@@ -141,7 +141,7 @@ def pack_documents(df: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIER
 
         for batch in slices(batches):
             texts, docs = texts_of(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHUNK):
                 for doc, own in zip(docs[a:b], coder.encode(texts[a:b])):
                     ids = np.frombuffer(own + end, "<u4")
                     full = len(ids) // longest * longest
