@@ -92,6 +92,14 @@ def test_wrappers(spark):
     assert wrappers.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_wrapper_reads_marks_of_all_elements(spark):
+    inside = '<p>a</p><p class="advert">x1</p><p>b <span class="share">x2 <span>x3</span> x4</span> c</p><ul><li>d<li class="ad">x5<li>e</ul><h2 class="promo">x6</h2><p hidden>x7</p><p style="display:none">x8<p>f</p><svg width="1"/><p class="lead">g</p><table><tr><td class="notice">x9</td><td>h</td></tr></table>'
+    page = f"<html><body><article>{inside}</article></body></html>"
+    rows = [(1, "http://m.example/1", page), (2, "http://m.example/2", page.replace("<p>a</p>", "<p>z</p>"))]
+    got = {r.page_id: r.text for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].split("\n\n") == ["a", "b c", "d", "e", "f", "g", "h"] and got[2].startswith("z\n\nb c")
+
+
 def test_wrapper_without_article_keeps_short_texts(spark):
     long = "".join(f"<p>{prose(i, 40)}</p>" for i in range(8))
     page = f'<html><body><ul><li><a href="/">m</a></li></ul><div><h1>Short title</h1>{long}<h2>Next</h2><figure><figcaption>Fig. 1</figcaption></figure>{long}<p>The <b>end</b></p></div></body></html>'
