@@ -260,7 +260,7 @@ def test_a_run_from_files_to_candidates(spark, tmp_path):
     manifest = next((tmp_path / "run/artifacts/manifests/rank_candidates/main").glob("a-*.json"))
     found = json.loads(manifest.read_text())
     assert report.resolved(spark, c.run, found, producers=("rank_candidates",)).startswith(c.run)
-    (tmp_path / "run" / found["relative_path"]).write_text("changed")
+    delimited.write_text(spark, "changed", f"{c.run}/{found['relative_path']}")
     with pytest.raises(delimited.ContractError):
         report.resolved(spark, c.run, found)
     with pytest.raises(delimited.ContractError):
