@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, line_dedup, ngram_join, packing, quality, search, wrappers
+from . import alignment, bpe, centroids, chat, language, licenses, line_dedup, ngram_join, packing, quality, search, wrappers
 from .common import table
 
 
@@ -66,6 +66,20 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op11_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = language.identify(documents, language.train(documents))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_filtered_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_packing": op1_hierarchical_packing,
     "op2_wrapper_main_text": op2_wrapper_main_text,
@@ -77,11 +91,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quadratic_quality": op8_quadratic_quality,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_fuzzy_line_dedup": op10_fuzzy_line_dedup,
+    "op11_naive_bayes_language": op11_naive_bayes_language,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_filtered_centroids": op13_filtered_centroids,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLE_SQL: dict[str, str] = {
     "op7_license_scan": licenses.oracle_sql(),
+    "op13_filtered_centroids": centroids.oracle_sql(),
     "op3_prefix_tree_chat": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
