@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +40,7 @@ from .common import chunks, mapped, pieces, texts_of, written
 #: Rows of the table of pairs that may be broadcast (34 MB).
 BROADCAST_PAIRS = 2_000_000
 #: Characters that are aligned at a time, and units that a worker remembers.
-SEGMENT, REMEMBERED = 1_000_000, 500_000
+SEGMENT, REMEMBERED = 1_000_000, 1_000_000
 #: Pairs that a task holds before it hands their counts on.
 HELD_PAIRS = 2_000_000
 
@@ -76,6 +78,7 @@ class Aligner:
     """Encodes with both tokenizers and aligns their tokens."""
 
     def __init__(self, byte_level: str, piece_model: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -91,9 +94,10 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b_size)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_length, self.b_length = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
-        #: Whether no token holds a blank or line feed behind another character.
+        # whether no token that a text without odd white space can have holds a blank or line feed behind another character
         inner = re.compile(rb"[^ \n][ \n]")
-        self.by_unit = not any(map(inner.search, self.a_bytes)) and not any(inner.search(x) or (b"\n" in x and len(x) > 1) for x in self.b_bytes)
+        usual = [x for x in self.a_bytes if not ODD_SPACE.search(x.decode("utf-8", "replace"))]
+        self.by_unit = not any(map(inner.search, usual)) and not any(inner.search(x) or (b"\n" in x and len(x) > 1) for x in self.b_bytes)
         self.table = np.array([f"{i}," for i in range(self.a_size)] + [f"{i}|" for i in range(self.a_size)] + [f"{i}," for i in range(self.b_size)] + [f"{i};" for i in range(self.b_size)], object)
         self.forget()
 
@@ -113,18 +117,24 @@ class Aligner:
 
     def learn(self, units: list[str]) -> None:
         """Encodes new units; each begins with a blank or a line feed. B adds a blank, which takes the place of the unit's own or goes again."""
-        a = [x.ids for x in self.a.encode_batch(units, add_special_tokens=False)]
+        a = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
         b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         b = [x if u[0] == " " else x[1:] for x, u in zip(b, units)]
         for x, u in zip(b, units):
             if not x and u == " ":  # B adds no blank to an empty text
                 x.append(self.b.piece_to_id("▁"))
-        for u in units:
-            self.number[u] = len(self.number)
-        for k, own in enumerate((a, b)):
-            self.ids[k] = np.concatenate([self.ids[k], *(np.array(x, np.int32) for x in own)])
-            self.ends[k] = np.concatenate([self.ends[k], self.ends[k][-1] + np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))])
-        self.exact = np.append(self.exact, [self.equal(x, u.encode()) for x, u in zip(zip(a, b), units)])
+        self.number.update(zip(units, range(len(self.number), len(self.number) + len(units))))
+        raw = [u.encode() for u in units]
+        joined, size = b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw))
+        same = True
+        for k, (own, told, length) in enumerate(((a, self.a_bytes, self.a_length), (b, self.b_bytes, self.b_length))):
+            flat = list(itertools.chain.from_iterable(own))
+            ids, ends = np.array(flat, np.int32), np.append(0, np.cumsum(np.fromiter(map(len, own), np.int64, len(own))))
+            reached = np.append(0, np.cumsum(length[ids]))[ends]
+            same = same and (np.diff(reached) == size).all() and b"".join(map(told.__getitem__, flat)) == joined
+            self.ids[k] = np.append(self.ids[k], ids)
+            self.ends[k] = np.append(self.ends[k], self.ends[k][-1] + ends[1:])
+        self.exact = np.append(self.exact, np.ones(len(raw), bool) if same else [self.equal(x, u) for x, u in zip(zip(a, b), raw)])
 
     def streams(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """The ids of A and B of each text, None where there are none by rule. A text begins with the blank before it, or with a line feed or blank of its own inside a document."""
@@ -141,12 +151,12 @@ class Aligner:
                 out[i] = np.array(own[0], np.int32), np.array(own[1], np.int32)
         if len(self.number) > REMEMBERED:
             self.forget()
-        new = [u for u in dict.fromkeys(u for x in units.values() for u in x) if u not in self.number]
+        new = list(set().union(*units.values()).difference(self.number))
         if new:
             self.learn(new)
         number = self.number
         for i, own in units.items():
-            at = np.fromiter((number[u] for u in own), np.int64, len(own))
+            at = np.array(list(map(number.__getitem__, own)), np.int64)
             if self.exact[at].all():
                 out[i] = tuple(self.gathered(k, at) for k in (0, 1))
             else:
