@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import chem, text
-from .operators import construct, graph, inference, knowledge, mapping, ranking, signal, training
+from .operators import construct, graph, inference, knowledge, mapping, proximity, ranking, signal, training
 from .plans import workflow
 from .plans.config import Config, checked, document, frozen
 from .plans.report import Result, candidate_count, commit, report, skip_summary, write_report
@@ -295,7 +295,7 @@ def proximity_prepare_network(c: Context, task: str):
 @runner
 def proximity_score_compounds(c: Context, task: str):
     p, read = c.config.proximity, c.spark.read
-    z = graph.proximity_z(read.parquet(c.at("proximity/network.parquet")), read.parquet(c.at("proximity/module.parquet")), read.parquet(c.at("proximity/targets.parquet")), p.least_bin, p.draws, p.seed)
+    z = proximity.proximity_z(read.parquet(c.at("proximity/network.parquet")), read.parquet(c.at("proximity/module.parquet")), read.parquet(c.at("proximity/targets.parquet")), p.least_bin, p.draws, p.seed, c.at("proximity/distances"))
     rows = written(z.where("z IS NOT NULL").select(F.col("set_id").alias("ID"), "z"), "scores")
     path = c.at("proximity/scores.tsv")
     write_one_file(rows.orderBy("z", "ID"), path, ("ID", "z"))

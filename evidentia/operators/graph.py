@@ -1,21 +1,13 @@
-"""Simple graphs: edges, degrees, components, distances and degree-matched randomisation."""
+"""Simple graphs: edges, degrees and their bins, components and distances."""
 
 from __future__ import annotations
 
-import random
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.tables import written
 
-#: Edges that a kernel may hold in memory on each worker.
-KERNEL_EDGES = 5_000_000
-#: Distances, two bytes each, that the driver may hold and broadcast: random modules times nodes.
-KERNEL_CELLS = 64_000_000
 #: Rounds whose results are read apart before they are written as one table.
 ROUNDS = 16
 
@@ -112,192 +104,3 @@ def degree_bins(histogram: DataFrame, least: int) -> DataFrame:
 def in_bin(nodes: DataFrame, bins: DataFrame) -> DataFrame:
     """Each node with the bin that holds its degree. Bins are few: no more than distinct degrees."""
     return nodes.join(F.broadcast(bins), nodes.degree.between(bins.low, bins.high)).select("node", "degree", "bin")
-
-
-class Network:
-    """A graph in compressed rows with nodes in sorted order, for kernels."""
-
-    def __init__(self, u: np.ndarray, v: np.ndarray):
-        self.nodes = np.unique(np.concatenate([u, v]))
-        a, b = np.searchsorted(self.nodes, u), np.searchsorted(self.nodes, v)
-        src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-        order = np.lexsort((dst, src))
-        self.dst = dst[order]
-        self.start = np.searchsorted(src[order], np.arange(len(self.nodes) + 1))
-        self.degree = np.diff(self.start)
-
-    def distances(self, sources: list[int]) -> np.ndarray:
-        """Steps from the nearest source to every node; -1 where there is no path."""
-        out = np.full(len(self.nodes), -1, np.int32)
-        frontier, step = np.unique(np.asarray(sources, np.int64)), 0
-        out[frontier] = 0
-        while len(frontier):
-            step += 1
-            n = self.degree[frontier]
-            at = np.repeat(self.start[frontier] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            near = np.unique(self.dst[at])
-            frontier = near[out[near] < 0]
-            out[frontier] = step
-        return out
-
-    def bins(self, least: int) -> list[list[int]]:
-        """Nodes by degree in bins of ``least`` nodes; a short last bin joins the one before."""
-        by_degree: dict[int, list[int]] = {}
-        for i, d in enumerate(self.degree.tolist()):
-            by_degree.setdefault(d, []).append(i)
-        out: list[list[int]] = [[]]
-        for d in sorted(by_degree):
-            if len(out[-1]) >= least:
-                out.append([])
-            out[-1] += by_degree[d]
-        if len(out) > 1 and len(out[-1]) < least:
-            tail = out.pop()
-            out[-1] += tail
-        return out
-
-
-def matched_samples(network: Network, chosen: list[int], least: int, draws: int, seed: int, redraws: int = 20) -> list[list[int]]:
-    """``draws`` random sets like ``chosen``: each node is replaced by another of its degree bin, redrawn on a collision."""
-    of: dict[int, list[int]] = {}
-    for own in network.bins(least):
-        for i in own:
-            of[i] = own
-    rng, out = random.Random(seed), []
-    pools = [[x for x in of[i] if x != i] for i in chosen]
-    if any(not p for p in pools):
-        raise ValueError("a node has no other node in its degree bin")
-    for _ in range(draws):
-        got: list[int] = []
-        taken: set[int] = set()
-        for pool in pools:
-            x = rng.choice(pool)
-            for _ in range(redraws):
-                if x not in taken:
-                    break
-                x = rng.choice(pool)
-            taken.add(x)
-            got.append(x)
-        out.append(sorted(set(got)))
-    return out
-
-
-def drawn_places(chosen: list[tuple[int, int]], sizes: dict[int, int], draws: int, seed: int, redraws: int = 20) -> list[set[tuple[int, int]]]:
-    """The sets of ``matched_samples`` as (bin, position in the bin), from the chosen nodes' own places in the order of the nodes."""
-    if any(sizes[b] < 2 for b, _ in chosen):
-        raise ValueError("a node has no other node in its degree bin")
-    rng, out = random.Random(seed), []
-    for _ in range(draws):
-        taken: set[tuple[int, int]] = set()
-        for b, own in chosen:
-            for k in range(redraws + 1):
-                j = rng.choice(range(sizes[b] - 1))
-                x = (b, j + (j >= own))
-                if x not in taken:
-                    break
-            taken.add(x)
-        out.append(taken)
-    return out
-
-
-def joined_z(edges: DataFrame, module: DataFrame, target_sets: DataFrame, least: int, draws: int, seed: int) -> DataFrame:
-    """``proximity_z`` by joins: no worker holds the graph, and the driver only the modules and the bins' sizes."""
-    spark = edges.sparkSession
-    both = written(arcs(edges), "arcs")
-    own = written(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")), "degrees")
-    bins = written(degree_bins(own.groupBy("degree").agg(F.count("*").alias("nodes")), least), "bins")
-    sizes = {r.bin: r.members for r in bins.collect()}
-    order = Window.partitionBy("bin").orderBy("degree", "node")
-    placed = written(in_bin(own, bins).select("node", "bin", (F.row_number().over(order) - 1).alias("position")), "places")
-
-    chosen = [(r.bin, r.position) for r in placed.join(module.select("node").distinct(), "node").orderBy("node").collect()]
-    if not chosen:
-        raise ValueError("the module has no node in the graph")
-    rows = [(k, *x) for k, places in enumerate([set(chosen), *drawn_places(chosen, sizes, draws, seed)]) for x in places]
-    sources = spark.createDataFrame(rows, "module long, bin int, position int").join(placed, ["bin", "position"])
-    seen = frontier = written(sources.select("module", "node", F.lit(0).alias("distance")), "seen")
-    step = 0
-    while True:
-        step += 1
-        fresh = frontier.join(both, frontier.node == both.src).select("module", F.col("dst").alias("node")).distinct().join(seen, ["module", "node"], "left_anti").withColumn("distance", F.lit(step))
-        fresh = written(fresh, "frontier")
-        if fresh.isEmpty():
-            break
-        seen, frontier = seen.unionByName(fresh), fresh
-        if step % ROUNDS == 0:
-            seen = written(seen, "seen")
-
-    if seen.count() != (draws + 1) * own.count():
-        raise ValueError("the graph is not connected")
-    kind = dict(target_sets.dtypes)["set_id"]
-
-    def draw(batches):
-        for pdf in batches:
-            for name, nodes in zip(pdf["set_id"], pdf["nodes"]):
-                places = [(x["bin"], x["position"]) for x in nodes]
-                out = [(name, k, *x) for k, some in enumerate([set(places), *drawn_places(places, sizes, draws, seed)]) for x in some]
-                yield pd.DataFrame(out, columns=["set_id", "module", "bin", "position"])
-
-    sets = target_sets.join(placed, "node").groupBy("set_id").agg(F.sort_array(F.collect_set(F.struct("node", "bin", "position"))).alias("nodes"))
-    drawn = sets.mapInPandas(draw, f"set_id {kind}, module long, bin int, position int").join(placed, ["bin", "position"]).join(seen, ["module", "node"], "left")
-    means = drawn.groupBy("set_id", "module").agg(F.avg("distance").alias("m"))
-    null = F.when(F.col("module") > 0, F.col("m"))
-    scored = means.groupBy("set_id").agg(F.max(F.when(F.col("module") == 0, F.col("m"))).alias("mean_distance"), F.avg(null).alias("mean"), F.stddev_pop(null).alias("sd"))
-    z = F.when(F.col("sd") == 0, 0.0).otherwise((F.col("mean_distance") - F.col("mean")) / F.col("sd"))
-    return target_sets.select("set_id").distinct().join(scored, "set_id", "left").select("set_id", "mean_distance", F.when(F.col("mean_distance").isNotNull(), z).alias("z"))
-
-
-def proximity_z(edges: DataFrame, module: DataFrame, target_sets: DataFrame, least: int, draws: int, seed: int) -> DataFrame:
-    """(set_id, mean_distance, z) of each set of nodes against degree-matched random modules and sets.
-
-    The r-th random set is measured from the r-th random module. Each distinct set is scored once. The graph goes to
-    every worker if it has KERNEL_EDGES edges at most, and its distances from all modules are KERNEL_CELLS at most; a
-    larger one is walked by joins, with the same draws. A graph that is not connected, or a module without a node in
-    it, is an error. Nodes of a set that the graph lacks are left out; a set without any other has neither value.
-    """
-    spark = edges.sparkSession
-    if edges.count() > KERNEL_EDGES:
-        return joined_z(edges, module, target_sets, least, draws, seed)
-    pairs = edges.toPandas()
-    network = Network(pairs.u.to_numpy(), pairs.v.to_numpy())
-    if (draws + 1) * len(network.nodes) > KERNEL_CELLS:
-        return joined_z(edges, module, target_sets, least, draws, seed)
-    place = {n: i for i, n in enumerate(network.nodes.tolist())}
-    own = sorted(place[r.node] for r in module.select("node").distinct().collect() if r.node in place)
-    if not own:
-        raise ValueError("the module has no node in the graph")
-    told = spark.sparkContext.broadcast((network, [own, *matched_samples(network, own, least, draws, seed)]))
-
-    def walk(batches):
-        net, modules = told.value
-        for pdf in batches:
-            yield pd.DataFrame({"module": pdf["id"], "steps": [net.distances(modules[i]).astype("<i2").tobytes() for i in pdf["id"]]})
-
-    rows = written(spark.range(draws + 1).repartition(min(32, draws + 1)).mapInPandas(walk, "module long, steps binary"), "distances")
-    matrix = np.stack([np.frombuffer(r.steps, "<i2") for r in rows.orderBy("module").collect()])  # KERNEL_CELLS at most
-    if (matrix < 0).any():
-        raise ValueError("the graph is not connected")
-    distances_told = spark.sparkContext.broadcast(matrix)
-    sets = target_sets.groupBy("set_id").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
-    distinct = sets.select("nodes").distinct()
-
-    def score(batches):
-        net, _ = told.value
-        steps = distances_told.value
-        index = {n: i for i, n in enumerate(net.nodes.tolist())}
-        for pdf in batches:
-            means, zs = [], []
-            for nodes in pdf["nodes"]:
-                chosen = sorted(index[n] for n in nodes if n in index)
-                if not chosen:
-                    means.append(None)
-                    zs.append(None)
-                    continue
-                mean = float(np.mean(steps[0][chosen]))
-                null = [float(np.mean(steps[r + 1][s])) for r, s in enumerate(matched_samples(net, chosen, least, draws, seed))]
-                sd = float(np.std(null))
-                means.append(mean)
-                zs.append(0.0 if sd == 0 else (mean - float(np.mean(null))) / sd)
-            yield pd.DataFrame({"nodes": pdf["nodes"], "mean_distance": pd.Series(means, dtype="float64"), "z": pd.Series(zs, dtype="float64")})
-
-    scored = distinct.mapInPandas(score, f"nodes {dict(sets.dtypes)['nodes']}, mean_distance double, z double")
-    return sets.join(scored, "nodes").select("set_id", "mean_distance", "z")

@@ -32,6 +32,62 @@ BFS = EDGES + """,
     steps AS (SELECT DISTINCT src AS node, 0 AS distance FROM arcs WHERE src IN (SELECT -1 - s_suppkey FROM supplier WHERE s_suppkey % 50 = 1)
               UNION SELECT a.dst, s.distance + 1 FROM steps s JOIN arcs a ON a.src = s.node WHERE s.distance < 12),
     nearest AS (SELECT node, min(distance) AS distance FROM steps GROUP BY node)"""
+#: Components: each has a supplier, and its smallest node is one.
+PARTS = EDGES + """,
+    reach AS (SELECT DISTINCT src AS root, src AS node FROM arcs WHERE src < 0 UNION SELECT r.root, a.dst FROM reach r JOIN arcs a ON a.src = r.node),
+    labels AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
+    inside AS (SELECT node FROM labels WHERE component = (SELECT component FROM labels GROUP BY component ORDER BY count(*) DESC, component LIMIT 1))"""
+
+
+def bins(own: str, name: str, least: int = 100) -> str:
+    """Bins of ``least`` nodes at least, from (node, degree)."""
+    return f"""
+    {name}_hist AS (SELECT degree, count(*) AS nodes, row_number() OVER (ORDER BY degree) AS k FROM {own} GROUP BY degree),
+    {name}_walk AS (
+        SELECT k, degree, nodes AS held, 0 AS bin FROM {name}_hist WHERE k = 1
+        UNION ALL SELECT h.k, h.degree, CASE WHEN w.held >= {least} THEN h.nodes ELSE w.held + h.nodes END, CASE WHEN w.held >= {least} THEN w.bin + 1 ELSE w.bin END FROM {name}_walk w JOIN {name}_hist h ON h.k = w.k + 1
+    ),
+    {name}_final AS (SELECT max(bin) AS last, (SELECT held FROM {name}_walk ORDER BY k DESC LIMIT 1) AS held FROM {name}_walk),
+    {name}_placed AS (SELECT w.degree, CASE WHEN f.held < {least} AND f.last > 0 AND w.bin = f.last THEN w.bin - 1 ELSE w.bin END AS bin FROM {name}_walk w, {name}_final f),
+    {name} AS (SELECT o.node, p.bin, row_number() OVER (PARTITION BY p.bin ORDER BY o.node) - 1 AS position, count(*) OVER (PARTITION BY p.bin) AS members FROM {own} o JOIN {name}_placed p USING (degree))"""
+
+
+def draws(chosen: str, placed: str, name: str, seed: int, purpose: str, n: int, redraws: int = 20) -> str:
+    """(set_id, draw, node) in a CTE ``name``: stand-ins from (set_id, node), drawn again where an earlier or smaller node has the place."""
+    parts, held = [f"{name}_r0 AS (SELECT set_id, draw, node, bin, position, members FROM {chosen} JOIN {placed} USING (node), range(1, {n + 1}) d(draw))"], []
+    for k in range(redraws + 1):
+        place = f"CAST('0x' || substr(md5('{seed}|{purpose}|' || draw || '|' || node || '|{k}'), 1, 13) AS BIGINT) % (members - 1)"
+        taken = "".join(f" AND NOT EXISTS (SELECT 1 FROM {name}_h{j} h WHERE h.wins AND h.set_id = a.set_id AND h.draw = a.draw AND h.bin = a.bin AND h.place = a.place)" for j in range(k))
+        parts.append(f"{name}_a{k} AS (SELECT *, {place} + CAST({place} >= position AS BIGINT) AS place FROM {name}_r{k})")
+        parts.append(f"{name}_h{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY set_id, draw, bin, place ORDER BY node) = 1{taken} AS wins FROM {name}_a{k} a)")
+        parts.append(f"{name}_r{k + 1} AS (SELECT set_id, draw, node, bin, position, members FROM {name}_h{k} WHERE NOT wins)")
+        held.append(f"SELECT set_id, draw, bin, place FROM {name}_h{k} WHERE wins")
+    parts.append(f"{name} AS MATERIALIZED (SELECT h.set_id, h.draw, p.node FROM ({' UNION ALL '.join(held)}) h JOIN {placed} p ON p.bin = h.bin AND p.position = h.place)")
+    return ", ".join(parts)
+
+
+def walks(sources: str, edges: str, name: str, most: int = 14) -> str:
+    """(module, node, distance) in a CTE ``name`` from (module, node): a level's neighbours that neither it nor the level before has."""
+    parts = [f"{name}0 AS MATERIALIZED (SELECT DISTINCT module, node FROM {sources})"]
+    for k in range(1, most + 1):
+        older = "".join(f" ANTI JOIN {name}{j} USING (module, node)" for j in (k - 1, k - 2) if j >= 0)
+        parts.append(f"{name}{k} AS MATERIALIZED (SELECT module, node FROM (SELECT DISTINCT w.module, a.dst AS node FROM {name}{k - 1} w JOIN {edges} a ON a.src = w.node){older})")
+    return ", ".join(parts) + f", {name} AS MATERIALIZED ({' UNION ALL '.join(f'SELECT module, node, {k} AS distance FROM {name}{k}' for k in range(most + 1))})"
+
+
+def matched_z(least: int = 100, n: int = 1000, seed: int = 452456) -> str:
+    return f"""WITH RECURSIVE {PARTS},
+    kept AS (SELECT src, dst FROM arcs WHERE src IN (SELECT node FROM inside)),
+    own AS (SELECT src AS node, count(*) AS degree FROM kept GROUP BY src), {bins("own", "placed", least)},
+    module AS (SELECT 0 AS set_id, -1 - s_suppkey AS node FROM supplier WHERE s_suppkey % 50 = 1 AND -1 - s_suppkey IN (SELECT node FROM inside)),
+    sets AS (SELECT p_size AS set_id, p_partkey AS node FROM part WHERE p_partkey IN (SELECT node FROM inside)),
+    {draws("module", "placed", "modules", seed, "module", n)}, {draws("sets", "placed", "others", seed, "set", n)},
+    sources AS (SELECT draw AS module, node FROM modules UNION ALL SELECT 0, node FROM module), {walks("sources", "kept", "far")},
+    means AS (SELECT set_id, module, avg(distance) AS m FROM (SELECT set_id, draw AS module, node FROM others UNION ALL SELECT set_id, 0, node FROM sets) JOIN far USING (module, node) GROUP BY ALL),
+    scored AS (SELECT set_id, max(m) FILTER (module = 0) AS mean_distance, avg(m) FILTER (module > 0) AS mean, stddev_pop(m) FILTER (module > 0) AS sd FROM means GROUP BY set_id)
+    SELECT set_id, round(mean_distance, 6) AS mean_distance, round(CASE WHEN sd = 0 THEN 0 ELSE (mean_distance - mean) / sd END, 6) AS z FROM (SELECT DISTINCT p_size AS set_id FROM part) LEFT JOIN scored USING (set_id)"""
+
+
 BINS = """
     own AS (SELECT l_partkey AS node, count(DISTINCT l_orderkey) AS degree FROM lineitem GROUP BY ALL),
     hist AS (SELECT degree, count(*) AS nodes, row_number() OVER (ORDER BY degree) AS k FROM own GROUP BY degree),
@@ -224,6 +280,9 @@ ORACLE_SQL: dict[str, str] = {
     "degree_bins": f"WITH RECURSIVE {BINS} SELECT * FROM bins",
     "degree_bin_membership": f"WITH RECURSIVE {BINS} SELECT node, degree, bin FROM own JOIN bins ON degree BETWEEN low AND high",
     "multi_source_bfs": f"WITH RECURSIVE {BFS} SELECT node, CAST(distance AS INTEGER) AS distance FROM nearest",
+    "connected_components": f"WITH RECURSIVE {PARTS} SELECT node, component FROM labels",
+    "largest_component": f"WITH RECURSIVE {PARTS} SELECT node FROM inside",
+    "degree_matched_z": matched_z(),
     "mean_set_distance": f"WITH RECURSIVE {BFS} SELECT p_size, round(avg(distance), 6) AS mean_distance, count(*) AS n FROM part JOIN nearest ON node = p_partkey GROUP BY p_size",
     "nbi_transition": f"WITH {NBI} SELECT src, dst, round(p, 9) AS p FROM moves",
     "nbi_two_step_scores": f"WITH {NOVEL} SELECT query, target, round(score, 9) AS score FROM scores WHERE (query, target) IN (SELECT query, node FROM mass2)",

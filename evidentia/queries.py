@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import stats, text
 from .operators import graph, inference, knowledge, mapping, ranking, signal
+from .operators.proximity import proximity_z
 from .plans import workflow
 from .sources.delimited import manifest_check
 from .sources.tables import table, written
@@ -310,7 +311,7 @@ def degree_matched_z(spark, d):
     inside = graph.largest_component(labels)
     kept = edges.join(inside.withColumnRenamed("node", "u"), "u", "left_semi")
     sets = table(spark, d, "part").select(F.col("p_size").alias("set_id"), F.col("p_partkey").alias("node"))
-    return graph.proximity_z(kept, sources_of(spark, d), sets, 100, 1000, 452456)
+    return proximity_z(kept, sources_of(spark, d), sets, 100, 1000, 452456).withColumns({c: r6(c) for c in ("mean_distance", "z")})
 
 
 # ---- network inference

@@ -408,32 +408,6 @@ def test_stream_of_statuses(spark, tmp_path):
     assert [(r.node, r.status, r.n_events) for r in spark.table("latest").collect()] == [("a", "DONE", 2)]
 
 
-def test_matched_samples_are_distinct_and_of_one_bin():
-    net = graph.Network(np.array([0, 1, 2, 3, 4, 5]), np.array([1, 2, 3, 4, 5, 0]))
-    for own in graph.matched_samples(net, [0, 1], 4, 20, 1):
-        assert 1 <= len(own) <= 2
-    assert net.distances([0]).tolist() == [0, 1, 2, 3, 2, 1]
-
-
-def test_z_of_a_graph_too_large_for_the_kernel(spark, monkeypatch):
-    rng = random.Random(8)
-    pairs = {tuple(sorted(rng.sample(range(80), 2))) for _ in range(150)} | {(i, i + 1) for i in range(79)}
-    edges = spark.createDataFrame(sorted(pairs), "u long, v long")
-    module = spark.createDataFrame([(1,), (5,), (9,), (999,)], "node long")
-    sets = spark.createDataFrame([(s, n) for s in range(4) for n in rng.sample(range(80), 5)] + [(5, 999)], "set_id long, node long")
-    rows = lambda e: {r.set_id: (r.mean_distance, r.z) for r in graph.proximity_z(e, module, sets, 10, 12, 3).collect()}
-    small = rows(edges)
-    apart = spark.createDataFrame(sorted(pairs | {(100, 101), (102, 103)}), "u long, v long")
-    with pytest.raises(ValueError):
-        rows(apart)
-    monkeypatch.setattr(graph, "KERNEL_EDGES", 0)
-    large = rows(edges)
-    assert small.keys() == large.keys() == {0, 1, 2, 3, 5} and large[5] == (None, None)
-    assert all(large[i] == pytest.approx(small[i]) for i in range(4))
-    with pytest.raises(ValueError):
-        rows(apart)
-
-
 def test_interactions_leave_blanks_out(spark):
     rows = spark.createDataFrame([("b", "a", "x"), ("a", "b", "y"), ("a", "a", "z"), ("nan", "c", "z"), (" ", "d", "z"), (None, "e", "z")], "`#Protein A` string, `Protein B` string, Source string")
     assert [(r.u, r.v) for r in graph.interactions(rows).collect()] == [("a", "b")]

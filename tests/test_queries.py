@@ -40,8 +40,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_queries_without_sql():
-    """These have tests of their own: components here, the z score and the differential table in test_operators and here."""
-    assert set(QUERIES) - set(ORACLE_SQL) == {"connected_components", "largest_component", "degree_matched_z", "welch_p", "differential_table"}
+    """These have tests of their own here."""
+    assert set(QUERIES) - set(ORACLE_SQL) == {"welch_p", "differential_table"}
 
 
 def test_components_equal_a_union_find(spark, duck):
