@@ -11,7 +11,7 @@ import hashlib
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import steps, written
@@ -134,6 +134,14 @@ def table_digest(df: DataFrame) -> str:
     return ".".join(map(str, r))
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table of Parquet files; None where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
 def distances_of(edges: DataFrame, module: DataFrame, placed: DataFrame, draws: int, seed: int, nodes: int, cache: str | None = None, least: int = 0) -> tuple[DataFrame, int]:
     """The levels of the module (0) and of its random modules (1 to ``draws``), and their words, from ``cache`` where it has them.
 
@@ -146,13 +154,10 @@ def distances_of(edges: DataFrame, module: DataFrame, placed: DataFrame, draws:
     if cache is not None:
         key = hashlib.sha256("|".join([table_digest(edges), table_digest(module), str(draws), str(seed), str(least), str(REDRAWS), str(WORDS)]).encode()).hexdigest()
         path = f"{cache.rstrip('/')}/{key}"
-        try:
-            told = spark.read.parquet(f"{path}/description").first()
-        except AnalysisException:  # not there yet
-            told = None
-        if told is not None:
-            levels = spark.read.parquet(f"{path}/levels")
-            if levels.count() != told.n_rows or told.nodes != nodes or told.modules != draws + 1:
+        described = stored(spark, f"{path}/description")
+        if described is not None and (told := described.first()) is not None:
+            levels = stored(spark, f"{path}/levels")
+            if levels is None or levels.count() != told.n_rows or told.nodes != nodes or told.modules != draws + 1:
                 raise ValueError(f"the stored distances at {path} are not those of their description")
             return checked(levels, nodes, draws + 1, told.words), told.words
     with steps() as keep:
