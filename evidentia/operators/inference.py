@@ -2,12 +2,20 @@
 
 Inputs are long tables; a query is a compound with its substructures, and an official drug as a query also has known
 targets. Ties of scores and of similarities are broken by the smaller id.
+
+Queries never meet drugs as pairs: the two steps over a drug are taken once for the graph, from substructures and targets
+to targets, and similarities are counted within blocks of queries and drugs, which hand on the nearest drugs of each wanted
+target only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +24,12 @@ from ..sources.tables import written
 
 #: Rows of a small side that may be broadcast; a larger one is joined by sort and merge.
 BROADCAST_ROWS = 200_000
-#: Decimals of propagated scores: sums that differ by the order of addition only are ties.
+#: Significant digits by which scores are put in order: sums that differ by the order of addition only are ties.
 DIGITS = 12
+#: Substructure edges of the drugs in a block, and queries in a block.
+BLOCK_EDGES, BLOCK_QUERIES = 1_000_000, 2_000
+#: Rows of two steps that may be broadcast; more are joined by sort and merge.
+TWO_STEP_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -43,6 +55,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def tied(column: Column) -> Column:
+    """A score rounded to DIGITS significant digits, for comparison; however small, it stays positive."""
+    return F.format_string(f"%.{DIGITS - 1}e", column.cast("double")).cast("double")
+
+
 def transition(drug_sub: DataFrame, drug_target: DataFrame, beta: float, gamma: float) -> DataFrame:
     """(src, dst, p): adjacency beta on substructures and 1 - beta on targets, both ways; columns scaled by their sum to the power gamma; rows to one.
 
@@ -76,12 +93,49 @@ def seeds(query_sub: DataFrame, known: DataFrame, alpha: float) -> DataFrame:
 
 
 def propagate(mass: DataFrame, moves: DataFrame, steps: int) -> DataFrame:
-    """(query, node, mass) after so many steps along the transition; sums are combined before each shuffle."""
+    """(query, node, mass) after so many steps along the transition, all nodes; sums are combined before each shuffle."""
     for _ in range(steps):
         mass = mass.join(moves, mass.node == moves.src).groupBy("query", F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
     return mass
 
 
+def two_steps(moves: DataFrame, drugs: DataFrame) -> DataFrame:
+    """(src, dst, p) of two steps by way of a drug, between substructures and targets. drugs: (drug), those of the graph."""
+    by_drug = small(drugs.select("drug").distinct(), drugs.count())
+    into = moves.join(by_drug.withColumnRenamed("drug", "dst"), "dst", "left_semi").select("src", F.col("dst").alias("drug"), "p")
+    out = moves.join(by_drug.withColumnRenamed("drug", "src"), "src", "left_semi").select(F.col("src").alias("drug"), "dst", F.col("p").alias("q"))
+    return into.join(out, "drug").groupBy("src", "dst").agg(F.sum(F.col("p") * F.col("q")).alias("p"))
+
+
+def spread(mass: DataFrame, table: DataFrame) -> DataFrame:
+    """(query, node, mass) one application of a written table of ``two_steps`` on.
+
+    Queries are dealt out first; a table small enough to be broadcast then needs no further shuffle, else partial sums
+    are combined before it. No row has a query and a drug.
+    """
+    n = table.count()
+    dealt = mass.repartition("query") if n <= TWO_STEP_ROWS else mass
+    other = F.broadcast(table) if n <= TWO_STEP_ROWS else table
+    return dealt.join(other, dealt.node == other.src).groupBy("query", F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
+
+
+def reached(mass: DataFrame, moves: DataFrame, drugs: DataFrame, targets: DataFrame, steps: int) -> DataFrame:
+    """(query, target, score) of the targets with mass after so many steps, from mass on substructures and targets.
+
+    After an odd number of steps all mass lies on drugs, so no target has any.
+    """
+    if steps % 2:
+        return mass.select("query", F.col("node").alias("target"), F.col("mass").alias("score")).limit(0)
+    table = two_steps(moves, drugs)
+    ends = targets.select(F.col("target").alias("dst"))
+    last = written(table.join(small(ends, ends.count()), "dst", "left_semi").select("src", "dst", "p"), "two-steps")
+    if steps > 2:
+        table = written(table, "two-steps")
+    for _ in range(steps // 2 - 1):
+        mass = spread(mass, table)
+    return spread(mass, last).where("mass > 0").select("query", F.col("node").alias("target"), F.col("mass").alias("score"))
+
+
 def threshold_normalised(scores: DataFrame, queries: DataFrame, targets: DataFrame, delta: int) -> DataFrame:
     """(query, target, score, normalised) over all targets in the order of score, descending, and id.
 
@@ -91,7 +145,7 @@ def threshold_normalised(scores: DataFrame, queries: DataFrame, targets: DataFra
     targets: (target). No query meets all targets: what fills a head is taken from the first ids.
     """
     n = targets.count()
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "target"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(tied(F.col("score")).desc(), "target"))
     edged = queries.select("query", F.least(F.lit(delta + 1) + F.coalesce("known", F.lit(0)), F.lit(n)).cast("long").alias("edge"))
     rows = scores.join(edged, "query").withColumn("place", place)
     last = rows.where("place = edge").select("query", F.col("score").alias("last"))
@@ -124,32 +178,110 @@ def tanimoto(left: DataFrame, right: DataFrame, degree: DataFrame | None = None)
     return common.join(na, "a").join(nb, "b").select("a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity"))
 
 
-def neighbour_weight(similar: DataFrame, wanted: DataFrame, known: DataFrame, most: int) -> DataFrame:
+NEAR = "query {query}, target {target}, drug {drug}, similarity double, weight double"
+
+
+def nearest_in_block(most: int, schema: pa.Schema):
+    """For a block of queries and one of drugs: the ``most`` drugs of each wanted target that are most like the query, of this block's."""
+
+    def near(queries: pa.Table, drugs: pa.Table) -> pa.Table:
+        if not queries.num_rows or not drugs.num_rows:
+            return schema.empty_table()
+        drugs = drugs.sort_by("drug").combine_chunks()
+        queries = queries.combine_chunks()
+        flat = lambda t, c: t[c].combine_chunks().flatten()
+        sizes = lambda t, c: pc.list_value_length(t[c]).to_numpy()
+        subs = pc.unique(flat(drugs, "subs"))
+        at = pc.index_in(flat(drugs, "subs"), subs).to_numpy()
+        owner = np.repeat(np.arange(len(drugs)), sizes(drugs, "subs"))
+        order = np.argsort(at, kind="stable")
+        postings, first = owner[order], np.searchsorted(at[order], np.arange(len(subs) + 1))
+        known = flat(drugs, "known")
+        targets = pc.unique(known.field("target"))
+        of = pc.index_in(known.field("target"), targets).to_numpy()
+        holder = np.repeat(np.arange(len(drugs)), sizes(drugs, "known"))
+        weight = known.field("weight").to_numpy(zero_copy_only=False)
+        by_target = np.argsort(of, kind="stable")
+        holders, weights, begin = holder[by_target], weight[by_target], np.searchsorted(of[by_target], np.arange(len(targets) + 1))
+        size, asked = drugs["n"].to_numpy(), queries["n"].to_numpy()
+        own = pc.fill_null(pc.index_in(flat(queries, "subs"), subs), -1).to_numpy()
+        wanted = pc.fill_null(pc.index_in(flat(queries, "wanted"), targets), -1).to_numpy()
+        cut, goal = np.append(0, np.cumsum(sizes(queries, "subs"))), np.append(0, np.cumsum(sizes(queries, "wanted")))
+        rows, found = [], []
+        for i in range(len(queries)):
+            mine = own[cut[i] : cut[i + 1]]
+            lists = [postings[first[x] : first[x + 1]] for x in mine[mine >= 0].tolist()]
+            common = np.bincount(np.concatenate(lists), minlength=len(drugs)) if lists else np.zeros(len(drugs), np.int64)
+            like = common / np.maximum(size + asked[i] - common, 1)
+            some = wanted[goal[i] : goal[i + 1]]
+            some = some[some >= 0]
+            many = begin[some + 1] - begin[some]
+            place = np.arange(many.sum()) + np.repeat(begin[some] - (np.cumsum(many) - many), many)
+            who, target = holders[place], np.repeat(some, many)
+            best = np.lexsort((who, -like[who], target))
+            ends = np.flatnonzero(np.append(True, np.diff(target[best]) != 0)) if len(best) else best
+            rank = np.arange(len(best)) - np.repeat(ends, np.diff(np.append(ends, len(best))))
+            best = best[rank < most]
+            rows.append(np.full(len(best), i))
+            found.append((target[best], who[best], like[who[best]], weights[place[best]]))
+        rows = np.concatenate(rows)
+        target, who, like, weight = (np.concatenate(x) for x in zip(*found))
+        columns = [queries["query"].take(pa.array(rows)), targets.take(pa.array(target)), drugs["drug"].take(pa.array(who)), pa.array(like.astype(float)), pa.array(weight.astype(float))]
+        return pa.Table.from_arrays(columns, schema=schema)
+
+    return near
+
+
+def neighbour_weight(query_sub: DataFrame, degree: DataFrame, wanted: DataFrame, drug_sub: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """(query, target, weight) of the wanted pairs: the mean known weight of the ``most`` drugs of a target that are most like the query.
 
-    Drugs without likeness count too, in the order of their ids. They are taken from the first 2 * most of the target's
-    drugs, which is all that can be needed, so no query meets all known pairs. similar: (query, drug, similarity), the
-    similarities positive; wanted: (query, target); known: (drug, target, weight), each pair once.
+    Likeness is the share of common substructures in all; drugs without any count too, in the order of their ids. Each
+    block of queries meets each block of drugs in one task, which counts common substructures over the drugs' lists and
+    hands on ``most`` drugs of each wanted target; a substructure that many drugs have is split over the blocks. No table
+    of pairs is made. query_sub: (query, sub), once each; degree: (query, degree); wanted: (query, target); drug_sub:
+    (drug, sub); known: (drug, target, weight), each pair once.
+    """
+    kind = {c: dict(df.dtypes)[c] for c, df in (("query", wanted), ("target", known), ("drug", known))}
+    subs = drug_sub.select("drug", "sub").distinct().groupBy("drug").agg(F.collect_list("sub").alias("subs"))
+    held = known.groupBy("drug").agg(F.collect_list(F.struct("target", F.col("weight").cast("double").alias("weight"))).alias("known"))
+    kind_sub = dict(drug_sub.dtypes)["sub"]
+    drugs = written(held.join(subs, "drug", "left").select("drug", F.coalesce("subs", F.array().cast(f"array<{kind_sub}>")).alias("subs"), "known").withColumn("n", F.size("subs")), "drugs")
+    asked = wanted.select("query", "target").distinct().groupBy("query").agg(F.collect_list("target").alias("wanted"))
+    own = query_sub.groupBy("query").agg(F.collect_list("sub").alias("subs"))
+    asked = asked.join(own, "query", "left").join(degree.select("query", F.col("degree").alias("n")), "query", "left")
+    asked = written(asked.select("query", F.coalesce("subs", F.array().cast(f"array<{kind_sub}>")).alias("subs"), "wanted", F.coalesce("n", F.lit(0)).cast("int").alias("n")), "asked")
+    edges = drugs.agg(F.sum(F.greatest(F.col("n") + F.size("known"), F.lit(1)))).first()[0] or 0
+    n_drugs, n_queries = max(1, -(-edges // BLOCK_EDGES)), max(1, -(-asked.count() // BLOCK_QUERIES))
+    spread_over = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_q", spread_over("query", n_queries)).withColumn("_d", every(n_drugs)).groupBy("_q", "_d")
+    right = drugs.withColumn("_d", spread_over("drug", n_drugs)).withColumn("_q", every(n_queries)).groupBy("_q", "_d")
+    schema = NEAR.format(**kind)
+    to_arrow = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[f.dataType.simpleString()]) for f in wanted.sparkSession.createDataFrame([], schema).schema])
+    near = left.cogroup(right).applyInArrow(nearest_in_block(most, to_arrow), schema)
+    if n_drugs > 1:
+        place = F.row_number().over(Window.partitionBy("query", "target").orderBy(F.desc("similarity"), "drug"))
+        near = near.withColumn("_place", place).where(F.col("_place") <= most)
+    return near.groupBy("query", "target").agg(F.avg("weight").alias("weight"))
+
+
+def contenders(normal: DataFrame, held: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """(query, target, normalised) of the targets that can be among the ``most`` best: a score lies between those of the target's least and largest known weight.
+
+    held: (query, target) that are no predictions; known: (drug, target, weight).
     """
-    head = F.slice(F.array_sort(F.collect_list(F.struct("drug", "weight"))), 1, 2 * most)
-    in_order = known.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("drug")))
-    heads = written(in_order.where(F.col("k") <= 2 * most).groupBy("target").agg(head.alias("head")), "heads")
-    near = similar.select("query", "drug", "similarity").join(known, "drug")
-    own = Window.partitionBy("query", "target").orderBy(F.desc("similarity"), "drug")
-    near = near.withColumn("k", F.row_number().over(own)).where(F.col("k") <= most).groupBy("query", "target").agg(F.collect_list(F.struct("drug", "weight")).alias("near"))
-    rows = wanted.select("query", "target").distinct().join(small(heads, heads.count()), "target").join(near, ["query", "target"], "left")
-    kind = dict(known.dtypes)
-    rows = rows.withColumn("like", F.coalesce("near", F.array().cast(f"array<struct<drug:{kind['drug']},weight:{kind['weight']}>>")))
-    others = F.filter("head", lambda x: ~F.array_contains(F.transform("like", lambda y: y["drug"]), x["drug"]))
-    taken = F.slice(F.concat("like", others), 1, most)
-    total = F.aggregate(taken, F.lit(0.0), lambda s, x: s + x["weight"].cast("double"))
-    return rows.select("query", "target", (total / F.size(taken)).alias("weight"))
+    bounds = known.groupBy("target").agg(F.min("weight").alias("_least"), F.max("weight").alias("_most"))
+    rows = normal.join(held, ["query", "target"], "left_anti").join(small(bounds, bounds.count()), "target")
+    rows = rows.select("query", "target", "normalised", (F.col("normalised") * F.col("_least")).alias("_low"), (F.col("normalised") * F.col("_most")).alias("_high")).where("_high > 0")
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("_low"))))
+    edge = F.max(F.when((F.col("_place") == most) & (F.col("_low") > 0), F.col("_low"))).over(Window.partitionBy("query"))
+    return placed.withColumn("_edge", edge).where(F.col("_edge").isNull() | (F.col("_high") >= F.col("_edge") * (1 - 1e-9))).select("query", "target", "normalised")
 
 
 def predicted(scores: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """(query, target, score, rank): the ``most`` best positive scores per query without its known targets; ties by target."""
     fresh = scores.where(F.col("score") > 0).join(known, ["query", "target"], "left_anti")
-    own = Window.partitionBy("query").orderBy(F.desc("score"), "target")
+    own = Window.partitionBy("query").orderBy(tied(F.col("score")).desc(), "target")
     return fresh.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= most)
 
 
@@ -159,25 +291,26 @@ def predict(query_sub: DataFrame, drug_sub: DataFrame, drug_target: DataFrame, s
     query_sub: (query, sub); drug_sub: (drug, sub); drug_target: (drug, target, weight), each pair once; known: (query,
     target) of queries that are official drugs. A query none of whose substructures the graph has gets no prediction.
     """
-    targets = drug_target.select("target").distinct()
-    held = drug_target.select("drug").distinct()
+    targets = written(drug_target.select("target").distinct(), "targets")
+    held = written(drug_target.select("drug").distinct(), "held")
     # the similarity looks at drugs with a target; the graph's substructures are those of all drugs
-    own_sub = drug_sub.select("drug", "sub").distinct()
+    own_sub = written(drug_sub.select("drug", "sub").distinct(), "drug-sub")
+    weights = written(drug_target.select("drug", "target", F.col("weight").cast("double").alias("weight")), "drug-target")
     shown = written(represented(query_sub, own_sub), "represented")
     degree = sub_degree(query_sub)
     none = shown.select("query", F.col("sub").alias("target")).limit(0)
     known = none if known is None else known.select("query", "target").distinct().join(shown.select("query").distinct(), "query", "left_semi")
-    moves = written(transition(own_sub, drug_target, settings.beta, settings.gamma), "moves")
+    known = written(known, "known")
+    moves = written(transition(own_sub, weights, settings.beta, settings.gamma), "moves")
     subs = shown.join(degree, "query").select("query", F.col("sub").alias("node"), (F.lit(settings.alpha) / F.col("degree")).alias("mass"))
     counts = known.groupBy("query").agg(F.count("*").alias("known"))
     mass = subs.union(known.join(counts, "query").select("query", F.col("target").alias("node"), (F.lit(1.0 - settings.alpha) / F.col("known")).alias("mass")))
-    reached = propagate(mass, moves, settings.steps).join(small(targets.withColumnRenamed("target", "node"), targets.count()), "node", "left_semi")
-    scores = written(reached.where("mass > 0").select("query", F.col("node").alias("target"), F.round("mass", DIGITS).alias("score")).where("score > 0"), "scores")
+    scores = written(reached(mass, moves, held, targets, settings.steps), "scores")
     queries = shown.select("query").distinct().join(counts, "query", "left")
     normal = written(threshold_normalised(scores, queries, targets, settings.delta), "normalised")
-    like = tanimoto(shown.select(F.col("query").alias("a"), F.col("sub").alias("item")), own_sub.join(held, "drug", "left_semi").select(F.col("drug").alias("b"), F.col("sub").alias("item")), degree.select(F.col("query").alias("a"), F.col("degree").alias("na")))
-    weights = neighbour_weight(like.select(F.col("a").alias("query"), F.col("b").alias("drug"), "similarity"), normal, drug_target.select("drug", "target", F.col("weight").cast("double").alias("weight")), settings.epsilon)
-    final = normal.join(weights, ["query", "target"]).select("query", "target", (F.col("normalised") * F.col("weight")).alias("score"))
+    rows = written(contenders(normal, known, weights, settings.most), "contenders")
+    means = neighbour_weight(shown, degree, rows, own_sub.join(held, "drug", "left_semi"), weights, settings.epsilon)
+    final = rows.join(means, ["query", "target"]).select("query", "target", (F.col("normalised") * F.col("weight")).alias("score"))
     return predicted(final, known, settings.most)
 
 

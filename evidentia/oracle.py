@@ -122,8 +122,8 @@ def prediction(queries: str, known: str) -> str:
     mass0 AS (SELECT query, sub AS node, 0.4::DOUBLE / n AS mass FROM inside JOIN degree USING (query) UNION ALL SELECT query, target, 0.6::DOUBLE / n FROM held JOIN nheld USING (query)),
     mass1 AS (SELECT query, dst AS node, sum(mass * p) AS mass FROM mass0 JOIN moves ON node = src GROUP BY ALL),
     mass2 AS (SELECT query, dst AS node, sum(mass * p) AS mass FROM mass1 JOIN moves ON node = src GROUP BY ALL),
-    scores AS (SELECT q.query, t.target, coalesce(round(m.mass, 12), 0) AS score FROM (SELECT DISTINCT query FROM inside) q CROSS JOIN targets t LEFT JOIN mass2 m ON m.query = q.query AND m.node = t.target),
-    placed AS (SELECT s.*, row_number() OVER (PARTITION BY s.query ORDER BY score DESC, s.target) AS place, least(21 + coalesce(h.n, 0), (SELECT count(*) FROM targets)) AS edge FROM scores s LEFT JOIN nheld h USING (query)),
+    scores AS (SELECT q.query, t.target, coalesce(m.mass, 0) AS score, coalesce(CAST(printf('%.11e', m.mass) AS DOUBLE), 0) AS tied FROM (SELECT DISTINCT query FROM inside) q CROSS JOIN targets t LEFT JOIN mass2 m ON m.query = q.query AND m.node = t.target),
+    placed AS (SELECT s.*, row_number() OVER (PARTITION BY s.query ORDER BY tied DESC, s.target) AS place, least(21 + coalesce(h.n, 0), (SELECT count(*) FROM targets)) AS edge FROM scores s LEFT JOIN nheld h USING (query)),
     edges_at AS (SELECT *, max(CASE WHEN place = edge THEN score END) OVER (PARTITION BY query) AS last FROM placed),
     normal AS (SELECT query, target, CASE WHEN place <= edge THEN 1 WHEN last > 0 THEN score / last ELSE 0 END AS normalised FROM edges_at),
     pairs AS (
@@ -136,7 +136,7 @@ def prediction(queries: str, known: str) -> str:
     ),
     weights AS (SELECT query, target, avg(weight) AS weight FROM near WHERE place <= 4 GROUP BY ALL),
     final AS (SELECT query, target, normalised * weight AS score FROM normal JOIN weights USING (query, target) ANTI JOIN held USING (query, target)),
-    predicted AS (SELECT query, target, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, target) AS INTEGER) AS rank FROM final WHERE score > 0 QUALIFY rank <= 10)"""
+    predicted AS (SELECT query, target, score, CAST(row_number() OVER (PARTITION BY query ORDER BY CAST(printf('%.11e', score) AS DOUBLE) DESC, target) AS INTEGER) AS rank FROM final WHERE score > 0 QUALIFY rank <= 10)"""
 
 
 NOVEL = NBI + "," + prediction("SELECT query, sub FROM query_sub", "SELECT query, sub AS target FROM query_sub WHERE false")

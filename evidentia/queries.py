@@ -347,8 +347,8 @@ def moves(spark: SparkSession, d: str) -> DataFrame:
 def two_step(spark: SparkSession, d: str) -> DataFrame:
     asked = query_sub(spark, d)
     none = asked.select("query", F.col("sub").alias("target")).limit(0)
-    mass = inference.propagate(inference.seeds(asked, none, SETTINGS.alpha), written(moves(spark, d), "moves"), SETTINGS.steps)
-    return mass.where(F.col("node").startswith("T")).select("query", F.col("node").alias("target"), F.round("mass", inference.DIGITS).alias("score"))
+    targets = drug_target(spark, d)
+    return inference.reached(inference.seeds(asked, none, SETTINGS.alpha), written(moves(spark, d), "moves"), targets.select("drug").distinct(), targets.select("target").distinct(), SETTINGS.steps)
 
 
 @query
@@ -382,7 +382,8 @@ def tanimoto_pairs(spark, d):
 def topk_neighbor_mean_weight(spark, d):
     targets = drug_target(spark, d)
     wanted = query_sub(spark, d).select("query").distinct().crossJoin(F.broadcast(targets.select("target").distinct()))  # groups of buyers are few at any size
-    rows = inference.neighbour_weight(similar(spark, d).select(F.col("a").alias("query"), F.col("b").alias("drug"), "similarity"), wanted, targets, SETTINGS.epsilon)
+    asked, subs = query_sub(spark, d), drug_sub(spark, d)
+    rows = inference.neighbour_weight(inference.represented(asked, subs), inference.sub_degree(asked), wanted, subs, targets, SETTINGS.epsilon)
     return rows.select("query", "target", r6("weight").alias("weight"))
 
 

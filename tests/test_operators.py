@@ -196,6 +196,36 @@ def test_prediction_equals_dense_formulas(spark):
         assert rows == sorted((q, k, t, round(v, 9)) for q, t, v, k in dense_prediction(sub, target, query, known, s)), delta
 
 
+@pytest.mark.parametrize("alpha, steps, blocks", [(0.4, 2, 1), (1e-13, 2, 40), (0.4, 4, 40), (0.4, 3, 1)])
+def test_prediction_to_twelve_digits(spark, monkeypatch, alpha, steps, blocks):
+    """Masses of 1e-15 count as any others; blocks and joins give what one block and broadcasts give."""
+    if blocks > 1:
+        monkeypatch.setattr(inference, "BLOCK_EDGES", blocks)
+        monkeypatch.setattr(inference, "BLOCK_QUERIES", 3)
+        monkeypatch.setattr(inference, "TWO_STEP_ROWS", 0)
+        monkeypatch.setattr(inference, "BROADCAST_ROWS", 0)
+    rng = random.Random(21)
+    drugs, targets, subs = [f"D{i:02d}" for i in range(16)], [f"P{i:02d}" for i in range(20)], [f"S{i:02d}" for i in range(14)]
+    target = sorted({(d, t): (d, t, rng.randrange(1, 50) / 7) for d in drugs[:13] for t in rng.sample(targets, 4)}.values())
+    sub = sorted({(d, x) for d in drugs for x in [*rng.sample(subs[1:], 3), "S00"]})  # S00 is in every drug
+    query = {f"Q{i}": sorted(rng.sample([*subs, "S98", "S99"], 2 + i % 5)) for i in range(9)}
+    s = inference.Settings(alpha=alpha, delta=2, epsilon=3, most=4, steps=steps)
+    known = {"Q0": [t for t in (targets[0], targets[5]) if any(t == x for _, x, _ in target)]}
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = inference.predict(df([(q, x) for q, xs in query.items() for x in xs], "query string, sub string"), df(sub, "drug string, sub string"), df(target, "drug string, target string, weight double"), s, df([(q, t) for q, ts in known.items() for t in ts], "query string, target string")).collect()
+    want = {(q, k): (t, v) for q, t, v, k in dense_prediction(sub, target, query, known, s)}
+    assert {(r.query, r["rank"]): (r.target, pytest.approx(r.score, rel=1e-12)) for r in got} == want and len(got) == len(want)
+
+
+def test_two_steps_have_no_pair_of_query_and_drug(spark):
+    sub, target = network(spark)
+    s = inference.Settings()
+    moves = inference.transition(sub, target, s.beta, s.gamma)
+    asked = spark.createDataFrame([("query", "S1"), ("query", "S2")], "query string, sub string")
+    got = inference.reached(inference.seeds(asked, spark.createDataFrame([], "query string, target string"), s.alpha), moves, target.select("drug").distinct(), target.select("target").distinct(), 2)
+    assert {r.target: r.score for r in got.collect()} == pytest.approx({"P1": 0.117157288, "P2": 0.110456950, "P3": 0.039052429}, abs=1e-8)
+
+
 def test_split_pins_and_shares(spark):
     edges = spark.createDataFrame([("r", i) for i in range(40)], "relation string, x int")
     out = knowledge.split(edges, F.col("x").cast("string"), F.col("x") < 4, 42, 0.1, 0.25).groupBy("split").count().collect()
