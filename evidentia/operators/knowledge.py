@@ -171,6 +171,28 @@ def mean_of_neighbours(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.groupBy("dst", "relation", "at").agg(F.avg(F.col("value").cast("double")).alias("value"))
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def mapped_vector(vec: Column) -> Column:
+    """The linear map of a row's ``matrix`` and ``bias``."""
+    return F.zip_with(F.transform("matrix", lambda row: dot(row, vec)), "bias", lambda a, b: a + b)
+
+
+def as_vectors(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, vec) from (keys, at, value)."""
+    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("vec"))
+
+
+def summed_over_relations(inputs: DataFrame, weights: DataFrame, slope: float | None) -> DataFrame:
+    """(node, vec) from (dst, relation, vec): the linear map of each relation, summed, and the leaky rectifier if it is asked for."""
+    mapped = inputs.join(F.broadcast(weights), "relation").select("dst", F.posexplode(mapped_vector(F.col("vec"))).alias("at", "value"))  # one row per relation is broadcast
+    summed = mapped.groupBy("dst", "at").agg(F.sum("value").alias("value"))
+    value = F.col("value") if slope is None else F.when(F.col("value") > 0, F.col("value")).otherwise(F.col("value") * slope)
+    return as_vectors(summed.withColumn("value", value), "dst").withColumnRenamed("dst", "node")
+
+
 def relation_layer(edges: DataFrame, vectors: DataFrame, weights: DataFrame, slope: float | None = None) -> DataFrame:
     """(node, vec): one layer of relational convolution: per relation a linear map of the mean of the in-neighbours, summed over relations.
 
@@ -178,12 +200,44 @@ def relation_layer(edges: DataFrame, vectors: DataFrame, weights: DataFrame, slo
     The mean of linear maps is the linear map of the mean, so vectors are averaged before they are multiplied. slope:
     of the leaky rectifier that follows, if any. Nodes without in-neighbours have no row.
     """
-    mean = mean_of_neighbours(edges, vectors).groupBy("dst", "relation").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("vec"))
-    dot = lambda row, vec: F.aggregate(F.zip_with(row, vec, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    mapped = mean.join(F.broadcast(weights), "relation").withColumn("out", F.zip_with(F.transform("matrix", lambda row: dot(row, F.col("vec"))), "bias", lambda a, b: a + b))  # one row per relation
-    summed = mapped.select("dst", F.posexplode("out").alias("at", "value")).groupBy("dst", "at").agg(F.sum("value").alias("value"))
-    value = F.col("value") if slope is None else F.when(F.col("value") > 0, F.col("value")).otherwise(F.col("value") * slope)
-    return summed.withColumn("value", value).groupBy(F.col("dst").alias("node")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("vec"))
+    return summed_over_relations(as_vectors(mean_of_neighbours(edges, vectors), "dst", "relation"), weights, slope)
+
+
+def attention_shares(edges: DataFrame, vectors: DataFrame, weights: DataFrame, slope: float = 0.01) -> DataFrame:
+    """(src, relation, dst, n, share): each edge's share of its destination's attention within a relation; equal edges count ``n`` times.
+
+    weights: as for ``attention_layer``. An edge's logit is the leaky rectifier of a part of its source and a part of its
+    destination, so each is computed once per node and relation, not per edge. The softmax takes two aggregations: the
+    largest logit of each destination, then the sum of the exponents of what lies below it.
+    """
+    one = edges.where("src IS NOT NULL AND relation IS NOT NULL AND dst IS NOT NULL").groupBy("src", "relation", "dst").agg(F.count("*").alias("n"))
+    one = one.join(vectors.select(F.col("node").alias("src")), "src", "left_semi").join(vectors.select(F.col("node").alias("dst")), "dst", "left_semi")
+    known = F.broadcast(weights)  # one row per relation
+    of_src = one.select("src", "relation").distinct().join(vectors.withColumnRenamed("node", "src"), "src").join(known, "relation").select("src", "relation", dot(F.col("from_source"), mapped_vector(F.col("vec"))).alias("_src"))
+    maps = weights.select(F.col("relation").alias("other"), "matrix", "bias")
+    towards = F.broadcast(weights.select("relation", "other", "from_destination").join(maps, "other"))
+    of_dst = one.select("dst", "relation").distinct().join(vectors.withColumnRenamed("node", "dst"), "dst").join(towards, "relation").select("dst", "relation", dot(F.col("from_destination"), mapped_vector(F.col("vec"))).alias("_dst"))
+    e = F.col("_src") + F.col("_dst")
+    rows = one.join(of_src, ["src", "relation"]).join(of_dst, ["dst", "relation"]).select("src", "relation", "dst", "n", F.when(e > 0, e).otherwise(e * slope).alias("_e"))
+    tops = rows.groupBy("dst", "relation").agg(F.max("_e").alias("_top"))
+    rows = rows.join(tops, ["dst", "relation"]).withColumn("_x", F.exp(F.col("_e") - F.col("_top")))
+    totals = rows.groupBy("dst", "relation").agg(F.sum(F.col("_x") * F.col("n")).alias("_total"))
+    return rows.join(totals, ["dst", "relation"]).select("src", "relation", "dst", "n", (F.col("_x") / F.col("_total")).alias("share"))
+
+
+def attention_layer(edges: DataFrame, vectors: DataFrame, weights: DataFrame, slope: float = 0.01, rectified: float | None = None) -> DataFrame:
+    """(node, vec): one layer of relational convolution with attention: per relation a linear map of the in-neighbours by their shares, summed over relations.
+
+    edges: (src, relation, dst); vectors: (node, vec); weights: (relation, other, matrix, bias, from_source,
+    from_destination): the two halves of the attention vector, and the relation whose map a destination takes (the
+    relation itself within one type, its reverse between two). Shares add up to one, so vectors are added up before they
+    are multiplied. slope: of the logits' leaky rectifier; rectified: of one that follows, if any. Ends without a vector
+    take no part.
+    """
+    rows = attention_shares(edges, vectors, weights, slope).join(vectors.withColumnRenamed("node", "src"), "src")
+    part = rows.select("dst", "relation", F.posexplode("vec").alias("at", "value"), (F.col("share") * F.col("n")).alias("_w"))
+    mean = part.groupBy("dst", "relation", "at").agg(F.sum(F.col("value").cast("double") * F.col("_w")).alias("value"))
+    return summed_over_relations(as_vectors(mean, "dst", "relation"), weights.select("relation", "matrix", "bias"), rectified)
 
 
 def distmult(u: Column, w: Column, v: Column) -> Column:

@@ -231,6 +231,23 @@ def consensus(values: list[str]) -> str:
         SELECT row_number() OVER (ORDER BY c, {', '.join(f'{v}_p' for v in names)}, compound_id) AS final_rank, compound_id, position, {', '.join(values)}, round(c, 6) AS consensus FROM scored"""
 
 
+RELATIONS = """
+    number AS (SELECT count(*) AS n FROM embeddings),
+    links AS (SELECT l_partkey % n AS src, 'r' || (l_linenumber % 3) AS relation, l_suppkey * 7 % n AS dst FROM lineitem, number),
+    own AS (SELECT vec_id AS node, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings),
+    maps AS (
+        SELECT 'r' || k AS relation, CASE k WHEN 0 THEN 'r0' WHEN 1 THEN 'r2' ELSE 'r1' END AS other, list_transform(range(4), lambda i: list_transform(range(4), lambda j: ((i * 3 + j * 5 + k) % 7 - 3) / 10)) AS matrix,
+               list_transform(range(4), lambda i: (i + k) / 10) AS bias, list_transform(range(4), lambda i: ((i + 2 * k) % 5 - 2) / 4) AS a, list_transform(range(4), lambda i: ((2 * i + k) % 5 - 2) / 4) AS b FROM range(3) t(k)
+    ),
+    mapped AS (SELECT node, relation, list_transform(range(1, 5), lambda i: list_dot_product(matrix[i], vec) + bias[i]) AS h FROM own, maps),
+    logits AS (
+        SELECT src, relation, dst, CASE WHEN e > 0 THEN e ELSE 0.01::DOUBLE * e END AS e FROM (
+            SELECT l.src, l.relation, l.dst, list_dot_product(m.a, s.h) + list_dot_product(m.b, t.h) AS e
+            FROM links l JOIN maps m USING (relation) JOIN mapped s ON s.node = l.src AND s.relation = l.relation JOIN mapped t ON t.node = l.dst AND t.relation = m.other)
+    ),
+    shares AS (SELECT src, relation, dst, exp(e) / sum(exp(e)) OVER (PARTITION BY dst, relation) AS share FROM logits)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "consensus_two_evidence": consensus(["z"]),
     "consensus_three_evidence": consensus(["z", "gps"]),
@@ -346,6 +363,15 @@ ORACLE_SQL: dict[str, str] = {
     "rgcn_mean_aggregate": """WITH e AS (SELECT DISTINCT l_partkey AS src, 'r' || (l_linenumber % 3) AS relation, l_suppkey AS dst FROM lineitem),
         x AS (SELECT e.dst, e.relation, CAST(unnest(range(len(embedding))) AS INTEGER) AS at_, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS v FROM e JOIN embeddings ON vec_id = src)
         SELECT dst, relation, at_ AS at, round(avg(v), 6) AS value FROM x GROUP BY ALL""",
+    "relation_layer": f"""WITH {RELATIONS},
+        p AS (SELECT l.dst, l.relation, unnest(range(4)) AS at_, unnest(h) AS v FROM links l JOIN mapped m ON m.node = l.src AND m.relation = l.relation),
+        q AS (SELECT dst, at_, sum(v) AS v FROM (SELECT dst, relation, at_, avg(v) AS v FROM p GROUP BY ALL) GROUP BY ALL)
+        SELECT dst AS node, CAST(at_ AS INTEGER) AS at, round(CASE WHEN v > 0 THEN v ELSE v * 0.01::DOUBLE END, 6) AS value FROM q""",
+    "attention_shares": f"WITH {RELATIONS} SELECT src, relation, dst, count(*) AS n, round(any_value(share), 6) AS share FROM shares GROUP BY src, relation, dst",
+    "attention_layer": f"""WITH {RELATIONS},
+        p AS (SELECT s.dst, share, unnest(range(4)) AS at_, unnest(h) AS v FROM shares s JOIN mapped m ON m.node = s.src AND m.relation = s.relation),
+        q AS (SELECT dst, at_, sum(share * v) AS v FROM p GROUP BY ALL)
+        SELECT dst AS node, CAST(at_ AS INTEGER) AS at, round(CASE WHEN v > 0 THEN v ELSE v * 0.01::DOUBLE END, 6) AS value FROM q""",
     "auroc_by_relation": """WITH s AS (SELECT lang, n_chars % 1000 AS score, quality AS label FROM documents JOIN labels USING (doc_id)),
         r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2 AS k FROM s),
         a AS (SELECT lang, count(*) AS n, sum(label) AS n1, sum(k) FILTER (label = 1) AS total FROM r GROUP BY lang)

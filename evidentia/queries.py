@@ -601,6 +601,40 @@ def rgcn_mean_aggregate(spark, d):
     return knowledge.mean_of_neighbours(edges, vectors(spark, d).select(F.col("vec_id").alias("node"), "vec")).select("dst", "relation", F.col("at").cast("int").alias("at"), r6("value").alias("value"))
 
 
+def relations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, vectors, weights): all lines as edges between the vectors' ids, the vectors' first four components, and maps by a rule."""
+    n = table(spark, d, "embeddings").count()
+    edges = table(spark, d, "lineitem").select((F.col("l_partkey") % n).alias("src"), F.concat(F.lit("r"), F.col("l_linenumber") % 3).alias("relation"), (F.col("l_suppkey") * 7 % n).alias("dst"))
+    some = vectors(spark, d).select(F.col("vec_id").alias("node"), F.slice(F.col("vec").cast("array<double>"), 1, 4).alias("vec"))
+    rows = []
+    for k, other in enumerate(("r0", "r2", "r1")):
+        matrix = [[((i * 3 + j * 5 + k) % 7 - 3) / 10 for j in range(4)] for i in range(4)]
+        rows.append((f"r{k}", other, matrix, [(i + k) / 10 for i in range(4)], [((i + 2 * k) % 5 - 2) / 4 for i in range(4)], [((2 * i + k) % 5 - 2) / 4 for i in range(4)]))
+    return edges, some, spark.createDataFrame(rows, "relation string, other string, matrix array<array<double>>, bias array<double>, from_source array<double>, from_destination array<double>")
+
+
+def spelt(rows: DataFrame) -> DataFrame:
+    return rows.select("node", F.posexplode("vec").alias("at", "value")).select("node", F.col("at").cast("int").alias("at"), r6("value").alias("value"))
+
+
+@query
+def relation_layer(spark, d):
+    edges, some, weights = relations(spark, d)
+    return spelt(knowledge.relation_layer(edges, some, weights.select("relation", "matrix", "bias"), 0.01))
+
+
+@query
+def attention_shares(spark, d):
+    edges, some, weights = relations(spark, d)
+    return knowledge.attention_shares(edges, some, weights).withColumn("share", r6("share"))
+
+
+@query
+def attention_layer(spark, d):
+    edges, some, weights = relations(spark, d)
+    return spelt(knowledge.attention_layer(edges, some, weights, rectified=0.01))
+
+
 def scored_labels(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", (F.col("n_chars") % 1000).alias("score"))
     return docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")

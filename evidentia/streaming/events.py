@@ -59,3 +59,66 @@ def interrupted(beats: DataFrame, lease: float, late: str = "0 seconds") -> Data
 
     rows = beats.withWatermark("ts", late).groupBy("node", "attempt")
     return rows.applyInPandasWithState(watch, "node string, attempt long, last timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def lapsed(beats: DataFrame, lease: float) -> DataFrame:
+    """(node, attempt, last) when no beat of a task has come for ``lease`` seconds by the clock, once, unless it has ended.
+
+    The clock runs on while no event comes, so leases also run out when all workers stop. ``last`` is the time of the
+    last beat as it says itself. A beat that comes after that starts a lease of its own.
+    """
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"node": [key[0]], "attempt": [key[1]], "last": [pd.Timestamp(last, unit="us")]})
+            return
+        last, ended = state.get[0] if state.exists else -1, False
+        for pdf in batches:
+            last = max(last, int(pdf["ts"].astype("datetime64[us]").astype("int64").max()))
+            ended |= bool((pdf["kind"] == "end").any())
+        if ended:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last,))
+            state.setTimeoutDuration(max(1, int(lease * 1000)))
+        yield pd.DataFrame({"node": pd.Series(dtype="str"), "attempt": pd.Series(dtype="int64"), "last": pd.Series(dtype="datetime64[us]")})
+
+    schema = "node string, attempt long, last timestamp"
+    return beats.groupBy("node", "attempt").applyInPandasWithState(watch, schema, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def audited(log: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """(node, before, after, ts, event_id) of the steps of a log's nodes whose pair of states is not allowed, as the stream goes on.
+
+    log: a stream of (node, state, ts, event_id). Events are judged in the order of time and id, whatever order they come
+    in: each waits until the watermark passes it. Those that come when it has passed them are left out. A node's state
+    is its last status and the events that wait. ``workflow.violations`` gives the same rows of a table.
+    """
+    from ..plans.workflow import allowed
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = state.get if state.exists else (None, [])
+        waiting, passed = [tuple(x) for x in waiting], state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            for pdf in batches:
+                fresh = zip(pdf["ts"].astype("datetime64[us]").astype("int64").tolist(), pdf["event_id"].tolist(), pdf["state"].tolist())
+                waiting += [x for x in fresh if x[0] > passed]
+        waiting.sort(key=lambda x: x[:2])
+        found = []
+        while waiting and waiting[0][0] <= passed:
+            ts, event, status = waiting.pop(0)
+            if last is not None and not allowed(last, status):
+                found.append((key[0], last, status, pd.Timestamp(ts, unit="us"), event))
+            last = status
+        state.update((last, waiting))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        out = pd.DataFrame(found, columns=["node", "before", "after", "ts", "event_id"])
+        yield out.astype({"node": "str", "before": "str", "after": "str", "ts": "datetime64[us]", "event_id": "int64"})
+
+    schema = "node string, before string, after string, ts timestamp, event_id long"
+    waiting = "last string, waiting array<struct<ts: long, event_id: long, state: string>>"
+    return log.withWatermark("ts", late).groupBy("node").applyInPandasWithState(judge, schema, waiting, "append", GroupStateTimeout.EventTimeTimeout)

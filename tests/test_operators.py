@@ -288,6 +288,30 @@ def test_relation_layer_equals_matrices(spark):
     assert got.count() == 2
 
 
+def test_attention_layer_equals_matrices(spark):
+    rng = np.random.default_rng(3)
+    x = {i: rng.normal(size=3) for i in range(7)}
+    edges = [(0, "a", 1), (2, "a", 1), (2, "a", 1), (3, "b", 1), (1, "rev_b", 3), (4, "b", 1), (4, "a", 0), (5, "a", 99), (98, "a", 1), (None, "a", 1)]
+    other = {"a": "a", "b": "rev_b", "rev_b": "b"}
+    w = {r: (rng.normal(size=(2, 3)), rng.normal(size=2), rng.normal(size=2), 50 * rng.normal(size=2)) for r in other}
+    weights = spark.createDataFrame([(r, other[r], *(v.tolist() for v in w[r])) for r in w], "relation string, other string, matrix array<array<double>>, bias array<double>, from_source array<double>, from_destination array<double>")
+    args = spark.createDataFrame(edges, "src long, relation string, dst long"), spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "node long, vec array<double>"), weights
+    wh = lambda r, i: w[r][0] @ x[i] + w[r][1]
+    whole = [e for e in edges if e[0] in x and e[2] in x]
+    for node in (0, 1, 3):
+        total = np.zeros(2)
+        for r in {q for _, q, d in whole if d == node}:
+            own = [s for s, q, d in whole if d == node and q == r]
+            e = np.array([w[r][2] @ wh(r, s) + w[r][3] @ wh(other[r], node) for s in own])
+            e = np.where(e > 0, e, 0.2 * e)
+            a = np.exp(e - e.max())
+            total += (a / a.sum()) @ np.array([wh(r, s) for s in own])
+        got = {r.node: r.vec for r in knowledge.attention_layer(*args, 0.2).collect()}
+        assert got.keys() == {0, 1, 3} and got[node] == pytest.approx(total.tolist())
+    sums = knowledge.attention_shares(*args, 0.2).groupBy("dst", "relation").agg(F.sum(F.col("share") * F.col("n")).alias("s")).collect()
+    assert all(r.s == pytest.approx(1) for r in sums) and len(sums) == 4
+
+
 def test_ranks_with_nulls_and_few_values(spark):
     rows = spark.createDataFrame([(1, 5.0), (2, None), (3, 2.0)], "id int, v double")
     assert {r.id: r.p for r in ranking.percentile(rows, "v", "p").collect()} == pytest.approx({3: 1 / 3, 1: 2 / 3, 2: 1.0})
