@@ -43,6 +43,7 @@ def released() -> None:
     """Gives a worker's free memory back: workers stay for the next stages, and an executor holds all of them."""
     for f in LET_GO:
         f()
+    pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
 

@@ -6,9 +6,10 @@ runs of 3, 5 or 8 characters by the shorter line's length (CLASSES), so that one
 and a long line does not meet every other one by its common syllables; a line with fewer characters is one shingle.
 
 1. One pass over the documents gives each line's id and place and, for the different lines of a batch, its band keys:
-   12 bands of 5 minima each. A line takes part in the classes in which a line alike may be the shorter one. From
-   192 characters on the minima are those of a fourth or a sixteenth of the shingles, chosen by their hashes.
-   A pair at a similarity of 0.75 meets in a band with a probability of 0.96, at 0.85 of 0.998.
+   12 bands of 5 minima each, over all shingles. A line takes part in the classes in which a line alike may be the
+   shorter one. Up to 191 characters each minimum has a hash function of its own; from there on one hash deals the
+   shingles over as many bins as there are minima, an empty bin takes over from the next one that is not, and each bin
+   gives its minimum. A pair at a similarity of 0.75 meets in a band with a probability of 0.96, at 0.85 of 0.998.
 2. Lines with an equal key are candidates; their texts are fetched from the documents and compared by whole shingle
    sets, in lists of a leader and a block of members first, then block by block what is still apart, so that a group of
    similar lines, however large, never becomes all its pairs and never lies in one task.
@@ -37,8 +38,10 @@ from .components import looked_up
 from .ngram_join import LISTS, linked
 
 BANDS, ROWS = 12, 5
-#: Least length, characters of a shingle, and of how many shingles the minima take one, by class.
-CLASSES = ((0, 3, 1), (64, 5, 1), (192, 8, 4), (1024, 8, 16))
+#: Least length, characters of a shingle, and whether one hash deals the shingles over bins, by class.
+CLASSES = ((0, 3, False), (64, 5, False), (192, 8, True))
+#: White space other than the blank and the line feed.
+ODD_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: Numbers of a dropped line that may be broadcast (8 MB).
 BROADCAST_DROPS = 1_000_000
 _seeds = np.random.default_rng(13).integers(1, 2**32, (2, BANDS * ROWS), np.uint32)
@@ -50,7 +53,10 @@ STARTS = np.array([c[0] for c in CLASSES])
 
 def normal_lines(text: str) -> list[str]:
     """The lines, lower-cased and with single spaces in place of any white space."""
-    return [" ".join(x.split()) for x in text.lower().split("\n")]
+    text = text.lower()
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in ODD_SPACE):
+        return [" ".join(x.split()) for x in text.split("\n")]
+    return text.split("\n")
 
 
 def line_ids(lines: list[str]) -> np.ndarray:
@@ -80,22 +86,51 @@ def shingles(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     return runs[inside[: len(runs)]], np.append(0, np.cumsum(count))
 
 
+def dealt_minima(lines: list[str], size: int) -> np.ndarray:
+    """The least hash in each of BANDS * ROWS bins that one hash deals each line's shingles over; lines have ``size`` characters at least.
+
+    A bin that gets none takes the value of the next bin that has one, moved on by their distance.
+    """
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    runs, span = code, 1
+    while span * 2 <= size:
+        runs = runs[:-span] * np.uint32(0x9E3779B1) + runs[span:]
+        runs ^= runs >> np.uint32(15)
+        span *= 2
+    if span < size:
+        runs = runs[: len(code) - size + 1] * np.uint32(0x85EBCA6B) + runs[size - span :]
+    runs = runs * np.uint32(0xC2B2AE35)
+    runs ^= runs >> np.uint32(16)
+    bins = BANDS * ROWS
+    place = ((runs >> np.uint32(16)) * np.uint32(bins) >> np.uint32(16)).astype(np.int32)
+    value = (runs ^ np.uint32(0x5BD1E995)) * np.uint32(0x27D4EB2F)
+    value ^= value >> np.uint32(15)
+    end = np.cumsum(length)
+    out = np.empty((len(lines), bins), np.uint32)
+    empty = np.uint32(0xFFFFFFFF)
+    for i, (x, y) in enumerate(zip((end - length).tolist(), (end - size + 1).tolist())):
+        own = np.full(bins, empty, np.uint32)
+        np.minimum.at(own, place[x:y], value[x:y])
+        out[i] = own
+    while (gaps := out == empty).any():
+        out = np.where(gaps, np.where(np.roll(gaps, -1, axis=1), empty, np.roll(out, -1, axis=1) + np.uint32(0x01000193)), out)
+    return out
+
+
 def band_keys(lines: list[str], kind: int) -> np.ndarray:
     """A key per band and line of one class from the line's MinHash signature."""
-    _, size, share = CLASSES[kind]
+    _, size, dealt = CLASSES[kind]
     out = np.zeros((BANDS, len(lines)), np.uint64)
-    cuts = list(chunks(lines, 100_000))
-    for a, b in cuts:
-        every, first = shingles(lines[a:b], size)
-        low = (every >> np.uint64(32)).astype(np.uint32)
-        begin = first[:-1]
-        if share > 1:
-            chosen = (every & np.uint64(share - 1)) == 0
-            chosen[begin] |= ~np.logical_or.reduceat(chosen, begin)  # a line keeps one shingle at least
-            low, begin = low[chosen], np.append(0, np.cumsum(np.add.reduceat(chosen, begin, dtype=np.int64)))[:-1]
+    for a, b in chunks(lines, 100_000):
         own = np.full((BANDS, b - a), np.uint64(kind + 1))
-        for k in range(BANDS * ROWS):
-            least = np.minimum.reduceat(low * FACTORS[k] + OFFSETS[k], begin)
+        if dealt:
+            minima = dealt_minima(lines[a:b], size).T
+        else:
+            every, first = shingles(lines[a:b], size)
+            low = (every >> np.uint64(32)).astype(np.uint32)
+            minima = (np.minimum.reduceat(low * FACTORS[k] + OFFSETS[k], first[:-1]) for k in range(BANDS * ROWS))
+        for k, least in enumerate(minima):
             own[k // ROWS] = mix(own[k // ROWS] * GOLDEN + least + np.uint64(k // ROWS))
         out[:, a:b] = own
     return out
