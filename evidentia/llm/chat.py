@@ -9,8 +9,10 @@ Template: ``<|turn|>`` role ``<|sep|>`` text ``<|end|>``. Inside roles and texts
 more bar, so no control string can come up in them, and unescaping takes that bar away again.
 
 Conversations are range-partitioned by their first turn and then by their whole path, so those that share turns lie
-together; a sequence ends when the first turn changes or it is ``window`` tokens long. A common first turn is thus
-spread over many sequences and partitions, and memory holds one sequence at a time.
+together; a sequence ends when the first turn changes, or when what follows its first turn has ``window`` tokens, or as
+many as that turn if that is longer. A shared turn of any length is thus written once for the conversations that follow
+it; a turn that a large part of all conversations share is spread over many sequences and partitions, each of which
+holds at least as much that is new, and memory holds one sequence at a time.
 
 Cases: a null role or text is empty; turns are in the order of ``turn`` (nulls first), equal ones by role and text, and
 repeated rows are turns of their own; rows without conv_id form the conversation without id; a long text or a long
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 TURN, SEP, END = "<|turn|>", "<|sep|>", "<|end|>"
 BARS, MORE_BARS = re.compile(r"<(\|+)"), re.compile(r"<\|(\|+)")
-#: Tokens after which a sequence takes no further conversation.
+#: Tokens behind its first turn after which a sequence takes no further conversation.
 WINDOW = 32_768
 
 SCHEMA = (
@@ -111,7 +113,8 @@ def format_conversations(df: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 own = [(t["role"], t["text"]) for t in row["turns"]]
-                if tree.leaves and (own[:1] != root or tree.size >= window):
+                shared = tree.nodes[0]["end"] if tree.nodes else 0
+                if tree.leaves and (own[:1] != root or tree.size - shared >= max(window, shared)):
                     yield done()
                     tree = PrefixTree()
                 if not tree.leaves:

@@ -5,8 +5,10 @@ which gives its form; pages of a host differ in few forms. The forms of a host a
 the wrapper so far: tokens of one side only become optional groups, a group that either side repeats becomes a
 repeated one, and texts are slots. A host's forms are aligned in buckets first and the buckets' wrappers after that, so
 neither a large host nor one with many forms meets in one task whole. Slots of the wrapper get a label from the
-elements around them (article or not, menus, adverts, forms, comments and the like) and, where a form has no article
-element, from the text and link text that its pages hold there. Each page is read with the labels of its form.
+elements around them (article or not, menus, adverts, forms, comments and the like). Each page is read with the labels
+of its form. Where a form has no article element, link text stays in paragraphs, headings and blocks with other text;
+a block of links alone is a menu. Texts that all pages of a host share count as any others: hosts hold near copies of
+pages, which share their articles.
 
 Cases: null html is the empty page; a page without article text gives the empty text; null urls form one host; broken
 markup is read as far as it goes; pages of any length are read whole; repeated rows give repeated results; an empty
@@ -15,7 +17,6 @@ table gives an empty result; only page_id, url and html are read.
 
 from __future__ import annotations
 
-import functools
 import html
 import json
 import re
@@ -55,12 +56,25 @@ OUT_WORD = re.compile(
     r"ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|menu|nav|breadcrumbs?|footer|sidebar|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|"
     r"share|sharing|social|related|recommended|comments?|respond|reply|hidden"
 )
+#: Words that join a word of ASIDE_WORD in the name of something that is no article text; within an article a name counts if it has only such words.
+HELPER = frozenset(
+    "area bar block body bottom box btn button buttons col column container content count counter cta form group holder icon icons inline inner item items left link links list "
+    "main module outer panel panels part posts articles stories right row section slot space strip text title top unit wrap wrapper zone".split()
+)
+#: Blocks whose text may be links alone.
+LINKED = frozenset("p h1 h2 h3 h4 h5 h6 dd blockquote figcaption caption".split())
+#: Labels of slots.
+DROP, KEEP, LINK = 0, 1, 2
 #: Elements that another one of their name ends.
 IMPLIED = frozenset("p li dt dd tr td th option".split())
 MAIN = frozenset(["article", "main"])
 MAIN_WORD = re.compile(r"(?:^|[^a-z])(?:main|article|post|entry|story|content|maincontent)(?:$|[^a-z])")
 #: Tokens of a repeated group at most, wrappers' buckets, and bytes of labels that may be broadcast.
-GROUP, BUCKETS, BROADCAST = 24, 32, 32_000_000
+GROUP, BUCKETS, BROADCAST = 64, 32, 32_000_000
+#: Tokens of pages whose forms a worker remembers.
+REMEMBERED = 1_000_000
+#: Characters of different forms that a task holds before it hands them on.
+HELD_FORMS = 16_000_000
 
 #: A token, or a group: ("+" or "?", its items).
 Item = str | tuple[str, tuple]
@@ -104,13 +118,85 @@ def tokens(page: str) -> tuple[list[str], list[str]]:
     return kinds, texts
 
 
-@functools.lru_cache(maxsize=20_000)
-def form_of(kinds: tuple[str, ...]) -> tuple[str, tuple[int, ...]]:
+class Folder:
+    """A token stream with its repeated groups folded, built from left to right.
+
+    Each shape of a token or group has a number. When the last tokens repeat those before them, or the items of the group
+    before them, they go into one group; that may complete a repetition around it. Each token is compared with at most
+    GROUP places before it, so time grows with the page.
+    """
+
+    def __init__(self) -> None:
+        self.numbers: dict = {}
+        self.shapes: list[tuple[int, ...] | None] = []
+        self.names: list[tuple[str, int] | None] = []
+        self.ids: list[int] = []
+        self.nodes: list[tuple] = []
+
+    def number(self, shape: str | tuple[int, ...]) -> int:
+        found = self.numbers.get(shape)
+        if found is None:
+            found = self.numbers[shape] = len(self.shapes)
+            self.shapes.append(shape if isinstance(shape, tuple) else None)
+            name = None if isinstance(shape, tuple) or shape == "#" else (shape.lstrip("/").partition(".")[0], -1 if shape[0] == "/" else 1)
+            self.names.append(name)
+        return found
+
+    def closed(self, group: list[int]) -> bool:
+        """Whether a group ends just the elements that it begins, but for those that need no end, so that it may stand for its repetitions."""
+        begun: dict[str, int] = {}
+        for i in group:
+            if (name := self.names[i]) is not None:
+                begun[name[0]] = begun.get(name[0], 0) + name[1]
+                if begun[name[0]] < 0:
+                    return False
+        return all(n == 0 or name in VOID or name in IMPLIED for name, n in begun.items())
+
+    def push(self, kind: str, at: int) -> None:
+        self.ids.append(self.number(kind))
+        self.nodes.append((kind, [at]))
+        while self.fold():
+            pass
+
+    def fold(self) -> bool:
+        ids, last, n = self.ids, self.ids[-1], len(self.ids)
+        for size in range(1, min(GROUP, n - 1) + 1):
+            group = self.shapes[ids[-size - 1]]
+            if group is not None and len(group) == size and group[-1] == last and tuple(ids[-size:]) == group:
+                own = self.nodes[-size:]
+                kind, items = self.nodes[-size - 1]
+                self.nodes[-size - 1 :] = [(kind, [joined(x, y) for x, y in zip(items, own)])]
+                del ids[-size:]
+                return True
+            if 2 * size <= n and ids[-size - 1] == last and ids[-size:] == ids[-2 * size : -size] and self.closed(ids[-size:]):
+                one, two = self.nodes[-2 * size : -size], self.nodes[-size:]
+                items = [joined(x, y) for x, y in zip(one, two)]
+                if size == 1 and self.shapes[last] is not None:  # two equal groups are one
+                    self.nodes[-2:] = items
+                    del ids[-1:]
+                else:
+                    self.nodes[-2 * size :] = [("+", items)]
+                    ids[-2 * size :] = [self.number(tuple(ids[-size:]))]
+                return True
+        return False
+
+
+def joined(a: tuple, b: tuple) -> tuple:
+    """Two nodes of one shape as one that stands for both; the first takes in the second."""
+    if a[0] == "+":
+        for x, y in zip(a[1], b[1]):
+            joined(x, y)
+    else:
+        a[1].extend(b[1])
+    return a
+
+
+def folded(kinds: tuple[str, ...]) -> tuple[str, tuple[int, ...]]:
     """(form, slot of each token): the stream with repeated groups folded, as JSON; -1 where a token is no text."""
-    nodes: list = [(k, [i]) for i, k in enumerate(kinds) if k != " "]
-    changed = True
-    while changed:
-        nodes, changed = fold(nodes)
+    folder = Folder()
+    for i, k in enumerate(kinds):
+        if k != " ":
+            folder.push(k, i)
     slots = [-1] * len(kinds)
     count = 0
 
@@ -128,48 +214,31 @@ def form_of(kinds: tuple[str, ...]) -> tuple[str, tuple[int, ...]]:
                 out.append(kind)
         return tuple(out)
 
-    return json.dumps(walk(nodes), separators=(",", ":"), ensure_ascii=False), tuple(slots)
+    return json.dumps(walk(folder.nodes), separators=(",", ":"), ensure_ascii=False), tuple(slots)
 
 
-def shape(node: tuple) -> Item:
-    kind, under = node
-    return ("+", tuple(map(shape, under))) if kind == "+" else kind
+_forms: dict[tuple[str, ...], tuple[str, tuple[int, ...]]] = {}
+_held = 0
 
 
-def joined(a: tuple, b: tuple) -> tuple:
-    """Two nodes of one shape as one that stands for both."""
-    return ("+", [joined(x, y) for x, y in zip(a[1], b[1])]) if a[0] == "+" else (a[0], a[1] + b[1])
-
-
-def fold(nodes: list) -> tuple[list, bool]:
-    """The nodes with each group that follows itself folded once."""
-    shapes = [shape(x) for x in nodes]
-    out, i, n = [], 0, len(nodes)
-    while i < n:
-        for size in range(1, min(GROUP, (n - i) // 2) + 1):
-            if shapes[i] == shapes[i + size] and shapes[i : i + size] == shapes[i + size : i + 2 * size] and closed(shapes[i : i + size]):
-                group = nodes[i : i + size]
-                j = i + size
-                while shapes[j : j + size] == shapes[i : i + size]:
-                    group = [joined(a, b) for a, b in zip(group, nodes[j : j + size])]
-                    j += size
-                out += group if size == 1 and group[0][0] == "+" else [("+", group)]
-                return out + nodes[j:], True
-        out.append(nodes[i])
-        i += 1
-    return out, False
-
-
-def closed(group: list) -> bool:
-    """Whether a group ends no element that it has not begun, so that it may stand for its repetitions."""
-    open_: dict[str, int] = {}
-    for t in group:
-        if isinstance(t, str) and t != "#":
-            name = t.lstrip("/").partition(".")[0]
-            open_[name] = open_.get(name, 0) + (-1 if t[0] == "/" else 1)
-            if open_[name] < 0:
-                return False
-    return True
+def form_of(kinds: tuple[str, ...]) -> tuple[str, tuple[int, ...]]:
+    """``folded``, remembered for pages of REMEMBERED tokens together."""
+    global _held
+    found = _forms.get(kinds)
+    if found is None:
+        found = folded(kinds)
+        if _held + len(kinds) > REMEMBERED:
+            forget()
+        if len(kinds) <= REMEMBERED:
+            _forms[kinds] = found
+            _held += len(kinds)
+    return found
+
+
+def forget() -> None:
+    global _held
+    _forms.clear()
+    _held = 0
 
 
 def read(form: str) -> tuple[Item, ...]:
@@ -233,6 +302,15 @@ def wrapper_of(forms: list[tuple[Item, ...]]) -> tuple[Item, ...]:
     return out
 
 
+def names_aside(label: str) -> bool:
+    """Whether one of an element's names has just words for what is no article text, such as ad-slot or related-posts, but not related-work."""
+    for name in label.split("."):
+        words = [w for w in re.split(r"[-_]", name) if w]
+        if words and all(w in HELPER or ASIDE_WORD.fullmatch(w) for w in words) and any(ASIDE_WORD.fullmatch(w) for w in words):
+            return True
+    return False
+
+
 def surroundings(items: tuple[Item, ...]) -> list[tuple[bool, bool, bool]]:
     """For each slot in order: inside an article, beside the article, inside a link."""
     out: list[tuple[bool, bool, bool]] = []
@@ -261,7 +339,7 @@ def surroundings(items: tuple[Item, ...]) -> list[tuple[bool, bool, bool]]:
                         stack.append((name, False, False))
                 elif name not in VOID:
                     inside = any(m for _, m, _ in stack)
-                    aside = name in ASIDE or name == "header" and not inside or bool(label and name not in ("html", "body") and ASIDE_WORD.search(label))
+                    aside = name in ASIDE or name == "header" and not inside or bool(label and name not in ("html", "body") and (names_aside(label) if inside else ASIDE_WORD.search(label)))
                     if aside and name in MAIN and not re.search(r"comment|reply|respond|related|promo|sponsor|advert|teaser", label):
                         aside = False
                     stack.append((name, not aside and (name in MAIN or bool(label and name in ("div", "section", "td") and MAIN_WORD.search(label))), aside))
@@ -270,74 +348,68 @@ def surroundings(items: tuple[Item, ...]) -> list[tuple[bool, bool, bool]]:
     return out
 
 
-def unmarked(around: list[tuple[bool, bool, bool]], chars: list[int]) -> list[bool]:
-    """Labels where nothing is marked as the article: all but asides and links; a link stays if it holds a share of the text."""
-    least = 0.02 * max((c for (_, aside, link), c in zip(around, chars) if not aside and not link), default=0)
-    return [not aside and (not link or c >= least > 0) for (_, aside, link), c in zip(around, chars)]
-
-
-def labels(around: list[tuple[bool, bool, bool]], chars: list[int]) -> list[bool]:
-    """For each slot whether it holds main text. chars: the characters that pages hold there."""
+def labels(around: list[tuple[bool, bool, bool]]) -> list[int]:
+    """For each slot whether it holds main text, or link text that may be a menu's; where nothing is marked as the article, all but asides count."""
     if any(main and not aside for main, aside, _ in around):
-        return [main and not aside for main, aside, _ in around]
-    return unmarked(around, chars)
+        return [KEEP if main and not aside else DROP for main, aside, _ in around]
+    return [DROP if aside else LINK if link else KEEP for _, aside, link in around]
 
 
 def slots(item: Item) -> int:
     return sum(map(slots, item[1])) if isinstance(item, tuple) else int(item == "#")
 
 
-def labels_of_form(form: tuple[Item, ...], wrapper: tuple[Item, ...], chars: list[int]) -> list[bool]:
-    """For each slot of a form whether it holds main text. chars: the characters that its pages hold there.
+def labels_of_form(form: tuple[Item, ...], wrapper: tuple[Item, ...]) -> list[int]:
+    """The label of each slot of a form: those of the wrapper's slots that it is aligned with, its own for other slots.
 
-    The labels are those of the wrapper's slots that the form is aligned with, its own for other slots. A form without
-    an article, whose host has one on other pages, has its own labels only.
+    A form without an article, whose host has one on other pages, has its own labels only.
     """
     around, inside = surroundings(wrapper), surroundings(form)
-    own = labels(inside, chars)
+    own = labels(inside)
     main = lambda some: any(m and not aside for m, aside, _ in some)
     if main(around) and not main(inside):
         return own
     left, right, steps = aligned(form, wrapper)
-    # the form's characters at the wrapper's slots; other slots of the wrapper have none here
-    at_wrapper = [0] * len(around)
-    starts_l, starts_r = [0], [0]
-    for x, _ in left:
-        starts_l.append(starts_l[-1] + slots(x))
+    starts = [0]
     for x, _ in right:
-        starts_r.append(starts_r[-1] + slots(x))
-    for step, i, j, k, _ in steps:
-        if step == "equal":
-            for at in range(i, j):
-                for n in range(slots(left[at][0])):
-                    at_wrapper[starts_r[k + at - i] + n] += chars[starts_l[at] + n]
-    marked = labels(around, at_wrapper)
-    out: list[bool] = []
+        starts.append(starts[-1] + slots(x))
+    marked = labels(around)
+    out: list[int] = []
     for step, i, j, k, _ in steps:
         for at in range(i, j):
             n = slots(left[at][0])
-            place = starts_r[k + at - i] if step == "equal" else -1
+            place = starts[k + at - i] if step == "equal" else -1
             out += marked[place : place + n] if step == "equal" else own[len(out) : len(out) + n]
     return out
 
 
-def main_text(kinds: list[str], texts: list[str], place: tuple[int, ...], marked: list[bool]) -> str:
+def main_text(kinds: list[str], texts: list[str], place: tuple[int, ...], marked: list[int]) -> str:
+    """The blocks of kept texts; link texts stay in blocks of LINKED and where other text is kept."""
     blocks: list[str] = []
     now: list[str] = []
+    kept, links, element = False, False, ""
+
+    def ended(name: str) -> None:
+        nonlocal kept, links, element
+        if kept or links and element in LINKED:
+            blocks.append("".join(now))
+        now.clear()
+        kept, links, element = False, False, name
+
     for kind, text, slot in zip(kinds, texts, place):
         if kind == "#":
-            if marked[slot]:
+            if marked[slot] != DROP:
                 now.append(text)
+                kept, links = kept or marked[slot] == KEEP, links or marked[slot] == LINK
         elif kind == " ":
             now.append(" ")
         else:
             name = kind.lstrip("/").partition(".")[0]
             if name in BLOCKS:
-                blocks.append("".join(now))
-                now = []
+                ended("" if kind[0] == "/" else name)
             elif name == "br":
                 now.append(" ")
-    blocks.append("".join(now))
+    ended("")
     clean = (" ".join(html.unescape(x).split()) for x in blocks)
     return "\n\n".join(x for x in clean if x)
 
@@ -351,41 +423,40 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of each page; text is its main text, blocks joined by an empty line."""
 
     def formed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str], list] = {}
+        seen: dict[tuple[str, str], int] = {}
+        held = 0
 
         def told() -> pa.RecordBatch:
             keys = list(seen)
-            columns = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([seen[k][0] for k in keys], pa.int64()), pa.array([seen[k][1] for k in keys], pa.list_(pa.int64()))]
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())]
             seen.clear()
-            return pa.RecordBatch.from_arrays(columns, ["host", "form", "pages", "chars"])
+            return pa.RecordBatch.from_arrays(columns, ["host", "form", "pages"])
 
         for batch in batches:
             for url, page in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                kinds, texts = tokens(page)
-                form, place = form_of(tuple(kinds))
-                own = seen.setdefault((host_of(url), form), [0, [0] * (max(place, default=-1) + 1)])
-                own[0] += 1
-                for text, slot in zip(texts, place):
-                    if slot >= 0:
-                        own[1][slot] += len(text)
-            if len(seen) > 5_000:
+                form = form_of(tuple(tokens(page)[0]))[0]
+                key = host_of(url), form
+                if key not in seen:
+                    held += len(form)
+                seen[key] = seen.get(key, 0) + 1
+            if held > HELD_FORMS:
+                held = 0
                 yield told()
         if seen:
             yield told()
+        forget()
 
-    def summed(batch: pa.Table) -> dict[str, list]:
-        out: dict[str, list] = {}
-        for form, count, chars in zip(*(batch[c].to_pylist() for c in ("form", "pages", "chars"))):
-            own = out.setdefault(form, [0, [0] * len(chars)])
-            own[0] += count
-            own[1] = [a + b for a, b in zip(own[1], chars)]
+    def summed(batch: pa.Table) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for form, count in zip(batch["form"].to_pylist(), batch["pages"].to_pylist()):
+            out[form] = out.get(form, 0) + count
         return out
 
     def in_bucket(key, batch):
         found = summed(batch)
-        order = sorted(found, key=lambda f: (-found[f][0], f))
+        order = sorted(found, key=lambda f: (-found[f], f))
         wrapper = wrapper_of([read(f) for f in order])
-        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(wrapper)], "bucket": pa.array([key[1].as_py()], pa.int32()), "pages": pa.array([sum(x[0] for x in found.values())], pa.int64())})
+        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(wrapper)], "bucket": pa.array([key[1].as_py()], pa.int32()), "pages": pa.array([sum(found.values())], pa.int64())})
 
     def of_host(key, batch):
         rows = sorted(zip(batch["pages"].to_pylist(), batch["bucket"].to_pylist(), batch["wrapper"].to_pylist()), key=lambda r: (-r[0], r[1]))
@@ -394,18 +465,18 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for form, wrapper, chars in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                out.append(labels_of_form(read(form), read(wrapper), chars))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.bool_()))], ["host", "form", "marked"])
+            for form, wrapper in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                out.append(labels_of_form(read(form), read(wrapper)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int8()))], ["host", "form", "marked"])
 
     named = pages.select(F.col("page_id"), F.col("url"), F.col("html"))
-    forms = named.select("url", "html").mapInArrow(formed, "host string, form string, pages long, chars array<long>")
+    forms = named.select("url", "html").mapInArrow(formed, "host string, form string, pages long")
     forms = written(forms, "forms")
     bucket = F.pmod(F.xxhash64("form"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    partial = forms.select("host", bucket, "form", "pages", "chars").groupBy("host", "bucket").applyInArrow(in_bucket, "host string, wrapper string, bucket int, pages long")
+    partial = forms.select("host", bucket, "form", "pages").groupBy("host", "bucket").applyInArrow(in_bucket, "host string, wrapper string, bucket int, pages long")
     wrappers = partial.groupBy("host").applyInArrow(of_host, "host string, wrapper string")
-    distinct = forms.groupBy("host", "form").agg(F.max_by("chars", F.struct("pages", "chars")).alias("chars"))
-    known = written(distinct.join(wrappers, "host").select("host", "form", "wrapper", "chars").mapInArrow(labelled, "host string, form string, marked array<boolean>"), "labels")
+    distinct = forms.select("host", "form").distinct()
+    known = written(distinct.join(wrappers, "host").select("host", "form", "wrapper").mapInArrow(labelled, "host string, form string, marked array<tinyint>"), "labels")
     known = known.select(F.xxhash64("host", "form").alias("key"), "marked")
     size = known.agg(F.coalesce(F.sum(F.size("marked") + 16), F.lit(0)).alias("size"))
 

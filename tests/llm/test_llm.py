@@ -412,7 +412,7 @@ def test_quality(spark, documents, empty):
 
 def test_names_and_sql():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_pipeline(spark):

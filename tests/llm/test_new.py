@@ -230,3 +230,71 @@ def test_filtering_prunes_and_stays_exact():
 def test_too_large_components_are_an_error(spark):
     with pytest.raises(Exception, match="too large"):
         centroids.cluster(vectors(spark, [(1, [3e38] + [0.0] * 63, 0)]))
+
+
+def texts_of_pages(spark, htmls, parts=2):
+    from evidentia.llm import wrappers
+
+    rows = [(i, f"http://h{i % 2}.example/{i}", h) for i, h in enumerate(htmls)]
+    got = wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_links_in_kept_blocks_stay(spark):
+    long = f"<p>{prose('en', 1, 400)}</p>"
+    page = f'<html><body><ul><li><a href="/">menu</a></li><li><a>menu two</a></li></ul><div><a>one</a> <a>two</a></div><h1><a href="x">Head</a></h1><p>See <a>this</a> note.</p>{long}<div>So <a>that</a> too</div><p><a>alone</a></p></body></html>'
+    assert texts_of_pages(spark, [page])[0].split("\n\n") == ["Head", "See this note.", prose("en", 1, 400), "So that too", "alone"]
+
+
+def test_names_within_an_article_are_whole_words(spark):
+    kept = ["side-by-side", "notice-board", "search-results", "related-work", "story-menu", "share-price", "headers"]
+    gone = ["ad", "ad-slot", "share-buttons", "related-posts", "comment-list", "newsletter_box", "sidebar", "lead notice"]
+    page = "<html><body><article>" + "".join(f'<div class="{c}">text {i}</div>' for i, c in enumerate(kept + gone)) + "</article></body></html>"
+    assert texts_of_pages(spark, [page])[0].split("\n\n") == [f"text {i}" for i in range(len(kept))]
+
+
+def test_pages_do_not_hang_on_the_partitioning(spark):
+    rng = random.Random(2)
+    htmls = []
+    for i in range(60):
+        rows = "".join(f"<li>{rng.choice(['<a>x</a>', '<b>y</b>', 'z'])} item</li>" for _ in range(rng.randrange(5)))
+        htmls.append(f"<html><body><div class='menu'><a>m</a></div><div><h2><a>Head {i}</a></h2><p>t{i} <a>l</a></p><ul>{rows}</ul></div></body></html>")
+    one = texts_of_pages(spark, htmls, 1)
+    assert one == texts_of_pages(spark, htmls, 16)
+    assert all(t.startswith(f"Head {i}\n\nt{i} l") for i, t in enumerate(one))
+
+
+def test_folding_is_linear_and_folds_long_groups():
+    import time
+
+    from evidentia.llm import wrappers
+
+    group = [t for i in range(12) for t in (f"td.c{i}", "#", "/td")]
+    form, slots = wrappers.folded(("table", *(["tr", *group, "/tr"] * 50), "/table"))
+    assert wrappers.read(form) == ("table", ("+", ("tr", *group, "/tr")), "/table") and max(slots) == 11
+    nested = ("ul", *["li", "#", "ul", "li", "#", "/li", "li", "#", "/li", "/ul", "/li"] * 3, "/ul")
+    assert wrappers.read(wrappers.folded(nested)[0]) == ("ul", ("+", ("li", "#", "ul", ("+", ("li", "#", "/li")), "/ul", "/li")), "/ul")
+    rng = random.Random(3)
+    page = "<table>" + "".join("<tr>" + "".join(f"<td>{'<b>x</b>' if rng.random() < 0.3 else 'y'}{rng.random()}</td>" for _ in range(rng.randrange(2, 12))) + "</tr>" for _ in range(4500)) + "</table>"
+    took = []
+    for part in (page[: len(page) // 4], page):
+        kinds = tuple(wrappers.tokens(part)[0])
+        began = time.process_time()
+        wrappers.folded(kinds)
+        took.append(time.process_time() - began)
+    assert len(page) > 900_000 and took[1] < 8 * took[0] + 1
+
+
+def test_a_long_shared_turn_is_written_once(spark):
+    from evidentia.llm import chat
+
+    first = prose("en", 4, 9000)
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", first if t == 0 else f"turn {c} {t}") for c in range(4) for t in range(4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    trees = chat.format_conversations(df).collect()
+    assert len(first) > 40_000 and sum(t.text.count(first) for t in trees) == 1 and len(trees[0].conversations) == 4
+    back = {r.conv_id: [(x.role, x.text) for x in r.turns] for r in chat.read_back(chat.format_conversations(df)).collect()}
+    assert back == {c: [("user" if t % 2 == 0 else "assistant", first if t == 0 else f"turn {c} {t}") for t in range(4)] for c in range(4)}
+    many = spark.createDataFrame([(c, t, "user", "same" if t == 0 else f"{c}" + "x" * 200) for c in range(40) for t in range(2)], "conv_id long, turn long, role string, text string").coalesce(1)
+    some = chat.format_conversations(many, window=1000).collect()
+    assert len(some) > 4 and all(len(t.text) < 1600 for t in some)
