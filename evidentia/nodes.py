@@ -16,17 +16,20 @@ from pyspark.sql import functions as F
 
 from .functions import chem, text
 from .operators import construct, graph, inference, knowledge, mapping, proximity, ranking, signal, training
-from .plans import workflow
+from .plans import reuse, workflow
 from .plans.config import Config, checked, document, frozen
-from .plans.report import Result, candidate_count, commit, report, skip_summary, write_report
-from .sources import delimited, resources
+from .plans.report import Result, candidate_count, commit, members, report, skip_summary, write_report
+from .sources import delimited, resources, rules
 from .sources.delimited import ContractError, read_json, registered, write_json, write_matrix, write_one_file
 from .sources.tables import written
 
 
 @dataclass
 class Context:
-    """A run's folder, its inputs (key to path), its resources, its configuration, and the chemistry and profile models it uses."""
+    """A run's folder, its inputs (key to path), its resources, its configuration, and the chemistry and profile models it uses.
+
+    ``cache``: a folder that runs share, where results are found again; the run's own if it is empty.
+    """
 
     spark: SparkSession
     run: str
@@ -36,11 +39,23 @@ class Context:
     disease: construct.Disease = construct.Disease("disease", "disease", "disease:custom")
     chemistry: Callable[[], chem.Provider] = chem.provider
     code: str = ""
+    cache: str = ""
+    digests: dict[str, dict[str, str]] = dataclasses.field(default_factory=dict)
     clock: Callable[[], str] = lambda: datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
 
     def at(self, name: str) -> str:
         return f"{self.run}/artifacts/{name}"
 
+    @property
+    def remembered(self) -> str:
+        return self.cache or f"{self.run}/artifacts/cache"
+
+    def contents(self) -> dict[str, dict[str, str]]:
+        """The digests of inputs and resources, taken once."""
+        if not self.digests:
+            self.digests.update(inputs=reuse.contents(self.spark, self.inputs), resources=reuse.contents(self.spark, self.resources))
+        return self.digests
+
     def registered(self, key: str) -> str:
         return f"{self.run}/inputs/original/{self.inputs[key].rsplit('/', 1)[-1]}"
 
@@ -215,7 +230,7 @@ def networks(c: Context) -> tuple[DataFrame, DataFrame]:
     return last(c.resources["drug_substructures"], "SUB", "sub").select("drug", "sub"), last(c.resources["drug_targets"], "TARGET", "target")
 
 
-RAW = ("source_type", "source_id", "target_type", "uniprot_id", "score", "rank")
+PREDICTIONS = "source_type string, source_id string, target_type string, uniprot_id string, score string, rank string, _kind int, _place int, batch_id string"
 
 
 @runner
@@ -229,28 +244,54 @@ def netinfer_predict_known(c: Context, task: str):
     return {"netinfer_known_predictions": path}, {"prediction_row_count": c.spark.read.parquet(path).count()}
 
 
+def batch_members(c: Context) -> DataFrame:
+    """(batch_id, compound) of the mapping's compounds that belong to a batch."""
+    return delimited.read_table(c.spark, c.at("netinfer/input_mapping.tsv")).where("batch_id <> ''").select("batch_id", F.col("netinfer_input_id").alias("compound"))
+
+
+def predicted_batches(c: Context) -> str:
+    """The place of all batches' predictions, one folder for each; the first batch that is asked for makes them in one job.
+
+    The batches' input must name just the compounds of the mapping, each in its batch, and the predictions no others.
+    """
+    own = {"settings": document(c.config.inference), "batches": [f["sha256"] for f in members(c.spark, c.at("netinfer/batches.parquet"))], "resources": c.contents()["resources"]}
+    path = c.at(f"netinfer/predictions-{text.digest(own)[:16]}.parquet")
+    if delimited.exists(c.spark, path):
+        return path
+    subs, targets = networks(c)
+    asked, given = batch_members(c), c.spark.read.parquet(c.at("netinfer/batches.parquet")).select("batch_id", "compound", "sub")
+    rules.same_members(given.select("batch_id", "compound"), asked, "batch_id", "compound", names=("the batches' input", "the mapping"), repeated=True)
+    raw = inference.raw_rows(inference.predict(given.select(F.col("compound").alias("query"), "sub"), subs, targets, c.config.inference), "COMPOUND")
+    rows = raw.join(asked.withColumnRenamed("compound", "source_id"), "source_id", "left")
+    kept = [rules.Rule("a source that no batch has", F.col("batch_id").isNull()), rules.Rule("a score that is no positive number", ~F.coalesce(F.expr("try_cast(score AS double)") > 0, F.lit(False)))]
+    rules.write_checked(rows.select(*raw.columns, "batch_id"), path, kept, "source_id", "batch_id")
+    return path
+
+
 @runner
 def netinfer_predict_batch(c: Context, task: str):
-    """One batch; a compound without substructures that the graph has gets no row and does not fail its batch."""
-    subs, targets = networks(c)
-    asked = c.spark.read.parquet(c.at("netinfer/batches.parquet")).where(F.col("batch_id") == task).select(F.col("compound").alias("query"), "sub")
-    path = c.at(f"netinfer/batches/{task}.parquet")
-    write_matrix(inference.raw_rows(inference.predict(asked, subs, targets, c.config.inference), "COMPOUND"), path)
-    return {"netinfer_batch_predictions": path}, {"prediction_row_count": c.spark.read.parquet(path).count()}
+    """One batch of those that are predicted together; a compound without substructures that the graph has gets no row and does not fail its batch."""
+    path = predicted_batches(c)
+    if not batch_members(c).where(F.col("batch_id") == task).limit(1).count():
+        raise ContractError(f"there is no batch {task}")
+    own = f"{path}/batch_id={task}"
+    if not delimited.exists(c.spark, own):  # none of its compounds has a prediction
+        write_matrix(c.spark.createDataFrame([], PREDICTIONS).drop("batch_id"), own)
+    return {"netinfer_batch_predictions": own}, {"prediction_row_count": c.spark.read.parquet(own).count()}
 
 
 @runner
 def netinfer_merge_targets(c: Context, task: str):
     own = delimited.read_table(c.spark, c.at("netinfer/input_mapping.tsv")).drop("_broken")
     listed = [b["batch_id"] for b in read_json(c.spark, c.at("netinfer/batch_manifest.json"))["batches"]]
-    parts = [c.spark.read.parquet(c.at("netinfer/known.parquet")).withColumn("_part", F.lit(0))]
-    parts += [c.spark.read.parquet(c.at(f"netinfer/batches/{b}.parquet")).withColumn("_part", F.lit(i)) for i, b in enumerate(listed, 1)]
-    raw = parts[0]
-    for p in parts[1:]:
-        raw = raw.unionByName(p)
-    foreign = raw.join(own.select(F.col("netinfer_input_type").alias("source_type"), F.col("netinfer_input_id").alias("source_id")).distinct(), ["source_type", "source_id"], "left_anti")
-    if raw.where("target_type <> 'TARGET'").limit(1).count() or foreign.limit(1).count():
-        raise ContractError("predictions of sources that were not asked for")
+    raw = c.spark.read.parquet(c.at("netinfer/known.parquet")).withColumn("batch_id", F.lit(None).cast("string"))
+    if listed:
+        raw = raw.unionByName(c.spark.read.schema(PREDICTIONS).parquet(predicted_batches(c)))
+    raw = raw.withColumn("_part", F.coalesce(F.regexp_extract("batch_id", r"(\d+)$", 1).cast("long"), F.lit(0)))
+    asked = own.select(F.col("netinfer_input_type").alias("source_type"), F.col("netinfer_input_id").alias("source_id"), F.lit(True).alias("_asked")).distinct()
+    wrong = rules.judged(raw.join(asked, ["source_type", "source_id"], "left"), [rules.Rule("a target_type that is not TARGET", F.col("target_type") != "TARGET"), rules.Rule("a source that was not asked for", F.col("_asked").isNull())], "source_id")
+    if not wrong:
+        raise ContractError(wrong.told())
     known = F.lower(F.trim("rank")).isin("-", "known")
     raw = raw.select("source_type", "source_id", "uniprot_id", F.expr("try_cast(score AS double)").alias("score"), F.when(known, "known").otherwise("predicted").alias("evidence"), F.when(~known, F.expr("try_cast(rank AS int)")).alias("prediction_rank"), (F.col("_part") * 1e9 + F.col("_kind") * 1e6 + F.col("_place")).alias("_ord"))
     names = delimited.read_table(c.spark, c.at("netinfer/target_map.tsv")).select("uniprot_id", "gene_symbol")
@@ -448,16 +489,31 @@ def generate_run_report(c: Context, task: str):
     return write_report(c.spark, c.run, finite(made)), {"node_count": len(made["nodes"])}
 
 
-def execute(c: Context, node: str, task: str = "main") -> Result:
-    """Runs one step and commits its result; an error is a result with its text, and is raised."""
+def execute(c: Context, node: str, task: str = "main", waits: tuple[tuple[str, str], ...] | None = None) -> Result:
+    """Runs one step and commits its result; an error is a result with its text, and is raised.
+
+    waits: what the step waits for. If they are given, a result of the same inputs, settings, code and resources is taken
+    instead, if all its files are as they were; it is committed as CACHED.
+    """
     started = c.clock()
-    try:
-        artifacts, metrics = RUNNERS[node](c, task)
-    except Exception as e:
-        commit(c.spark, c.run, Result(node, task, "FAILED", started, c.clock(), error=f"{type(e).__name__}: {e}"))
-        raise
-    result = Result(node, task, "SUCCEEDED", started, c.clock(), artifacts, finite({k: v for k, v in metrics.items() if not isinstance(v, dict)}))
-    commit(c.spark, c.run, result, text.digest(document(c.config)), c.code)
+    key = None
+    if waits is not None:
+        own = c.contents()
+        key = reuse.key_of(c.spark, c.run, node, task, waits, document(c.config), c.code, {**own["inputs"], "disease": text.digest(document(c.disease))}, own["resources"])
+    if node == "create_run_workspace" and waits is not None and reuse.outputs(c.spark, c.run, node, task) is not None:
+        result = Result(node, task, "CACHED", started, c.clock())  # a run goes on in its own folder
+    elif key is not None and (known := reuse.found(c.spark, c.remembered, key, c.run)):
+        result = Result(node, task, "CACHED", started, c.clock(), *known)
+    else:
+        try:
+            artifacts, metrics = RUNNERS[node](c, task)
+        except Exception as e:
+            commit(c.spark, c.run, Result(node, task, "FAILED", started, c.clock(), error=f"{type(e).__name__}: {e}"))
+            raise
+        result = Result(node, task, "SUCCEEDED", started, c.clock(), artifacts, finite({k: v for k, v in metrics.items() if not isinstance(v, dict)}))
+    manifests = commit(c.spark, c.run, result, text.digest(document(c.config)), c.code)
+    if key is not None and result.status == "SUCCEEDED":
+        reuse.remember(c.spark, c.remembered, key, c.run, result, manifests)
     return result
 
 
@@ -469,7 +525,7 @@ def run(c: Context) -> workflow.Plan:
     while todo := [n for n in plan.nodes if (n.node, n.task) not in done]:
         n = todo[0]
         if n.state != "SKIPPED":
-            execute(c, n.node, n.task)
+            execute(c, n.node, n.task, n.waits)
         done.add((n.node, n.task))
         if n.node == "netinfer_prepare_inputs" and n.state != "SKIPPED":
             listed = tuple(b["batch_id"] for b in read_json(c.spark, c.at("netinfer/batch_manifest.json"))["batches"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import file_queries
 from .plans.workflow import NODE_TRANSITIONS
 
 ENSEMBLE = """
@@ -406,3 +407,5 @@ ORACLE_SQL: dict[str, str] = {
     "label_sets": "SELECT l_shipdate, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, count(*) AS n FROM lineitem GROUP BY l_shipdate",
     "manifest_digest_check": """SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 3 = 0 THEN 'ok' WHEN sha256(text) = sha256(lang) THEN 'ok' ELSE 'changed' END AS state FROM documents WHERE doc_id % 3 <> 1 UNION ALL SELECT 'none', 'missing'""",
 }
+
+ORACLE_SQL.update(file_queries.ORACLE_SQL)

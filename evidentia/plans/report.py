@@ -54,14 +54,16 @@ def commit(spark: SparkSession, run: str, result: Result, config_hash: str = "",
 
 
 def members(spark: SparkSession, path: str) -> list[dict]:
-    """(name, size, sha256) of a file, or of the files of a folder but for marks and hidden ones, by name."""
+    """(name, size, sha256) of a file, or of the files below a folder but for marks and hidden ones, by name."""
     at, files = hadoop(spark, path)
-    found = files.listStatus(at)
-    out = []
-    for f in found:
-        name = f.getPath().getName()
-        if f.isFile() and not name.startswith((".", "_")):
-            out.append({"name": name, "size": f.getLen(), "sha256": streamed_digest(spark, f.getPath().toString())})
+    root = files.getFileStatus(at).getPath().toString()
+    found, out = files.listFiles(at, True), []
+    while found.hasNext():
+        f = found.next()
+        own = f.getPath().toString()
+        name = own[len(root) :].strip("/") or f.getPath().getName()
+        if not any(part.startswith((".", "_")) for part in name.split("/")):
+            out.append({"name": name, "size": f.getLen(), "sha256": streamed_digest(spark, own)})
     return sorted(out, key=lambda x: x["name"])
 
 

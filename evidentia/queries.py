@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import file_queries
 from .functions import stats, text
 from .operators import graph, inference, knowledge, mapping, ranking, signal
 from .operators.proximity import proximity_z
@@ -744,3 +745,6 @@ def manifest_digest_check(spark, d):
     files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))
     listed = table(spark, d, "documents").where("doc_id % 3 <> 1").select(F.col("doc_id").cast("string").alias("name"), F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).otherwise(F.sha2("lang", 256)).alias("sha256"))
     return manifest_check(files, listed.union(spark.createDataFrame([("none", "0")], "name string, sha256 string")))
+
+
+QUERIES.update(file_queries.QUERIES)

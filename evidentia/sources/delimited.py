@@ -182,6 +182,11 @@ def hadoop(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = hadoop(spark, path)
+    return files.exists(at)
+
+
 def put_in_place(spark: SparkSession, staged: str, path: str) -> None:
     """Moves a whole result to its place. What is there already is set aside first and comes back if the move fails."""
     source, files = hadoop(spark, staged)

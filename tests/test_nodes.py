@@ -260,6 +260,32 @@ def test_a_run_from_files_to_candidates(spark, tmp_path):
     manifest = next((tmp_path / "run/artifacts/manifests/rank_candidates/main").glob("a-*.json"))
     found = json.loads(manifest.read_text())
     assert report.resolved(spark, c.run, found, producers=("rank_candidates",)).startswith(c.run)
+
+    # a second run takes what is there, a change only what hangs on it, and a file that has changed is made again
+    took = []
+    real = dict(nodes.RUNNERS)
+    always = {"create_run_workspace", "register_inputs", "generate_run_report"}
+    try:
+        for name, f in real.items():
+            nodes.RUNNERS[name] = lambda own, task, name=name, f=f: (took.append(name), f(own, task))[1]
+        nodes.run(c)
+        assert set(took) <= always and read("final/final_candidates.tsv") == final
+        status = {(x["node_id"], x["task_id"]): x["status"] for x in map(json.loads, (q.read_text() for q in (tmp_path / "run/artifacts/node_results").rglob("*.json")))}
+        assert all(v == ("SUCCEEDED" if n == "generate_run_report" else "CACHED") for (n, _), v in status.items())
+        took.clear()
+        nodes.run(dataclasses.replace(c, config=r(small, ranking=r(small.ranking, most=19))))
+        assert set(took) - always == {"rank_candidates"}
+        took.clear()
+        (tmp_path / "run/artifacts/proximity/scores.tsv").write_text("ID\tz\n")
+        nodes.run(c)
+        assert set(took) - always == {"proximity_score_compounds"} and read("final/final_candidates.tsv") == final
+        took.clear()
+        other = dataclasses.replace(c, run=str(tmp_path / "other"), cache=c.remembered)
+        nodes.run(other)  # another run with the same cache copies all
+        assert set(took) <= always
+        assert delimited.read_table(spark, other.at("final/final_candidates.tsv")).drop("_broken").collect() == final
+    finally:
+        nodes.RUNNERS.update(real)
     delimited.write_text(spark, "changed", f"{c.run}/{found['relative_path']}")
     with pytest.raises(delimited.ContractError):
         report.resolved(spark, c.run, found)
