@@ -330,9 +330,12 @@ ORACLE_SQL: dict[str, str] = {
     "gsea_es": f"WITH {PROFILES}, {es('g', 'ranked', 'profile', 'position', 'gene % 13 = 0')} SELECT profile, round(es, 6) AS es, hits, n FROM g",
     "reversal_score": f"""WITH {PROFILES}, {es('u', 'ranked', 'profile', 'position', 'gene % 13 = 0')}, {es('w', 'ranked', 'profile', 'position', 'gene % 13 = 1')},
         sizes AS (SELECT n, hits FROM u UNION SELECT n, hits FROM w),
-        cases AS (SELECT n, hits, draw || ':' || n || ':' || hits AS kase, CAST(unnest(range(1, n + 1)) AS BIGINT) AS place FROM sizes, range(20) t(draw)),
-        drawn AS (SELECT n, hits, kase, place, row_number() OVER (PARTITION BY kase ORDER BY md5(kase || ':' || place), place) <= hits AS chosen FROM cases),
-        {es('nul', 'drawn', 'kase', 'place', 'chosen')}, m AS (SELECT n, hits, avg(es) AS mean, stddev_samp(es) AS sd FROM nul GROUP BY n, hits)
+        places AS (SELECT n, draw, place, row_number() OVER (PARTITION BY n, draw ORDER BY md5(draw || ':' || n || ':' || place), place) AS r
+            FROM (SELECT n, draw, CAST(unnest(range(1, n + 1)) AS BIGINT) AS place FROM (SELECT DISTINCT n FROM sizes), range(20) t(draw))),
+        hit AS (SELECT s.n, s.hits AS h, draw, place, row_number() OVER (PARTITION BY s.n, s.hits, draw ORDER BY place) AS k FROM sizes s JOIN places o ON o.n = s.n AND o.r <= s.hits WHERE s.hits < s.n),
+        ends AS (SELECT n, h, draw, greatest(0, max(k / h - (place - k) / (n - h))) AS top, least(0, min((k - 1) / h - (place - k) / (n - h))) AS low FROM hit GROUP BY ALL),
+        nul AS (SELECT s.n, s.hits, coalesce(CASE WHEN top >= -low THEN top ELSE low END, 0) AS es FROM sizes s CROSS JOIN range(20) t(draw) LEFT JOIN ends e ON e.n = s.n AND e.h = s.hits AND e.draw = t.draw),
+        m AS (SELECT n, hits, avg(es) AS mean, stddev_samp(es) AS sd FROM nul GROUP BY n, hits)
         SELECT u.profile, round(-(CASE WHEN a.sd IS NULL OR a.sd = 0 THEN 0 ELSE (u.es - a.mean) / a.sd END - CASE WHEN b.sd IS NULL OR b.sd = 0 THEN 0 ELSE (w.es - b.mean) / b.sd END), 6) AS score
         FROM u JOIN w USING (profile) JOIN m a ON a.n = u.n AND a.hits = u.hits JOIN m b ON b.n = w.n AND b.hits = w.hits""",
     "kg_edge_union_first_wins": f"""WITH {NODES}, e AS (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from ..sources.delimited import digests, exists, hadoop, put_in_place, read_json, write_json
@@ -11,7 +12,7 @@ from .report import COMMITTED, Result, members, result_path
 from .workflow import cache_key
 
 #: Sections of the configuration that steps read, by the first word of their name; other steps read all.
-SECTIONS = {"netinfer": ("batch", "inference"), "proximity": ("proximity",), "gps": ("signature",), "kg": ("graph",), "prepare": ("species",)}
+SECTIONS = {"netinfer": ("batch", "inference"), "proximity": ("proximity",), "gps": ("signature",), "kg": ("graph",), "prepare": ("species",), "register": ()}
 
 
 #: Steps that are taken always, and steps that make the run's own folder, whose result is in the digests of the inputs.
@@ -45,7 +46,7 @@ def key_of(spark: SparkSession, run: str, node: str, task: str, waits: tuple[tup
         return None
     given = {f"{n}:{t}": outputs(spark, run, n, t) for n, t in waits if n not in OWN}
     own = SECTIONS.get(node.split("_")[0])
-    used = {k: config[k] for k in own} if own else config
+    used = config if own is None else {k: config[k] for k in own}
     return cache_key({**given, **{f"input:{k}": v for k, v in inputs.items()}}, used, code, resources, {"node": node, "task": task, "run": run if node in OWN else ""})
 
 
@@ -54,6 +55,14 @@ def remember(spark: SparkSession, cache: str, key: str, run: str, result: Result
     write_json(spark, {"key": key, "run": run, "node_id": result.node, "task_id": result.task, "metrics": result.metrics, "manifests": manifests}, f"{cache}/{key}.json")
 
 
+def whole(spark: SparkSession, path: str, files: list[dict]) -> bool:
+    """Whether the files at a path are those that were committed; files that cannot be read are not."""
+    try:
+        return exists(spark, path) and members(spark, path) == files
+    except Py4JJavaError:
+        return False
+
+
 def found(spark: SparkSession, cache: str, key: str, run: str) -> tuple[dict[str, str], dict] | None:
     """(artifacts, metrics) of the result under a key, if all its files are still as they were committed; those of another run are copied into this one."""
     path = f"{cache}/{key}.json"
@@ -64,7 +73,7 @@ def found(spark: SparkSession, cache: str, key: str, run: str) -> tuple[dict[str
         return None
     for m in told["manifests"].values():
         at = f"{told['run']}/{m['relative_path']}"
-        if not exists(spark, at) or members(spark, at) != m["files"]:
+        if not whole(spark, at, m["files"]):
             return None
     artifacts = {}
     for kind, m in told["manifests"].items():

@@ -494,13 +494,10 @@ def gsea_es(spark, d):
 
 @query
 def reversal_score(spark, d):
-    """Each set size has its own null: sets of twenty draws, made by a digest so that SQL draws the same."""
+    """Each set size has its own null of twenty draws, made by digests so that SQL draws the same."""
     rows = written(profile_rows(spark, d), "profiles")
     up, down = (written(signal.enrichment(rows, "profile", "position", F.col("gene") % 13 == k), "enrichment") for k in (0, 1))
-    sizes = up.select("n", "hits").union(down.select("n", "hits")).distinct()
-    drawn = sizes.select("n", "hits", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("draw")).select("n", "hits", F.concat_ws(":", "draw", "n", "hits").alias("case"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("place"))
-    drawn = drawn.withColumn("chosen", F.row_number().over(Window.partitionBy("case").orderBy(F.md5(F.concat_ws(":", "case", "place")), "place")) <= F.col("hits"))
-    null = signal.enrichment(drawn, "case", "place", F.col("chosen")).groupBy("n", "hits").agg(F.avg("es").alias("mean"), F.stddev_samp("es").alias("sd"))
+    null = signal.digest_nulls(up.select("n", "hits").union(down.select("n", "hits")), 20)
     return signal.reversal(up, down, written(null, "nulls"), "profile").select("profile", r6("score").alias("score"))
 
 

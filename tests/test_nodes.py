@@ -278,7 +278,7 @@ def test_a_run_from_files_to_candidates(spark, tmp_path):
         took.clear()
         (tmp_path / "run/artifacts/proximity/scores.tsv").write_text("ID\tz\n")
         nodes.run(c)
-        assert set(took) - always == {"proximity_score_compounds"} and read("final/final_candidates.tsv") == final
+        assert "proximity_score_compounds" in took and set(took) - always <= {"proximity_score_compounds", "rank_candidates"} and read("final/final_candidates.tsv") == final
         took.clear()
         other = dataclasses.replace(c, run=str(tmp_path / "other"), cache=c.remembered)
         nodes.run(other)  # another run with the same cache copies all
