@@ -99,11 +99,8 @@ def propagate(mass: DataFrame, moves: DataFrame, steps: int) -> DataFrame:
     return mass
 
 
-def two_steps(moves: DataFrame, drugs: DataFrame) -> DataFrame:
-    """(src, dst, p) of two steps by way of a drug, between substructures and targets. drugs: (drug), those of the graph."""
-    by_drug = small(drugs.select("drug").distinct(), drugs.count())
-    into = moves.join(by_drug.withColumnRenamed("drug", "dst"), "dst", "left_semi").select("src", F.col("dst").alias("drug"), "p")
-    out = moves.join(by_drug.withColumnRenamed("drug", "src"), "src", "left_semi").select(F.col("src").alias("drug"), "dst", F.col("p").alias("q"))
+def two_steps(into: DataFrame, out: DataFrame) -> DataFrame:
+    """(src, dst, p) of two steps by way of a drug. into: (src, drug, p); out: (drug, dst, q)."""
     return into.join(out, "drug").groupBy("src", "dst").agg(F.sum(F.col("p") * F.col("q")).alias("p"))
 
 
@@ -119,21 +116,37 @@ def spread(mass: DataFrame, table: DataFrame) -> DataFrame:
     return dealt.join(other, dealt.node == other.src).groupBy("query", F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
 
 
-def reached(mass: DataFrame, moves: DataFrame, drugs: DataFrame, targets: DataFrame, steps: int) -> DataFrame:
+def reached(mass: DataFrame, moves: DataFrame, drugs: DataFrame, targets: DataFrame, steps: int, table: bool | None = None) -> DataFrame:
     """(query, target, score) of the targets with mass after so many steps, from mass on substructures and targets.
 
-    After an odd number of steps all mass lies on drugs, so no target has any.
+    Two steps by way of a drug are one table of substructures and targets, which all queries share. For few queries over a
+    dense graph that table takes more products than the queries' own steps; then these are taken one by one. Both ways
+    are counted before and give the same scores; ``table`` chooses. After an odd number of steps all mass lies on drugs,
+    so no target has any.
     """
     if steps % 2:
         return mass.select("query", F.col("node").alias("target"), F.col("mass").alias("score")).limit(0)
-    table = two_steps(moves, drugs)
-    ends = targets.select(F.col("target").alias("dst"))
-    last = written(table.join(small(ends, ends.count()), "dst", "left_semi").select("src", "dst", "p"), "two-steps")
+    by_drug, ends = small(drugs.select("drug").distinct(), drugs.count()), targets.select(F.col("target").alias("dst"))
+    into = moves.join(by_drug.withColumnRenamed("drug", "dst"), "dst", "left_semi").select("src", F.col("dst").alias("drug"), "p")
+    out = moves.join(by_drug.withColumnRenamed("drug", "src"), "src", "left_semi").select(F.col("src").alias("drug"), "dst", F.col("p").alias("q"))
+    last = out.join(small(ends, ends.count()), "dst", "left_semi")
+    mass = written(mass.select("query", "node", "mass"), "mass")
+    if table is None:
+        asked = into.join(mass.select(F.col("node").alias("src")).distinct(), "src", "left_semi") if steps == 2 else into
+        per_drug = asked.groupBy("drug").agg(F.count("*").alias("i")).join(last.groupBy("drug").agg(F.count("*").alias("o")), "drug")
+        r = per_drug.agg(F.sum(F.col("i") * F.col("o")).alias("products"), F.sum("o").alias("ends"), F.count("*").alias("drugs")).first()
+        first = mass.join(into.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")), "node").agg(F.sum("n")).first()[0] or 0
+        pairs = min(first, mass.select("query").distinct().count() * (r.drugs or 0))  # rows of queries and drugs
+        table = (r.products or 0) <= first + pairs * (r.ends or 0) // max(1, r.drugs or 0)
+    if not table:
+        return propagate(mass, moves, steps).join(targets.select(F.col("target").alias("node")), "node", "left_semi").where("mass > 0").select("query", F.col("node").alias("target"), F.col("mass").alias("score"))
     if steps > 2:
-        table = written(table, "two-steps")
-    for _ in range(steps // 2 - 1):
-        mass = spread(mass, table)
-    return spread(mass, last).where("mass > 0").select("query", F.col("node").alias("target"), F.col("mass").alias("score"))
+        between = written(two_steps(into, out), "two-steps")
+        for _ in range(steps // 2 - 1):
+            mass = spread(mass, between)
+        mass = written(mass, "mass")
+    into = into.join(mass.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    return spread(mass, written(two_steps(into, last), "two-steps")).where("mass > 0").select("query", F.col("node").alias("target"), F.col("mass").alias("score"))
 
 
 def threshold_normalised(scores: DataFrame, queries: DataFrame, targets: DataFrame, delta: int) -> DataFrame:

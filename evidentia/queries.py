@@ -341,15 +341,21 @@ def query_sub(spark: SparkSession, d: str) -> DataFrame:
 SETTINGS = inference.Settings()
 
 
+def network_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Both edge lists, written once."""
+    return written(drug_sub(spark, d), "drug-sub"), written(drug_target(spark, d), "drug-target")
+
+
 def moves(spark: SparkSession, d: str) -> DataFrame:
-    return inference.transition(drug_sub(spark, d), drug_target(spark, d), SETTINGS.beta, SETTINGS.gamma)
+    return inference.transition(*network_of(spark, d), SETTINGS.beta, SETTINGS.gamma)
 
 
 def two_step(spark: SparkSession, d: str) -> DataFrame:
     asked = query_sub(spark, d)
     none = asked.select("query", F.col("sub").alias("target")).limit(0)
-    targets = drug_target(spark, d)
-    return inference.reached(inference.seeds(asked, none, SETTINGS.alpha), written(moves(spark, d), "moves"), targets.select("drug").distinct(), targets.select("target").distinct(), SETTINGS.steps)
+    subs, targets = network_of(spark, d)
+    steps = written(inference.transition(subs, targets, SETTINGS.beta, SETTINGS.gamma), "moves")
+    return inference.reached(inference.seeds(asked, none, SETTINGS.alpha), steps, targets.select("drug").distinct(), targets.select("target").distinct(), SETTINGS.steps)
 
 
 @query
@@ -383,20 +389,20 @@ def tanimoto_pairs(spark, d):
 def topk_neighbor_mean_weight(spark, d):
     targets = drug_target(spark, d)
     wanted = query_sub(spark, d).select("query").distinct().crossJoin(F.broadcast(targets.select("target").distinct()))  # groups of buyers are few at any size
-    asked, subs = query_sub(spark, d), drug_sub(spark, d)
+    asked, subs = query_sub(spark, d), written(drug_sub(spark, d), "drug-sub")
     rows = inference.neighbour_weight(inference.represented(asked, subs), inference.sub_degree(asked), wanted, subs, targets, SETTINGS.epsilon)
     return rows.select("query", "target", r6("weight").alias("weight"))
 
 
 @query
 def nbi_predict_novel(spark, d):
-    return inference.predict(query_sub(spark, d), drug_sub(spark, d), drug_target(spark, d), SETTINGS).withColumn("score", r6("score"))
+    return inference.predict(query_sub(spark, d), *network_of(spark, d), SETTINGS).withColumn("score", r6("score"))
 
 
 @query
 def nbi_topn_excluding_known(spark, d):
     """Official drugs as queries: their known targets hold mass and are left out of the predictions."""
-    subs, targets = drug_sub(spark, d), drug_target(spark, d)
+    subs, targets = network_of(spark, d)
     asked, known = inference.official_queries(subs, targets, subs.select("drug"))
     return inference.predict(asked, subs, targets, SETTINGS, known).withColumn("score", r6("score"))
 

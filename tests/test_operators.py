@@ -222,8 +222,11 @@ def test_two_steps_have_no_pair_of_query_and_drug(spark):
     s = inference.Settings()
     moves = inference.transition(sub, target, s.beta, s.gamma)
     asked = spark.createDataFrame([("query", "S1"), ("query", "S2")], "query string, sub string")
-    got = inference.reached(inference.seeds(asked, spark.createDataFrame([], "query string, target string"), s.alpha), moves, target.select("drug").distinct(), target.select("target").distinct(), 2)
-    assert {r.target: r.score for r in got.collect()} == pytest.approx({"P1": 0.117157288, "P2": 0.110456950, "P3": 0.039052429}, abs=1e-8)
+    for steps, want in ((2, {"P1": 0.117157288, "P2": 0.110456950, "P3": 0.039052429}), (4, None)):
+        got = [inference.reached(inference.seeds(asked, spark.createDataFrame([], "query string, target string"), s.alpha), moves, target.select("drug").distinct(), target.select("target").distinct(), steps, table=way).collect() for way in (True, False, None)]
+        one, *others = [{r.target: r.score for r in rows} for rows in got]
+        assert want is None or one == pytest.approx(want, abs=1e-8)
+        assert all(one == pytest.approx(x, rel=1e-12) for x in others) and len(one) == 3
 
 
 def test_split_pins_and_shares(spark):
