@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.tables import written
+from ..sources.tables import steps, written
 
 #: Rounds whose results are read apart before they are written as one table.
 ROUNDS = 16
@@ -34,18 +34,19 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node is connected with, by least labels and pointer jumping."""
-    both = written(arcs(edges), "arcs")
-    labels = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("component")), "labels")
-    changed = 1
-    while changed:
-        near = both.join(labels, both.dst == labels.node).select(F.col("src").alias("node"), "component").union(labels)
-        lower = near.groupBy("node").agg(F.min("component").alias("component"))
-        lower = written(lower, "lower")
-        above = lower.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        jumped = written(lower.join(above, "component").select("node", F.col("top").alias("component")), "labels")
-        changed = jumped.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
-        labels = jumped
-    return labels
+    with steps() as keep:
+        both = written(arcs(edges), "arcs")
+        labels = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("component")), "labels")
+        changed = 1
+        while changed:
+            near = both.join(labels, both.dst == labels.node).select(F.col("src").alias("node"), "component").union(labels)
+            lower = near.groupBy("node").agg(F.min("component").alias("component"))
+            lower = written(lower, "lower")
+            above = lower.select(F.col("node").alias("component"), F.col("component").alias("top"))
+            jumped = written(lower.join(above, "component").select("node", F.col("top").alias("component")), "labels")
+            changed = jumped.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
+            labels = jumped
+        return keep(labels)
 
 
 def largest_component(labels: DataFrame) -> DataFrame:
@@ -57,19 +58,20 @@ def largest_component(labels: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """(node, distance) to the nearest source, by frontier joins until no node is new; up to ``most`` steps if given."""
-    both = written(arcs(edges), "arcs")
-    seen = written(sources.select("node").distinct().withColumn("distance", F.lit(0)), "seen")
-    frontier, step = seen, 0
-    while most is None or step < most:
-        step += 1
-        fresh = both.join(frontier, both.src == frontier.node).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("distance", F.lit(step))
-        fresh = written(fresh, "frontier")
-        if fresh.isEmpty():
-            break
-        seen, frontier = seen.unionByName(fresh), fresh
-        if step % ROUNDS == 0:
-            seen = written(seen, "seen")
-    return seen
+    with steps() as keep:
+        both = written(arcs(edges), "arcs")
+        seen = written(sources.select("node").distinct().withColumn("distance", F.lit(0)), "seen")
+        frontier, step = seen, 0
+        while most is None or step < most:
+            step += 1
+            fresh = both.join(frontier, both.src == frontier.node).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("distance", F.lit(step))
+            fresh = written(fresh, "frontier")
+            if fresh.isEmpty():
+                break
+            seen, frontier = seen.unionByName(fresh), fresh
+            if step % ROUNDS == 0:
+                seen = written(seen, "seen")
+        return keep(written(seen, "distances"))
 
 
 def degree_bins(histogram: DataFrame, least: int) -> DataFrame:

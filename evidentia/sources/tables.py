@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,16 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Places of the tables written within each open ``steps`` block.
-_open: list[list[str]] = []
+class _Open(threading.local):
+    """Places of the tables written within each open ``steps`` block, by thread."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/evidentia-steps/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _open:
-        _open[-1].append(path)
+    if _open.blocks:
+        _open.blocks[-1].append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -54,15 +61,15 @@ def steps() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(df._written_to)
         return df
 
-    _open.append([])
+    _open.blocks.append([])
     try:
         yield keep
     finally:
         spark = SparkSession.getActiveSession()
-        for path in _open.pop():
+        for path in _open.blocks.pop():
             if path in kept:
-                if _open:
-                    _open[-1].append(path)
+                if _open.blocks:
+                    _open.blocks[-1].append(path)
             elif spark is not None:
                 at = spark._jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
