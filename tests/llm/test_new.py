@@ -298,3 +298,31 @@ def test_a_long_shared_turn_is_written_once(spark):
     many = spark.createDataFrame([(c, t, "user", "same" if t == 0 else f"{c}" + "x" * 200) for c in range(40) for t in range(2)], "conv_id long, turn long, role string, text string").coalesce(1)
     some = chat.format_conversations(many, window=1000).collect()
     assert len(some) > 4 and all(len(t.text) < 1600 for t in some)
+
+
+def test_pipeline_stages_take_all_cases(spark):
+    import corpus_pipeline as cp
+
+    folder = "/root/testdata/sf0.001"
+    columns = ", ".join(f"{c} {k}" for c, k in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long")))
+    good = spark.read.parquet(f"{folder}/documents.parquet").select(*cp.COLUMNS)
+    odd = [(90001, None, "en", None, None), (90002, "", None, "s", 0), (90003, " \n\t", "en", "s", 4), (90004, "tie. " * 40_000, "en", "s", 200_000), (None, "no id here.", "en", "s", 11), (90005, "ends\x00 ▁ <|endoftext|>", "en", "s", 20)]
+    docs = good.unionByName(good.limit(3)).unionByName(spark.createDataFrame(odd, columns)).withColumns({"line": F.lit(1), "score": F.lit("x"), "component_id": F.lit(None).cast("long"), "doc": F.lit(2), "_doc0": F.lit(3)})
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+        assert set(cp.COLUMNS) <= set(out.columns)
+        ids = {r.doc_id for r in docs.select("doc_id").collect()}
+        rows = out.select("doc_id").collect()
+        assert {r.doc_id for r in rows} <= ids and len(rows) <= docs.count()
+        if name != "quality classifier":  # its rejections would leave few cases for the others
+            docs = out
+    pieces = cp.STAGES[-1][1](spark, docs, folder).collect()
+    total = defaultdict(int)
+    for p in pieces:
+        total[p.doc_id] += p.length
+    own = Counter(r.doc_id for r in docs.select("doc_id").collect())
+    assert total.keys() == own.keys()
+    size = {p.doc_id: p.doc_tokens for p in pieces}
+    assert all(total[d] == n * size[d] for d, n in own.items()) and size[90001] == size[90002] == 1
+    assert cp.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
