@@ -1,4 +1,11 @@
-"""A corpus pipeline: quality, line dedup, one document of each group of near copies, and packing."""
+"""A corpus pipeline: quality, line dedup, one document of each group of near copies, and packing.
+
+Cases, of each stage: a null text is judged as the empty text; line dedup and the join leave it as it is, and it packs as
+its end token alone. Long texts are read whole. Rows that repeat an id are copies of one document: all of them pass or go
+in the first three stages, and packing packs each. Rows without id pass the second and third stage as they are. An empty
+table gives empty tables. Only the columns of documents are handed on; others, whatever their names, are dropped after the
+first stage that selects, and no stage reads them.
+"""
 
 from __future__ import annotations
 
