@@ -51,9 +51,23 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 STARTS = np.array([c[0] for c in CLASSES])
 
 
+#: The lower case of each Latin-1 character, all of which are Latin-1 too.
+LATIN = "".join(chr(i).lower() for i in range(256)).encode("latin-1")
+
+
+def lowered(text: str) -> str:
+    """``text.lower()``, by a table where all characters are Latin-1."""
+    if text.isascii():
+        return text.lower()
+    try:
+        return text.encode("latin-1").translate(LATIN).decode("latin-1")
+    except UnicodeEncodeError:
+        return text.lower()
+
+
 def normal_lines(text: str) -> list[str]:
     """The lines, lower-cased and with single spaces in place of any white space."""
-    text = text.lower()
+    text = lowered(text)
     if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in ODD_SPACE):
         return [" ".join(x.split()) for x in text.split("\n")]
     return text.split("\n")
