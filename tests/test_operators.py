@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import zipfile
@@ -334,6 +335,17 @@ def test_candidates_and_funnel(spark):
     assert f == {"kg_input_nodes": 4, "kg_top_n_requested": 3, "kg_top_n_nodes": 3, "kg_expanded_rows": 4, "kg_top_n_unique_compounds": 3, "kg_duplicate_compound_mappings_resolved": 1, "proximity_input_compounds": 4, "proximity_threshold_pass": 3, "gps_input_compounds": 3, "gps_threshold_pass": 2, "intersection_candidates": 1, "final_candidates": 1}
 
 
+def test_each_set_size_draws_its_own_sets(spark):
+    """The digest of a draw holds the size, so that sizes of one length are not prefixes of one order."""
+    sizes = [(9, 2), (9, 4), (12, 4), (5, 0), (5, 5), (1, 1)]
+    out = {(r.n, r.hits): r for r in signal.digest_nulls(spark.createDataFrame(sizes + sizes[:2], "n long, hits long"), 6).collect()}
+    assert sorted(out) == sorted(sizes)
+    for n, h in sizes:
+        orders = [sorted(range(1, n + 1), key=lambda p, d=d: (hashlib.md5(f"{d}:{n}:{h}:{p}".encode()).hexdigest(), p)) for d in range(6)]
+        es = [signal.es_of(np.array(o[:h], dtype=int) - 1, n) for o in orders]
+        assert out[n, h].mean == pytest.approx(np.mean(es), abs=1e-12) and out[n, h].sd == pytest.approx(np.std(es, ddof=1), abs=1e-12)
+
+
 def test_differential_and_reversal(spark):
     values = {"1": [0, 0, 0, 0, 30, 35, 40, 32], "2": [30, 35, 40, 32, 0, 0, 0, 0], "3": [5, 6, 5, 6, 5, 6, 5, 6], "4": [0.1] * 8}
     rows = spark.createDataFrame([(g, "control" if i < 4 else "disease", float(v)) for g, vs in values.items() for i, v in enumerate(vs)], "GeneID string, group string, value double")
