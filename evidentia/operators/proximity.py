@@ -10,13 +10,15 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import steps, written
 from .graph import arcs, degree_bins, in_bin
-from .inference import small
 
 #: Attempts after the first to draw a place that no other node of the set has got.
 REDRAWS = 20
@@ -39,11 +41,55 @@ def places(degrees: DataFrame, bins: DataFrame) -> DataFrame:
     return placed.select("node", "bin", (F.col("_before") + F.col("_k")).alias("position"), "members")
 
 
-def drawn(seed: int, purpose: str, attempt: int) -> Column:
-    """The place that a row (draw, node, position, members) draws: any place of its bin but its own, all alike."""
-    told = F.md5(F.concat_ws("|", F.lit(f"{seed}|{purpose}"), F.col("draw").cast("string"), F.col("node").cast("string"), F.lit(str(attempt))).cast("binary"))
-    at = F.conv(F.substring(told, 1, DIGITS), 16, 10).cast("long") % (F.col("members") - 1)
-    return at + (at >= F.col("position")).cast("long")
+def stand_ins(names: list[bytes], owner: np.ndarray, position: np.ndarray, members: np.ndarray, draw: int, seed: int, purpose: str, redraws: int) -> np.ndarray:
+    """The place that each row of a bin draws, -1 for none: any place of its bin but its own, all alike, by a digest of (seed, purpose, draw, node, attempt).
+
+    Rows are in the order of their positions. Of a set's rows that draw one place the first keeps it, and the others draw
+    again, up to ``redraws`` times. ``owner`` numbers the sets, ``members`` is the bin's number of nodes in each row.
+    """
+    begin = hashlib.md5(f"{seed}|{purpose}|{draw}|".encode())
+    width = int(members.max()) + 1
+    out, rows, taken = np.full(len(names), -1, np.int64), np.arange(len(names)), np.empty(0, np.int64)
+    for attempt in range(redraws + 1):
+        told, tail = [], f"|{attempt}".encode()
+        for i in rows.tolist():
+            own = begin.copy()
+            own.update(names[i] + tail)
+            told.append(own.digest())
+        at = (np.frombuffer(b"".join(told), ">u8")[::2] >> np.uint64(64 - 4 * DIGITS)).astype(np.int64) % (members[rows] - 1)
+        at += at >= position[rows]
+        key = owner[rows] * width + at
+        wins = np.zeros(len(rows), bool)
+        wins[np.unique(key, return_index=True)[1]] = True
+        if len(taken):
+            wins &= ~np.isin(key, taken)
+        out[rows[wins]] = at[wins]
+        taken, rows = np.concatenate([taken, key[wins]]), rows[~wins]
+        if not len(rows):
+            break
+    return out
+
+
+def asked_places(chosen: DataFrame, placed: DataFrame, draws: int) -> DataFrame:
+    """(set_id, bin, word, name, position, members): the chosen nodes in the graph, once for each word of 64 draws. A node without another in its bin is an error."""
+    own = written(chosen.join(placed, "node").select("set_id", "bin", F.col("node").cast("string").alias("name"), "position", "members"), "chosen")
+    if own.where("members < 2").limit(1).count():
+        raise ValueError("a node has no other node in its degree bin")
+    words = F.explode(F.sequence(F.lit(0), F.lit(draws // 64)))
+    return own.withColumn("word", words) if draws else own.withColumn("word", F.lit(0)).limit(0)
+
+
+def in_order(asked: pa.Table) -> tuple[pa.Array, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(sets, names, owner, position, members) of a bin's rows in the order of their positions."""
+    asked = asked.sort_by("position").combine_chunks()
+    coded = pc.dictionary_encode(asked["set_id"], null_encoding="encode").combine_chunks()
+    names = [x.encode() for x in asked["name"].to_pylist()]
+    return coded.dictionary, names, coded.indices.to_numpy().astype(np.int64), asked["position"].to_numpy(), asked["members"].to_numpy()
+
+
+def draws_of(word: int, draws: int) -> range:
+    """The draws, counted from 1, that lie in a word of 64."""
+    return range(max(1, 64 * word), min(draws, 64 * word + 63) + 1)
 
 
 def matched_draws(chosen: DataFrame, placed: DataFrame, draws: int, seed: int, purpose: str, redraws: int = REDRAWS) -> DataFrame:
@@ -51,30 +97,62 @@ def matched_draws(chosen: DataFrame, placed: DataFrame, draws: int, seed: int, p
 
     chosen: (set_id, node), each pair once; nodes that ``placed`` lacks are left out. Of a set's nodes that draw one
     place the first keeps it, and the others draw again, up to ``redraws`` times; who then has none is left out, as two
-    equal nodes of a set are one. A node without another in its bin is an error. Only rows that draw again take part in
-    further rounds.
+    equal nodes of a set are one. A node without another in its bin is an error. A task draws for one bin and 64 draws.
     """
-    own = written(chosen.join(placed, "node").select("set_id", "node", "bin", "position", "members"), "chosen")
-    if own.where("members < 2").limit(1).count():
-        raise ValueError("a node has no other node in its degree bin")
-    rows = own.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))) if draws else own.withColumn("draw", F.lit(1)).limit(0)
-    place = ["set_id", "draw", "bin", "place"]
-    first = F.row_number().over(Window.partitionBy(*place).orderBy("node")) == 1
-    held: list[DataFrame] = []
-    for attempt in range(redraws + 1):
-        asked = rows.withColumn("place", drawn(seed, purpose, attempt)).withColumn("_wins", first)
-        if held:
-            keys = asked.select(*place).distinct()
-            taken = reduce(DataFrame.unionByName, held).select(*place).join(small(keys, n), place, "left_semi").distinct()
-            asked = asked.join(taken.withColumn("_taken", F.lit(True)), place, "left").withColumn("_wins", F.col("_wins") & F.col("_taken").isNull()).drop("_taken")
-        asked = written(asked, "draws")
-        held.append(asked.where("_wins").select(*place))
-        rows = asked.where("NOT _wins").drop("place", "_wins")
-        n = rows.count()
-        if not n:
-            break
-    found = reduce(DataFrame.unionByName, held).join(placed.select("bin", F.col("position").alias("place"), "node"), ["bin", "place"])
-    return written(found.select("set_id", "draw", "node"), "stand-ins")
+    asked = asked_places(chosen, placed, draws)
+    kind = dict(asked.dtypes)
+
+    def draw(key: tuple, table: pa.Table) -> pa.Table:
+        sets, names, owner, position, members = in_order(table)
+        rows = []
+        for d in draws_of(key[1].as_py(), draws):
+            at = stand_ins(names, owner, position, members, d, seed, purpose, redraws)
+            held = np.flatnonzero(at >= 0)
+            rows.append((owner[held], np.full(len(held), d), at[held]))
+        own, d, at = (np.concatenate(x) if rows else np.empty(0, np.int64) for x in (zip(*rows) if rows else [()] * 3))
+        return pa.table({"set_id": sets.take(pa.array(own)), "draw": pa.array(d, pa.int32()), "bin": pa.array(np.full(len(d), key[0].as_py()), table.schema.field("bin").type), "place": pa.array(at)})
+
+    found = asked.groupBy("bin", "word").applyInArrow(draw, f"set_id {kind['set_id']}, draw int, bin {kind['bin']}, place long")
+    return written(found.join(placed.select("bin", F.col("position").alias("place"), "node"), ["bin", "place"]).select("set_id", "draw", "node"), "stand-ins")
+
+
+def drawn_distances(chosen: DataFrame, placed: DataFrame, levels: DataFrame, words: int, draws: int, seed: int, purpose: str, redraws: int = REDRAWS) -> DataFrame:
+    """(set_id, module, total, n): the summed distance from random module r to the r-th stand-ins of each set, and their number, r from 1 to ``draws``.
+
+    The stand-ins are those of ``matched_draws``, but no row is made of one: they lie in the bin of the node that they
+    stand for, so a bin's rows meet the bin's distances from 64 modules in one task, which holds a byte or two for each
+    of the bin's nodes and each of these modules and hands on a sum for each set and draw.
+    """
+    asked = asked_places(chosen, placed, draws)
+    kind = dict(asked.dtypes)
+    near = levels.join(placed.select("node", "bin", "position"), "node").select("bin", "position", "distance", "block", F.posexplode("bits").alias("_k", "bits"))
+    near = near.where("bits <> 0").select("bin", (F.col("block") * words + F.col("_k")).alias("word"), "position", "distance", "bits")
+
+    def total(key: tuple, table: pa.Table, far: pa.Table) -> pa.Table:
+        schema = pa.schema([("set_id", table.schema.field("set_id").type), ("module", pa.int64()), ("total", pa.int64()), ("n", pa.int64())])
+        if not table.num_rows or not far.num_rows:
+            return schema.empty_table()
+        sets, names, owner, position, members = in_order(table)
+        steps_to = np.full((int(members[0]), 64), -1, np.int8 if pc.max(far["distance"]).as_py() < 128 else np.int32)
+        at, bits, distance = far["position"].to_numpy(), far["bits"].to_numpy().view(np.uint64), far["distance"].to_numpy()
+        for begin in range(0, len(at), 1 << 14):
+            part = slice(begin, begin + (1 << 14))
+            row, bit = np.nonzero((bits[part, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1))
+            steps_to[at[part][row], bit] = distance[part][row]
+        rows = []
+        for d in draws_of(key[1].as_py(), draws):
+            place = stand_ins(names, owner, position, members, d, seed, purpose, redraws)
+            step = np.where(place >= 0, steps_to[np.maximum(place, 0), d % 64], -1)
+            met = step >= 0
+            rows.append((np.bincount(owner[met], step[met], len(sets)), np.bincount(owner[met], minlength=len(sets))))
+        if not rows:
+            return schema.empty_table()
+        sums, counts = (np.stack(x).ravel().astype(np.int64) for x in zip(*rows))
+        module = np.repeat(np.array(draws_of(key[1].as_py(), draws)), len(sets))
+        return pa.Table.from_arrays([sets.take(pa.array(np.tile(np.arange(len(sets)), len(rows)))), pa.array(module), pa.array(sums), pa.array(counts)], schema=schema)
+
+    parts = asked.groupBy("bin", "word").cogroup(near.groupBy("bin", "word")).applyInArrow(total, f"set_id {kind['set_id']}, module long, total long, n long")
+    return parts.where("n > 0").groupBy("set_id", "module").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def ors(words: int) -> list[Column]:
@@ -192,10 +270,9 @@ def proximity_z(edges: DataFrame, module: DataFrame, target_sets: DataFrame, lea
         sets = written(sets.withColumn("_key", F.sha2(F.to_json(F.struct("nodes")).cast("binary"), 256)), "sets")
         sets = written(sets.join(sets.groupBy("_key").agg(F.min("set_id").alias("_first")), "_key"), "sets")
         asked = sets.where("set_id = _first").select("set_id", F.explode("nodes").alias("node"))
-        random = matched_draws(asked, placed, draws, seed, "set").select("set_id", F.col("draw").cast("long").alias("module"), "node")
-        rows = asked.select("set_id", F.lit(0).cast("long").alias("module"), "node").unionByName(random)
-        met = rows.withColumnRenamed("node", "_node").join(levels, (F.col("_node") == F.col("node")) & has("module", words))
-        means = met.groupBy("set_id", "module").agg(F.avg("distance").alias("m"))
+        random = drawn_distances(asked, placed, levels, words, draws, seed, "set").select("set_id", "module", (F.col("total") / F.col("n")).alias("m"))
+        met = asked.withColumn("module", F.lit(0).cast("long")).withColumnRenamed("node", "_node").join(levels, (F.col("_node") == F.col("node")) & has("module", words))
+        means = met.groupBy("set_id", "module").agg(F.avg("distance").alias("m")).unionByName(random)
         null = F.when(F.col("module") > 0, F.col("m"))
         scored = means.groupBy("set_id").agg(F.max(F.when(F.col("module") == 0, F.col("m"))).alias("mean_distance"), F.avg(null).alias("mean"), F.stddev_pop(null).alias("sd"))
         z = F.when(F.col("sd") == 0, 0.0).otherwise((F.col("mean_distance") - F.col("mean")) / F.col("sd"))

@@ -175,3 +175,21 @@ def test_graph_in_pieces_and_empty_module_are_errors(spark, pairs):
         proximity.proximity_z(apart, spark.createDataFrame([(1,)], "node long"), sets, 10, 4, 3)
     with pytest.raises(ValueError, match="no node"):
         proximity.proximity_z(spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame([(999,)], "node long"), sets, 10, 4, 3)
+
+
+def test_sets_meet_distances_without_a_row_for_each_draw(spark, pairs, monkeypatch):
+    """Sums by set and draw over several words and blocks equal those by the rule; no stand-in of a set becomes a row."""
+    monkeypatch.setattr(proximity, "WORDS", 1)
+    sets = {1: [3, 4, 5, 6, 7, 8, 9, 70], 2: list(range(40))}
+    chosen = spark.createDataFrame([(s, n) for s, ns in sets.items() for n in [*ns, 999]], "set_id long, node long")
+    placed, bins = placed_of(spark, pairs, 10), bins_by_rule(pairs, 10)
+    modules = draws_by_rule({0: [1, 5, 9]}, bins, 70, 7, "module")
+    sources = [(m, n) for m in range(71) for n in ([1, 5, 9] if m == 0 else modules[0, m])]
+    levels, words = proximity.walk(spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame(sources, "module long, node long"), 71)
+    got = {(r.set_id, r.module): (r.total, r.n) for r in proximity.drawn_distances(chosen, placed, levels, words, 70, 7, "set").collect()}
+    others = draws_by_rule(sets, bins, 70, 7, "set")
+    far = {d: far_by_rule(pairs, modules[0, d]) for d in range(1, 71)}
+    assert got == {(s, d): (sum(far[d][n] for n in others[s, d]), len(others[s, d])) for s in sets for d in range(1, 71)}
+    own = proximity.matched_draws
+    monkeypatch.setattr(proximity, "matched_draws", lambda c, p, n, s, purpose: own(c, p, n, s, purpose) if purpose == "module" else pytest.fail("rows of stand-ins"))
+    proximity.proximity_z(spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame([(1,), (5,)], "node long"), chosen, 10, 4, 3)
