@@ -245,6 +245,23 @@ def test_holdout_sizes(spark):
     assert sizes(50, 0.0, 0.0) == (0, 0) and sizes(3, 0.9, 0.9) == (0, 2) and sizes(10, 0.25, 0.25) == (2, 2)
 
 
+def test_products_of_matrices_equal_joins_and_lists(spark, monkeypatch):
+    """Two steps, their use by queries and the nearest drugs come out alike as matrices and by joins and lists; many drugs of one likeness are taken by id."""
+    rng = random.Random(5)
+    subs = [(f"D{d:03}", f"S{s}") for d in range(90) for s in (rng.sample(range(12), 6) if d % 3 else range(5))]
+    targets = [(f"D{d:03}", f"T{t}", float(rng.randrange(1, 50))) for d in range(90) for t in rng.sample(range(20), 7)] + [("D089", "T99", 3.0)]
+    drug_sub, drug_target = spark.createDataFrame(subs, "drug string, sub string"), spark.createDataFrame(targets, "drug string, target string, weight double")
+    asked, known = inference.official_queries(drug_sub, drug_target, drug_sub.select("drug"))
+    run = lambda: sorted((r.query, r["rank"], r.target, round(r.score, 9)) for r in inference.predict(asked, drug_sub, drug_target, inference.Settings(), known).collect())
+    calls, own = [], inference.product
+    monkeypatch.setattr(inference, "product", lambda *a: calls.append(a[6]) or own(*a))
+    monkeypatch.setattr(inference, "TWO_STEP_ROWS", 1000)
+    dense = run()
+    assert calls == ["drug", "query"] and len(dense) > 500
+    monkeypatch.setattr(inference, "CELLS", 0)
+    assert run() == dense and len(calls) == 2
+
+
 def test_training_frames(spark):
     nodes = [(10, "drug:1", "drug"), (12, "disease:custom", "disease"), (15, "drug:2", "drug"), (18, "disease:other", "disease"), (20, "drug:3", "drug"), (21, "drug:4", "drug"), (22, "drug:5", "drug"), (23, "drug:6", "drug")]
     at = {n: i for i, n, _ in nodes}
