@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import holdout
+from ..sources.tables import steps, written
 from .ranking import first_wins, global_position, running_sums
 
 TRIPLE = ["x_id", "relation", "y_id"]
@@ -98,6 +99,7 @@ def checked_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     for end in ("x", "y"):
         own = nodes.select(F.col("node_id").alias(f"{end}_id"), F.col("node_type").alias("_type"), F.col("type_index").alias(f"{end}_idx"))
         out = out.join(own, f"{end}_id", "left").withColumn(f"_{end}_bad", F.col("_type").isNull() | (F.col("_type") != F.col(f"{end}_type"))).drop("_type")
+    out = written(out, "ends")  # read by the count and by what follows
     bad = out.agg(F.sum((F.col("_x_bad") | F.col("_y_bad")).cast("long"))).first()[0]
     if bad:
         raise ValueError(f"{bad} edges have an end that is no node of its type")
@@ -111,10 +113,11 @@ def training_frames(nodes: DataFrame, edges: DataFrame, custom_id: str, seed: in
     edges: x_type, x_id, x_index, relation, y_type, y_id, y_index and more.
     """
     typed = type_index(nodes)
-    base = canonical(checked_ends(edges, typed))
     key = F.concat_ws("|", "x_id", "relation", "y_id")
     pinned = F.lit(pin) & (F.col("relation") == "drug_disease") & (F.col("y_id") == custom_id)
-    base = split(base, key, F.coalesce(pinned, F.lit(False)), seed, test, valid)
+    with steps() as keep:  # each stage is written once, as the next one reads it several times
+        base = written(canonical(checked_ends(edges, typed)), "canonical")
+        base = keep(written(split(base, key, F.coalesce(pinned, F.lit(False)), seed, test, valid), "base-edges"))
     return typed, base, with_reverse(base)
 
 

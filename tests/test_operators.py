@@ -262,6 +262,18 @@ def test_products_of_matrices_equal_joins_and_lists(spark, monkeypatch):
     assert run() == dense and len(calls) == 2
 
 
+def test_training_frames_write_each_stage_once(spark, monkeypatch):
+    """The frames are read from the last stage's files, not made from the edges again."""
+    labels, own = [], knowledge.written
+    monkeypatch.setattr(knowledge, "written", lambda df, label: labels.append(label) or own(df, label))
+    nodes = spark.createDataFrame([("a", "drug", 0), ("b", "protein", 1), ("c", "protein", 2)], "node_id string, node_type string, node_index long")
+    edges = spark.createDataFrame([("drug", "a", 0, "r", "protein", "b", 1), ("protein", "c", 2, "ppi", "protein", "b", 1)], "x_type string, x_id string, x_index long, relation string, y_type string, y_id string, y_index long")
+    _, base, directed = knowledge.training_frames(nodes, edges, "none", 42, 0.05, 0.1)
+    assert labels == ["ends", "canonical", "base-edges"]
+    assert all("/base-edges-" in f for df in (base, directed) for f in df.inputFiles())
+    assert {(r.x_id, r.relation, r.y_id) for r in directed.collect()} == {("a", "r", "b"), ("b", "rev_r", "a"), ("b", "ppi", "c"), ("c", "ppi", "b")}
+
+
 def test_training_frames(spark):
     nodes = [(10, "drug:1", "drug"), (12, "disease:custom", "disease"), (15, "drug:2", "drug"), (18, "disease:other", "disease"), (20, "drug:3", "drug"), (21, "drug:4", "drug"), (22, "drug:5", "drug"), (23, "drug:6", "drug")]
     at = {n: i for i, n, _ in nodes}
