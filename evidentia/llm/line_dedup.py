@@ -48,9 +48,20 @@ _seeds = np.random.default_rng(13).integers(1, 2**32, (2, BANDS * ROWS), np.uint
 FACTORS, OFFSETS = _seeds[0] | np.uint32(1), _seeds[1]
 STEPS = np.random.default_rng(11).integers(1, 2**63, 3, np.uint64) | np.uint64(1)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Characters that are hashed at a time, so that the arrays of one step stay in a core's cache; a longer line is taken whole.
+CACHED = 32_000
+#: Members of a list from which other leaders are tried before all its pairs are compared.
+MANY = 32
 STARTS = np.array([c[0] for c in CLASSES])
 
 
+def code_points(text: str) -> np.ndarray:
+    """The characters as integers: bytes if all are ASCII, else of 32 bits."""
+    if text.isascii():
+        return np.frombuffer(text.encode("ascii"), np.uint8)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 #: The lower case of each Latin-1 character, all of which are Latin-1 too.
 LATIN = "".join(chr(i).lower() for i in range(256)).encode("latin-1")
 
@@ -65,10 +76,18 @@ def lowered(text: str) -> str:
         return text.lower()
 
 
-def normal_lines(text: str) -> list[str]:
-    """The lines, lower-cased and with single spaces in place of any white space."""
+def spaced(texts: list[str]) -> bool:
+    """Whether a blank stands beside another one or at an end of a line."""
+    code = code_points("\n".join(["", *texts, ""]))
+    blank = code == 32
+    beside = blank | (code == 10)
+    return bool((blank[1:] & beside[:-1]).any() or (beside[1:] & blank[:-1]).any())
+
+
+def normal_lines(text: str, plain: bool = False) -> list[str]:
+    """The lines, lower-cased and with single spaces in place of any white space. plain: the text is known not to be ``spaced``."""
     text = lowered(text)
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in ODD_SPACE):
+    if not plain and spaced([text]) or any(c in text for c in ODD_SPACE):
         return [" ".join(x.split()) for x in text.split("\n")]
     return text.split("\n")
 
@@ -81,23 +100,25 @@ def line_ids(lines: list[str]) -> np.ndarray:
 def shingles(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all shingles in order, the first one's place of each line and their number) of non-empty lines."""
     padded = [x if len(x) >= size else x + "\0" * (size - len(x)) for x in lines]
-    code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     length = np.fromiter(map(len, padded), np.int64, len(padded))
-    # runs of one, two and four characters, and longer ones put together from two of them
-    runs, span, step = code, 1, 0
-    while span * 2 <= size:
-        runs = runs[:-span] * STEPS[step] + runs[span:]
-        runs ^= runs >> np.uint64(29)
-        span, step = span * 2, step + 1
-    if span < size:
-        runs = runs[: len(code) - size + 1] * GOLDEN + runs[size - span :]
-    runs = mix(runs)
-    end = np.cumsum(length)
-    count = length - size + 1
-    inside = np.ones(len(code), bool)  # where a shingle of one line begins
-    for k in range(1, size):
-        inside[end - k] = False
-    return runs[inside[: len(runs)]], np.append(0, np.cumsum(count))
+    first = np.append(0, np.cumsum(length - size + 1))
+    out = np.empty(int(first[-1]), np.uint64)
+    for a, b in chunks(padded, CACHED):
+        code = code_points("".join(padded[a:b])).astype(np.uint64)
+        # runs of one, two and four characters, and longer ones put together from two of them
+        runs, span, step = code, 1, 0
+        while span * 2 <= size:
+            runs = runs[:-span] * STEPS[step] + runs[span:]
+            runs ^= runs >> np.uint64(29)
+            span, step = span * 2, step + 1
+        if span < size:
+            runs = runs[: len(code) - size + 1] * GOLDEN + runs[size - span :]
+        inside = np.ones(len(code), bool)  # where a shingle of one line begins
+        end = np.cumsum(length[a:b])
+        for k in range(1, size):
+            inside[end - k] = False
+        out[first[a] : first[b]] = mix(runs[inside[: len(runs)]])
+    return out, first
 
 
 def dealt_minima(lines: list[str], size: int) -> np.ndarray:
@@ -105,47 +126,67 @@ def dealt_minima(lines: list[str], size: int) -> np.ndarray:
 
     A bin that gets none takes the value of the next bin that has one, moved on by their distance.
     """
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    length = np.fromiter(map(len, lines), np.int64, len(lines))
-    runs, span = code, 1
-    while span * 2 <= size:
-        runs = runs[:-span] * np.uint32(0x9E3779B1) + runs[span:]
-        runs ^= runs >> np.uint32(15)
-        span *= 2
-    if span < size:
-        runs = runs[: len(code) - size + 1] * np.uint32(0x85EBCA6B) + runs[size - span :]
-    runs = runs * np.uint32(0xC2B2AE35)
-    runs ^= runs >> np.uint32(16)
     bins = BANDS * ROWS
-    place = ((runs >> np.uint32(16)) * np.uint32(bins) >> np.uint32(16)).astype(np.int32)
-    value = (runs ^ np.uint32(0x5BD1E995)) * np.uint32(0x27D4EB2F)
-    value ^= value >> np.uint32(15)
-    end = np.cumsum(length)
     out = np.empty((len(lines), bins), np.uint32)
     empty = np.uint32(0xFFFFFFFF)
-    for i, (x, y) in enumerate(zip((end - length).tolist(), (end - size + 1).tolist())):
-        own = np.full(bins, empty, np.uint32)
-        np.minimum.at(own, place[x:y], value[x:y])
-        out[i] = own
-    while (gaps := out == empty).any():
-        out = np.where(gaps, np.where(np.roll(gaps, -1, axis=1), empty, np.roll(out, -1, axis=1) + np.uint32(0x01000193)), out)
+    for a, b in chunks(lines, CACHED):
+        code = code_points("".join(lines[a:b])).astype(np.uint32)
+        runs, span = code, 1
+        while span * 2 <= size:
+            runs = runs[:-span] * np.uint32(0x9E3779B1) + runs[span:]
+            runs ^= runs >> np.uint32(15)
+            span *= 2
+        if span < size:
+            runs = runs[: len(code) - size + 1] * np.uint32(0x85EBCA6B) + runs[size - span :]
+        runs = runs * np.uint32(0xC2B2AE35)
+        runs ^= runs >> np.uint32(16)
+        value = (runs ^ np.uint32(0x5BD1E995)) * np.uint32(0x27D4EB2F)
+        value ^= value >> np.uint32(15)
+        # a row of bins for each line, and a last one for the runs that reach into the next line
+        n = b - a
+        row = np.full((n, 2), n * bins)
+        row[:, 0] = np.arange(n) * bins
+        times = np.full((n, 2), size - 1)
+        times[:, 0] = np.fromiter(map(len, lines[a:b]), np.int64, n) - (size - 1)
+        place = np.repeat(row.ravel(), times.ravel())[: len(runs)]
+        place += (runs >> np.uint32(16)) * np.uint32(bins) >> np.uint32(16)
+        own = np.full((n + 1) * bins, empty, np.uint32)
+        np.minimum.at(own, place, value)
+        out[a:b] = own[:-bins].reshape(n, bins)
+    at = np.flatnonzero((out == empty).any(axis=1))
+    while len(at):
+        own = out[at]
+        gaps = own == empty
+        own = np.where(gaps, np.where(np.roll(gaps, -1, axis=1), empty, np.roll(own, -1, axis=1) + np.uint32(0x01000193)), own)
+        out[at] = own
+        at = at[(own == empty).any(axis=1)]
     return out
 
 
+def own_minima(lines: list[str], size: int) -> np.ndarray:
+    """The least hash of each line's shingles by each of BANDS * ROWS hash functions."""
+    out = np.empty((BANDS * ROWS, len(lines)), np.uint32)
+    for a, b in chunks(lines, CACHED):
+        every, first = shingles(lines[a:b], size)
+        low = (every >> np.uint64(32)).astype(np.uint32)
+        moved = np.empty_like(low)
+        for k in range(BANDS * ROWS):
+            np.multiply(low, FACTORS[k], out=moved)
+            np.add(moved, OFFSETS[k], out=moved)
+            np.minimum.reduceat(moved, first[:-1], out=out[k, a:b])
+    return out.T
+
+
 def band_keys(lines: list[str], kind: int) -> np.ndarray:
     """A key per band and line of one class from the line's MinHash signature."""
     _, size, dealt = CLASSES[kind]
     out = np.zeros((BANDS, len(lines)), np.uint64)
+    band = np.arange(BANDS, dtype=np.uint64)[:, None]
     for a, b in chunks(lines, 100_000):
+        minima = (dealt_minima if dealt else own_minima)(lines[a:b], size).T.reshape(BANDS, ROWS, b - a)
         own = np.full((BANDS, b - a), np.uint64(kind + 1))
-        if dealt:
-            minima = dealt_minima(lines[a:b], size).T
-        else:
-            every, first = shingles(lines[a:b], size)
-            low = (every >> np.uint64(32)).astype(np.uint32)
-            minima = (np.minimum.reduceat(low * FACTORS[k] + OFFSETS[k], first[:-1]) for k in range(BANDS * ROWS))
-        for k, least in enumerate(minima):
-            own[k // ROWS] = mix(own[k // ROWS] * GOLDEN + least + np.uint64(k // ROWS))
+        for k in range(ROWS):
+            own = mix(own * GOLDEN + minima[:, k] + band)
         out[:, a:b] = own
     return out
 
@@ -172,6 +213,11 @@ def lists_of_lines(keys: np.ndarray, lines: np.ndarray) -> pa.Table:
 
     A leader meets all the others as pairs; so of lists of three or more what is left holds the others only.
     """
+    # most keys belong to one line and give no list; keys of 32 bits are put in order together with their places
+    packed = np.sort(keys.astype(np.uint64) << np.uint64(32) | np.arange(len(keys), dtype=np.uint64))
+    edge = np.concatenate([[True], np.diff(packed >> np.uint64(32)) != 0, [True]])
+    order = (packed[~(edge[1:] & edge[:-1])] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    keys, lines = keys[order], lines[order]
     order = np.lexsort((mix(lines.view(np.uint64)), keys))
     keys, lines = keys[order], lines[order]
     once = np.append(True, (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])) if len(keys) else np.zeros(0, bool)
@@ -216,13 +262,13 @@ class LineJudge:
             some = [lines[i] for i in at]
             for a, b in chunks(some, 100_000):
                 every, first = shingles(some[a:b], size)
-                for i, x, y in zip(at[a:b], first[:-1].tolist(), first[1:].tolist()):
-                    own = every[x:y].copy()
-                    own.sort()
-                    once = np.empty(len(own), bool)
-                    once[0] = True
-                    np.not_equal(own[1:], own[:-1], out=once[1:])
-                    sets[i][size] = own[once]
+                for x, y in zip(first[:-1].tolist(), first[1:].tolist()):
+                    every[x:y].sort()
+                once = np.append(True, every[1:] != every[:-1])
+                once[first[:-1]] = True
+                every, first = every[once], np.append(0, np.cumsum(once))[first].tolist()
+                for i, x, y in zip(at[a:b], first, first[1:]):
+                    sets[i][size] = every[x:y]
         return list(zip(length.tolist(), sets))
 
     @staticmethod
@@ -239,32 +285,47 @@ class LineJudge:
         """(probe, member) of lines alike in different parts."""
         out: list[tuple[int, int]] = []
         length = [x[0] for x in lines]
+        asking = np.flatnonzero(probe).tolist()
         if len(lines) <= 8:
-            for i in np.flatnonzero(probe).tolist():
+            asked, parts = probe.tolist(), part.tolist()
+            for i in asking:
                 for j in range(len(lines)):
                     short, long = (length[i], length[j]) if length[i] < length[j] else (length[j], length[i])
-                    if 4 * short >= 3 * long and part[i] != part[j] and not (probe[j] and j < i):
+                    if 4 * short >= 3 * long and parts[i] != parts[j] and not (asked[j] and j < i):
                         size = next(c[1] for c in reversed(CLASSES) if short >= c[0])
                         if self.alike(lines[i][1][size], lines[j][1][size]):
                             out.append((i, j))
             return out
         if self.seen is None:
-            self.seen = np.zeros(int(self.BITS) + 1, bool)
-        n_chars = np.array(length, np.int64)
-        for i in np.flatnonzero(probe).tolist():
-            short = np.minimum(n_chars, n_chars[i])
-            fit = np.flatnonzero((4 * short >= 3 * np.maximum(n_chars, n_chars[i])) & (part != part[i]))
-            sizes = self.SIZES[classes_of(short[fit])]
-            for size in np.unique(sizes).tolist():
-                mine, some = lines[i][1][size], fit[sizes == size].tolist()
-                sets = [lines[j][1][size] for j in some]
-                n = np.fromiter(map(len, sets), np.int64, len(sets))
+            self.seen = np.zeros(int(self.BITS) + 1, np.uint32)
+        # by length, so that those that fit a probe under one size of shingles lie side by side
+        order = np.argsort(np.array(length), kind="stable")
+        ranked = np.array(length)[order]
+        stored: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        for size in self.SIZES.tolist():
+            having = [k for k, j in enumerate(order.tolist()) if size in lines[j][1]]
+            if having:
+                sets = [lines[order[k]][1][size] for k in having]
+                stored[size] = having[0], np.append(0, np.cumsum([len(x) for x in sets])), (np.concatenate(sets) & self.BITS).astype(np.int64)
+        for i in asking:
+            n = length[i]
+            x, y = int(ranked.searchsorted(-(-3 * n // 4))), int(ranked.searchsorted(4 * n // 3, side="right"))
+            kinds = classes_of(np.minimum(ranked[x:y], n))
+            for kind in range(int(kinds[0]), int(kinds[-1]) + 1):
+                a, b = x + int(kinds.searchsorted(kind)), x + int(kinds.searchsorted(kind, side="right"))
+                if a == b:
+                    continue
+                size = CLASSES[kind][1]
+                mine, (base, first, places) = lines[i][1][size], stored[size]
+                cuts = first[a - base : b - base + 1]
                 # no more shingles are shared than meet in a table of bits
-                place = mine & self.BITS
-                self.seen[place] = True
-                most = np.add.reduceat(self.seen[np.concatenate(sets) & self.BITS], np.cumsum(n) - n, dtype=np.int64)
-                self.seen[place] = False
-                out += [(i, some[x]) for x in np.flatnonzero(7 * most >= 3 * (n + len(mine))).tolist() if self.alike(mine, sets[x])]
+                place = (mine & self.BITS).astype(np.int64)
+                self.seen[place] = 1
+                most = np.add.reduceat(self.seen[places[cuts[0] : cuts[-1]]], cuts[:-1] - cuts[0]).astype(np.int64)
+                self.seen[place] = 0
+                some = order[a:b]
+                may = (7 * most >= 3 * (np.diff(cuts) + len(mine))) & (part[some] != part[i])
+                out += [(i, j) for j in some[may].tolist() if self.alike(mine, lines[j][1][size])]
         return out
 
 
@@ -276,8 +337,9 @@ def lines_of(batches: Iterator[pa.RecordBatch], size: int = 1_000_000):
             docs: list[int] = []
             numbers: list[int] = []
             lines: list[str] = []
+            plain = not spaced(texts[a:b])
             for doc, text in zip(ids[a:b], texts[a:b]):
-                for number, line in enumerate(normal_lines(text)):
+                for number, line in enumerate(normal_lines(text, plain)):
                     if line:
                         docs.append(doc)
                         numbers.append(number)
@@ -313,13 +375,14 @@ def decisions(documents: DataFrame) -> DataFrame:
                 for k, o in zip(batch.column(0), batch.column(1)):
                     keys, owners = np.frombuffer(k.as_py(), np.uint64), np.frombuffer(o.as_py(), np.int64)
                     place = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-                    order = np.argsort(place, kind="stable")
-                    cuts = np.searchsorted(place[order], np.arange(ranges + 1))
+                    order = np.argsort(place.astype(np.uint16) if ranges < 1 << 16 else place, kind="stable")
+                    cuts = np.append(0, np.cumsum(np.bincount(place, minlength=ranges)))
                     # the range has a key's upper bits already; 32 more leave one chance match in some 10**11 pairs
                     low = (mix(keys) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    for r in np.flatnonzero(np.diff(cuts)).tolist():
-                        at = order[cuts[r] : cuts[r + 1]]
-                        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([low[at].tobytes()], pa.binary()), pa.array([owners[at].tobytes()], pa.binary())], ["range", "keys", "lines"])
+                    low, owners = low[order], owners[order]
+                    some = np.flatnonzero(np.diff(cuts)).tolist()
+                    columns = [pa.array(some, pa.int32()), *(pa.array([x[cuts[r] : cuts[r + 1]].tobytes() for r in some], pa.binary()) for x in (low, owners))]
+                    yield pa.RecordBatch.from_arrays(columns, ["range", "keys", "lines"])
 
         @tidied
         def group(key, batch):
@@ -343,9 +406,10 @@ def decisions(documents: DataFrame) -> DataFrame:
 
             return mapped(rows, ["doc_id", "text"], "doc_id long, grams binary", kept).dropDuplicates(["doc_id"])
 
-        similar = linked(written(found, "bands"), texts_of_ids, LineJudge(), False)
+        similar = linked(written(found, "bands"), texts_of_ids, LineJudge(), False, MANY)
         first = written(places.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("first"), F.count("*").alias("n")), "places")
-        grouped = looked_up(first, similar.withColumnRenamed("node", "line"), "line").withColumn("component", F.coalesce("component", "line"))
+        # a line that is there once and is like no other one stays
+        grouped = looked_up(first, similar.withColumnRenamed("node", "line"), "line").where("component is not null or n > 1").withColumn("component", F.coalesce("component", "line"))
         grouped = written(grouped, "grouped")
         keepers = written(grouped.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1").select("component", "keeper"), "keepers")
         decided = written(looked_up(grouped.select("line", "component"), keepers, "component", "inner").select("line", "keeper"), "decided")
@@ -359,9 +423,11 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     drops = decisions(documents).select(F.col("doc").alias(doc), F.col("numbers").alias(dropped))
     total = drops.agg(F.coalesce(F.sum(F.size(dropped) + 2), F.lit(0))).first()[0]
     out = documents.join(F.broadcast(drops) if total <= BROADCAST_DROPS else drops, documents["doc_id"] == F.col(doc), "left")
-    out = out.withColumn(lines, F.split("text", "\n", -1))
-    out = out.withColumn(edges, F.concat(F.array(F.lit(-1)), F.coalesce(dropped, F.array().cast("array<int>")), F.array(F.size(lines))))
+    # lines are taken apart only where some go
+    out = out.withColumn(lines, F.when(F.col(dropped).isNotNull(), F.split("text", "\n", -1)))
+    out = out.withColumn(edges, F.when(F.col(dropped).isNotNull(), F.concat(F.array(F.lit(-1)), F.col(dropped), F.array(F.size(lines)))))
     # the runs of lines between those that go: steps follow the number of lines
     runs = F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda i: F.slice(lines, F.get(edges, i) + 2, F.get(edges, i + 1) - F.get(edges, i) - 1))
-    out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"), "n_dropped": (F.size(edges) - 2).cast("long")})
-    return out.withColumn("text", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))).drop(doc, dropped, lines, edges)
+    ends = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(ends + 1).cast("long"), "n_dropped": F.when(F.col(dropped).isNull(), F.lit(0)).otherwise(F.size(dropped)).cast("long")})
+    return out.withColumn("text", F.when(F.col(dropped).isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))).drop(doc, dropped, lines, edges)

@@ -457,7 +457,7 @@ def verified(rows: DataFrame, store: DataFrame, tasks: int, judge) -> DataFrame:
             who, which = np.unique(docs[at], return_inverse=True)
             place = np.empty(len(who), np.int64)
             place[which] = at
-            ready = judge.prepare([grams[int(i)].as_py() for i in place])
+            ready = judge.prepare(grams.take(pa.array(place)).to_pylist())
             for x, y in zip(cuts[done:upto], cuts[done + 1 : upto + 1]):
                 if y - x > 1:
                     own, base = order[x:y], which[x - cuts[done] : y - cuts[done]]
@@ -524,11 +524,12 @@ def heads_of(now: DataFrame, turn: int) -> DataFrame:
     return written(top.select("list", "members", F.col("top.component").alias("largest"), "top.leader", (F.col("members") - F.col("top.n")).alias("probes")), "heads")
 
 
-def linked(found: DataFrame, texts_of_ids: Callable[[DataFrame], DataFrame], judge, sifting: bool) -> DataFrame:
+def linked(found: DataFrame, texts_of_ids: Callable[[DataFrame], DataFrame], judge, sifting: bool, many: int = 0) -> DataFrame:
     """(node, component) over all links among candidates.
 
     found: as ``candidates`` gives them; texts_of_ids: (doc_id, grams[, sketch]) of the ids in a table; judge: prepares
-    stored texts and finds the links of a list; sifting: whether sketches are there to leave what cannot link.
+    stored texts and finds the links of a list; sifting: whether sketches are there to leave what cannot link; many: members
+    of a list from which other leaders are tried before its blocks, as shorter ones are soon compared whole.
     """
     with steps() as keep:
         pairs = written(found.where("kind = 0").select(F.col("key").alias("leader"), F.col("docs")[0].alias("doc_id")).distinct(), "pairs")
@@ -543,11 +544,16 @@ def linked(found: DataFrame, texts_of_ids: Callable[[DataFrame], DataFrame], jud
         links = written(meet(led(pairs), store, tasks, judge), "links")
         known = components(links)
         # other leaders, from each list's largest component, for what is outside it: a few rounds join the groups of near copies
+        long = members
+        if many:
+            long = written(looked_up(members, written(lists.where(F.size("docs") >= many).select("list"), "long"), "list", "inner"), "members")
         for turn in range(LEADER_ROUNDS):
-            now = placed_in(members, known)
+            now = placed_in(long, known)
             top = heads_of(now, turn).select("list", "largest", "leader")
             more = written(looked_up(now, top, "list", "inner").where("component <> largest").select("leader", "doc_id").distinct(), "pairs")
             if more.isEmpty():
+                if many:
+                    break
                 return keep(known)
             fresh = written(meet(led(more), store, tasks, judge), "links")
             if fresh.isEmpty():

@@ -381,6 +381,47 @@ def test_band_recall():
             assert total >= 20 and hits >= wanted * total, (kind, low, hits, total)
 
 
+def test_minima_of_many_lines_together():
+    """Lines hashed together, over the borders of what is hashed at a time, have the minima that each has alone."""
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abc \u00e9\u4e00") for _ in range(rng.choice((8, 64, 200, 700)))) for _ in range(200)] + ["a" * 300, "b" * 40_000, "ab" * 100]
+    assert sum(map(len, lines)) > 2 * line_dedup.CACHED
+    for f, size in ((line_dedup.dealt_minima, 8), (line_dedup.own_minima, 5)):
+        together = f(lines, size)
+        assert together.shape == (len(lines), 60)
+        assert all((together[i] == f([x], size)[0]).all() for i, x in enumerate(lines))
+
+
+def test_short_lists_of_lines_meet_no_other_leaders(spark, monkeypatch):
+    """Rounds of other leaders take long lists only; what is in short ones is compared in blocks, and nothing is lost."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(30):
+        words = prose(300 + k, 20).split()
+        for _ in range(6):
+            rows.append((len(rows), " ".join(w if rng.random() > 0.04 else f"new{rng.randrange(1000)}" for w in words)))
+    taken, placed = [], ngram_join.placed_in
+
+    def counted(members, known):
+        taken.append(members.count())
+        return placed(members, known)
+
+    monkeypatch.setattr(ngram_join, "placed_in", counted)
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert taken[0] == 0 and taken[-1] > 0
+    for i, line in rows:
+        near = [j for j, other in rows[:i] if alike(other, line)]
+        assert got[i] == 1 or not near
+
+
+def test_other_leaders_of_long_lists(spark):
+    """Near copies in more lines than a short list holds become one line."""
+    base = prose(77, 30).split()
+    rows = [(0, " ".join(base))] + [(k, " ".join([*base[: k % 30], f"x{k}", *base[k % 30 + 1 :]])) for k in range(1, 3 * line_dedup.MANY)]
+    got = [(r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(0, 0)] + [(k, 1) for k in range(1, len(rows))]
+
+
 def test_licenses(spark, documents, empty):
     text = "intro words here\n" + " ".join(["filler"] * 40) + "\nLicensed under the Apache License, Version 2.0.\nall rights RESERVED"
     df = documents.select("doc_id", "text").union(spark.createDataFrame([(50, text), (50, text), (None, text)], "doc_id long, text string")).withColumn("license", F.lit("x"))
